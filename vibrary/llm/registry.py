@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .html import op1_html_extraction
+from .language import op9_language_id
+from .lines import OP4_SQL, op4_line_dedup
+from .packing import op2_best_fit_packing
 from .quality import op5_quality_rules
 from .sharding import op10_feistel_sharding
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op10_feistel_sharding)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_line_dedup, op5_quality_rules, op9_language_id, op10_feistel_sharding)}
+SQL = {"op4_line_dedup": OP4_SQL}
