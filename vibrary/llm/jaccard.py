@@ -5,13 +5,15 @@
    the threshold's share of its set links with nothing and is done. Equal sets are one class from here on, and
    sharing is counted again among classes.
 2. Groups: what is left is partitioned into groups of similar documents: each class is compared with the
-   first class that has the same minimum hash, and linked to it if the pair reaches the threshold exactly.
-3. Matrix: a row (token, group) for each token in the union of a group's token sets. A class meets a foreign
-   group if a token of its prefix (its rarest tokens, one more than a link may miss) is in the prefix of a
-   member. The overlap of the class with the group's union bounds its overlap with every member; only groups
-   whose bound reaches the threshold are opened, and the pairs that share a prefix token are compared exactly.
+   most central class that has the same minimum hash, and linked to it if the pair reaches the threshold exactly;
+   later rounds do so with more minimum hashes and any class as head where groups differ.
+3. Matrix: classes with the same first minimum hash form blocks of bounded size; a row (token, block) says
+   that a member has the token in its prefix (its rarest tokens, one more than a link may miss). A class
+   meets the blocks that hold a token of its own prefix and a member of a larger group. The overlap of the
+   class with the union of a block's token sets bounds its overlap with every member; only blocks whose
+   bound reaches the threshold are opened, and their members are compared exactly.
 4. Components of all links found. Classes of one group need no further comparison, so groups of copies cost
-   about one comparison a class, and no link between different groups is lost.
+   few comparisons a class, and no link between different groups is lost.
 
 Sets are kept as 64-bit hashes; classes by a 128-bit hash of the sorted set.
 """
@@ -34,10 +36,16 @@ from .common import TO_LOWER, WORD, settled, table
 SHINGLE, PERCENT = 4, 85
 #: Shingles of the documents in a chunk, and those of a shard, about.
 CHUNK, SHARD = 400_000, 2_000_000
+#: Classes of a block, and classes compared with a block at once, about.
+BLOCK, QUERIES = 250, 1000
 #: Up to so many keys are broadcast to pick their documents; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 WORDS = re.compile(WORD)
-STARS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Minimum hashes compared in each round of step 2: one is enough for most copies, later rounds are for what is still apart.
+ROUNDS = (1, 1, 8)
+#: For so many minimum hashes the head of a group is its most central class, for the others any class.
+CENTRAL = 2
+STARS = [int(x) | 1 for x in np.random.default_rng(8).integers(1 << 63, size=sum(ROUNDS))]
 REMEMBERED = 300_000
 
 _hashes: dict[str, int] = {}
@@ -207,34 +215,35 @@ def link_groups(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     among = sharing(picked(docs, first.select("doc_id")), shards, n)
     left = settled(among.filter(some).join(first.select("mark"), "mark", "left_semi").select("mark", "doc_id").distinct(), "left")
     sets = settled(token_sets(picked(docs, left.select("doc_id").distinct()), n).join(left.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), "sets")
+    unpacked = settled(_unpacked(sets), "tokens")
+    df = unpacked.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = settled(unpacked.join(df, "token"), "shared_tokens")
+    central = shared.groupBy("node").agg((F.sum("df") / F.first("n")).alias("central"))
+    stars = settled(sets.select("node", "stars").join(central, "node"), "stars")
     groups = settled(sets.select("node", F.col("node").alias("group")), "groups")
     links = spark.createDataFrame([], "a long, b long")
-    for k in range(len(STARS)):
-        star = sets.select("node", F.col("stars")[k].alias("star")).join(groups, "node")
-        head = star.groupBy("star").agg(F.min(F.struct("node", "group")).alias("head"), F.count("*").alias("c")).filter("c > 1")
-        pairs = star.join(head, "star").filter(F.col("group") != F.col("head.group")).select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    done = 0
+    for width in ROUNDS:
+        each = F.posexplode(F.slice("stars", done + 1, width)).alias("k", "star")
+        star = stars.select("node", "central", each).join(groups, "node")
+        order = F.when(F.col("k") < CENTRAL - done, -F.col("central")).otherwise(F.xxhash64("node", "k").cast("double"))
+        head = star.groupBy("k", "star").agg(F.min(F.struct(order.alias("order"), "node", "group")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+        pairs = star.join(head, ["k", "star"]).filter(F.col("group") != F.col("head.group")).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
         links = settled(links.union(linked(pairs, sets, percent)), "links")
         groups = components(sets, links)
+        done += width
     # rare tokens first; tokens of one class only fill the prefix and meet nothing
-    unpacked = settled(_unpacked(sets), "tokens")
-    df = unpacked.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = settled(unpacked.join(df, "token"), "shared_tokens")
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("node")))
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
-    prefix = settled(ranked.filter(F.col("alone") + F.col("rank") <= allowed).select("node", "n", "token").join(groups, "node").join(sizes, "group"), "prefix")
-    q = prefix.select(F.col("node").alias("q"), F.col("n").alias("nq"), "token", F.col("group").alias("gq"), F.col("members").alias("mq"))
-    matrix = prefix.select("token", "group", "members").distinct()
-    smaller = (F.col("mq") < F.col("members")) | ((F.col("mq") == F.col("members")) & (F.col("gq") < F.col("group")))
-    met = settled(q.join(matrix, "token").filter((F.col("gq") != F.col("group")) & smaller).select("q", "nq", "group").distinct(), "met")
-    unions = shared.join(groups, "node").join(met.select("group").distinct(), "group", "left_semi").select("token", "group").distinct()
-    overlap = met.join(shared.select(F.col("node").alias("q"), "token"), "q").join(unions, ["group", "token"]).groupBy("q", "nq", "group").agg(F.count("*").alias("common"))
-    opened = overlap.filter(100 * F.col("common") >= percent * F.col("nq")).select("q", "group")
-    members = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "token", "group")
-    fits = (100 * F.least("nq", "nb") >= percent * F.greatest("nq", "nb"))
-    pairs = q.join(opened, "q").join(members, ["token", "group"]).filter(fits).select(F.col("q").alias("a"), "b").distinct()
-    links = settled(links.union(linked(pairs, sets, percent)), "links")
+    prefix = ranked.filter(F.col("alone") + F.col("rank") <= allowed).select("node", "token")
+    placed = groups.join(sizes, "group").join(blocks(stars), "node").select("node", "block", F.struct("members", "group").alias("at"))
+    placed = settled(placed, "placed")
+    prefix = settled(prefix.join(placed, "node"), "prefix")
+    matrix = prefix.groupBy("token", "block").agg(F.max("at").alias("top"))
+    met = prefix.select(F.col("node").alias("q"), "token", F.col("at").alias("q_at")).join(matrix, "token").filter(F.col("top") > F.col("q_at")).select("q", "block").distinct()
+    links = settled(links.union(opened(settled(met, "met"), placed, sets, percent)), "links")
     groups = components(sets, links)
     named = groups.join(sets.select("node", "mark"), "node").join(classes.select("mark", "doc_id"), "mark")
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
@@ -243,6 +252,50 @@ def link_groups(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     return rows.join(found, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def blocks(stars: DataFrame) -> DataFrame:
+    """node and block: classes with the same first minimum hash, in blocks of about BLOCK."""
+    star = stars.select("node", F.col("stars")[0].alias("star"))
+    parts = star.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return star.join(parts, "star").select("node", F.xxhash64("star", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+
+
+def opened(met: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the classes q with members of the blocks they met (q, block) whose group is larger than q's: one for each such group.
+
+    A block's members and at most about QUERIES of the classes that met it are one task's group; more classes
+    get copies of the members. There, the union bound decides who opens the block.
+    """
+    known = sets.select("node", "n", "tokens").join(placed, "node").select("node", "n", "tokens", F.col("at.members").alias("members"), F.col("at.group").alias("group"), "block")
+    chunks = met.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
+    asks = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("q"), "chunks").alias("chunk"), F.col("q").alias("node"))
+    asks = asks.join(known.drop("block"), "node").select("block", "chunk", "node", "n", "tokens", "members", "group")
+    asks = asks.toDF(*(f"q_{c}" for c in asks.columns))
+    inside = known.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "n", "tokens", "members", "group")
+
+    def run(ask: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        held = [np.frombuffer(t.as_py(), np.uint64) for t in block.column("tokens")]
+        if held and ask.num_rows:
+            union, at = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.array([len(x) for x in held])
+            starts = np.cumsum(n) - n
+            node, group, members = (block.column(c).to_numpy() for c in ("node", "group", "members"))
+            for q, tokens, size, own in zip(*(ask.column(f"q_{c}").to_pylist() for c in ("node", "tokens", "members", "group")), strict=True):
+                tokens = np.frombuffer(tokens, np.uint64)
+                places = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                flags = np.zeros(len(union), np.int64)
+                flags[places[union[places] == tokens]] = 1
+                if 100 * flags.sum() < percent * len(tokens):
+                    continue
+                common = np.add.reduceat(flags[at], starts)
+                fits = (100 * common >= percent * (n + len(tokens) - common)) & ((members > size) | ((members == size) & (group > own)))
+                _, first = np.unique(group[fits], return_index=True)
+                out += [(q, int(x)) for x in node[fits][first]]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return asks.groupBy("q_block", "q_chunk").cogroup(inside.groupBy("block", "chunk")).applyInArrow(run, "a long, b long")
+
+
 def _unpacked(sets: DataFrame) -> DataFrame:
     """A row (node, n, token) for each token of each set."""
 
