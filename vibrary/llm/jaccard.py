@@ -99,12 +99,16 @@ def sharing(docs: DataFrame, shards: int, n: int = SHINGLE) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             low, of = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], of[order]
-            head = {"ids": [ids, *[None] * (shards - 1)], "marks": [[set_mark(s) for s in sets], *[None] * (shards - 1)], "sizes": [sizes.tolist(), *[None] * (shards - 1)]}
-            counts = [np.bincount(of[a:b], minlength=len(sets)).astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:])]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * shards, pa.int64()), pa.array(range(shards), pa.int32()), pa.array(head["ids"], pa.list_(pa.int64())), pa.array(head["marks"], pa.list_(pa.binary())), pa.array(head["sizes"], pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
-                names=["chunk", "shard", "ids", "marks", "sizes", "counts", "keys"],
-            )
+            out: list[list] = [[] for _ in range(7)]
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                if k and a == b:
+                    continue
+                head = (None, None, None) if k else (ids, [set_mark(s) for s in sets], sizes.tolist())
+                counts = np.bincount(of[a:b], minlength=len(sets)).astype(np.uint32).tobytes()
+                for values, x in zip(out, (chunk, k, *head, counts, low[a:b].tobytes()), strict=True):
+                    values.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["chunk", "shard", "ids", "marks", "sizes", "counts", "keys"])
 
         held = 0
         for batch in batches:
