@@ -300,6 +300,22 @@ def opened(met: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) ->
     return asks.groupBy("q_block", "q_chunk").cogroup(inside.groupBy("block", "chunk")).applyInArrow(run, "a long, b long")
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the smallest doc_id. Rows without id or without words stay."""
+    found = settled(link_groups(docs, percent, n), "components")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    docs = without(docs, gone)
+    twice = found.filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    if twice.isEmpty():
+        return docs
+    return without(docs, twice).union(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids; the ids are broadcast if they are proven to be few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def _unpacked(sets: DataFrame) -> DataFrame:
     """A row (node, n, token) for each token of each set."""
 

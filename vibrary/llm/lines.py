@@ -82,10 +82,10 @@ def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
     for b in range(batches):
         runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     shared = settled(runs.shared(), "shared")
-    lines = docs.select(F.col("doc_id").alias("_id"), F.explode(hashes(F.col("text"), min_chars)).alias("k")).select("_id", "k.*")
+    lines = docs.select(F.col("doc_id").alias("_line_id"), F.explode(hashes(F.col("text"), min_chars)).alias("k")).select("_line_id", "k.*")
     few = shared.count() <= BROADCAST_ROWS
-    found = lines.join(F.broadcast(shared) if few else shared, ["h", "h2"]).groupBy("_id").agg(F.collect_set("h").alias("_drop"))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").drop("_id")
+    found = lines.join(F.broadcast(shared) if few else shared, ["h", "h2"]).groupBy("_line_id").agg(F.collect_set("h").alias("_line_drop"))
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_line_id"]), "left").drop("_line_id")
     kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     at = names.index("text")
 

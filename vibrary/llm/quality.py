@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, map_batches, settled, table
@@ -105,7 +107,7 @@ def measured(docs: DataFrame) -> DataFrame:
             base, measures = counts_of(text)
             for c in COUNTS:
                 out[c].append(base[c])
-            out["votes"].append("".join("g" if measures[m] <= good else "b" if measures[m] > bad else "-" for m, good, bad in RULES))
+            out["votes"].append(votes_of(measures))
         return out
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", votes string")
@@ -141,6 +143,36 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     return dict(zip(keys, good.tolist(), strict=True))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def fitted(rows: DataFrame) -> dict[str, float]:
+    """Probability of good by vote pattern, from the measured rows that pass the base rules."""
+    return posteriors({r["votes"]: r["n"] for r in rows.filter(~base_failed()).groupBy("votes").agg(F.count("*").alias("n")).collect()})
+
+
+def votes_of(measures: dict[str, float]) -> str:
+    return "".join("g" if measures[m] <= good else "b" if measures[m] > bad else "-" for m, good, bad in RULES)
+
+
+def good_rows(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score_quality keeps, with all columns. Texts are measured twice rather than moved: once for the vote patterns, once to filter."""
+    known = fitted(measured(docs))
+    at = docs.columns.index("text")
+
+    def keep(text: str | None) -> bool:
+        base, measures = counts_of(text)
+        failed = base["n_words"] < 20 or 100 * base["n_repeat_words"] > 30 * base["n_words"]
+        return not failed and known.get(votes_of(measures), 0.0) >= threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Base counts, base_failed, p_good and kept for each row of docs (doc_id, text).
 
@@ -150,9 +182,8 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     the rules say about the rest; their p_good is null unless the pattern occurs elsewhere); at most 3 ** len(RULES) patterns reach the driver.
     """
     rows = settled(measured(docs), "quality")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    found = {r["votes"]: r["n"] for r in rows.filter(~failed).groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    p = posteriors(found)
+    failed = base_failed()
+    p = fitted(rows)
     known = docs.sparkSession.createDataFrame(list(p.items()), "votes string, p_good double")
     return rows.join(F.broadcast(known), "votes", "left").select(
         "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("p_good") >= threshold)).alias("kept"), "p_good", "votes"
