@@ -140,3 +140,50 @@ def shap_linear(df: DataFrame, columns: list[str], w: np.ndarray) -> DataFrame:
     """Each row's contribution of each column to a linear prediction: its weight times the distance from the mean."""
     by = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
     return df.withColumns({f"shap_{c}": (F.col(c) - by[c]) * float(x) for c, x in zip(columns, w, strict=True)})
+
+
+def ridge_cv(df: DataFrame, columns: list[str], target: str, fold: str, alphas: list[float]) -> tuple[float, np.ndarray, float]:
+    """Penalty with the least squared error over the folds, and the fit on all rows; the data are read once."""
+    folds = gram(df, columns, target, [fold])
+    total = sum(folds.values())
+    best = min(alphas, key=lambda a: sum(squared_error(g, *ridge(total - g, a)) for g in folds.values()))
+    return float(best), *ridge(total, best)
+
+
+def bayesian_ridge(g: np.ndarray, rounds: int = 300) -> dict:
+    """Ridge whose noise and weight precisions maximise the evidence, by fixed-point steps on the eigenvalues of the centred moments."""
+    n, mean, y = g[0, 0], g[0, 1:-1] / g[0, 0], g[0, -1] / g[0, 0]
+    xx = g[1:-1, 1:-1] - n * np.outer(mean, mean)
+    xy, yy = g[1:-1, -1] - n * mean * y, g[-1, -1] - n * y * y
+    values, vectors = np.linalg.eigh(xx)
+    values = np.maximum(values, 0)
+    noise, weight = n / max(yy, 1e-12), 1.0
+    for _ in range(rounds):
+        cov = (vectors / (noise * values + weight)) @ vectors.T
+        w = noise * cov @ xy
+        used = float((noise * values / (noise * values + weight)).sum())
+        rest = max(float(yy - 2 * w @ xy + w @ xx @ w), 1e-12)
+        before, weight, noise = w, (used + 1e-6) / (float(w @ w) + 1e-6), (n - used + 1e-6) / (rest + 1e-6)
+    return {"w": before, "b": y - float(mean @ before), "mean": mean, "cov": (vectors / (noise * values + weight)) @ vectors.T, "noise": 1 / noise}
+
+
+def predict_interval(df: DataFrame, columns: list[str], fit: dict) -> DataFrame:
+    """df with yhat and std, the deviation of a new value: noise plus the quadratic form of the weights' covariance."""
+    d = [F.col(c) - float(m) for c, m in zip(columns, fit["mean"], strict=True)]
+    form = F.lit(float(fit["noise"]))
+    for i, x in enumerate(d):
+        for j, z in enumerate(d):
+            form = form + x * z * float(fit["cov"][i, j])
+    return df.withColumn("yhat", linear(columns, fit["w"], fit["b"])).withColumn("std", F.sqrt(form))
+
+
+def permutation_importance(df: DataFrame, columns: list[str], target: str, predict, keys: list[str], buckets: int = 64) -> DataFrame:  # noqa: ANN001
+    """feature and rise of the RMSE when the feature comes from the next row in hash order, within buckets of the keys' hash."""
+    base = regression_metrics(predict(df), target, "yhat").first()["rmse"]
+    order = Window.partitionBy(F.pmod(F.xxhash64(*keys), F.lit(buckets))).orderBy(F.xxhash64(*keys, F.lit(1)), *keys)
+    out = None
+    for c in columns:
+        moved = df.withColumn(c, F.coalesce(F.lead(c).over(order), F.first(c).over(order)))
+        part = regression_metrics(predict(moved), target, "yhat").select(F.lit(c).alias("feature"), (F.col("rmse") - base).alias("rise"))
+        out = part if out is None else out.union(part)
+    return out

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .signals import KEY
 
 NPERSEG, ORDER, TINY = 4096, 5, 1e-30
+#: By how much the entropy of exponentially distributed shares falls short of the largest: 1 less the Euler constant.
+NOISE_LOSS = 1 - 0.5772156649015329
 
 
 def to_arrays(samples: DataFrame, fs: float) -> DataFrame:
@@ -144,3 +146,61 @@ def band_features(df: DataFrame, bands: list[tuple[str, float, float]]) -> DataF
         part = frequency_features(spectrum(bandpass(df, lo, hi))).withColumn("band", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def infogram(df: DataFrame, centres: list[float], widths: list[float]) -> DataFrame:
+    """For each signal and cell (centre, width) that lies within the spectrum: entropy of noise less that of the squared envelope's spectrum. Map-only, a row of cells a signal."""
+    cells = [(c, w) for c in centres for w in widths]
+
+    def make(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+        out = []
+        for c, w in cells:
+            lo, hi = c - w / 2, c + w / 2
+            if lo < 1 or hi >= fs / 2 or len(x) < 4:
+                out.append(float("nan"))
+                continue
+            band = np.fft.irfft(np.fft.rfft(x) * band_gain(np.fft.rfftfreq(len(x), 1 / fs), fs, lo, hi), len(x))
+            ses = np.abs(np.fft.rfft(np.abs(analytic(band)) ** 2))[1:]
+            total = ses.sum()
+            p = ses / total if total > TINY else ses
+            p = p[p > 0]
+            out.append(math.log(len(ses)) - NOISE_LOSS + float((p * np.log(p)).sum()) if len(p) else float("nan"))
+        return {"info": np.array(out)}
+
+    made = each_signal(df, make, "info array")
+    grid = F.array(*(F.struct(F.lit(c).alias("centre"), F.lit(w).alias("width")) for c, w in cells))
+    return made.select(*KEY, F.explode(F.arrays_zip(grid.alias("cell"), "info")).alias("z")).select(*KEY, "z.cell.centre", "z.cell.width", F.when(~F.isnan("z.info"), F.col("z.info")).alias("info"))
+
+
+def wavelet_map(df: DataFrame, f0s: list[float], dampings: list[float], decays: float = 5.0) -> DataFrame:
+    """For each signal and damped oscillation (frequency, damping) of unit energy: rms and kurtosis of the size of its correlation with the signal."""
+    cells = [(f, a) for f in f0s for a in dampings]
+
+    def make(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+        rms, kurt = [], []
+        for f, a in cells:
+            t = np.arange(max(2, min(len(x), int(decays / a * fs)))) / fs
+            w = np.exp(-a * t) * np.exp(2j * np.pi * f * t)
+            w /= np.sqrt((np.abs(w) ** 2).sum())
+            y = np.abs(np.correlate(x, w, "same")) if len(x) else x
+            d = y - y.mean() if len(y) else y
+            v = float((d * d).mean()) if len(y) else 0.0
+            rms.append(float(np.sqrt((y * y).mean())) if len(y) else 0.0)
+            kurt.append(float((d**4).mean() / v**2) if v > TINY else 0.0)
+        return {"rms": np.array(rms), "kurtosis": np.array(kurt)}
+
+    made = each_signal(df, make, "rms array, kurtosis array")
+    grid = F.array(*(F.struct(F.lit(f).alias("frequency"), F.lit(a).alias("damping")) for f, a in cells))
+    return made.select(*KEY, F.explode(F.arrays_zip(grid.alias("cell"), "rms", "kurtosis")).alias("z")).select(*KEY, "z.cell.frequency", "z.cell.damping", "z.rms", "z.kurtosis")
+
+
+def map_gradient(grid: DataFrame) -> DataFrame:
+    """Size of the gradient of a map (y, x, z): central differences, one-sided at the edges."""
+
+    def step(along: str, across: str):  # noqa: ANN202
+        w = Window.partitionBy(across).orderBy(along)
+        back, on, z = F.lag("z").over(w), F.lead("z").over(w), F.col("z")
+        return F.when(back.isNull(), on - z).when(on.isNull(), z - back).otherwise((on - back) / 2)
+
+    d = grid.select("y", "x", step("x", "y").alias("dx"), step("y", "x").alias("dy"))
+    return d.select("y", "x", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("gradient"))
