@@ -100,10 +100,11 @@ def sharing(docs: DataFrame, shards: int, n: int = SHINGLE) -> DataFrame:
             edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             low, of = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], of[order]
             out: list[list] = [[] for _ in range(7)]
+            home = (chunk % (1 << 32) + (chunk >> 32) * 31) % shards  # this shard's row carries the chunk's ids
             for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                if k and a == b:
+                if k != home and a == b:
                     continue
-                head = (None, None, None) if k else (ids, [set_mark(s) for s in sets], sizes.tolist())
+                head = (ids, [set_mark(s) for s in sets], sizes.tolist()) if k == home else (None, None, None)
                 counts = np.bincount(of[a:b], minlength=len(sets)).astype(np.uint32).tobytes()
                 for values, x in zip(out, (chunk, k, *head, counts, low[a:b].tobytes()), strict=True):
                     values.append(x)
