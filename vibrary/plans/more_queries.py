@@ -13,6 +13,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import compare as C
 from ..operators import conditions as O
 from ..operators import models as M
 from ..operators import signals as S
@@ -20,7 +21,7 @@ from ..operators import spectra as X
 from ..operators import tables as T
 from ..sources import fixtures as D
 from ..sources import store
-from .queries import CHAIN, COLUMNS, HOLDOUT, PEARSON, PREDICTIONS, REGIME, SCORES, cleaned, conditions, predictions, scores
+from .queries import CHAIN, COLUMNS, HOLDOUT, PEARSON, PREDICTIONS, REGIME, SCORES, cleaned, conditions, predictions, residuals, scores
 from .registry import query, rounded
 
 INPUTS = ["quantity", "discount", "tax", "price"]
@@ -318,3 +319,33 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_per_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = scores(spark, sf_dir).groupBy("model").agg(F.avg("rmse").alias("m"))
     return rounded(by.agg(F.min_by("model", "m").alias("model"), F.min("m").alias("mean_rmse")))
+
+
+@query()
+def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tests of each pair of models in one row, with Holm's decision on the resampled t test."""
+    keys = ["model_a", "model_b"]
+    t = C.ttest_corrected(C.paired(scores(spark, sf_dir), ["fold"], "rmse"), 5).select(*keys, F.col("t").alias("cv_t_stat"), F.col("p").alias("cv_p_value"))
+    r = residuals(spark, sf_dir)
+    dm = C.diebold_mariano(r).select(*keys, F.col("dm").alias("dm_stat"), F.col("p").alias("dm_p"))
+    w = C.wilcoxon(r).select(*keys, F.col("w").alias("wilcoxon_stat"))
+    return rounded(C.holm(t.join(dm, keys).join(w, keys), "cv_p_value"), 5)
+
+
+SUMMARY = "s AS (SELECT model, avg(rmse) AS cv_rmse, stddev_samp(rmse) AS cv_std FROM scores GROUP BY model), h AS (SELECT 'A' AS model, sqrt(avg(power(y - a, 2))) AS r FROM p WHERE l_orderkey % 5 = 0 UNION ALL SELECT 'B', sqrt(avg(power(y - b, 2))) FROM p WHERE l_orderkey % 5 = 0)"
+
+
+@query(f"WITH {SCORES}, {SUMMARY} SELECT model, round(cv_rmse, 6) AS cv_rmse, round(cv_std, 6) AS cv_std, round(r, 6) AS holdout_rmse FROM s JOIN h USING (model)")
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated and holdout errors of each model."""
+    cv = scores(spark, sf_dir).groupBy("model").agg(F.avg("rmse").alias("cv_rmse"), F.stddev_samp("rmse").alias("cv_std"))
+    p = predictions(spark, sf_dir).filter("file % 5 = 0")
+    both = p.select("y", F.explode(F.create_map(F.lit("A"), F.col("a"), F.lit("B"), F.col("b"))).alias("model", "yhat"))
+    held = M.regression_metrics(both, "y", "yhat", ["model"]).select("model", F.col("rmse").alias("holdout_rmse"))
+    return rounded(cv.join(held, "model"))
+
+
+@query(f"WITH {SCORES} SELECT model, arg_min(fold, rmse) AS best_fold, round(min(rmse), 6) AS rmse FROM scores GROUP BY model")
+def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was chosen where each model did best."""
+    return rounded(scores(spark, sf_dir).groupBy("model").agg(F.min_by("fold", "rmse").alias("best_fold"), F.min("rmse").alias("rmse")))
