@@ -33,9 +33,11 @@ class EliasFano:
         self.n = n = len(values)
         top = int(values[-1]) + 1 if n else 1
         self.l = max(0, min(56, (top // max(n, 1)).bit_length() - 1))
-        low = values & np.uint64((1 << self.l) - 1)
-        bits = ((low[:, None] >> np.arange(self.l, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        self.low = mapped(np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)))
+        low, places, parts = values & np.uint64((1 << self.l) - 1), np.arange(self.l, dtype=np.uint64), []
+        for a in range(0, n, 1 << 14):  # bits are spread out for a stretch of values at a time
+            bits = ((low[a : a + (1 << 14), None] >> places) & np.uint64(1)).astype(np.uint8)
+            parts.append(np.packbits(bits.ravel(), bitorder="little"))
+        self.low = mapped(np.concatenate([*parts, np.zeros(8, np.uint8)]))
         high = (values >> np.uint64(self.l)).astype(np.int64)
         marks = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
         marks[high + np.arange(n)] = 1

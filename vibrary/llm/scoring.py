@@ -29,7 +29,7 @@ from .elias_fano import BigramTrie, counts_of
 
 MU = 400.0
 #: Tokens of a chunk, and those of a shard, about.
-CHUNK, SHARD = 1_500_000, 3_000_000
+CHUNK, SHARD = 2_500_000, 2_500_000
 WORDS = re.compile(WORD)
 END = "\n"
 START_HASH, MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +59,8 @@ def local_bigrams(tokens: np.ndarray, sizes: np.ndarray, shard_of: np.ndarray, s
     before[np.cumsum(sizes) - sizes] = start
     codes, at = np.unique(before.astype(np.uint64) * np.uint64(start + 1) + tokens.astype(np.uint64), return_inverse=True)
     context, word = (codes // np.uint64(start + 1)).astype(np.int64), (codes % np.uint64(start + 1)).astype(np.int64)
-    shard = (np.append(shard_of, 1)[context] * 7 + shard_of[word]) % shards
+    # a context's children lie in up to a sixth of the shards: few for the many rare contexts, enough for one that makes up much of the corpus
+    shard = (np.append(shard_of, 1)[context] + shard_of[word] % -(-shards // 6)) % shards
     order = np.argsort(shard, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -99,11 +100,12 @@ def deal(docs: DataFrame, shards: int) -> DataFrame:
             every = np.arange(shards + 1)
             w_edges, b_edges = np.searchsorted(shard_of, every), np.searchsorted(shard, every)
             out: dict[str, list] = {c: [] for c in DEALT.replace(",", "").split()[::2]}
+            home = (chunk % (1 << 32) + (chunk >> 32) * 31) % shards  # this shard's row carries the chunk's documents
             for s, (a, b, c, d) in enumerate(zip(w_edges, w_edges[1:], b_edges, b_edges[1:])):
-                if s and a == b and c == d:
+                if s != home and a == b and c == d:
                     continue
                 turns = np.flatnonzero(np.append(True, context[c + 1 : d] != context[c : d - 1])) if d > c else np.zeros(0, np.int64)
-                head = {"ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": packed(tokens)} if not s else {}
+                head = {"ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": packed(tokens)} if s == home else {}
                 row = {
                     "chunk": chunk, "shard": s, **head, "words": h[a:b].tobytes(), "counts": packed(counts[a:b]), "contexts": first[context[c:d][turns]].tobytes(),
                     "runs": packed(np.diff(np.append(turns, d - c)).astype(np.uint32)), "seconds": second[c:d].tobytes(), "pairs": packed(pairs[c:d]),
@@ -161,7 +163,7 @@ def scored(answers: DataFrame, total: int, distinct: int, shards: int, mu: float
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("shard")
-        head = part.slice(0, 1).to_pylist()[0]
+        head = part.filter(pa.compute.is_valid(part.column("ids"))).to_pylist()[0]
         each = [unpacked(c, np.uint64) for c in part.column("counts").to_pylist()]
         counts = np.concatenate(each).astype(np.float64)
         shard_of = np.repeat(part.column("shard").to_numpy(), [len(x) for x in each]).astype(np.int64)
