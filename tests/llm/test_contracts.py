@@ -193,6 +193,21 @@ def test_pii(spark, docs, texts) -> None:  # noqa: ANN001
     assert row.base_sha256 == hashlib.sha256(base_spans(texts[row.doc_id]).encode()).hexdigest()
 
 
+def test_pii_keeps_rare_kinds(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(pii, "SAMPLE", 80)
+    rare = {5001: "write to bob [at] site [dot] org today", 5002: "so ann (at) home (dot) net it is", 5003: "the password: hunter2xyz9 is old", 5004: "a token = q8w7e6r5t4 too"}
+    common = {i: f"order {i * 7919} page {i % 90} of {i % 700}" if i % 5 else f"ssn {100 + i % 800}-{10 + i % 80}-{1000 + i}" for i in range(2000)}
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame([*common.items(), *rare.items()], "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in rare} == {5001: "address:9:32", 5002: "address:3:26", 5003: "secret:4:25", 5004: "secret:2:20"}
+    assert all((got[i] != "") == (i % 5 == 0) for i in common)
+
+
+def test_pii_thresholds() -> None:
+    kind = pii.KINDS.index
+    bins = [(kind("number"), 49, 100.0, 100), (kind("number"), 40, 99.0, 100), (kind("number"), 3, 0.0, 900), (kind("address"), 45, 2.0, 2), (kind("key"), 49, 0.0, 3)]
+    assert pii.thresholds(bins) == {"number": 0.8, "address": 0.0}  # no row, or no score good enough: no threshold
+
+
 def test_scores(docs, texts, odd, monkeypatch) -> None:  # noqa: ANN001
     monkeypatch.setattr(scoring, "CHUNK", 20_000)
     tokens = {i: [*words(t), "\n"] for i, t in texts.items()}

@@ -2,8 +2,8 @@
 
 Generators with high recall propose spans that may overlap. Spans of the base patterns that pass their checks
 always stay. For the other proposals, gradient-boosted trees over features of format and of the words before
-give a score; thresholds calibrated on a held-out quarter of the training candidates, one for each generator,
-select what is added. The training labels are remote: a proposal counts as personal if it overlaps a checked
+give a score; thresholds calibrated on a held-out quarter of all candidates, one for each generator, select what is
+added. The training labels are remote: a proposal counts as personal if it overlaps a checked
 base span or has the form of a known credential or number.
 
 All of it is DataFrame expressions and the JVM's own tree trainer; no Python runs on executors. Patterns use
@@ -48,7 +48,7 @@ FORMS = {
     "address": r"\S",
 }
 HINTS = r"(?i)(?:pass\w*|pwd|token|secret|key|card|tel|phone|call|mobile|mail|ssn|account|iban|id)\W{0,4}$"
-#: Candidates the trees are trained on, at most (those with the smallest hashes); a quarter is held out for the thresholds.
+#: Candidates the trees are trained on, at most (of each generator and class, those with the smallest hashes).
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 10, 3, 0.98
 
 
@@ -128,28 +128,44 @@ def touches_base(rows: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def added(candidates: DataFrame) -> DataFrame:
-    """The candidates off base spans that the trees score at or above their generator's threshold."""
+    """The candidates off base spans that the trees score at or above their generator's threshold.
+
+    The trees are fitted on a sample of SAMPLE candidates at most, with equal room for each generator's positive and
+    other candidates: all of those that are rare. Thresholds come from all held-out candidates: the lowest score from
+    which on PRECISION of them are positive, none if that holds for every score. Where no score has it, or a
+    generator has no held-out candidates, or one class is missing from all that train, the forms decide.
+    """
     positive = F.col("on_base") | reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), F.col("found").rlike(FORMS[k])), FORMS, F.when(F.lit(False), False)).otherwise(False)
     order = F.xxhash64("_id", "_hash", "kind", "start")
-    sample = candidates.withColumn("label", positive.cast("double")).withColumn("_o", order).orderBy("_o").limit(SAMPLE)
-    sample = settled(features(sample).select("features", "label", "kind", "_o"), "pii_sample")
-    train, held = sample.filter("_o % 4 != 0"), sample.filter("_o % 4 = 0")
+    marked = candidates.withColumn("label", positive.cast("double")).withColumn("_o", order)
+    strata = [marked.filter((F.col("kind") == KINDS.index(k)) & (F.col("label") == y) & (F.col("_o") % 4 != 0)) for k in GENERATORS for y in (0.0, 1.0)]
+    sample = reduce(DataFrame.unionByName, (s.orderBy("_o").limit(SAMPLE // len(strata)) for s in strata))
+    train, held = settled(features(sample).select("features", "label"), "pii_sample"), marked.filter("_o % 4 = 0")
     classes = {r["label"] for r in train.select("label").distinct().collect()}
     if classes != {0.0, 1.0}:  # nothing to tell apart: the forms decide
         return candidates.filter(~F.col("on_base") & positive).withColumn("p", F.lit(1.0))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, stepSize=0.3, minInstancesPerNode=5).fit(train)
     score = lambda rows: model.transform(rows).withColumn("p", vector_to_array("probability")[1])
-    bins = score(held).groupBy("kind", F.floor(F.col("p") * 50).cast("int").alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    bins = score(features(held)).groupBy("kind", F.floor(F.col("p") * 50).cast("int").alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    limits = thresholds([tuple(r) for r in bins])
+    chosen = reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), F.col("p") >= limits[k] if k in limits else positive), GENERATORS, F.when(F.lit(False), False)).otherwise(False)
+    return score(features(candidates.filter(~F.col("on_base")))).filter(chosen).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def thresholds(bins: list[tuple[int, int, float, int]]) -> dict[str, float]:
+    """Each generator's threshold from (kind, fiftieth of the score, positives, candidates), for generators that have one."""
     limits = {}
     for k in GENERATORS:
         good = n = 0.0
-        for r in sorted((r for r in bins if r["kind"] == KINDS.index(k)), key=lambda r: -r["bin"]):
-            good, n = good + r["good"], n + r["n"]
+        for _, b, g, m in sorted((r for r in bins if r[0] == KINDS.index(k)), key=lambda r: -r[1]):
+            good, n = good + g, n + m
             if good < PRECISION * n:
                 break
-            limits[k] = r["bin"] / 50
-    limit = reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), F.lit(limits.get(k, 0.9))), GENERATORS, F.when(F.lit(False), 1.0)).otherwise(2.0)
-    return score(features(candidates.filter(~F.col("on_base")))).filter(F.col("p") >= limit).drop("features", "rawPrediction", "probability", "prediction")
+            limits[k] = b / 50
+        else:
+            if n:
+                limits[k] = 0.0
+    return limits
 
 
 def islands(rows: DataFrame) -> DataFrame:
