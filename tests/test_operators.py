@@ -92,6 +92,80 @@ def test_elastic_net_without_penalty_is_least_squares(spark) -> None:  # noqa: A
     assert best["alpha"] == 1e-9 and w == pytest.approx([1, -2, 0.5], abs=1e-5) and b == pytest.approx(3, abs=1e-5)
 
 
+def folded_rows(spark, seed: int, columns: int = 3):  # noqa: ANN001, ANN201
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(150, columns)) * range(1, columns + 1) + 5
+    y = x[:, 0] - 0.3 * x[:, 1] * x[:, 2] + rng.normal(size=150)
+    fold, inner = np.arange(150) % 5, np.arange(150) // 5 % 5
+    names = [f"c{j}" for j in range(columns)]
+    rows = [(*map(float, r), float(t), int(f), int(i)) for r, t, f, i in zip(x, y, fold, inner, strict=True)]
+    return x, y, fold, inner, names, spark.createDataFrame(rows, ", ".join([*(f"{n} double" for n in names), "y double, fold int, inner int"]))
+
+
+def test_elastic_net_predicts_held_folds(spark) -> None:  # noqa: ANN001
+    x, y, fold, inner, names, df = folded_rows(spark, 4)
+
+    def fit(rows, a, l):  # noqa: ANN001, ANN202
+        g = np.column_stack([np.ones(rows.sum()), x[rows], y[rows]])
+        return models.elastic_net(g.T @ g, a, l, 10_000)
+
+    error = lambda rows, w, b: float(np.mean((y[rows] - x[rows] @ w - b) ** 2))
+    fits = models.elastic_net_nested(models.gram(df, names, "y", ["fold", "inner"]))
+    assert len(models.ALPHAS) * len(models.L1_RATIOS) == 54 and set(fits) == {0, 1, 2, 3, 4, None}
+    for held in (0, None):
+        own = fold != held if held is not None else np.ones(150, bool)
+        score = {(a, l): np.mean([error(own & (inner == i), *fit(own & (inner != i), a, l)) for i in range(5)]) for a in models.ALPHAS for l in models.L1_RATIOS}
+        assert score[fits[held]["alpha"], fits[held]["l1_ratio"]] == pytest.approx(min(score.values()))
+    got = {r.fold: r.rmse for r in models.fold_scores(models.out_of_fold(df, names, "fold", fits), "y", "fold", fits, ["alpha"]).collect()}
+    want = {f: error(fold == f, *fit(fold != f, fits[f]["alpha"], fits[f]["l1_ratio"])) ** 0.5 for f in range(5)}
+    assert {f: got[f] for f in range(5)} == pytest.approx(want) and got[None] == pytest.approx(np.mean([v * v for v in want.values()]) ** 0.5)
+
+
+def test_poly_ridge_by_fold(spark) -> None:  # noqa: ANN001
+    x, y, fold, _, names, df = folded_rows(spark, 5, 6)
+    made, columns, fits = models.poly_ridge_nested(df, names, "y", "fold", 3)
+    got = {r.fold: r.rmse for r in models.fold_scores(models.out_of_fold(made, columns, "fold", fits), "y", "fold", fits, ["alpha"]).collect()}
+    for held in (1, 3):
+        train = fold != held
+        r = [abs(np.corrcoef(x[train, j], y[train])[0, 1]) for j in range(6)]
+        top = sorted(np.argsort(r)[::-1][:3])
+        z = (x[:, top] - x[train][:, top].mean(0)) / x[train][:, top].std(0)
+        p = np.column_stack([z, *(z[:, i] * z[:, j] for i in range(3) for j in range(i, 3))])
+
+        def fit(rows, a):  # noqa: ANN001, ANN202
+            m, t = p[rows].mean(0), y[rows].mean()
+            w = np.linalg.solve((p[rows] - m).T @ (p[rows] - m) + a * np.eye(9), (p[rows] - m).T @ (y[rows] - t))
+            return w, t - m @ w
+
+        def left_out(a):  # noqa: ANN001, ANN202
+            e = 0.0
+            for i in np.flatnonzero(train):
+                w, b = fit(train & (np.arange(150) != i), a)
+                e += (y[i] - p[i] @ w - b) ** 2
+            return e
+
+        best = min(models.RIDGE_ALPHAS, key=left_out)
+        w, b = fit(train, best)
+        assert fits[held]["alpha"] == best and fits[held]["top"] == [names[j] for j in top]
+        assert got[held] == pytest.approx(np.mean((y[~train] - p[~train] @ w - b) ** 2) ** 0.5) == fits[held]["rmse"]
+
+
+def test_bayesian_ridge_has_not_seen_the_fold(spark) -> None:  # noqa: ANN001
+    x, y, fold, _, names, df = folded_rows(spark, 6)
+    fits = models.bayesian_ridge_folds({k[0]: g for k, g in models.gram(df, names, "y", ["fold"]).items()})
+    moved = df.withColumn("y", F.when(F.col("fold") == 2, 1000.0).otherwise(F.col("y")))
+    again = models.bayesian_ridge_folds({k[0]: g for k, g in models.gram(moved, names, "y", ["fold"]).items()})
+    assert again[2]["w"] == pytest.approx(fits[2]["w"]) and again[2]["b"] == pytest.approx(fits[2]["b"]) and abs(again[None]["b"] - fits[None]["b"]) > 1
+    rows = models.out_of_fold(df, names, "fold", fits, std="std").filter("fold = 2").collect()
+    assert all(r.yhat == pytest.approx(float(np.dot([r[c] for c in names], fits[2]["w"]) + fits[2]["b"])) and r.std**2 >= fits[2]["noise"] for r in rows)
+
+
+def test_all_folds_of_trees_are_scored(spark) -> None:  # noqa: ANN001
+    from vibrary.plans import more_queries
+
+    assert sorted(r.fold for r in more_queries.gbt_cv(spark, "/root/testdata/sf0.001").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_student_probabilities() -> None:
     assert compare.t_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-5)
     assert compare.t_two_sided(0.0, 5) == pytest.approx(1.0)

@@ -112,6 +112,182 @@ def elastic_net_cv(df: DataFrame, columns: list[str], target: str, fold: str, al
     return {"alpha": best[1], "l1_ratio": best[2], "mse": best[0] / total[0, 0]}, w, b
 
 
+#: The reference's penalties.
+ALPHAS, L1_RATIOS = (0.0001, 0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 100.0), (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
+RIDGE_ALPHAS = tuple(float(a) for a in np.logspace(-3, 4, 15))
+
+
+def elastic_net_grid(g: np.ndarray, grid: np.ndarray, rounds: int = 10_000) -> np.ndarray:
+    """elastic_net for each row (alpha, l1) of the grid at once: rows of the intercept and the coefficients."""
+    xx, xy, (mean, sd), y, _ = centred(g)
+    one, two = grid[:, 0] * grid[:, 1], grid[:, 0] * (1 - grid[:, 1])
+    w = np.zeros((len(grid), len(xy)))
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(xy)):
+            rho = xy[j] - w @ xx[j] + xx[j, j] * w[:, j]
+            w[:, j] = np.sign(rho) * np.maximum(np.abs(rho) - one, 0) / (xx[j, j] + two)
+        if np.abs(w - before).max() < 1e-12:
+            break
+    w = w / sd
+    return np.column_stack([y - w @ mean, w])
+
+
+def elastic_net_nested(grams: dict[tuple, np.ndarray], alphas: tuple = ALPHAS, l1s: tuple = L1_RATIOS) -> dict:
+    """For each fold of Gram matrices by (fold, inner), and for None, the final fit on all folds: alpha, l1_ratio, w, b.
+
+    Penalties have the least mean squared error over the inner parts of the other folds' rows; scaling is from the rows of each fit.
+    """
+    grid = np.array([(a, l) for a in alphas for l in l1s])
+    out = {}
+    for held in [*sorted({f for f, _ in grams}), None]:
+        parts: dict = {}
+        for (f, i), g in grams.items():
+            if f != held:
+                parts[i] = parts.get(i, 0) + g
+        total, error = sum(parts.values()), np.zeros(len(grid))
+        for g in parts.values():
+            if len(parts) > 1:
+                v = np.column_stack([-elastic_net_grid(total - g, grid), np.ones(len(grid))])
+                error += np.einsum("mi,ij,mj->m", v, g, v) / g[0, 0]
+        best = grid[int(np.argmin(error))]
+        fit = elastic_net_grid(total, best[None])[0]
+        out[held] = {"alpha": float(best[0]), "l1_ratio": float(best[1]), "w": fit[1:], "b": float(fit[0])}
+    return out
+
+
+def poly_plans(grams: dict, columns: list[str], names: list[str], top_k: int = 5, alphas: tuple = RIDGE_ALPHAS) -> dict:
+    """For each fold of Gram matrices of poly_expand's names, and for None, what ridge on the other folds' rows needs.
+
+    The top_k columns by correlation with the target are scaled, multiplied by pairs, centred and turned to principal
+    axes; all is linear in the names: row @ axes - shift. coef has a column an alpha.
+    """
+    out = {}
+    at = {n: j for j, n in enumerate(names)}
+    for held in [*sorted(grams), None]:
+        g = sum(m for f, m in grams.items() if f != held)
+        n, p = g[0, 0], len(columns)
+        mean, y = g[0, 1:-1] / n, g[0, -1] / n
+        var, cov_y = np.diag(g)[1 : p + 1] / n - mean[:p] ** 2, g[1 : p + 1, -1] / n - mean[:p] * y
+        sd = np.sqrt(np.maximum(var, 0))
+        ok = sd > 1e-12
+        sd = np.where(ok, sd, 1.0)
+        r = np.where(ok, np.abs(cov_y) / sd, -1.0)  # the target's deviation is the same for all
+        top = sorted(sorted(range(p), key=lambda j: -r[j])[:top_k])
+        wide = []  # rows: what stands for each scaled column and product, over (1, names)
+        for a in top:
+            row = np.zeros(len(names) + 1)
+            row[0], row[1 + a] = -mean[a] / sd[a], 1 / sd[a]
+            wide.append(row)
+        for i, a in enumerate(top):
+            for b in top[i:]:
+                row = np.zeros(len(names) + 1)
+                s = sd[a] * sd[b]
+                row[1 + at[f"{columns[a]}*{columns[b]}"]] = 1 / s
+                row[1 + a] -= mean[b] / s
+                row[1 + b] -= mean[a] / s
+                row[0] = mean[a] * mean[b] / s
+                wide.append(row)
+        t = np.array(wide)
+        m = t @ g[:-1, 0] / n
+        xx = t @ g[:-1, :-1] @ t.T - n * np.outer(m, m)
+        xy = t @ g[:-1, -1] - n * m * y
+        values, vectors = np.linalg.eigh((xx + xx.T) / 2)
+        values = np.maximum(values, 0)
+        axes = t[:, 1:].T @ vectors
+        coef = (vectors.T @ xy)[:, None] / (values[:, None] + np.array(alphas))
+        out[held] = {"n": n, "y": y, "axes": axes, "shift": (m - t[:, 0]) @ vectors, "values": values, "coef": coef, "top": [columns[j] for j in top]}
+    return out
+
+
+def leave_one_out(df: DataFrame, names: list[str], target: str, fold: str, plans: dict, alphas: tuple = RIDGE_ALPHAS) -> dict:
+    """For each plan the sums of squared leave-one-out residuals of the rows it trains on, an alpha each; one map-only pass and one row a plan and partition."""
+    keys = list(plans)
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        out = np.zeros((len(keys), len(alphas)))
+        for batch in batches:
+            x, y, f = batch[names].to_numpy(float), batch[target].to_numpy(float), batch[fold].to_numpy()
+            for k, held in enumerate(keys):
+                plan, train = plans[held], f != held if held is not None else np.ones(len(f), bool)
+                u = x[train] @ plan["axes"] - plan["shift"]
+                rest = 1 - 1 / plan["n"] - (u * u) @ (1 / (plan["values"][:, None] + np.array(alphas)))
+                e = (y[train] - plan["y"])[:, None] - u @ plan["coef"]
+                out[k] += ((e / np.maximum(rest, 1e-12)) ** 2).sum(0)
+        yield pd.DataFrame({"k": np.arange(len(keys)), "e": list(out)})
+
+    rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names), target, fold).mapInPandas(sums, "k int, e array<double>")
+    found = rows.groupBy("k").agg(*(F.sum(F.col("e")[i]).alias(f"e{i}") for i in range(len(alphas)))).collect()
+    return {keys[r["k"]]: np.array(r[1:], float) for r in found}
+
+
+def poly_ridge_nested(df: DataFrame, columns: list[str], target: str, fold: str, top_k: int = 5, alphas: tuple = RIDGE_ALPHAS) -> tuple[DataFrame, list[str], dict]:
+    """df with products of columns, their names, and for each fold and None the ridge fit on the other folds' rows: alpha by leave-one-out, w, b, and the fold's rmse.
+
+    Columns are scaled by all rows' moments first, for precision only: each fit scales anew by its own rows.
+    """
+    df, names = poly_expand(standardize(df, columns, F.lit(True)), columns)
+    safe = df.toDF(*(c.replace("*", "_x_") for c in df.columns))
+    found = {k[0]: g for k, g in gram(safe, [c.replace("*", "_x_") for c in names], target, [fold]).items()}
+    plans = poly_plans(found, columns, names, top_k, alphas)
+    errors = leave_one_out(df, names, target, fold, plans, alphas)
+    fits = {}
+    for held, plan in plans.items():
+        best = int(np.argmin(errors[held]))
+        w = plan["axes"] @ plan["coef"][:, best]
+        b = plan["y"] - plan["shift"] @ plan["coef"][:, best]
+        fits[held] = {"alpha": float(alphas[best]), "w": w, "b": float(b), "top": plan["top"]}
+        if held is not None:
+            fits[held]["rmse"] = math.sqrt(max(squared_error(found[held], w, b), 0) / found[held][0, 0])
+    return safe, [c.replace("*", "_x_") for c in names], fits
+
+
+def bayesian_ridge_folds(grams: dict) -> dict:
+    """For each fold and None, bayesian_ridge on the other folds' rows, their columns scaled; coefficients are of raw columns."""
+    out = {}
+    for held in [*sorted(grams), None]:
+        g = sum(m for f, m in grams.items() if f != held)
+        _, _, (mean, sd), _, _ = centred(g)
+        t = np.eye(len(g))
+        t[1:-1, 0], t[1:-1, 1:-1] = -mean / sd, np.diag(1 / sd)
+        fit = bayesian_ridge(t @ g @ t.T)
+        w = fit["w"] / sd
+        out[held] = fit | {"w": w, "b": fit["b"] - float(mean @ w), "mean": mean, "cov": fit["cov"] / np.outer(sd, sd)}
+    return out
+
+
+def out_of_fold(df: DataFrame, columns: list[str], fold: str, fits: dict, yhat: str = "yhat", std: str | None = None) -> DataFrame:
+    """df with each row's prediction by the fit that has not seen its fold, by a join of the coefficients on fold, and its deviation if std is named."""
+    kept = [(int(f), x) for f, x in fits.items() if f is not None]
+    values = lambda x: [[float(v) for v in r] for r in x.get("cov", [])]
+    rows = [(f, [float(v) for v in x["w"]], float(x["b"]), [float(v) for v in x.get("mean", [])], values(x), float(x.get("noise", 0))) for f, x in kept]
+    table = df.sparkSession.createDataFrame(rows, "_f int, _w array<double>, _b double, _m array<double>, _c array<array<double>>, _n double")
+    df = df.join(F.broadcast(table), F.col(fold) == F.col("_f"))
+    out = F.col("_b")
+    for j, c in enumerate(columns):
+        out = out + F.col(c) * F.col("_w")[j]
+    df = df.withColumn(yhat, out)
+    if std:
+        form = F.col("_n")
+        for i, a in enumerate(columns):
+            for j, b in enumerate(columns):
+                form = form + (F.col(a) - F.col("_m")[i]) * (F.col(b) - F.col("_m")[j]) * F.col("_c")[i][j]
+        df = df.withColumn(std, F.sqrt(form))
+    return df.drop("_f", "_w", "_b", "_m", "_c", "_n")
+
+
+def fold_scores(df: DataFrame, target: str, fold: str, fits: dict, extra: list[str]) -> DataFrame:
+    """regression_metrics of yhat by fold and, with a null fold, of all rows; extra are figures of the fits (for the null fold, of the final fit)."""
+    each = regression_metrics(df, target, "yhat", [fold]).withColumn(fold, F.col(fold).cast("int"))
+    whole = regression_metrics(df, target, "yhat").select(F.lit(None).cast("int").alias(fold), "n", "r2", "mae", "rmse")
+    rows = [(None if f is None else int(f), *(float(x[e]) for e in extra)) for f, x in fits.items()]
+    table = df.sparkSession.createDataFrame(rows, ", ".join(["_f int", *(f"{e} double" for e in extra)]))
+    both = each.unionByName(whole)
+    return both.join(F.broadcast(table), both[fold].eqNullSafe(table["_f"])).drop("_f")
+
+
 def linear(columns: list[str], w: np.ndarray, b: float) -> Column:
     out = F.lit(float(b))
     for c, x in zip(columns, w, strict=True):

@@ -234,46 +234,49 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def poly_ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge on products of pairs of inputs, its penalty chosen over the folds from one Gram pass."""
-    f, names = M.poly_expand(M.standardize(folded(spark, sf_dir), INPUTS, F.lit(True)), INPUTS)
-    f = f.toDF(*(c.replace("*", "_x_") for c in f.columns))
-    names = [c.replace("*", "_x_") for c in names]
-    alpha, w, b = M.ridge_cv(f, names, "target", "fold", list(np.logspace(-3, 4, 15)))
-    return rounded(M.regression_metrics(f.withColumn("yhat", M.linear(names, w, b)), "target", "yhat", ["fold"]).withColumn("alpha", F.lit(alpha)))
+    """Out-of-fold errors of ridge on products of the fold's five best inputs, its penalty chosen by leave-one-out on the other folds; the null fold has those of all rows and the final fit's penalty."""
+    f, names, fits = M.poly_ridge_nested(folded(spark, sf_dir), INPUTS, "target", "fold")
+    return rounded(M.fold_scores(M.out_of_fold(f, names, "fold", fits), "target", "fold", fits, ["alpha"]))
 
 
 @query()
 def bayesian_ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence-tuned ridge with the deviation of each prediction."""
+    """Evidence-tuned ridge: each row's prediction and deviation by the fit on the other folds, and by the final fit on all rows."""
     f = folded(spark, sf_dir)
-    fit = M.bayesian_ridge(sum(M.gram(f, INPUTS, "target", []).values()))
-    return rounded(M.predict_interval(f, INPUTS, fit).select("file", "sweep", "target", "yhat", "std"))
+    fits = M.bayesian_ridge_folds({k[0]: g for k, g in M.gram(f, INPUTS, "target", ["fold"]).items()})
+    final = M.predict_interval(f, INPUTS, fits[None]).withColumnsRenamed({"yhat": "final_yhat", "std": "final_std"})
+    return rounded(M.out_of_fold(final, INPUTS, "fold", fits, std="std").select("file", "sweep", "fold", "target", "yhat", "std", "final_yhat", "final_std"))
 
 
 @query()
 def nested_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outer-fold errors of elastic nets whose penalties are chosen within the other folds, for each repeat; one Gram pass for all."""
-    folds = M.kfold(D.feature_table(spark, sf_dir), ["file", "sweep"], 5, repeats=2)
-    f = D.feature_table(spark, sf_dir).join(folds, ["file", "sweep"])
+    """Outer-fold errors, for each repeat, of elastic nets (one Gram pass for all) and of ridge on products (two passes a repeat); penalties are chosen within the other folds' rows."""
+    folds = M.kfold(D.feature_table(spark, sf_dir), ["file", "sweep"], 5, repeats=5)
+    f = D.feature_table(spark, sf_dir).join(folds, ["file", "sweep"]).withColumn("inner", F.pmod(F.xxhash64("file", "sweep", "repeat"), F.lit(5)).cast("int"))
     out = []
-    grams = M.gram(f, INPUTS, "target", ["repeat", "fold"])
-    for r in (0, 1):
-        own = {k[1]: g for k, g in grams.items() if k[0] == r}
-        for held, g in own.items():
-            inner = {k: v for k, v in own.items() if k != held}
-            total = sum(inner.values())
-            error = lambda a, l: sum(M.squared_error(v, *M.elastic_net(total - v, a, l)) for v in inner.values())  # noqa: B023, E731
-            best = min(((error(a, l), a, l) for a in (0.001, 0.01, 0.1) for l in (0.1, 0.5, 0.9)), key=lambda x: x[0])
-            out.append(("elastic_net", r, held, float(np.sqrt(M.squared_error(g, *M.elastic_net(total, best[1], best[2])) / g[0, 0])), best[1], best[2]))
+    grams = M.gram(f, INPUTS, "target", ["repeat", "fold", "inner"])
+    for r in range(5):
+        own = {k[1:]: g for k, g in grams.items() if k[0] == r}
+        for held, fit in M.elastic_net_nested(own).items():
+            if held is not None:
+                g = sum(m for k, m in own.items() if k[0] == held)
+                out.append(("elastic_net", r, held, float(np.sqrt(M.squared_error(g, fit["w"], fit["b"]) / g[0, 0])), fit["alpha"], fit["l1_ratio"]))
+        _, _, fits = M.poly_ridge_nested(f.filter(F.col("repeat") == r), INPUTS, "target", "fold")
+        out += [("poly_ridge", r, held, fit["rmse"], fit["alpha"], None) for held, fit in fits.items() if held is not None]
     return rounded(spark.createDataFrame(out, "model string, repeat int, fold int, rmse double, alpha double, l1_ratio double"))
 
 
 @query()
 def gbt_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees that stop early on a fifth of the training rows, scored on the holdout."""
-    x = VectorAssembler(inputCols=INPUTS, outputCol="x").transform(folded(spark, sf_dir)).withColumn("stop", F.col("fold") == 1)
-    model = GBTRegressor(featuresCol="x", labelCol="target", validationIndicatorCol="stop", maxIter=10, maxDepth=3, stepSize=0.3, minInstancesPerNode=10, subsamplingRate=0.8, seed=42).fit(x.filter("fold <> 0"))
-    return rounded(M.regression_metrics(model.transform(x.filter("fold = 0")), "target", "prediction").withColumn("n_trees", F.lit(model.getNumTrees)))
+    """Boosted trees that stop early on the next fold, scored on each held-out fold."""
+    x = VectorAssembler(inputCols=INPUTS, outputCol="x").transform(folded(spark, sf_dir))
+    out = None
+    for held in range(5):
+        gbt = GBTRegressor(featuresCol="x", labelCol="target", validationIndicatorCol="stop", maxIter=10, maxDepth=3, stepSize=0.3, minInstancesPerNode=10, subsamplingRate=0.8, seed=42)
+        model = gbt.fit(x.withColumn("stop", F.col("fold") == (held + 1) % 5).filter(F.col("fold") != held))
+        part = M.regression_metrics(model.transform(x.filter(F.col("fold") == held)), "target", "prediction").select(F.lit(held).alias("fold"), "*", F.lit(model.getNumTrees).alias("n_trees"))
+        out = part if out is None else out.union(part)
+    return rounded(out)
 
 
 @query()

@@ -378,10 +378,11 @@ def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.feature_table(spark, sf_dir).withColumn("fold", F.col("file") % 5)
+    """Out-of-fold errors of elastic nets whose penalties are chosen by five inner folds of the other folds' rows; the null fold has those of all rows and the final fit's penalties."""
+    f = D.feature_table(spark, sf_dir).withColumns({"fold": (F.col("file") % 5).cast("int"), "inner": (F.floor(F.col("file") / 5) % 5).cast("int")})
     columns = ["quantity", "discount", "tax", "price"]
-    _, w, b = M.elastic_net_cv(f, columns, "target", "fold", [0.001, 0.01, 0.1], [0.1, 0.5, 0.9])
-    return rounded(M.regression_metrics(f.withColumn("yhat", M.linear(columns, w, b)), "target", "yhat", ["fold"]))
+    fits = M.elastic_net_nested(M.gram(f, columns, "target", ["fold", "inner"]))
+    return rounded(M.fold_scores(M.out_of_fold(f, columns, "fold", fits), "target", "fold", fits, ["alpha", "l1_ratio"]))
 
 
 SCORES = f"{PREDICTIONS}, scores AS (SELECT l_orderkey % 25 AS fold, 'A' AS model, sqrt(avg(power(y - a, 2))) AS rmse FROM p GROUP BY 1 UNION ALL SELECT l_orderkey % 25, 'B', sqrt(avg(power(y - b, 2))) FROM p GROUP BY 1)"
