@@ -55,6 +55,21 @@ def test_pages_keep_the_article(spark) -> None:  # noqa: ANN001
     assert html.extract(df, tree).count() == 3 and html.extract(df.limit(0), tree).count() == 0
 
 
+def test_open_elements_hide_no_article(spark) -> None:  # noqa: ANN001
+    tree = html.train_tree(spark)
+    article = "<article><h1>Bees</h1><p>They sleep at night.</p></article>"
+    for before in (
+        "<head><title>T</title><meta name=a><script>x</script><style>p{}</style><body>", "<head><title>T</title><link rel=a>", "<head><noscript><img src=x></noscript></head><body>",
+        "<body><header><button>Menu</header>", "<body><form><select><option>a</form>", "<body><aside><iframe src=x></aside>", "<body><footer><object data=x><noscript></footer>", "<body><svg class=a />",
+        "<body><header><button>Menu<button>Close</button></header>", "<body><noscript><p>No script</p></noscript><svg><title>no</title><text>no</text></svg>",
+    ):
+        assert html.main_text(f"<html>{before}{article}", tree) == "Bees They sleep at night.", before
+    assert html.main_text(f"<head><title>T</title>{article}<button>Send</button><footer><svg></svg></footer>", tree) == "Bees They sleep at night."
+    for kind in ("script", "style", "template", "textarea", "!--"):
+        assert html.main_text(f"<body>{article}<{kind}><article><p>No text of the page.</p></article>", tree) == "Bees They sleep at night."
+    assert html.blocks("<head>Some words") == html.blocks("<p>Some words") and html.blocks("<button>" * 30_000 + "x")[0][0] == "x"
+
+
 def test_packing_round_trip(docs, texts, odd, monkeypatch) -> None:  # noqa: ANN001
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -20,11 +20,18 @@ from .common import map_batches, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|math|iframe|noscript|head|select|textarea|button|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|svg|math|iframe|noscript|head|title|select|textarea|button|object)\b[^>]*>"
     r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements without text of their own, up to their end tag. Those that are not closed lose their tag only, but for these:
+TO_THE_END = frozenset("script style template textarea".split())
+#: A second start tag of these says that the first is not closed.
+FLAT = frozenset("iframe noscript select button".split())
+RAW_END = {k: re.compile(rf"</{k}\s*>" + (rf"|<{k}\b" if k in FLAT else ""), re.I) for k in (*TO_THE_END, *FLAT, "svg", "math", "title", "object")}
+#: What can stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold blocks; what they say of their content counts until they end.
 HOLDERS = frozenset("address article aside body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
@@ -62,17 +69,41 @@ def blocks(html: str | None) -> list[tuple[str, float, int, int]]:
             if in_link:
                 linked.append(raw)
 
+    def after_raw(kind: str, tag: str) -> int | None:
+        """Where the element ends whose start tag ends at at; None if it is not closed."""
+        if kind in ("svg", "math") and tag.endswith("/>"):
+            return at
+        if kind not in open_ended:
+            end = RAW_END[kind].search(html, at)
+            if end and end[0].startswith("</"):
+                return end.end()
+            if not end:
+                open_ended.add(kind)  # nor is any later one
+        return len(html) if kind in TO_THE_END else None
+
     html = html or ""
     at = 0
-    for m in TOKEN.finditer(html):
-        text(html[at : m.start()])
+    in_head = False
+    open_ended: set[str] = set()
+    while m := TOKEN.search(html, at):
+        before = html[at : m.start()]
+        in_head = in_head and not before.strip()
+        if not in_head:
+            text(before)
         at = m.end()
-        name = (m["name"] or "").lower()
-        if m["raw"]:
-            if m["raw"].lower() == "head":
-                end_block()
+        raw, name = (m["raw"] or "").lower(), (m["name"] or "").lower()
+        if raw == "head":
+            end_block()
+            in_head = True
             continue
-        if not name:
+        in_head = in_head and (raw or name or "meta") in IN_HEAD
+        if raw and (raw != "title" or in_head):
+            end = after_raw(raw, m[0])
+            if end is not None:
+                at = end
+                continue
+        name = name or raw
+        if in_head or not name:
             continue
         if name in INLINE:
             if name == "a":
