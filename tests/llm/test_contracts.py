@@ -70,14 +70,16 @@ def test_open_elements_hide_no_article(spark) -> None:  # noqa: ANN001
     assert html.blocks("<head>Some words") == html.blocks("<p>Some words") and html.blocks("<button>" * 30_000 + "x")[0][0] == "x"
 
 
-def test_packing_round_trip(docs, texts, odd, monkeypatch) -> None:  # noqa: ANN001
+def test_packing_round_trip(spark, docs, texts, odd, monkeypatch) -> None:  # noqa: ANN001
     import public_tokenizers
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "PART_ROWS", 40)
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
+    texts = texts | {-1: "a <|endoftext|> b", -2: "<|endoftext|><|endoftext|>x <|endoftext"}
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(i, texts[i]) for i in (-1, -2)], "doc_id long, text string"))
     got = packing.pack(docs).toPandas()
+    assert len(got[got.doc_id == -1]) == 1 and got[got.doc_id == -1].length.item() == 5
     for doc_id, rows in got.sort_values("piece").groupby("doc_id"):
         ids = np.array([*bpe.encode(texts[doc_id], add_special_tokens=False).ids, 2], np.uint32)
         assert rows.length.sum() == len(ids) and list(rows.length[1:]) == [1024] * (len(rows) - 1)
@@ -88,10 +90,49 @@ def test_packing_round_trip(docs, texts, odd, monkeypatch) -> None:  # noqa: ANN
     assert packing.pack(odd).select("doc_id").distinct().count() == 13 and packing.pack(odd.limit(0)).count() == 0
 
 
+def test_best_fit_by_counts() -> None:
+    rng = np.random.default_rng(5)
+    for high in (20, 300, 1023):
+        lengths = rng.integers(1, high + 1, 4000)
+        counts = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)), strict=True))
+        fillings = packing.best_fit(counts, 1024)
+        used = collections.Counter()
+        for times, held in fillings:
+            assert sum(held) <= 1024 and times > 0
+            for s in held:
+                used[s] += times
+        assert used == counts
+        room, bins = [], 0  # plain best fit, longest first
+        for s in sorted(lengths.tolist(), reverse=True):
+            fits = [r for r in room if r >= s]
+            if fits:
+                room.remove(min(fits))
+            else:
+                bins += 1
+            room.append((min(fits) if fits else 1024) - s)
+        assert sum(t for t, _ in fillings) == bins
+
+
+def test_packing_of_equal_lengths(spark, monkeypatch) -> None:  # noqa: ANN001
+    million = list(packing.moved({c: {1000: 10**6} for c in range(8)}, 0, 0, False, 1024))
+    assert len(million) == 8 and {r[-2] for r in million} == {1000}  # rows do not grow with the number of equal items
+    for lengths in ([600] * 900, [1] * 3000, [700, 300, 20] * 400):
+        rows = [(k, 0, 0, x, 7, k // 3 % 9, None) for k, x in enumerate(lengths)]
+        df = spark.createDataFrame(rows, packing.PIECES + ", part long, sequence_id long")
+        monkeypatch.setattr(packing, "FAN", 2)
+        got = packing.tree_packed(df, 9).toPandas()
+        assert sorted(got.doc_id) == list(range(len(lengths)))
+        fills = got.groupby("sequence_id").length.sum()
+        assert fills.max() <= 1024 and len(fills) == {600: 900, 1: 4, 700: 400}[lengths[0]]
+        for _, part in got.sort_values("offset").groupby("sequence_id"):
+            assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]]
+
+
 def test_tokens_by_words() -> None:
     t = packing.tokens()
-    for s in ("a  b", "a   b", " a", "a ", "\n a", " \n b", "a\n \nb", "", " ", "a\n\n b", " don't 's", "a\t b", "a \tb", "<|endoftext|> x"):
+    for s in ("a  b", "a   b", " a", "a ", "\n a", " \n b", "a\n \nb", "", " ", "a\n\n b", " don't 's", "a\t b", "a \tb", "<|endoftext| > x"):
         assert t.ids(s) == t.whole(s), s
+    assert list(np.frombuffer(t.ids("a <|endoftext|> b"), np.uint32)) == [64, 220, 50256, 275]
 
 
 def bag_similarity(a: list, b: list) -> float:
