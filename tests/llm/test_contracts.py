@@ -325,10 +325,32 @@ def test_jaccard_join_is_exact(spark, docs, texts, odd) -> None:  # noqa: ANN001
     assert {r.doc_id: r.component_id for r in got} == want and all(r.n_shingles == len(sets[r.doc_id]) for r in got)
     out = {r.doc_id: r.component_id for r in jaccard.link_groups(odd).collect()}
     assert out[10] == out[11] == 10 and out[1] == 1 and out[3] == 3 and jaccard.link_groups(odd.limit(0)).count() == 0
+    named = spark.createDataFrame([(None, "one two three four five six seven"), (5, "one two three four five six seven"), (6, "another text of six words here"), (6, "one two three four five six seven"), (6, "another text of six words here"), (None, "no id and no copy anywhere else")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text[:3]) for r in jaccard.one_of_each(named).collect()) == [(0, "no "), (5, "one"), (6, "ano")]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    assert sorted(map(tuple, jaccard.op8_ngram_jaccard_join(spark, DATA).collect())) == sorted(con.sql(jaccard.OP8_SQL).fetchall())
     kept = sorted(r.doc_id or 0 for r in jaccard.one_of_each(odd).select("doc_id").collect())
     assert kept.count(10) == 1 and 11 not in kept and {1, 2, 3, 0} <= set(kept)
 
 
+def test_hot_keys_meet_copies(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 10)
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k")
+    known = rows.filter("k % 2 = 0").groupBy("k").count().withColumnRenamed("count", "w").withColumn("said", jaccard.F.col("k") + 1)
+    for how, n in (("inner", 334 + 333), ("left", 1000)):
+        got = jaccard.met(rows, known, ["k"], "w", "id", how).toPandas()
+        assert len(got) == got.id.nunique() == n and (got.said.dropna() == got.k[got.said.notna()] + 1).all()
+
+
+def test_sharing_sends_what_there_is(docs) -> None:  # noqa: ANN001
+    same = []
+    for shards in (8, 400):
+        got = jaccard.sharing(jaccard.identified(docs), shards).toPandas().sort_values("doc_id").reset_index(drop=True)
+        same.append(got[["doc_id", "n", "shared"]])
+    assert same[0].equals(same[1])
+
+
 def test_language(spark, odd) -> None:  # noqa: ANN001
     folder = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

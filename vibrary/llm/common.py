@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text's UTF-8 bytes, A-Z lowered; bytes part at the same six blanks as WORD."""
+    return text.lower().split() if text else []
+
+
+class Hashes(dict):
+    """64-bit hashes of words, kept for those met so far up to a number."""
+
+    REMEMBERED = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see; where that is unset, as in tests, a temporary one is set first."""
     base = spark.conf.get("spark.checkpoint.dir", None)

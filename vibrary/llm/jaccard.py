@@ -7,20 +7,20 @@
 2. Groups: what is left is partitioned into groups of similar documents: each class is compared with the
    most central class that has the same minimum hash, and linked to it if the pair reaches the threshold exactly;
    later rounds do so with more minimum hashes and any class as head where groups differ.
-3. Matrix: classes with the same first minimum hash form blocks of bounded size; a row (token, block) says
-   that a member has the token in its prefix (its rarest tokens, one more than a link may miss). A class
-   meets the blocks that hold a token of its own prefix and a member of a larger group. The overlap of the
-   class with the union of a block's token sets bounds its overlap with every member; only blocks whose
-   bound reaches the threshold are opened, and their members are compared exactly.
+3. Matrix: classes with the same first minimum hash form blocks of bounded size, and the union of a block's
+   token sets is stored. A class meets the blocks that hold a token of its own prefix (its rarest tokens, one
+   more than a link may miss), a member of a larger group and a member of a size that fits. Its overlap with
+   the block's union bounds its overlap with every member; only the members of blocks whose bound reaches the
+   threshold are read, and compared exactly.
 4. Components of all links found. Classes of one group need no further comparison, so groups of copies cost
    few comparisons a class, and no link between different groups is lost.
 
-Sets are kept as 64-bit hashes; classes by a 128-bit hash of the sorted set.
+Sets are kept as 64-bit hashes; classes by a 128-bit hash of the sorted set. Where many rows share a key (a large
+class, group or common token), the join on it is salted, see met.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,41 +31,33 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, WORD, settled, table
+from .common import Hashes, settled, table, words_of
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles of the documents in a chunk, and those of a shard, about.
 CHUNK, SHARD = 400_000, 2_000_000
 #: Classes of a block, and classes compared with a block at once, about.
 BLOCK, QUERIES = 250, 1000
+#: Comparisons with one head that are one task's, and blocks in one row of a token, about.
+FOLLOWERS, TOGETHER = 1000, 1000
+#: A key is hot if it has more than this share of a join's rows; there are fewer hot keys than its inverse, so a table of them is small.
+HOT, HOT_ROWS = 1 / 10_000, 1000
 #: Up to so many keys are broadcast to pick their documents; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
-WORDS = re.compile(WORD)
 #: Minimum hashes compared in each round of step 2: one is enough for most copies, later rounds are for what is still apart.
 ROUNDS = (1, 1, 8)
 #: For so many minimum hashes the head of a group is its most central class, for the others any class.
 CENTRAL = 2
 STARS = [int(x) | 1 for x in np.random.default_rng(8).integers(1 << 63, size=sum(ROUNDS))]
-REMEMBERED = 300_000
+_hashes = Hashes()
 
-_hashes: dict[str, int] = {}
 
-
-def word_hash(word: str) -> int:
-    h = _hashes.get(word)
-    if h is None:
-        if len(_hashes) >= REMEMBERED:
-            _hashes.clear()
-        h = _hashes[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h
-
-
-def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's runs of n words; a shorter text is one run, a blank one none."""
-    words = WORDS.findall((text or "").translate(TO_LOWER))
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -83,13 +75,36 @@ def least_common(a: Column, b: Column, percent: int) -> Column:
     return (a > 0) & (100 * b >= percent * a)
 
 
+def met(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined to known on keys, where weight is how many of rows have a key of known (and is left out). Rows of hot keys are dealt by a hash of their column by, and meet a copy each."""
+    most, every = known.agg(F.max(weight), F.sum(weight)).first()
+    limit = max(HOT_ROWS, (every or 0) * HOT)
+    if (most or 0) <= limit:
+        return rows.join(known.drop(weight), keys, how)
+    hot = F.broadcast(known.filter(F.col(weight) > limit).select(*keys, F.ceil(F.col(weight) / limit).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts)).drop("_salts")
+    copies = known.drop(weight).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, _h (hash of the text) and text as bytes: rows equal in the first two are equal in all."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("text"))
+
+
 def sharing(docs: DataFrame, shards: int, n: int = SHINGLE) -> DataFrame:
-    """doc_id, mark, n and shared (shingles that another row has, too) of each row of docs (doc_id, text)."""
+    """doc_id, _h, mark, n and shared (shingles that another row has, too) of each row of docs (doc_id, _h, text).
+
+    A chunk sends a shard the hashes that are the shard's own and how many each of its documents has, documents
+    without any left out; so the bytes follow the number of shingles, not documents by shards.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         chunk = (task.partitionId() if task else 0) << 32
         ids: list = []
+        hashes: list = []
         sets: list[np.ndarray] = []
 
         def rows() -> pa.RecordBatch:
@@ -99,79 +114,89 @@ def sharing(docs: DataFrame, shards: int, n: int = SHINGLE) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             low, of = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], of[order]
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
             home = (chunk % (1 << 32) + (chunk >> 32) * 31) % shards  # this shard's row carries the chunk's ids
             for k, (a, b) in enumerate(zip(edges, edges[1:])):
                 if k != home and a == b:
                     continue
-                head = (ids, [set_mark(s) for s in sets], sizes.tolist()) if k == home else (None, None, None)
-                counts = np.bincount(of[a:b], minlength=len(sets)).astype(np.uint32).tobytes()
-                for values, x in zip(out, (chunk, k, *head, counts, low[a:b].tobytes()), strict=True):
+                head = (ids, hashes, [set_mark(s) for s in sets], sizes.tolist()) if k == home else (None,) * 4
+                starts = np.flatnonzero(np.append(True, of[a + 1 : b] != of[a : b - 1])) if b > a else np.zeros(0, np.int64)
+                counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
+                for values, x in zip(out, (chunk, k, *head, of[a:b][starts].tobytes(), counts.tobytes(), low[a:b].tobytes()), strict=True):
                     values.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["chunk", "shard", "ids", "marks", "sizes", "counts", "keys"])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["chunk", "shard", "ids", "hashes", "marks", "sizes", "owners", "counts", "keys"])
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, h, text in zip(*batch.columns, strict=True):
                 ids.append(doc_id.as_py())
+                hashes.append(h.as_py())
                 sets.append(shingle_set(text.as_py(), n))
                 held += len(sets[-1]) + 20
                 if held >= CHUNK:
                     yield rows()
-                    chunk, held, ids, sets = chunk + 1, 0, [], []
+                    chunk, held, ids, hashes, sets = chunk + 1, 0, [], [], []
         if ids:
             yield rows()
 
     def count(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        keys = [np.frombuffer(k.as_py(), np.uint32) for k in part.column("keys")]
-        tokens = np.concatenate(keys)
+        tokens = np.concatenate([np.frombuffer(k.as_py(), np.uint32) for k in part.column("keys")])
         order = np.argsort(tokens, kind="stable")
         same = tokens[order][1:] == tokens[order][:-1]
         again = np.zeros(len(tokens), bool)
         again[order] = np.append(same, False) | np.append(False, same) if len(tokens) else False
-        sums, out, at = np.append(0, np.cumsum(again)), [], 0
-        for c in part.column("counts"):
+        sums, owners, counts, at = np.append(0, np.cumsum(again)), [], [], 0
+        for o, c in zip(part.column("owners"), part.column("counts"), strict=True):
             ends = at + np.cumsum(np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
-            out.append((sums[ends] - sums[np.append(at, ends[:-1])]).astype(np.uint32).tobytes())
-            at = int(ends[-1])
-        return part.select(["chunk", "ids", "marks", "sizes"]).append_column("counts", pa.array(out, pa.binary()))
+            shared = sums[ends] - sums[np.append(at, ends[:-1])] if len(ends) else ends
+            owners.append(np.frombuffer(o.as_py(), np.uint32)[shared > 0].tobytes())
+            counts.append(shared[shared > 0].astype(np.uint32).tobytes())
+            at = int(ends[-1]) if len(ends) else at
+        part = part.select(["chunk", "ids", "hashes", "marks", "sizes"])
+        return part.append_column("owners", pa.array(owners, pa.binary())).append_column("counts", pa.array(counts, pa.binary()))
 
     def total(part: pa.Table) -> pa.Table:
-        shared = np.sum([np.frombuffer(c.as_py(), np.uint32) for c in part.column("counts")], axis=0)
         head = part.filter(pa.compute.is_valid(part.column("ids"))).to_pylist()[0]
-        return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "mark": pa.array(head["marks"], pa.binary()), "n": pa.array(head["sizes"], pa.int64()), "shared": pa.array(shared.astype(np.int64))})
+        shared = np.zeros(len(head["ids"]), np.int64)
+        for o, c in zip(part.column("owners"), part.column("counts"), strict=True):
+            shared[np.frombuffer(o.as_py(), np.uint32)] += np.frombuffer(c.as_py(), np.uint32)
+        return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "_h": pa.array(head["hashes"], pa.int64()), "mark": pa.array(head["marks"], pa.binary()), "n": pa.array(head["sizes"], pa.int64()), "shared": pa.array(shared)})
 
-    head = "chunk long, ids array<long>, marks array<binary>, sizes array<long>, counts binary"
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "chunk long, shard int, ids array<long>, marks array<binary>, sizes array<long>, counts binary, keys binary")
-    return dealt.groupBy("shard").applyInArrow(count, head).groupBy("chunk").applyInArrow(total, "doc_id long, mark binary, n long, shared long")
+    head = "ids array<long>, hashes array<long>, marks array<binary>, sizes array<long>, owners binary, counts binary"
+    dealt = docs.select("doc_id", "_h", "text").mapInArrow(deal, f"chunk long, shard int, {head}, keys binary")
+    return dealt.groupBy("shard").applyInArrow(count, f"chunk long, {head}").groupBy("chunk").applyInArrow(total, "doc_id long, _h long, mark binary, n long, shared long")
 
 
 def picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keys."""
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "doc_id", "left_semi")
+    """The rows of docs whose doc_id and _h are in keys; in files if they came by a shuffle, so that they are in one order whoever reads them."""
+    few = keys.count() <= BROADCAST_ROWS
+    keys = keys.toDF("_k", "_kh")
+    both = docs.join(F.broadcast(keys) if few else keys, docs["doc_id"].eqNullSafe(keys["_k"]) & (docs["_h"] == keys["_kh"]), "left_semi")
+    return both if few else settled(both, "picked")
 
 
 def token_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, mark, node (half of the mark), n, tokens (as bytes) and the minimum hashes of each row of docs."""
+    """mark, node (half of the mark), n, tokens (as bytes) and the minimum hashes of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                sets = [shingle_set(t.as_py(), n) for t in part.column(1)]
+                sets = [shingle_set(t.as_py(), n) for t in batch.column(0).slice(start, 1000)]
                 marks = [set_mark(s) for s in sets]
                 nodes = [int.from_bytes(m[:8], "little", signed=True) for m in marks]
                 stars = [[int((s * np.uint64(k)).min().astype(np.int64)) if len(s) else 0 for k in STARS] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.binary()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(stars, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "n", "tokens", "stars"])
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(stars, pa.list_(pa.int64()))], names=["mark", "node", "n", "tokens", "stars"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, mark binary, node long, n long, tokens binary, stars array<long>")
+    return docs.select("text").mapInArrow(run, "mark binary, node long, n long, tokens binary, stars array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose token sets reach the threshold."""
+    """The pairs (a, b) whose token sets reach the threshold; followers says how many have this b."""
     a, b = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    pairs = settled(pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("followers") / FOLLOWERS))), "pairs")
+    heads = pairs.select("b", "part").distinct().join(b, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,22 +207,30 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(heads, ["b", "part"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and group, the smallest node that edges (a, b) reach from it, for all nodes: least labels spread over edges and jump along labels until none changes."""
+    """node and group, the smallest node that edges (a, b) reach from it, for all nodes.
+
+    Least labels spread over edges, and from labels that got a smaller label themselves to all that bear them, until
+    none changes. A node with many edges and a label that many bear are hot keys.
+    """
     both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    degrees = both.groupBy("b").agg(F.count("*").alias("degree"))
+    degrees = settled(degrees, "degrees")
     labels = settled(nodes.select("node", F.col("node").alias("group")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("near"))
+        known = degrees.join(labels.select(F.col("node").alias("b"), "group"), "b")
+        near = met(both, known, ["b"], "degree", "a").groupBy("a").agg(F.min("group").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", "group", F.least("group", F.coalesce("near", "group")).alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("group").alias("far"))
-        step = step.join(jump, "to").select("node", F.col("group").alias("was"), F.least("to", "far").alias("group"))
         step = settled(step, "labels")
-        labels = step.select("node", "group")
-        if step.filter("was <> group").isEmpty():
-            return labels
+        if step.filter("to <> group").isEmpty():
+            return step.select("node", "group")
+        changed = step.filter("to <> node").select(F.col("node").alias("to"), F.col("to").alias("far"))
+        changed = settled(changed.join(step.groupBy("to").agg(F.count("*").alias("bearers")), "to"), "changed")
+        labels = met(step.select("node", "to"), changed, ["to"], "bearers", "node", "left").select("node", F.coalesce("far", "to").alias("group"))
+        labels = settled(labels, "labels")
 
 
 def link_groups(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
@@ -208,21 +241,39 @@ def link_groups(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     is its own component_id if nothing else is in its component. Other columns are left out; an empty table
     gives an empty result. Nothing is capped: links between all different sets count.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(8, int(chars / 6 / SHARD) + 1)
+    return grouped(docs, percent, n).select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """doc_id, _h, n_shingles and least, the first row (no_id, doc_id, _h) of its component, of each row of docs; null for rows without shingles."""
+    docs = identified(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, int(size / 6 / SHARD) + 1)
     rows = settled(sharing(docs, shards, n), "sharing")
-    classes = rows.filter("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("shared").alias("shared"))
+    first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")
+    classes = rows.filter("n > 0").groupBy("mark").agg(F.min(first_row).alias("least"), F.first("n").alias("n"), F.max("shared").alias("shared"), F.count("*").alias("copies"))
     classes = settled(classes, "classes")
+    named = component_names(docs, classes, shards, percent, n)
+    found = classes.select("mark", "least", "copies").join(named, "mark", "left").select("mark", "copies", F.coalesce("of", "least").alias("least"))
+    found = settled(found, "found")
+    blank = rows.filter("n = 0").select("doc_id", "_h", F.col("n").alias("n_shingles"), F.lit(None).cast(found.schema["least"].dataType).alias("least"))
+    return met(rows.filter("n > 0"), found, ["mark"], "copies", "doc_id", "left").select("doc_id", "_h", F.col("n").alias("n_shingles"), "least").union(blank)
+
+
+def component_names(docs: DataFrame, classes: DataFrame, shards: int, percent: int, n: int) -> DataFrame:
+    """mark and of, the first row of the component, of the classes that may link with another."""
+    spark = docs.sparkSession
     some = least_common(F.col("n"), F.col("shared"), percent)
     first = classes.filter(some)
-    among = sharing(picked(docs, first.select("doc_id")), shards, n)
-    left = settled(among.filter(some).join(first.select("mark"), "mark", "left_semi").select("mark", "doc_id").distinct(), "left")
-    sets = settled(token_sets(picked(docs, left.select("doc_id").distinct()), n).join(left.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), "sets")
+    one = lambda df: df.select("least.doc_id", "least._h")
+    among = sharing(picked(docs, one(first)), shards, n)
+    left = among.filter(some).join(first.select("mark", "least"), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", "doc_id", "_h")
+    left = settled(left, "left")
+    sets = token_sets(picked(docs, left.select("doc_id", "_h")), n).join(left.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
+    sets = settled(sets, "sets")
     unpacked = settled(_unpacked(sets), "tokens")
-    df = unpacked.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = settled(unpacked.join(df, "token"), "shared_tokens")
+    df = settled(unpacked.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumn("w", F.col("df")), "df")
+    shared = settled(met(unpacked, df, ["token"], "w", "node"), "shared_tokens")
     central = shared.groupBy("node").agg((F.sum("df") / F.first("n")).alias("central"))
     stars = settled(sets.select("node", "stars").join(central, "node"), "stars")
     groups = settled(sets.select("node", F.col("node").alias("group")), "groups")
@@ -230,10 +281,11 @@ def link_groups(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     done = 0
     for width in ROUNDS:
         each = F.posexplode(F.slice("stars", done + 1, width)).alias("k", "star")
-        star = stars.select("node", "central", each).join(groups, "node")
+        star = settled(stars.select("node", "central", each).join(groups, "node"), "star")
         order = F.when(F.col("k") < CENTRAL - done, -F.col("central")).otherwise(F.xxhash64("node", "k").cast("double"))
         head = star.groupBy("k", "star").agg(F.min(F.struct(order.alias("order"), "node", "group")).alias("head"), F.count("*").alias("c")).filter("c > 1")
-        pairs = star.join(head, ["k", "star"]).filter(F.col("group") != F.col("head.group")).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+        head = settled(head.select("k", "star", F.col("head.node").alias("b"), F.col("head.group").alias("b_group"), "c", F.col("c").alias("followers")), "heads")
+        pairs = met(star, head, ["k", "star"], "c", "node").filter(F.col("group") != F.col("b_group")).groupBy(F.col("node").alias("a"), "b").agg(F.sum("followers").alias("followers"))
         links = settled(links.union(linked(pairs, sets, percent)), "links")
         groups = components(sets, links)
         done += width
@@ -241,43 +293,82 @@ def link_groups(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("node")))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
-    prefix = ranked.filter(F.col("alone") + F.col("rank") <= allowed).select("node", "token")
-    placed = groups.join(sizes, "group").join(blocks(stars), "node").select("node", "block", F.struct("members", "group").alias("at"))
+    prefix = ranked.filter(F.col("alone") + F.col("rank") <= allowed).select("node", "token", "n")
+    sizes = settled(groups.groupBy("group").agg(F.count("*").alias("members")).withColumn("w", F.col("members")), "sizes")
+    placed = met(groups, sizes, ["group"], "w", "node").join(blocks(stars), "node").select("node", "block", F.struct("members", "group").alias("at"))
     placed = settled(placed, "placed")
-    prefix = settled(prefix.join(placed, "node"), "prefix")
-    matrix = prefix.groupBy("token", "block").agg(F.max("at").alias("top"))
-    met = prefix.select(F.col("node").alias("q"), "token", F.col("at").alias("q_at")).join(matrix, "token").filter(F.col("top") > F.col("q_at")).select("q", "block").distinct()
-    links = settled(links.union(opened(settled(met, "met"), placed, sets, percent)), "links")
-    groups = components(sets, links)
-    named = groups.join(sets.select("node", "mark"), "node").join(classes.select("mark", "doc_id"), "mark")
-    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "group").select("mark", "component_id")
-    found = classes.join(named, "mark", "left").select("mark", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return rows.join(found, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    asks = settled(meetings(prefix.join(placed, "node"), percent), "asks")
+    links = settled(links.union(opened(asks, placed, sets, percent)), "links")
+    groups = settled(components(sets, links).join(sets.select("node", "mark"), "node").join(classes.select("mark", "least"), "mark"), "groups")
+    of = settled(groups.groupBy("group").agg(F.min("least").alias("of"), F.count("*").alias("w")), "of")
+    return met(groups.select("mark", "group"), of, ["group"], "w", "mark").select("mark", "of")
+
+
+def meetings(prefix: DataFrame, percent: int) -> DataFrame:
+    """q and block of the blocks that a class meets: they hold a token of its prefix and a member of a larger group, and sizes fit.
+
+    A token's blocks are gathered before they meet its classes, TOGETHER to a row, and a class's meetings are
+    made distinct within its own arrays, so a common token makes no row for each class and block.
+    """
+    prefix = settled(prefix, "prefix")
+    cells = prefix.groupBy("token", "block").agg(F.max("at").alias("top"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    rows = cells.groupBy("token").agg(F.count("*").alias("_blocks"))
+    counts = prefix.groupBy("token").agg(F.count("*").alias("asked"))
+    known = rows.join(counts, "token").filter("asked > 1").withColumn("_rows", F.ceil(F.col("_blocks") / TOGETHER))
+    row = cells.join(known, "token").groupBy("token", "asked", F.pmod(F.xxhash64("block"), "_rows").alias("row")).agg(F.collect_list(F.struct("block", "top", "lo", "hi")).alias("cells"))
+    row = settled(row.drop("row"), "matrix")
+    asks = prefix.select(F.col("node").alias("q"), "token", F.col("at").alias("q_at"), F.col("n").alias("q_n"))
+    fits = lambda x: (x["top"] > F.col("q_at")) & (100 * x["hi"] >= percent * F.col("q_n")) & (percent * x["lo"] <= 100 * F.col("q_n"))
+    found = met(asks, row, ["token"], "asked", "q").select("q", F.transform(F.filter("cells", fits), lambda x: x["block"]).alias("blocks")).filter(F.size("blocks") > 0)
+    return found.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks")).select("q", F.explode("blocks").alias("block"))
 
 
 def blocks(stars: DataFrame) -> DataFrame:
     """node and block: classes with the same first minimum hash, in blocks of about BLOCK."""
     star = stars.select("node", F.col("stars")[0].alias("star"))
-    parts = star.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return star.join(parts, "star").select("node", F.xxhash64("star", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+    parts = settled(star.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("w")), "parts")
+    return met(star, parts, ["star"], "w", "node").select("node", F.xxhash64("star", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+
+
+def unions(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The matrix: block and the union of its members' token sets (sorted, as bytes)."""
 
+    def run(part: pa.Table) -> pa.Table:
+        held = np.unique(np.concatenate([np.frombuffer(t.as_py(), np.uint64) for t in part.column("tokens")]))
+        return pa.table({"block": part.column("block")[:1], "tokens": pa.array([held.tobytes()], pa.binary())})
 
-def opened(met: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return placed.select("node", "block").join(sets.select("node", "tokens"), "node").select("block", "tokens").groupBy("block").applyInArrow(run, "block long, tokens binary")
+
+
+def opened(met_blocks: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the classes q with members of the blocks they met (q, block) whose group is larger than q's: one for each such group.
 
-    A block's members and at most about QUERIES of the classes that met it are one task's group; more classes
-    get copies of the members. There, the union bound decides who opens the block.
+    First the stored union of a block bounds the overlap; then those that pass are compared with the members. In
+    both steps at most about QUERIES of the classes that met a block are one task's group; more classes get copies.
     """
-    known = sets.select("node", "n", "tokens").join(placed, "node").select("node", "n", "tokens", F.col("at.members").alias("members"), F.col("at.group").alias("group"), "block")
-    chunks = met.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
-    asks = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("q"), "chunks").alias("chunk"), F.col("q").alias("node"))
-    asks = asks.join(known.drop("block"), "node").select("block", "chunk", "node", "n", "tokens", "members", "group")
-    asks = asks.toDF(*(f"q_{c}" for c in asks.columns))
-    inside = known.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "n", "tokens", "members", "group")
-
-    def run(ask: pa.Table, block: pa.Table) -> pa.Table:
+
+    def chunked(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        chunks = settled(asks.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"), F.count("*").alias("w")), "chunks")
+        rows = met(asks, chunks, ["block"], "w", "q").select(F.col("block").alias("q_block"), F.pmod(F.xxhash64("q"), "chunks").alias("q_chunk"), "q")
+        rows = rows.join(sets.select(F.col("node").alias("q"), F.col("tokens").alias("q_tokens")), "q")
+        return rows, chunks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+
+    def overlap(union: np.ndarray, tokens: bytes) -> np.ndarray:
+        """For each token of the union, 1 if it is among tokens."""
+        own = np.frombuffer(tokens, np.uint64)
+        places = np.minimum(np.searchsorted(union, own), len(union) - 1)
+        flags = np.zeros(len(union), np.int64)
+        flags[places[union[places] == own]] = 1
+        return flags
+
+    def bound(ask: pa.Table, block: pa.Table) -> pa.Table:
+        keep = []
+        if block.num_rows:
+            union = np.frombuffer(block.column("tokens")[0].as_py(), np.uint64)
+            keep = [100 * int(overlap(union, t.as_py()).sum()) >= percent * (len(t.as_py()) // 8) for t in ask.column("q_tokens")]
+        return ask.select(["q", "q_block"]).filter(pa.array(keep or [False] * ask.num_rows, pa.bool_())).rename_columns(["q", "block"])
+
+    def compare(ask: pa.Table, block: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
         held = [np.frombuffer(t.as_py(), np.uint64) for t in block.column("tokens")]
         if held and ask.num_rows:
@@ -285,36 +376,44 @@ def opened(met: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) ->
             n = np.array([len(x) for x in held])
             starts = np.cumsum(n) - n
             node, group, members = (block.column(c).to_numpy() for c in ("node", "group", "members"))
-            for q, tokens, size, own in zip(*(ask.column(f"q_{c}").to_pylist() for c in ("node", "tokens", "members", "group")), strict=True):
-                tokens = np.frombuffer(tokens, np.uint64)
-                places = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                flags = np.zeros(len(union), np.int64)
-                flags[places[union[places] == tokens]] = 1
-                if 100 * flags.sum() < percent * len(tokens):
-                    continue
-                common = np.add.reduceat(flags[at], starts)
-                fits = (100 * common >= percent * (n + len(tokens) - common)) & ((members > size) | ((members == size) & (group > own)))
+            for q, tokens, size, own in zip(*(ask.column(c).to_pylist() for c in ("q", "q_tokens", "q_members", "q_group")), strict=True):
+                common = np.add.reduceat(overlap(union, tokens)[at], starts)
+                fits = (100 * common >= percent * (n + len(tokens) // 8 - common)) & ((members > size) | ((members == size) & (group > own)))
                 _, first = np.unique(group[fits], return_index=True)
                 out += [(q, int(x)) for x in node[fits][first]]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return asks.groupBy("q_block", "q_chunk").cogroup(inside.groupBy("block", "chunk")).applyInArrow(run, "a long, b long")
+    matrix = settled(unions(placed, sets), "unions")
+    asks, copies = chunked(met_blocks)
+    matrix = copies.join(matrix, "block")
+    passed = asks.groupBy("q_block", "q_chunk").cogroup(matrix.groupBy("block", "chunk")).applyInArrow(bound, "q long, block long")
+    asks, copies = chunked(settled(passed, "passed"))
+    at = placed.select("node", "block", F.col("at.members").alias("members"), F.col("at.group").alias("group"))
+    asks = asks.join(at.select(F.col("node").alias("q"), F.col("members").alias("q_members"), F.col("group").alias("q_group")), "q")
+    inside = at.join(sets.select("node", "tokens"), "node").join(copies, "block")
+    return asks.groupBy("q_block", "q_chunk").cogroup(inside.groupBy("block", "chunk")).applyInArrow(compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """docs, all columns, with one row of each component: the one with the smallest doc_id. Rows without id or without words stay."""
-    found = settled(link_groups(docs, percent, n), "components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    docs = without(docs, gone)
-    twice = found.filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    """docs, all columns, with one row of each component: the one with the smallest doc_id (of equal ids one of any text). Rows without words stay; rows without id go only if their component has another row."""
+    found = settled(grouped(docs, percent, n), "components")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")
+    gone = found.filter("n_shingles > 0").filter(own != F.col("least")).select("doc_id", "_h").distinct()
+    twice = found.filter("n_shingles > 0").filter(own == F.col("least")).groupBy("doc_id", "_h").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id", "_h")
+    kept = without(docs, gone)
     if twice.isEmpty():
-        return docs
-    return without(docs, twice).union(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return kept
+    keys = docs.select("*", F.xxhash64("text").alias("_th"))
+    few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    once = keys.join(few, keys["doc_id"].eqNullSafe(few["doc_id"]) & (keys["_th"] == few["_h"]), "left_semi").dropDuplicates(["doc_id", "_th"])
+    return without(kept, twice).union(once.select(docs.columns))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids; the ids are broadcast if they are proven to be few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and hash of the text are in gone (doc_id, _h), null ids included; gone is broadcast if it is proven to be small."""
+    gone = gone.toDF("_gone_id", "_gone_h")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_h"]), "left_anti").select(docs.columns)
 
 
 def _unpacked(sets: DataFrame) -> DataFrame:
@@ -333,3 +432,18 @@ def _unpacked(sets: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS shingles FROM w
+), t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a)
+SELECT s.doc_id, any_value(len(shingles)) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id
+"""
