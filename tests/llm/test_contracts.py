@@ -158,9 +158,48 @@ def test_decontamination_finds_all_windows(spark, docs, texts, odd) -> None:  #
     near = spark.createDataFrame([(1, "so w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 w23 w24 w25 w26 w27 w28 w29 w30 end"), (2, "w1 w2 w3 w4 other")], "doc_id long, text string")
     item = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(1, 33))), (8, None), (9, "")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(near, item).collect()] == [(1, 7)]
+    short = spark.createDataFrame([(1, "w1 w2 w3"), (2, "other"), (3, "w1 w2 w3"), (4, "w3 w1")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.first_word, r.n_words) for r in decontaminate.contaminated(near, short).collect()) == [(1, 1, 1, 3), (1, 3, 1, 3), (2, 1, 0, 3), (2, 2, 4, 1), (2, 3, 0, 3)]
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    assert sorted(map(tuple, decontaminate.op3_benchmark_decontamination(spark, DATA).collect())) == sorted(con.sql(decontaminate.OP3_SQL).fetchall())
     assert decontaminate.contaminated(odd, items).count() == decontaminate.contaminated(docs.limit(0), items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_fingerprints_make_the_candidates(spark, docs, monkeypatch) -> None:  # noqa: ANN001
+    """Pairs within the radius share a key, others mostly do not; edited passages are found; without the fingerprints nothing is."""
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
+    flip = lambda x, n: x ^ int(np.bitwise_or.reduce([np.int64(1) << np.int64(b) for b in rng.choice(63, n, False)]))
+    rows = [(k, x, flip(x, decontaminate.RADIUS), base[k - 1]) for k, x in enumerate(base)]
+    df = spark.createDataFrame(rows, "k long, a long, b long, c long")
+    keys = lambda c: decontaminate.index_keys(df[c])
+    got = df.selectExpr("*").select("k", decontaminate.F.arrays_overlap(keys("a"), keys("b")).alias("near"), decontaminate.F.arrays_overlap(keys("a"), keys("c")).alias("far")).collect()
+    assert all(r.near for r in got) and sum(r.far for r in got) <= 12
+    passages = {k: [f"v{k}_{j}" for j in range(40)] for k in range(150)}
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in passages.items()], "item_id long, text string")
+    edited = []
+    for k, p in passages.items():
+        p = list(p)
+        p[int(rng.integers(5, 35))] = "edited"  # five of 36 shingles are others now: similarity 0.76 to 0.8
+        if k % 2:
+            p = passages[k][:1] + p[1:] if k % 4 == 1 else ["x", *passages[k][1:38], "y", "z"]
+        edited.append((k, "before it " + " ".join(p) + " after it"))
+    texts = dict(edited)
+    runs = lambda t: [tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)]
+    want = set()
+    for k, p in passages.items():
+        own, bag = runs(texts[k]), runs(" ".join(p))
+        if max(bag_similarity(own[j : j + 36], bag) for j in range(len(own) - 35)) >= 0.8:
+            want.add((k, k))
+    frame = spark.createDataFrame(edited, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, items).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want) > 20
+    monkeypatch.setattr(decontaminate, "index_keys", lambda c, r: decontaminate.F.array().cast("array<bigint>"))
+    assert decontaminate.contaminated(frame, items).count() == 0
+
+
 def test_line_dedup_is_as_in_sql(spark, docs, odd) -> None:  # noqa: ANN001
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
