@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
-    return without(docs, settled(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks"))
+    return without(docs, settled(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct(), "leaks"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
