@@ -208,19 +208,39 @@ def test_line_dedup_is_as_in_sql(spark, docs, odd) -> None:  # noqa: ANN001
     assert (got[want.columns] == want).all().all()
     out = lines.without_shared_lines(odd, min_docs=3).collect()
     assert len(out) == len(ODD)
-    assert {r.doc_id: r.text for r in out if r.doc_id in (1, 2, 10, 11)} == {1: "", 2: "", 10: "", 11: ""}
+    assert {r.doc_id: r.text for r in out if r.doc_id in (1, 2)} == {1: "", 2: ""}
+    assert all(r.text == ODD[9][1] for r in out if r.doc_id in (10, 11))  # in texts of two ids, however often
+    assert {r.text for r in lines.without_shared_lines(odd, min_docs=2).collect() if r.doc_id in (10, 11)} == {""}
     assert [r.text for r in out if r.doc_id == 6] == [ODD[5][1]]
     assert lines.without_shared_lines(odd.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 AS _n_lines", "2 AS h", "3 AS h2", "4 AS batch", "5 AS _id", "6 AS _k", "7 AS n")
+    for most in (lines.BROADCAST_ROWS, 0):  # by broadcast, by join
+        lines.BROADCAST_ROWS, was = most, lines.BROADCAST_ROWS
+        kept = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in lines.without_shared_lines(clash).collect()}
+        lines.BROADCAST_ROWS = was
+        assert kept == dict(zip(want.doc_id, want.kept_sha256, strict=True))
+
+
+def test_line_hashes_are_sparks(spark) -> None:  # noqa: ANN001
+    rows = ["a", " A\t", "", "é line ", "x" * 100, "\x0b tab"]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    got = [[(k.h, k.h2) for k in r.k] for r in df.select(lines.hashes(df["text"], 0).alias("k")).collect()]
+    assert got == [[lines.line_hash(x.encode())] for x in rows]
 
 
 def test_runs_are_compacted_and_add_up(docs) -> None:  # noqa: ANN001
+    rows = lines.line_hashes(docs, 1, 5)
     runs = lines.LineRuns(min_docs=10**9, fan_in=2)
     for b in range(5):
-        runs.add(docs.filter(f"doc_id % 5 = {b}"))
+        runs.add(rows.filter(f"batch = {b}"))
     assert {k: len(v) for k, v in runs.levels.items() if v} == {0: 1, 2: 1}
     every = lines.LineRuns(min_docs=10**9)
-    every.add(docs)
+    every.add(rows)
     assert runs.counts().exceptAll(every.counts()).isEmpty() and runs.counts().count() == every.counts().count()
+    some = lines.LineRuns(min_docs=10, fan_in=9)
+    for b in range(5):
+        some.add(rows.filter(f"batch = {b}"))
+    assert some.shared().exceptAll(every.counts().filter("n >= 10").select("h", "h2")).isEmpty() and some.shared().count() == every.counts().filter("n >= 10").count()
 
 
 def repeats(w: list[str]) -> int:
