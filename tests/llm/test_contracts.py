@@ -343,12 +343,23 @@ def test_trie() -> None:
     keys = np.unique((rng.integers(0, 500, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 32, 5000).astype(np.uint64))
     counts = rng.integers(1, 10**6, len(keys))
     known = rng.random(len(keys)) < 0.5
-    trie = elias_fano.BigramTrie(keys[known], counts[known])
+    trie = elias_fano.BigramTrie(elias_fano.BigramTrie.packed(keys[known], counts[known]))
     got = elias_fano.counts_of(trie.find(keys))
     assert (got[~known] == 0).all() and (got[known] <= counts[known]).all() and (got[known] >= counts[known] * 0.999).all()
-    values = np.sort(rng.integers(0, 1 << 50, 1000)).astype(np.uint64)
-    sequence = elias_fano.EliasFano(values)
-    assert (sequence.values() == values).all() and (sequence.successor(values + np.uint64(1)) == np.searchsorted(values, values + np.uint64(1))).all()
+    assert (trie.find(rng.integers(0, 1 << 63, 1000).astype(np.uint64)) == 0).all() and not elias_fano.BigramTrie(elias_fano.BigramTrie.packed(keys[:0], counts[:0])).find(keys).any()
+    for high in (1 << 50, 5000, 40):
+        values = np.sort(rng.integers(0, high, 1000)).astype(np.uint64)
+        sequence = elias_fano.EliasFano(elias_fano.EliasFano.packed(values))
+        assert (sequence.values(np.arange(1000)) == values).all()
+        for x in (values + np.uint64(1), values, np.append(values[::7] // np.uint64(2), np.uint64(1 << 60))):
+            assert (sequence.successor(x) == np.searchsorted(values, x)).all()
+
+
+def test_scores_come_from_the_trie(docs, monkeypatch) -> None:  # noqa: ANN001
+    want = scoring.score_texts(docs).agg({"score": "sum", "base_score": "sum"}).first()
+    monkeypatch.setattr(scoring, "trained", lambda keys, seen: elias_fano.BigramTrie.packed(keys[0][:0], seen[0][:0]))
+    got = scoring.score_texts(docs).agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(base_score)"] == pytest.approx(want["sum(base_score)"]) and got["sum(score)"] < 1.01 * want["sum(score)"]
 
 
 def components(texts: dict[int, str], n: int, percent: int) -> tuple[dict[int, int], dict[int, set]]:

@@ -1,10 +1,14 @@
 """Scoring texts with an n-gram model (n = 2) that the corpus itself trains, kept as an Elias-Fano trie.
 
 Documents are tokenised in chunks. A chunk sends its distinct words and bigrams, with its training counts, to
-shards by hash, packed one row to a shard. A shard adds up the counts, builds the trie of its bigrams and answers
-every chunk: the counts of its words and, searched in the trie, the codes of its bigrams. Chunks then score their
-documents. A word or bigram reaches its shard once from each chunk however frequent it is, and no task or driver
-holds the model: it is as large as the corpus makes it and lies spread over the shards.
+shards by hash, packed one row to a shard. A shard adds up the counts of the training documents and builds the trie of
+the bigrams seen in them. Each chunk's bigrams are then looked up in the trie; the answers and the tries' bytes are
+written to the shared folder. Chunks then score their documents. A word or bigram reaches its shard once from each
+chunk however frequent it is, and no task or driver holds the model: it is as large as the corpus makes it and lies
+spread over the shards.
+
+The levels hold the quantised probabilities of pairs. A pair's first word's and second word's own probabilities lie in
+other shards, so a chunk makes the smoothed conditional probability of the three as it scores:
 
 P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and P(w | v) = (c(v w) + MU P1(w)) / (c(v) + MU): both sum to one over the
 known words and one unknown word.
@@ -12,30 +16,27 @@ known words and one unknown word.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, WORD, settled, table
+from .common import Hashes, settled, table, words_of
 from .elias_fano import BigramTrie, counts_of
 
 MU = 400.0
 #: Tokens of a chunk, and those of a shard, about.
 CHUNK, SHARD = 2_500_000, 2_500_000
-WORDS = re.compile(WORD)
-END = "\n"
+END = b"\n"  # no word
 START_HASH, MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 ZSTD = pa.Codec("zstd", 1)
 DEALT = "chunk long, shard int, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, words binary, counts binary, contexts binary, runs binary, seconds binary, pairs binary"
-ANSWERED = "chunk long, shard int, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, counts binary, codes binary, total long, distinct long"
+ANSWERED = "chunk long, shard int, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, counts binary, codes binary, total long, distinct long, trie binary"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -67,6 +68,14 @@ def local_bigrams(tokens: np.ndarray, sizes: np.ndarray, shard_of: np.ndarray, s
     return context[order], word[order], shard[order], place[at]
 
 
+class Numbers(dict):
+    """Words numbered in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
@@ -75,13 +84,13 @@ def deal(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         chunk = (task.partitionId() if task else 0) << 32
-        known: dict[str, int] = {}
+        known, hashes = Numbers(), Hashes()
         ids: list = []
         texts: list[np.ndarray] = []
         count = 0
 
         def rows() -> pa.RecordBatch:
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in known), np.uint64, len(known))
+            h = np.fromiter(map(hashes.__getitem__, known), np.uint64, len(known))
             order = np.argsort(h % np.uint64(shards), kind="stable")  # words are renumbered by shard
             number = np.empty(len(h), np.uint32)
             number[order] = np.arange(len(h), dtype=np.uint32)
@@ -117,22 +126,29 @@ def deal(docs: DataFrame, shards: int) -> DataFrame:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = WORDS.findall((text.as_py() or "").translate(TO_LOWER))
+                words = words_of(text.as_py())
                 words.append(END)
                 ids.append(doc_id.as_py())
-                texts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
+                texts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 count += len(words)
                 if count >= CHUNK:
                     yield rows()
-                    chunk, count, known, ids, texts = chunk + 1, 0, {}, [], []
+                    chunk, count, known, ids, texts = chunk + 1, 0, Numbers(), [], []
         if ids:
             yield rows()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DEALT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, DEALT)
+
+
+def trained(keys: list[np.ndarray], seen: list[np.ndarray]) -> bytes:
+    """The trie of the keys seen in training, from each chunk's keys and counts."""
+    of = np.concatenate([k[n > 0] for k, n in zip(keys, seen, strict=True)])
+    distinct, place = np.unique(of, return_inverse=True)
+    return BigramTrie.packed(distinct, np.bincount(place, np.concatenate([n[n > 0] for n in seen]), len(distinct)))
 
 
 def answer(dealt: DataFrame) -> DataFrame:
-    """A shard's answers to the chunks, with how many training tokens and distinct training words are the shard's own."""
+    """A shard's answers to the chunks, with how many training tokens and distinct training words are the shard's own, and its trie; these are in the shard's first row."""
 
     def run(part: pa.Table) -> pa.Table:
         words = [np.frombuffer(w, np.uint64) for w in part.column("words").to_pylist()]
@@ -142,18 +158,18 @@ def answer(dealt: DataFrame) -> DataFrame:
         for c, r, s in zip(*(part.column(n).to_pylist() for n in ("contexts", "runs", "seconds")), strict=True):
             context = np.repeat(np.frombuffer(c, np.uint32), unpacked(r, np.uint32)).astype(np.uint64)
             keys.append((context << np.uint64(32)) | np.frombuffer(s, np.uint32))
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        seen = np.bincount(place, np.concatenate([unpacked(p, np.uint32) for p in part.column("pairs").to_pylist()]), len(distinct))
-        trie = BigramTrie(distinct[seen > 0], seen[seen > 0])
-        codes = trie.find(distinct)[place]
-        w_edges, b_edges = (np.append(0, np.cumsum([len(x) for x in xs])) for xs in (words, keys))
+        seen = [unpacked(p, np.uint32) for p in part.column("pairs").to_pylist()]
+        trie = trained(keys, seen)
+        model = BigramTrie(trie)
+        codes = [packed(model.find(k)) for k in keys]
+        w_edges = np.append(0, np.cumsum([len(x) for x in words]))
         out = part.select(["chunk", "shard", "ids", "held", "sizes", "tokens"])
         out = out.append_column("counts", pa.array([packed(counts[at[a:b]]) for a, b in zip(w_edges, w_edges[1:])], pa.binary()))
-        out = out.append_column("codes", pa.array([packed(codes[a:b]) for a, b in zip(b_edges, b_edges[1:])], pa.binary()))
+        out = out.append_column("codes", pa.array(codes, pa.binary()))
         totals = [(int(counts.sum()), int((counts > 0).sum()))] + [(0, 0)] * (part.num_rows - 1)
         for k, name in enumerate(("total", "distinct")):
             out = out.append_column(name, pa.array([t[k] for t in totals], pa.int64()))
-        return out
+        return out.append_column("trie", pa.array([trie] + [None] * (part.num_rows - 1), pa.binary()))
 
     return dealt.groupBy("shard").applyInArrow(run, ANSWERED)
 
@@ -195,7 +211,7 @@ def score_texts(docs: DataFrame, mu: float = MU) -> DataFrame:
     shards = max(8, int(chars / 6 / SHARD) + 1)
     answers = settled(answer(deal(docs, shards)), "answers")
     sums = answers.agg(F.sum("total"), F.sum("distinct")).first()
-    return scored(answers.drop("total", "distinct"), sums[0] or 0, sums[1] or 0, shards, mu)
+    return scored(answers.drop("total", "distinct", "trie"), sums[0] or 0, sums[1] or 0, shards, mu)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
