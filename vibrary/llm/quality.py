@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import WORD, map_batches, settled, table
 
 WINDOW = 8
-#: The rules are written so that they accuse at most this share of good documents; it keeps the classes from changing their sense.
-FALSE_ALARM = 0.002
+#: What is known of the rules before any text is seen: they are written so that they accuse about this share of good
+#: documents, and that counts as much as STRENGTH times the documents' own votes. It keeps the classes from changing their sense.
+FALSE_ALARM, STRENGTH = 0.002, 10.0
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WORDS = re.compile(WORD)
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -117,8 +118,9 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """Probability of good for each vote pattern, by expectation-maximisation over the patterns' counts.
 
     Each rule has its own vote frequencies for good and for bad documents, and rules are independent given
-    that. The start takes a document as bad if and only if a rule votes bad; one pseudo-count a vote keeps
-    frequencies from zero. Without documents there is nothing to estimate.
+    that. Estimates are a posteriori: one pseudo-count a vote keeps frequencies from zero, and how often rules
+    accuse good documents has the prior above. The start takes a document as bad if and only if a rule votes
+    bad. Without documents there is nothing to estimate.
     """
     if not patterns:
         return {}
@@ -134,8 +136,8 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
             for j in range(votes.shape[1]):
                 share = np.bincount(votes[:, j], w, 3) + 1
                 # an abstention says nothing: frequencies are among votes
-                bad = share[1] / share[:2].sum()
-                bad = min(bad, FALSE_ALARM) if p is good else bad
+                prior = STRENGTH * weight.sum() if p is good else 0.0
+                bad = (share[1] + prior * FALSE_ALARM) / (share[:2].sum() + prior)
                 share = np.log([1 - bad, bad, 1.0])
                 score += share[votes[:, j]]
             log.append(score)
