@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS, SEED = 6, 20261128
-#: Rows that one bucket numbers.
-BUCKET_ROWS = 100_000
+#: Rows that one bucket numbers, about, and buckets at most: their first numbers are broadcast, two longs each.
+BUCKET_ROWS, BUCKETS = 100_000, 400_000
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -57,7 +57,7 @@ def permuted(df: DataFrame, x: str, out: str, n: int, seed: int = SEED) -> DataF
 
 def numbered(df: DataFrame, by: list[str], out: str, n: int) -> DataFrame:
     """df with column out: 0..n-1, in an order that by alone decides (rows equal in by share their numbers out in any order)."""
-    buckets = max(8, -(-n // BUCKET_ROWS))
+    buckets = min(BUCKETS, max(8, -(-n // BUCKET_ROWS)))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
     first = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
     first = first.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_first"))
@@ -70,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = SEED) -> DataFrame:
 
     A null text has size 8 and CRC 0; a null doc_id is a key like any other; repeated rows are rows of their
     own. An empty table gives an empty result. The table of the buckets' first numbers that is broadcast has
-    one row for each BUCKET_ROWS rows.
+    one row for each BUCKET_ROWS rows and BUCKETS rows at most (beyond, buckets grow).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
