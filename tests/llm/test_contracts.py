@@ -267,10 +267,32 @@ def test_quality_counts(spark, texts, odd) -> None:  # noqa: ANN001
     assert quality.score_quality(odd.limit(0)).count() == 0 and quality.good_rows(odd).count() == 0
 
 
+def test_quality_verdicts_by_document(spark, docs) -> None:  # noqa: ANN001
+    """kept is what expectation-maximisation over single documents gives, written out."""
+    rows = quality.score_quality(docs).collect()
+    votes = [r.votes for r in rows if not r.base_failed]
+    good = [0.02 if "b" in v else 0.999 for v in votes]
+    for _ in range(60):
+        rates = {}
+        for of, weights in ((1, good), (0, [1 - g for g in good])):
+            rates[of, "all"] = (sum(weights) + 1) / (len(votes) + 2)
+            for j in range(len(votes[0])):
+                bad = 1 + sum(w for v, w in zip(votes, weights, strict=True) if v[j] == "b")
+                voted = 2 + sum(w for v, w in zip(votes, weights, strict=True) if v[j] != "-")
+                known = quality.STRENGTH * len(votes) * of
+                rates[of, j] = (bad + known * quality.FALSE_ALARM) / (voted + known)
+        chance = lambda v, of: rates[of, "all"] * math.prod(rates[of, j] if x == "b" else 1 - rates[of, j] for j, x in enumerate(v) if x != "-")
+        good = [chance(v, 1) / (chance(v, 1) + chance(v, 0)) for v in votes]
+    known = dict(zip(votes, good, strict=True))
+    assert all(r.kept == (not r.base_failed and known[r.votes] >= 0.5) for r in rows)
+    assert all(r.base_failed or r.p_good == pytest.approx(known[r.votes], rel=1e-6, abs=1e-9) for r in rows)
+
+
 def test_quality_agrees_with_labels(spark) -> None:  # noqa: ANN001
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
-    rows = [r for r in quality.op5_quality_rules(spark, folder).collect() if r.doc_id in labels and not r.base_failed]
+    # the prior's strength was settled on the other half of sf0.1's labels
+    rows = [r for r in quality.op5_quality_rules(spark, folder).collect() if r.doc_id in labels and not r.base_failed and zlib.crc32(str(r.doc_id).encode()) % 2]
     good, bad = [r.kept for r in rows if labels[r.doc_id]], [r.kept for r in rows if not labels[r.doc_id]]
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.2
 
@@ -308,6 +330,17 @@ def test_pii(spark, docs, texts) -> None:  # noqa: ANN001
     assert row.base_sha256 == hashlib.sha256(base_spans(texts[row.doc_id]).encode()).hexdigest()
 
 
+def test_pii_finds_secrets(spark) -> None:  # noqa: ANN001
+    """Spans cover what a plain search for quoted tokens finds in the given texts."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in pii.op6_pii(spark, folder).collect()}
+    want = [(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)]
+    assert len(want) > 5 and np.mean([any(s <= a and b <= e for s, e in got[i]) for i, a, b in want]) >= 0.95
+    plain = [i for i, t in texts.items() if not re.search("[0-9@]", t)]
+    assert plain and not any(got[i] for i in plain)
+
+
 def test_pii_keeps_rare_kinds(spark, monkeypatch) -> None:  # noqa: ANN001
     monkeypatch.setattr(pii, "SAMPLE", 80)
     rare = {5001: "write to bob [at] site [dot] org today", 5002: "so ann (at) home (dot) net it is", 5003: "the password: hunter2xyz9 is old", 5004: "a token = q8w7e6r5t4 too"}

@@ -3,8 +3,9 @@
 Generators with high recall propose spans that may overlap. Spans of the base patterns that pass their checks
 always stay. For the other proposals, gradient-boosted trees over features of format and of the words before
 give a score; thresholds calibrated on a held-out quarter of all candidates, one for each generator, select what is
-added. The training labels are remote: a proposal counts as personal if it overlaps a checked
-base span or has the form of a known credential or number.
+added. The training labels are remote and do not look at a proposal's own form: it counts as personal if it
+overlaps a checked base span, if a generator that goes by context and one that goes by form meet in it, or if the
+words before it name something personal. The trees see the form and the signs before it, not those words.
 
 All of it is DataFrame expressions and the JVM's own tree trainer; no Python runs on executors. Patterns use
 possessive groups: their time is linear and long runs of digits or letters need no stack.
@@ -40,14 +41,10 @@ GENERATORS = {
 #: What must be in a text for a pattern to be tried.
 NEEDS = {"email": "@", "address": r"(?i)[\[(](?:at|@)[\])]", "secret": "[=:]"}
 KINDS = (*BASE, *GENERATORS)
-#: Forms that make a proposal a positive training example.
-FORMS = {
-    "secret": r"(?i)[=:]\s*[\"']?(?=[^\s]*[0-9])[^\s]{8,}$",
-    "key": r"^(?:AKIA[0-9A-Z]{16}|(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}|(?:gh[pousr]|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{12,})$",
-    "number": r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\+?1?[\x20.-]?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})$",
-    "address": r"\S",
-}
-HINTS = r"(?i)(?:pass\w*|pwd|token|secret|key|card|tel|phone|call|mobile|mail|ssn|account|iban|id)\W{0,4}$"
+#: Generators whose patterns name what they look for: without a threshold their proposals are added, those of the others are not.
+NAMING = ("secret", "address")
+#: Words before a proposal that say it is personal.
+HINTS = r"(?i)(?<![a-z])(?:pass\w*|pwd|token|secret|key|card|tel|phone|call|mobile|mail|ssn|account|iban|id)\W{0,4}$"
 #: Candidates the trees are trained on, at most (of each generator and class, those with the smallest hashes).
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 10, 3, 0.98
 
@@ -108,7 +105,6 @@ def features(rows: DataFrame) -> DataFrame:
         "_distinct": F.size(F.array_distinct(F.split(F.left(found, F.lit(200)), ""))),
         "_plus": found.startswith("+").cast("int"),
         "_luhn": F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
-        "_hint": F.col("before").rlike(HINTS).cast("int"),
         "_quote": F.col("before").rlike(r"[=:\"']\s*$").cast("int"),
         **{f"_is_{k}": (F.col("kind") == KINDS.index(k)).cast("int") for k in GENERATORS},
     }
@@ -116,15 +112,24 @@ def features(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).drop(*columns)
 
 
-def touches_base(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """rows with on_base: whether the span overlaps a checked base span of its text (intervals are swept by start, with the furthest base end so far)."""
+def touching(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """rows with on_base, on_secret and on_key: whether the span overlaps a checked base span or a proposal of that generator (intervals are swept by start, with the furthest end so far, and back)."""
     marked = rows.withColumn("_b", F.lit(0)).unionByName(base.withColumn("_b", F.lit(1)))
-    per = Window.partitionBy("_id", "_hash").orderBy("start", F.desc("_b"))
-    back = Window.partitionBy("_id", "_hash").orderBy(F.desc("start"), F.desc("_b"))
-    ends = F.max(F.when(F.col("_b") == 1, F.col("end"))).over(per.rowsBetween(Window.unboundedPreceding, 0))
-    starts = F.min(F.when(F.col("_b") == 1, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    touch = (F.coalesce(ends, F.lit(-1)) > F.col("start")) | (F.coalesce(starts, F.lit(1 << 60)) < F.col("end"))
-    return marked.select("*", touch.alias("on_base")).filter("_b = 0").drop("_b")
+    per = Window.partitionBy("_id", "_hash").orderBy("start", F.desc("_b"), "kind")
+    back = Window.partitionBy("_id", "_hash").orderBy(F.desc("start"), F.desc("_b"), F.desc("kind"))
+    flags = {"on_base": F.col("_b") == 1, **{f"on_{k}": (F.col("_b") == 0) & (F.col("kind") == KINDS.index(k)) for k in ("secret", "key")}}
+    ends = {k: F.coalesce(F.max(F.when(f, F.col("end"))).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) for k, f in flags.items()}
+    starts = {k: F.coalesce(F.min(F.when(f, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1 << 60)) for k, f in flags.items()}
+    return marked.select("*", *((ends[k] > F.col("start")).alias(f"_e_{k}") for k in flags), *((starts[k] < F.col("end")).alias(f"_s_{k}") for k in flags)).select(
+        *marked.columns, *((F.col(f"_e_{k}") | F.col(f"_s_{k}")).alias(k) for k in flags)
+    ).filter("_b = 0").drop("_b")
+
+
+def remote_label() -> Column:
+    """Whether something besides its own form says that a proposal is personal."""
+    kind = lambda k: F.col("kind") == KINDS.index(k)
+    met = kind("secret") & F.col("on_key") | kind("key") & F.col("on_secret")
+    return F.col("on_base") | met | F.coalesce(F.col("before").rlike(HINTS), F.lit(False))
 
 
 def added(candidates: DataFrame) -> DataFrame:
@@ -132,23 +137,24 @@ def added(candidates: DataFrame) -> DataFrame:
 
     The trees are fitted on a sample of SAMPLE candidates at most, with equal room for each generator's positive and
     other candidates: all of those that are rare. Thresholds come from all held-out candidates: the lowest score from
-    which on PRECISION of them are positive, none if that holds for every score. Where no score has it, or a
-    generator has no held-out candidates, or one class is missing from all that train, the forms decide.
+    which on PRECISION of them are positive, none if that holds for every score. Where no score has it, a generator
+    has no held-out candidates, or one class is missing from all that train, what NAMING generators propose is
+    added and the others abstain.
     """
-    positive = F.col("on_base") | reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), F.col("found").rlike(FORMS[k])), FORMS, F.when(F.lit(False), False)).otherwise(False)
-    order = F.xxhash64("_id", "_hash", "kind", "start")
-    marked = candidates.withColumn("label", positive.cast("double")).withColumn("_o", order)
-    strata = [marked.filter((F.col("kind") == KINDS.index(k)) & (F.col("label") == y) & (F.col("_o") % 4 != 0)) for k in GENERATORS for y in (0.0, 1.0)]
+    kind = lambda k: F.col("kind") == KINDS.index(k)
+    naming = reduce(lambda c, k: c | kind(k), NAMING, F.lit(False))
+    marked = candidates.withColumn("label", remote_label().cast("double")).withColumn("_o", F.xxhash64("_id", "_hash", "kind", "start"))
+    strata = [marked.filter(kind(k) & (F.col("label") == y) & (F.col("_o") % 4 != 0)) for k in GENERATORS for y in (0.0, 1.0)]
     sample = reduce(DataFrame.unionByName, (s.orderBy("_o").limit(SAMPLE // len(strata)) for s in strata))
     train, held = settled(features(sample).select("features", "label"), "pii_sample"), marked.filter("_o % 4 = 0")
     classes = {r["label"] for r in train.select("label").distinct().collect()}
-    if classes != {0.0, 1.0}:  # nothing to tell apart: the forms decide
-        return candidates.filter(~F.col("on_base") & positive).withColumn("p", F.lit(1.0))
+    if classes != {0.0, 1.0}:  # nothing to tell apart
+        return candidates.filter(~F.col("on_base") & naming).withColumn("p", F.lit(1.0))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, stepSize=0.3, minInstancesPerNode=5).fit(train)
     score = lambda rows: model.transform(rows).withColumn("p", vector_to_array("probability")[1])
     bins = score(features(held)).groupBy("kind", F.floor(F.col("p") * 50).cast("int").alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
     limits = thresholds([tuple(r) for r in bins])
-    chosen = reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), F.col("p") >= limits[k] if k in limits else positive), GENERATORS, F.when(F.lit(False), False)).otherwise(False)
+    chosen = reduce(lambda c, k: c.when(kind(k), F.col("p") >= limits[k] if k in limits else naming), GENERATORS, F.when(F.lit(False), False)).otherwise(False)
     return score(features(candidates.filter(~F.col("on_base")))).filter(chosen).drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -185,7 +191,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     found = settled(proposals(docs), "pii")
     base = found.filter(F.col("kind") < len(BASE)).filter(passes(F.col("kind"), F.col("found")))
-    candidates = settled(touches_base(found.filter(F.col("kind") >= len(BASE)), base), "pii_candidates")
+    candidates = settled(touching(found.filter(F.col("kind") >= len(BASE)), base), "pii_candidates")
     more = islands(added(candidates))
     columns = ["_id", "_hash", "kind", "start", "end"]
     spans = base.select(columns).unionByName(more.select(columns))
@@ -203,4 +209,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", n_spans)
