@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -47,7 +48,13 @@ def words(text: str) -> list[str]:
 
 def test_pages_keep_the_article(spark) -> None:  # noqa: ANN001
     tree = html.train_tree(spark)
-    assert all(html.is_article(tree, x) == bool(y) for x, y in html.labelled_rows())
+    right = [html.is_article(tree, x) == bool(y) for x, y in html.labelled_rows()]
+    assert len(right) > 1000 and np.mean(right) > 0.995
+    r = random.Random(99)
+    unseen = [(x, int(y)) for page, labels in (html.made_page(r) for _ in range(200)) for x, y in zip(html.features(html.blocks(page)), labels, strict=True)]
+    assert np.mean([html.is_article(tree, x) == bool(y) for x, y in unseen]) > 0.99
+    asked = lambda t: {t[0]} | asked(t[2]) | asked(t[3]) if isinstance(t, tuple) else set()
+    assert asked(tree) & {0, 1, 4, 5} and {2, 3} <= asked(tree)  # words and links of the block, and something of its neighbours
     page = "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two<b>three</b> &eacute;<br>four<script>var x='<p>no</p>'</script></p><div class=\"ad-box\">Buy</div></article><div id='comments'><p>Nice text, I like it a lot and will read more of it</p></div><footer>&copy; me</footer>"
     assert html.main_text(page, tree) == "A & B One twothree é four"
     assert html.main_text(None, tree) == html.main_text("", tree) == html.main_text("<p", tree) == ""

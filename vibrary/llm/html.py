@@ -2,12 +2,14 @@
 
 A page becomes a flat list of text blocks. Each block has its word count and link density, those of the block
 before and after it, and whether the elements around it are of a kind or name that holds page furniture or an
-article. A decision tree over these eight numbers, trained on the blocks of a few labelled pages below, tells
-article text from the rest.
+article. A decision tree over these eight numbers, trained on the blocks of the labelled pages below, tells
+article text from the rest. Some of these pages are written out; most are put together by rule from kinds of blocks, with
+names that tell what a block is, with some of them, or with none, so that the tree must go by words and links.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from html import unescape
 
@@ -138,7 +140,7 @@ def features(found: list[tuple[str, float, int, int]]) -> list[list[float]]:
     return [[*near[i], *near[i + 1], *near[i + 2], float(f[2]), float(f[3])] for i, f in enumerate(found)]
 
 
-#: The labelled table: pages, and for each of their blocks whether it is article text (1) or not (0).
+#: Pages, and for each of their blocks whether it is article text (1) or not (0).
 LABELLED = (
     ("<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/s>Sport</a></ul></nav><div class=ad>Buy our fine new shoes today and save.</div>"
      "<article><h1>Rain ends a long dry summer</h1><p>After nine weeks without a drop, rain fell on the valley last night and farmers could rest at last.</p><p>Good.</p>"
@@ -158,16 +160,80 @@ LABELLED = (
 )
 
 
+def said(r: random.Random, least: int, most: int, links: int = 0) -> str:
+    """Words, so many of them from the start linked."""
+    words = ["".join(r.choices("aeioustrnlmd", k=r.randint(2, 9))) for _ in range(r.randint(least, most))]
+    return (f"<a href=/x>{' '.join(words[:links])}</a> " if links else "") + " ".join(words[links:])
+
+
+def made_page(r: random.Random) -> tuple[str, str]:
+    """A page put together from kinds of blocks, and its blocks' labels."""
+    names = r.choice(("all", "all", "furniture", "article", "none"))
+    labels: list[int] = []
+
+    def block(tag: str, text: str, label: int) -> str:
+        labels.append(label)
+        return f"<{tag}>{text}</{tag}>"
+
+    def held(tag: str, name: str, kind: str, body: str) -> str:
+        return f"<{tag} class={name}>{body}</{tag}>" if names in ("all", kind) else f"<div class=c{r.randint(1, 99)}>{body}</div>"
+
+    def links(name: str, least: int, most: int) -> str:
+        return held(r.choice(("nav", "div")), name, "furniture", "<ul>" + "".join(block("li", said(r, k, k, k), 0) for k in (r.randint(1, 5) for _ in range(r.randint(least, most)))) + "</ul>")
+
+    def aside(name: str, least: int, most: int, most_words: int) -> str:
+        return held("div", name, "furniture", "".join(block("p", said(r, 3, most_words), 0) for _ in range(r.randint(least, most))))
+
+    hinted = names in ("all", "furniture")  # without names, only what words and links can tell stands beside the article
+    head = links("menu", 3, 8)
+    if hinted and r.random() < 0.5:
+        head += aside("cookie-notice", 1, 1, 25)
+    body = block("h1", said(r, 2, 9), 1)
+    if hinted and r.random() < 0.5:
+        head += body
+        labels[-1], body = 0, ""  # the site's name stands before the article
+        head = held("header", "header", "furniture", head)
+        body = block("h2", said(r, 2, 9), 1)
+    for _ in range(r.randint(2, 6)):
+        n = r.random()
+        if n < 0.6:
+            body += block("p", said(r, 12, 90, r.choice((0, 0, 0, 1, 2))), 1)
+        elif n < 0.75 and names in ("all", "article"):
+            body += block("p", said(r, 3, 6, r.choice((0, 0, 1, 2))) if r.random() < 0.8 else said(r, 1, 3), 1)
+        elif n < 0.85:
+            body += block("blockquote", said(r, 12, 40), 1)
+        elif names in ("all", "article"):
+            body += "<ul>" + "".join(block("li", said(r, 3, 12), 1) for _ in range(r.randint(2, 4))) + "</ul>"
+        if hinted and r.random() < 0.15:
+            body += aside(r.choice(("ad", "related", "newsletter")), 1, 2, 30)
+        elif r.random() < 0.1:
+            body += block("p", said(r, 3, 8, 8), 0) if not hinted else links("related", 1, 3)
+    foot = ""
+    if hinted:
+        for name, least, most, most_words in (("comments", 2, 5, 60), ("sidebar", 1, 3, 30)):
+            if r.random() < 0.5:
+                foot += aside(name, least, most, most_words)
+    if r.random() < 0.7:  # else the page is cut off
+        foot += links("footer", 1, 5) + held("footer", "footer", "furniture", block("p", said(r, 2, 9), 0))
+    return f"<body>{head}{held('article', 'content', 'article', body)}{foot}</body>", "".join(map(str, labels))
+
+
+def labelled_pages(made: int = 300, seed: int = 7) -> list[tuple[str, str]]:
+    """The labelled table: the pages written out above and so many that are put together."""
+    r = random.Random(seed)
+    return [*LABELLED, *(made_page(r) for _ in range(made))]
+
+
 def labelled_rows() -> list[tuple[list[float], int]]:
     rows = []
-    for page, labels in LABELLED:
+    for page, labels in labelled_pages():
         found = features(blocks(page))
         assert len(found) == len(labels), (len(found), labels, blocks(page))
         rows += [(x, int(y)) for x, y in zip(found, labels, strict=True)]
     return rows
 
 
-def train_tree(spark: SparkSession, depth: int = 5) -> tuple:
+def train_tree(spark: SparkSession, depth: int = 8) -> tuple:
     """A decision tree as nested tuples (feature, threshold, left, right), a leaf as 0 or 1."""
     table = spark.createDataFrame([(Vectors.dense(x), float(y)) for x, y in labelled_rows()], ["features", "label"]).coalesce(1)
     model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=2, seed=1).fit(table)
