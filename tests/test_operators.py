@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vibrary.operators import compare, conditions, models, signals, spectra, tables
+from vibrary.operators import compare, conditions, extract, models, signals, spectra, tables
 
 
 def long(spark, values, sweep=1):  # noqa: ANN001, ANN201
@@ -47,7 +47,7 @@ def test_sine(spark) -> None:  # noqa: ANN001
     t = signals.time_features(long(spark, x)).first()
     assert t.rms == pytest.approx(3 / math.sqrt(2)) and t.kurtosis == pytest.approx(1.5)
     arrays = spectra.to_arrays(long(spark, x), 1000.0)
-    f = spectra.frequency_features(spectra.spectrum(arrays)).first()
+    f = extract.frequency_features(arrays).first()
     assert f.dominant_frequency == pytest.approx(50)
     env = np.array(spectra.envelope(arrays).first().voltage)
     assert env == pytest.approx(np.full(1000, 3.0))

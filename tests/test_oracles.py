@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from vibrary.plans import more_queries as _  # noqa: F401
+from vibrary.plans import extract_queries, more_queries  # noqa: F401
 from vibrary.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Telemetry names of the canonical parameters, viscosities (cSt) of the usual lubricant, pitch diameter (mm).
@@ -60,7 +60,8 @@ def conditions(meta: DataFrame) -> DataFrame:
 
 
 def kappa_regime(kappa: Column) -> Column:
-    """Name of the left-closed interval a kappa lies in."""
+    """Name of the left-closed interval a kappa lies in; an unknown one, NaN included, lies in none."""
+    kappa = number(kappa)
     out = F.when(kappa.isNull(), F.lit(None).cast("string"))
     for _, hi, label in REGIMES:
         out = out.otherwise(label) if hi is None else out.when(kappa < hi, label)
@@ -93,6 +94,28 @@ def bands_fixed(df: DataFrame, f_min: float, f_max: float, width: float) -> Data
     return df.select("*", bands).select("*", (f_min + F.col("band") * width).alias("lo"), (f_min + (F.col("band") + 1) * width).alias("hi"))
 
 
+def band_table(spark: SparkSession, bands: dict[str, list[tuple[float, float, str]]], prefilter: dict[str, tuple[float, float]] | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The bands of each sensor (sensor, kind, lo, hi, label) with the limits of its prefilter and of the sensor itself: a table of arguments, so small."""
+    rows = [(s, "band", lo, hi, label) for s, each in bands.items() for lo, hi, label in each]
+    rows += [(s, kind, lo, hi, kind) for kind, of in (("prefilter", prefilter), ("sensor", limits)) for s, (lo, hi) in (of or {}).items()]
+    return spark.createDataFrame([(s, k, float(lo), float(hi), label) for s, k, lo, hi, label in rows], "sensor string, kind string, lo double, hi double, label string")
+
+
+def assemble_metadata(sweeps: DataFrame, lubricant: DataFrame, bearing: DataFrame, quality: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each row of quality (file, sweep, sensor, ...): the sweep's attributes, the file's lubricant and bearing, the signal's quality. Of equal names the later wins."""
+    out = quality.select(*key, "sensor")
+    for part, on in ((sweeps, key), (lubricant, key[:1]), (bearing, key[:1]), (quality, [*key, "sensor"])):
+        new = [c for c in part.columns if c not in on]
+        out = out.drop(*(c for c in new if c in out.columns)).join(part, on, "left")
+    return out
+
+
+def retain_columns(df: DataFrame, selected: list[str], override: list[str] | None = None) -> DataFrame:
+    """Key columns and the features of the override list if there is one, else the selected ones; those that df lacks are left out."""
+    names = override or selected
+    return df.select(*(c for c in ("file", "sweep", "sensor") if c in df.columns), *(c for c in names if c in df.columns))
+
+
 def split_sensor(df: DataFrame, sensor: str, candidates: list[str]) -> DataFrame:
     """Rows of one sensor without the candidate columns that hold no number there (one aggregate decides)."""
     df = df.filter(F.col("sensor") == sensor)

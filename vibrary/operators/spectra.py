@@ -50,43 +50,22 @@ def spectrum(df: DataFrame) -> DataFrame:
     return rows.select(*KEY, "k", (F.col("k") * F.col("fs") / F.col("n")).alias("f"), "mag")
 
 
-def frequency_features(bins: DataFrame) -> DataFrame:
-    """Fourteen statistics of each spectrum; all are zero for a silent one."""
-    per = Window.partitionBy(*KEY)
-    f, m = F.col("f"), F.col("mag")
-    x = bins.select("*", F.sum(m).over(per).alias("total"), F.sum(f * m).over(per).alias("fm"), F.count("*").over(per).alias("bins"))
-    x = x.withColumn("fc", F.when(F.col("total") >= TINY, F.col("fm") / F.col("total")).otherwise(0.0)).withColumn("d", F.col("f") - F.col("fc"))
-    d = F.col("d")
-    a = x.groupBy(*KEY).agg(
-        F.first("total").alias("total"), F.first("bins").alias("bins"), F.first("fc").alias("fc"), F.max(F.struct(m * m, -F.col("k"), f.alias("f")))["f"].alias("top"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("sd"),
-        F.sum(d**3 * m).alias("m3"), F.sum(d**4 * m).alias("m4"), F.sum(f * f * m).alias("f2"), F.sum(f**4 * m).alias("f4"), F.avg(F.when(m > 0, F.ln(m))).alias("ln"),
-        F.sqrt(F.avg(d * d)).alias("fw"), F.sum(F.sqrt(F.abs(d)) * m).alias("hm"),
-    )
-    c = F.col
-    ok = c("total") >= TINY
-    made = {
-        "dominant_frequency": c("top"), "spectral_mean": c("mean"), "spectral_std": c("sd"), "center_frequency": c("fc"),
-        "spectral_skewness": F.when(c("sd") ** 3 * c("total") >= TINY, c("m3") / (c("sd") ** 3 * c("total"))).otherwise(0.0),
-        "spectral_kurtosis": F.when(c("sd") ** 4 * c("total") >= TINY, c("m4") / (c("sd") ** 4 * c("total"))).otherwise(0.0),
-        "rms_frequency": F.sqrt(c("f2") / c("total")), "spectral_flatness": F.exp(c("ln")) / c("mean"), "frequency_weighted_std": c("fw"),
-        "peak_frequency": F.when(c("f2") > 0, F.sqrt(c("f4") / c("f2"))).otherwise(0.0), "normalized_frequency_std": F.when(c("fc") > 0, c("fw") / c("fc")).otherwise(0.0),
-        "frequency_skewness": F.when(c("fw") > 0, c("m3") / (c("bins") * c("fw") ** 3)).otherwise(0.0), "frequency_kurtosis": F.when(c("fw") > 0, c("m4") / (c("bins") * c("fw") ** 4)).otherwise(0.0),
-        "normalized_bandwidth": F.when(c("fw") > 0, c("hm") / (c("bins") * F.sqrt(c("fw")))).otherwise(0.0),
-    }
-    return a.select(*KEY, *(F.when(ok, v).otherwise(0.0).alias(k) for k, v in made.items()))
-
-
 def band_gain(f: np.ndarray, fs: float, lo: float, hi: float, order: int = ORDER) -> np.ndarray:
-    """Gain of a zero-phase Butterworth band, as of filtering forth and back: 1 / (1 + W ** 2 order) with warped frequencies."""
+    """Gain of a zero-phase Butterworth band, as of filtering forth and back: 1 / (1 + W ** 2 order) with warped frequencies.
+
+    The upper limit is held below half the sampling rate. A band without a lower limit is a lowpass, one above half the
+    rate silent, one whose upper limit is not above the lower a highpass.
+    """
+    low, high = lo / (fs / 2), min(hi / (fs / 2), 0.9999)
+    if low >= 1:
+        return np.zeros(len(f))
     w = np.tan(np.pi * np.minimum(f / fs, 0.4999999))
-    top = math.tan(math.pi * min(hi / (fs / 2), 0.9999) / 2)
-    if lo >= fs / 2 or lo >= hi:
-        return np.zeros(len(f)) if lo >= fs / 2 else np.ones(len(f))
-    if lo <= 0:
-        return 1 / (1 + (w / top) ** (2 * order))
-    low = math.tan(math.pi * lo / fs)
-    with np.errstate(divide="ignore", over="ignore"):
-        return np.where(w > 0, 1 / (1 + ((w * w - low * top) / (w * (top - low))) ** (2 * order)), 0.0)
+    below, top = math.tan(math.pi * max(low, 0) / 2), math.tan(math.pi * high / 2)
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        if low <= 0:
+            return 1 / (1 + (w / top) ** (2 * order))
+        warped = below / w if low >= high else (w * w - below * top) / (w * (top - below))
+        return np.where(w > 0, 1 / (1 + warped ** (2 * order)), 0.0)
 
 
 def bandpass(df: DataFrame, lo: float, hi: float, order: int = ORDER) -> DataFrame:
@@ -99,7 +78,8 @@ def bandpass(df: DataFrame, lo: float, hi: float, order: int = ORDER) -> DataFra
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
-    n = len(x)
+    """The analytic signals along the last axis."""
+    n = x.shape[-1]
     gain = np.zeros(n)
     gain[: (n + 1) // 2] = 2
     gain[:1] = 1
@@ -139,37 +119,81 @@ def flatness(psd: DataFrame) -> DataFrame:
     return psd.groupBy(*KEY).agg((F.exp(F.avg(F.ln(p))) / F.avg(p)).alias("envelope_flatness"))
 
 
-def band_features(df: DataFrame, bands: list[tuple[str, float, float]]) -> DataFrame:
-    """Frequency statistics of each band-limited signal in long form, with column band. Bands are arguments, so their number is small."""
-    out = None
-    for name, lo, hi in bands:
-        part = frequency_features(spectrum(bandpass(df, lo, hi))).withColumn("band", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+def envelope_mean(df: DataFrame) -> DataFrame:
+    """Mean of each signal's envelope."""
+    total = F.aggregate("voltage", F.lit(0.0), lambda a, x: a + x)
+    return envelope(df).select(*KEY, F.when(F.size("voltage") > 0, total / F.size("voltage")).alias("envelope_mean"))
+
+
+def envelope_psd(df: DataFrame, nperseg: int = 256) -> DataFrame:
+    """Power density of each signal's envelope (k, f, psd)."""
+    return welch_psd(envelope(df), nperseg)
+
+
+def amplitudes(df: DataFrame, lo: float = 0.0, hi: float = float("inf"), of_envelope: bool = False) -> DataFrame:
+    """Size of each signal's transform over its length (k, f, mag) between two frequencies, the Nyquist bin included; for envelopes with zero at frequency zero."""
+
+    def make(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+        if not len(x):
+            return {"f": x, "mag": x}
+        mag = np.abs(np.fft.rfft(np.abs(analytic(x)) if of_envelope else x)) / len(x)
+        if of_envelope:
+            mag[0] = 0.0
+        return {"f": np.fft.rfftfreq(len(x), 1 / fs), "mag": mag}
+
+    rows = each_signal(df, make, "f array, mag array").select(*KEY, F.posexplode(F.arrays_zip("f", "mag")).alias("k", "z"))
+    return rows.select(*KEY, "k", "z.f", "z.mag").filter((F.col("f") >= lo) & (F.col("f") <= hi))
+
+
+def psd_rows(psd: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """The bins of each signal's power density up to its sensor's highest frequency; sensors without one keep all."""
+    if not limits:
+        return psd
+    top = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("sensor")]
+    return psd.filter(top.isNull() | (F.col("f") <= top))
+
+
+def mean_by_regime(rows: DataFrame, regimes: DataFrame, value: str, at: list[str]) -> DataFrame:
+    """Number of signals and mean of a value at each bin (columns at), by sensor and regime (sweep, regime); signals without a regime have none."""
+    return rows.join(regimes, "sweep").groupBy("sensor", "regime", *at).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+#: The usual grid of a map: so many centres and widths, evenly spaced up to half the sampling rate.
+CENTRES, WIDTHS = 40, 30
+
+
+def usual_grid(fs: float, centres: int = CENTRES, widths: int = WIDTHS) -> tuple[list[float], list[float]]:
+    """Centres and widths of a map of signals sampled at fs."""
+    return np.linspace(fs / 40, fs / 2 * 0.95, centres).tolist(), np.linspace(fs / 50, fs / 4, widths).tolist()
 
 
 def infogram(df: DataFrame, centres: list[float], widths: list[float]) -> DataFrame:
-    """For each signal and cell (centre, width) that lies within the spectrum: entropy of noise less that of the squared envelope's spectrum. Map-only, a row of cells a signal."""
+    """For each signal and cell (centre, width) that lies within the spectrum: entropy of noise less that of the squared envelope's spectrum. Map-only, all cells of a signal at once."""
     cells = [(c, w) for c in centres for w in widths]
 
     def make(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-        out = []
-        for c, w in cells:
-            lo, hi = c - w / 2, c + w / 2
-            if lo < 1 or hi >= fs / 2 or len(x) < 4:
-                out.append(float("nan"))
-                continue
-            band = np.fft.irfft(np.fft.rfft(x) * band_gain(np.fft.rfftfreq(len(x), 1 / fs), fs, lo, hi), len(x))
-            ses = np.abs(np.fft.rfft(np.abs(analytic(band)) ** 2))[1:]
-            total = ses.sum()
-            p = ses / total if total > TINY else ses
-            p = p[p > 0]
-            out.append(math.log(len(ses)) - NOISE_LOSS + float((p * np.log(p)).sum()) if len(p) else float("nan"))
-        return {"info": np.array(out)}
+        n, out = len(x), np.full(len(cells), np.nan)
+        inside = [i for i, (c, w) in enumerate(cells) if c - w / 2 >= 1 and c + w / 2 < fs / 2] if n >= 4 else []
+        if not inside:
+            return {"info": out}
+        f = np.fft.rfftfreq(n, 1 / fs)
+        bins = np.fft.rfft(x)
+        for start in range(0, len(inside), 64):  # so many cells at once are in memory
+            some = inside[start : start + 64]
+            gains = np.array([band_gain(f, fs, cells[i][0] - cells[i][1] / 2, cells[i][0] + cells[i][1] / 2) for i in some])
+            bands = np.fft.irfft(bins * gains, n)
+            ses = np.abs(np.fft.rfft(np.abs(analytic(bands)) ** 2))[:, 1:]
+            total = ses.sum(1, keepdims=True)
+            p = np.where(total > TINY, ses / np.maximum(total, TINY), ses)
+            loss = (p * np.log(np.where(p > 0, p, 1.0))).sum(1)
+            out[some] = np.where((p > 0).any(1), math.log(ses.shape[1]) - NOISE_LOSS + loss, np.nan)
+        return {"info": out}
 
     made = each_signal(df, make, "info array")
-    grid = F.array(*(F.struct(F.lit(c).alias("centre"), F.lit(w).alias("width")) for c, w in cells))
-    return made.select(*KEY, F.explode(F.arrays_zip(grid.alias("cell"), "info")).alias("z")).select(*KEY, "z.cell.centre", "z.cell.width", F.when(~F.isnan("z.info"), F.col("z.info")).alias("info"))
+    grid = F.expr(f"transform(sequence(0, {len(cells) - 1}), i -> i)")
+    middles, spans = (F.array(*(F.lit(float(v)) for v in vs)) for vs in (centres, widths))
+    rows = made.select(*KEY, F.explode(F.arrays_zip(grid.alias("i"), "info")).alias("z")).select(*KEY, "z.i", "z.info")
+    return rows.select(*KEY, F.get(middles, F.floor(F.col("i") / len(widths)).cast("int")).alias("centre"), F.get(spans, F.col("i") % len(widths)).alias("width"), F.when(~F.isnan("info"), F.col("info")).alias("info"))
 
 
 def wavelet_map(df: DataFrame, f0s: list[float], dampings: list[float], decays: float = 5.0) -> DataFrame:
@@ -194,8 +218,39 @@ def wavelet_map(df: DataFrame, f0s: list[float], dampings: list[float], decays:
     return made.select(*KEY, F.explode(F.arrays_zip(grid.alias("cell"), "rms", "kurtosis")).alias("z")).select(*KEY, "z.cell.frequency", "z.cell.damping", "z.rms", "z.kurtosis")
 
 
-def map_gradient(grid: DataFrame) -> DataFrame:
-    """Size of the gradient of a map (y, x, z): central differences, one-sided at the edges."""
+def blurred(grid: DataFrame, sigma: float = 1.5) -> DataFrame:
+    """A map (y, x, z) with its gaps as the mean of the rest and blurred by a Gaussian along both axes, mirrored at the edges; gap says where.
+
+    A map is a grid of a bounded number of cells, whatever the signals it is made of; it is one group.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        ys, yi = np.unique(part.column("y").to_numpy(), return_inverse=True)
+        xs, xi = np.unique(part.column("x").to_numpy(), return_inverse=True)
+        z = np.full((len(ys), len(xs)), np.nan)
+        z[yi, xi] = part.column("z").to_numpy(zero_copy_only=False)
+        gap = np.isnan(z)
+        z[gap] = z[~gap].mean() if (~gap).any() else 0.0
+        if sigma > 0:
+            r = int(4 * sigma + 0.5)
+            weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+            weights /= weights.sum()
+            for axis in (0, 1):
+                wide = np.pad(z, [(r, r) if a == axis else (0, 0) for a in (0, 1)], "symmetric")
+                z = sum(w * np.take(wide, np.arange(k, k + z.shape[axis]), axis) for k, w in enumerate(weights))
+        i, j = np.indices(z.shape)
+        return pa.table({"y": ys[i.ravel()].astype(float), "x": xs[j.ravel()].astype(float), "z": z.ravel(), "gap": gap.ravel()})
+
+    every = grid.select(F.col("y").cast("double"), F.col("x").cast("double"), F.col("z").cast("double"))
+    return every.groupBy(F.lit(0)).applyInArrow(run, "y double, x double, z double, gap boolean")
+
+
+def map_gradient(grid: DataFrame, sigma: float = 0.0) -> DataFrame:
+    """Size of the gradient of a map (y, x, z): central differences, one-sided at the edges; with sigma, of the blurred map, and null where it has gaps."""
+    if sigma > 0:
+        smooth = blurred(grid, sigma)
+        found = map_gradient(smooth.select("y", "x", "z")).join(smooth.select("y", "x", "gap"), ["y", "x"])
+        return found.select("y", "x", F.when(~F.col("gap"), F.col("gradient")).alias("gradient"))
 
     def step(along: str, across: str):  # noqa: ANN202
         w = Window.partitionBy(across).orderBy(along)

@@ -122,34 +122,7 @@ def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "feature").filter("model_a < model_b").groupBy("model_a", "model_b").agg(F.count("*").alias("n"))
 
 
-# --- regimes
-
-
-@query(
-    f"""SELECT {REGIME} AS regime, CAST(bins.k AS INTEGER) AS k, count(*) AS n, round(avg(mag), 4) AS mag FROM bins JOIN conditions USING (sweep) WHERE k < 20 GROUP BY 1, 2""",
-    f"{CHAIN} spectrum meta conditions",
-)
-def psd_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean spectrum by regime, for the first bins."""
-    bins = X.spectrum(X.to_arrays(cleaned(spark, sf_dir), D.FS)).filter("k < 20")
-    by = bins.join(conditions(spark, sf_dir).select("sweep", O.kappa_regime(F.col("kappa")).alias("regime")), "sweep").groupBy("regime", "k").agg(F.count("*").alias("n"), F.avg("mag").alias("mag"))
-    return rounded(by, 4)
-
-
-@query()
-def envelope_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean envelope by regime, as long as the regime's shortest one."""
-    regime = F.coalesce(O.kappa_regime(F.col("kappa")), F.lit("unknown")).alias("regime")
-    env = X.envelope(X.to_arrays(cleaned(spark, sf_dir), D.FS)).join(conditions(spark, sf_dir).select("sweep", regime), "sweep")
-    short = env.groupBy("regime").agg(F.min(F.size("voltage")).alias("shortest"))
-    rows = env.join(F.broadcast(short), "regime").select("regime", F.posexplode(F.slice("voltage", F.lit(1), F.col("shortest"))).alias("i", "v"))
-    return rounded(rows.groupBy("regime", "i").agg(F.count("*").alias("n"), F.avg("v").alias("mean")))
-
-
-@query(f"SELECT sweep, sensor, round(sum(CASE WHEN k > 0 THEN mag END) / max(k + 1), 3) AS mean_mag FROM bins GROUP BY sweep, sensor", f"{CHAIN} spectrum")
-def spectrum_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = X.spectrum(X.to_arrays(cleaned(spark, sf_dir), D.FS))
-    return rounded(bins.groupBy("sweep", "sensor").agg((F.sum(F.when(F.col("k") > 0, F.col("mag"))) / F.max(F.col("k") + 1)).alias("mean_mag")), 3)
+# --- maps
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import conditions as O
+from ..operators import extract as E
 from ..operators import models as M
 from ..operators import signals as S
 from ..operators import spectra as X
@@ -215,22 +216,7 @@ SELECT sweep, sensor, round(top, 3) AS dominant_frequency, round(mean, 3) AS spe
     f"{CHAIN} spectrum",
 )
 def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.frequency_features(X.spectrum(X.to_arrays(cleaned(spark, sf_dir), D.FS))), 3)
-
-
-@query()
-def band_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.band_features(X.to_arrays(cleaned(spark, sf_dir), D.FS), [("low", 0, 100), ("mid", 100, 300), ("high", 300, 600), ("above", 600, 900)]))
-
-
-@query()
-def welch_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.welch_psd(D.array_sweeps(spark, sf_dir), 32), 9)
-
-
-@query()
-def envelope_flatness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.flatness(X.welch_psd(X.envelope(D.array_sweeps(spark, sf_dir)), 256)))
+    return rounded(E.frequency_features(X.to_arrays(cleaned(spark, sf_dir), D.FS)), 3)
 
 
 # --- feature tables
