@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import average_ranks
+from .skew import average_ranks
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -49,33 +49,81 @@ def ttest_corrected(pairs: DataFrame, k: int) -> DataFrame:
     return with_p(s.select("model_a", "model_b", "n", t.alias("t")), "t")
 
 
-def with_p(tests: DataFrame, stat: str) -> DataFrame:
-    """tests with p: two-sided Student probability of stat with n - 1 degrees of freedom (a row is a pair of models)."""
-    schema = T.StructType([*tests.schema.fields, T.StructField("p", T.DoubleType())])
+def with_p(tests: DataFrame, stat: str, alternative: str = "two-sided", name: str = "p", lost: int = 1) -> DataFrame:
+    """tests with the Student probability of stat with n - lost degrees of freedom, for a difference (two-sided), a smaller (less) or a larger (greater) first of a pair (a row is a pair of models)."""
+    if alternative not in ("two-sided", "less", "greater"):
+        raise ValueError(f"unknown alternative {alternative!r}: two-sided, less or greater")
+    schema = T.StructType([*tests.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def chance(t: float | None, n: int) -> float:
+        if n <= lost or not t or t != t:
+            return 1.0
+        both = t_two_sided(t, n - lost)
+        return both if alternative == "two-sided" else both / 2 if (t < 0) == (alternative == "less") else 1 - both / 2
 
     def run(batches):  # noqa: ANN001, ANN202
         for df in batches:
-            df["p"] = [t_two_sided(t, n - 1) if n > 1 and t else 1.0 for t, n in zip(df[stat], df["n"], strict=True)]
+            df[name] = [chance(t, n) for t, n in zip(df[stat], df["n"], strict=True)]
             yield df
 
     return tests.mapInPandas(run, schema)
 
 
-def diebold_mariano(pairs: DataFrame, loss: str = "squared") -> DataFrame:
+def correlation_p(correlations: DataFrame, r: str, n: int) -> DataFrame:
+    """correlations with p_{r}: two-sided probability of a correlation of n rows under independence, by Student's t."""
+    t = F.when(F.abs(r) < 1, F.col(r) * F.sqrt((n - 2) / (1 - F.col(r) * F.col(r)))).otherwise(F.lit(float("inf")))
+    return with_p(correlations.withColumn("_t", t).withColumn("n", F.lit(n).cast("long")), "_t", name=f"p_{r}", lost=2).drop("_t", "n")
+
+
+def diebold_mariano(pairs: DataFrame, loss: str = "squared", alternative: str = "two-sided") -> DataFrame:
     """Diebold-Mariano statistic for residuals a and b with the small-sample factor for one step."""
     size = (lambda c: F.col(c) * F.col(c)) if loss == "squared" else (lambda c: F.abs(c))
     d = size("a") - size("b")
     s = pairs.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.var_samp(d).alias("v"))
     stat = F.when(F.col("v") > 0, F.col("m") / F.sqrt(F.col("v") / F.col("n")) * F.sqrt((F.col("n") - 1) / F.col("n"))).otherwise(0.0)
-    return with_p(s.select("model_a", "model_b", "n", stat.alias("dm")), "dm")
+    return with_p(s.select("model_a", "model_b", "n", stat.alias("dm")), "dm", alternative)
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """Smaller sum of signed ranks of the differences in absolute errors; equal errors are left out. Ranks come from counts of distinct sizes."""
-    d = pairs.select("model_a", "model_b", (F.abs("a") - F.abs("b")).alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
-    r = average_ranks(d, ["model_a", "model_b"], "size", "r").groupBy("model_a", "model_b")
-    s = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
-    return s.select("model_a", "model_b", "n", F.least("up", "down").alias("w"))
+    """w, the smaller sum of signed ranks of the differences in absolute errors, and p of its two-sided normal approximation, corrected for ties; equal errors are left out, and a pair without others has w 0 and p 1."""
+    key = ["model_a", "model_b"]
+    d = pairs.select(*key, (F.abs("a") - F.abs("b")).alias("d")).withColumn("size", F.abs("d"))
+    r = average_ranks(d.filter("d <> 0"), key, "size", "r", "d")
+    s = r.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
+    c = d.filter("d <> 0").groupBy(*key, "size").agg(F.count("*").cast("double").alias("c")).groupBy(*key).agg(F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
+    n = F.col("n")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.when(sd > 0, (F.least("up", "down") - n * (n + 1) / 4) / sd).otherwise(0.0)
+    found = s.join(c, key).select(*key, "n", F.least("up", "down").alias("w"), z.alias("z"))
+    every = d.select(*key).distinct().join(found, key, "left").na.fill({"n": 0, "w": 0.0, "z": 0.0})
+    schema = T.StructType([*[f for f in every.schema.fields if f.name != "z"], T.StructField("p", T.DoubleType())])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for df in batches:
+            df["p"] = [math.erfc(abs(x) / math.sqrt(2)) for x in df["z"]]
+            yield df[[f.name for f in schema]]
+
+    return every.mapInPandas(run, schema)
+
+
+def best_per_set(scores: DataFrame) -> DataFrame:
+    """feature_set, model and mean_rmse of the model with the least mean score of each set (scores: feature_set, model, rmse)."""
+    by = scores.groupBy("feature_set", "model").agg(F.avg("rmse").alias("mean_rmse"))
+    return by.groupBy("feature_set").agg(F.min_by("model", "mean_rmse").alias("model"), F.min("mean_rmse").alias("mean_rmse"))
+
+
+def pairs_within(scores: DataFrame) -> DataFrame:
+    """model_a and model_b, in order, of every two models of a feature set."""
+    m = scores.select("feature_set", "model").distinct()
+    a, b = (m.select("feature_set", F.col("model").alias(f"model_{x}")) for x in "ab")
+    return a.join(b, "feature_set").filter("model_a < model_b")
+
+
+def pairs_cross(scores: DataFrame) -> DataFrame:
+    """set_a, model_a, set_b and model_b of the best models of every two feature sets (a row a set, so few)."""
+    best = best_per_set(scores)
+    a, b = (best.select(F.col("feature_set").alias(f"set_{x}"), F.col("model").alias(f"model_{x}")) for x in "ab")
+    return a.join(b, F.col("set_a") < F.col("set_b"))
 
 
 def holm(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
@@ -90,23 +138,27 @@ def holm(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     return done.unionByName(rest)
 
 
-def bootstrap_rmse(errors: DataFrame, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """Observed difference of RMSE of residuals a and b (key, a, b) and its 2.5 and 97.5 percentiles over resamples.
+def bootstrap_rmse(errors: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Observed difference of RMSE of residuals a and b (key, a, b; a row a prediction) and its 2.5 and 97.5 percentiles over resamples.
 
-    Each row enters a resample as often as a Poisson variable of mean 1 says, drawn from the md5 of seed, resample
-    and key: rows need no positions and resamples no shuffle of rows; sums are combined where rows are.
+    Each row enters a resample as often as a Poisson variable of mean 1 says: rows need no positions and resamples no
+    shuffle of rows; sums are combined where rows are. One md5 of seed, a number and the key gives four resamples their draws.
     """
-    u = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b_"), F.col("key").cast("string"))), F.lit(8)), 16, 10).cast("double") / 4294967296.0
+    digits = lambda j: F.conv(F.substring("_md5", 8 * j + 1, 8), 16, 10).cast("double") / 4294967296.0
     total, steps = 0.0, []
     for n in range(8):
         total += math.exp(-1) / math.factorial(n)
         steps.append(total)
-    w = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    draws = errors.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b_")).withColumn("w", w)
-    rmse = lambda c: F.sqrt(F.sum(F.col("w") * F.col(c) * F.col(c)) / F.sum("w"))
-    by = draws.groupBy("b_").agg((rmse("a") - rmse("b")).alias("d"))
-    ci = by.agg(F.percentile("d", 0.025).alias("ci_lo"), F.percentile("d", 0.975).alias("ci_hi"))
-    seen = errors.agg((F.sqrt(F.avg(F.col("a") * F.col("a"))) - F.sqrt(F.avg(F.col("b") * F.col("b")))).alias("delta_rmse"))
+    draw = lambda u: sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    fours = errors.select("a", "b", "key", F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1))).alias("four"))
+    fours = fours.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("four"), F.col("key").cast("string"))))
+    square = lambda c: F.col(c) * F.col(c)
+    drawn = fours.select("four", square("a").alias("aa"), square("b").alias("bb"), *(draw(digits(j)).alias(f"w{j}") for j in range(4)))
+    by = drawn.groupBy("four").agg(*(F.sum(F.col(f"w{j}") * x).alias(f"{n}{j}") for j in range(4) for n, x in (("a", F.col("aa")), ("b", F.col("bb")), ("n", F.lit(1)))))
+    each = by.select("four", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), (F.sqrt(F.col(f"a{j}") / F.col(f"n{j}")) - F.sqrt(F.col(f"b{j}") / F.col(f"n{j}"))).alias("d")) for j in range(4)))).alias("x"))
+    each = each.filter(F.col("four") * 4 + F.col("x.j") < resamples).select("x.d")
+    ci = each.agg(F.percentile("d", 0.025).alias("ci_lo"), F.percentile("d", 0.975).alias("ci_hi"))
+    seen = errors.agg((F.sqrt(F.avg(square("a"))) - F.sqrt(F.avg(square("b")))).alias("delta_rmse"))
     return seen.join(ci)
 
 

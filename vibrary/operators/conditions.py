@@ -94,6 +94,21 @@ def bands_fixed(df: DataFrame, f_min: float, f_max: float, width: float) -> Data
     return df.select("*", bands).select("*", (f_min + F.col("band") * width).alias("lo"), (f_min + (F.col("band") + 1) * width).alias("hi"))
 
 
+def fused(df: DataFrame, key: list[str], sensors: tuple[str, str], columns: list[str], keep: str | None = None) -> DataFrame:
+    """One row for each key that both sensors have: their columns as {sensor}__{column}, and keep of the first. Rows meet by one aggregate on the key, no join."""
+    pick = lambda s, c: F.max(F.when(F.col("sensor") == s, F.col(c)))
+    there = [F.count_if(F.col("sensor") == s).alias(f"_n_{s}") for s in sensors]
+    by = df.filter(F.col("sensor").isin(*sensors)).groupBy(*key).agg(*there, *(pick(s, c).alias(f"{s}__{c}") for s in sensors for c in columns), *([pick(sensors[0], keep).alias(keep)] if keep else []))
+    return by.filter((F.col(f"_n_{sensors[0]}") > 0) & (F.col(f"_n_{sensors[1]}") > 0)).drop(*(f"_n_{s}" for s in sensors))
+
+
+def fused_counts(df: DataFrame, key: list[str], sensors: tuple[str, str]) -> DataFrame:
+    """How many keys each sensor has and how many are left when they are fused."""
+    by = df.groupBy(*key).agg(*(F.max((F.col("sensor") == s).cast("int")).alias(s) for s in sensors))
+    a, b = (F.col(s) == 1 for s in sensors)
+    return by.agg(*(F.count_if(F.col(s) == 1).alias(f"n_{s}") for s in sensors), F.count_if(a & b).alias("n_both"))
+
+
 def band_table(spark: SparkSession, bands: dict[str, list[tuple[float, float, str]]], prefilter: dict[str, tuple[float, float]] | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """The bands of each sensor (sensor, kind, lo, hi, label) with the limits of its prefilter and of the sensor itself: a table of arguments, so small."""
     rows = [(s, "band", lo, hi, label) for s, each in bands.items() for lo, hi, label in each]

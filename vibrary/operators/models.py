@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,10 @@ def order_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def bucketed_rank(df: DataFrame, key: Column, out: str) -> DataFrame:
-    """df with the 0-based rank of a hexadecimal key: buckets of its first digits are numbered each, after the sum of the buckets before."""
-    df = df.withColumn("_k", key).withColumn("_b", F.left("_k", F.lit(2)))
+def bucketed_rank(df: DataFrame, key: Column, out: str, rows: int) -> DataFrame:
+    """df (of so many rows) with the 0-based rank of a key of evenly spread hexadecimal digits: buckets of its first digits are numbered each, after the sum of the buckets before. A bucket has some 100,000 rows; there are 16 ** 5 at most."""
+    digits = min(5, max(2, math.ceil(math.log(max(rows, 1) / 100_000, 16)))) if rows > 100_000 else 2
+    df = df.withColumn("_k", key).withColumn("_b", F.left("_k", F.lit(digits)))
     first = df.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_first"))
     df = df.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k")) - 1)
     return df.join(F.broadcast(first), "_b").withColumn(out, F.col("_first") + F.col("_r")).drop("_k", "_b", "_r", "_first")
@@ -30,15 +31,15 @@ def split_holdout(df: DataFrame, keys: list[str], share: float = 0.2, seed: int
     """Distinct keys with is_holdout: the share of keys that come first in the shuffled order."""
     distinct = df.select(*keys).distinct()
     n = distinct.count()
-    return bucketed_rank(distinct, order_key(seed, *keys), "_place").select(*keys, (F.col("_place") < math.ceil(n * share)).alias("is_holdout"))
+    return bucketed_rank(distinct, order_key(seed, *keys), "_place", n).select(*keys, (F.col("_place") < math.ceil(n * share)).alias("is_holdout"))
 
 
 def kfold(df: DataFrame, keys: list[str], k: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
     """Distinct keys with repeat and fold; each repeat shuffles anew."""
     distinct = df.select(*keys).distinct()
-    out = None
+    n, out = distinct.count(), None
     for r in range(repeats):
-        part = bucketed_rank(distinct, order_key(seed + r, *keys), "_place").select(*keys, F.lit(r).alias("repeat"), (F.col("_place") % k).cast("int").alias("fold"))
+        part = bucketed_rank(distinct, order_key(seed + r, *keys), "_place", n).select(*keys, F.lit(r).alias("repeat"), (F.col("_place") % k).cast("int").alias("fold"))
         out = part if out is None else out.union(part)
     return out
 
@@ -53,6 +54,8 @@ def gram(df: DataFrame, columns: list[str], target: str, by: list[str]) -> dict[
     """For each value of by, the matrix of sums of products of (1, columns, target)."""
     names = [F.lit(1.0), *(F.col(c).cast("double") for c in columns), F.col(target).cast("double")]
     p = len(names)
+    if p > WIDE:
+        return wide_gram(df, names, by)
     sums = [F.sum(names[i] * names[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
     out = {}
     for r in df.groupBy(*by).agg(*sums).collect():  # one row a fold
@@ -64,6 +67,42 @@ def gram(df: DataFrame, columns: list[str], target: str, by: list[str]) -> dict[
     return out
 
 
+#: Columns from which on products are summed in blocks by numpy; as expressions of their own they would be too many for generated code.
+WIDE = 20
+
+
+def wide_gram(df: DataFrame, names: list[Column], by: list[str]) -> dict[tuple, np.ndarray]:
+    """The same as gram, from one matrix product a batch and value of by; partial sums are added up in two steps."""
+    p = len(names)
+    rows = df.select(*by, *(c.alias(f"x{i}") for i, c in enumerate(names)))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "_slot int", "_g array<double>"])
+
+    def products(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        slot, sums = (task.partitionId() if task else 0) % 64, {}
+        for batch in batches:
+            for key, part in batch.groupby(by, dropna=False) if by else [((), batch)]:
+                x = part[[f"x{i}" for i in range(p)]].to_numpy(float)
+                sums[key] = sums.get(key, 0) + x.T @ x
+        yield pd.DataFrame([(*k, slot, g.ravel().tolist()) for k, g in sums.items()], columns=[*by, "_slot", "_g"])
+
+    def added(part):  # noqa: ANN001, ANN202
+        out = part.iloc[:1].copy()
+        out["_g"] = [np.sum(np.stack(part["_g"].to_numpy()), axis=0).tolist()]
+        return out[[*by, "_slot", "_g"]]
+
+    partial = rows.mapInPandas(products, schema).groupBy(*by, "_slot").applyInPandas(added, schema)
+    out: dict[tuple, np.ndarray] = {}
+    for r in partial.collect():  # at most 64 matrices a fold
+        key = tuple(r[b] for b in by)
+        out[key] = out.get(key, 0) + np.array(r["_g"]).reshape(p, p)
+    return out
+
+
 def centred(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
     """Standardised second moments: correlations-like X'X / n and X'y / n, with means and deviations, from a Gram matrix."""
     n, mean = g[0, 0], g[0, 1:-1] / g[0, 0]
@@ -363,3 +402,18 @@ def permutation_importance(df: DataFrame, columns: list[str], target: str, predi
         part = regression_metrics(predict(moved), target, "yhat").select(F.lit(c).alias("feature"), (F.col("rmse") - base).alias("rise"))
         out = part if out is None else out.union(part)
     return out
+
+
+def feature_weights(spark: SparkSession, columns: list[str], w: np.ndarray) -> DataFrame:
+    """feature, coefficient (signed; of trees, the importance), its size and its place by size, of a fit: a row a column, so few."""
+    rows = sorted(zip(columns, map(float, w), strict=True), key=lambda x: (-abs(x[1]), x[0]))
+    return spark.createDataFrame([(c, x, abs(x), k + 1) for k, (c, x) in enumerate(rows)], "feature string, coefficient double, size double, place int")
+
+
+def fit_summary(df: DataFrame, columns: list[str], target: str, fold: str, fits: dict, name: str, extra: list[str]) -> DataFrame:
+    """One row on a family of fits by fold: metrics of all rows by the fits that have not seen them, spread of the folds' rmse, coefficients, those that are not zero, and the final fit's figures."""
+    each = fold_scores(out_of_fold(df, columns, fold, fits), target, fold, fits, extra)
+    whole = each.filter(F.col(fold).isNull()).drop(fold)
+    spread = each.filter(F.col(fold).isNotNull()).agg(F.stddev_samp("rmse").alias("rmse_std"))
+    final = fits[None]["w"]
+    return whole.crossJoin(spread).select(F.lit(name).alias("model"), "*", F.lit(len(final)).alias("n_features"), F.lit(int((np.abs(final) > 1e-10).sum())).alias("n_nonzero"))

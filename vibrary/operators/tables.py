@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .signals import finite
+from .skew import average_ranks, quantiles
 
 STRATEGIES = ("drop", "median", "mean", "zero")
 
@@ -21,7 +22,10 @@ def handle_nonfinite(df: DataFrame, columns: list[str], strategy: str = "drop")
         return df.dropna(subset=columns)
     if strategy == "zero":
         return df.fillna(0.0, subset=columns)
-    by = df.agg(*((F.median(c) if strategy == "median" else F.avg(c)).alias(c) for c in columns)).first()
+    if strategy == "median":
+        by = {c: q[0] for c, q in quantiles(df, columns, [0.5]).items()}
+    else:
+        by = df.agg(*(F.avg(c).alias(c) for c in columns)).first().asDict()
     return df.fillna({c: by[c] for c in columns if by[c] is not None})
 
 
@@ -31,6 +35,30 @@ def constant_features(df: DataFrame, columns: list[str], threshold: float = 0.0)
     return [c for c in columns if by[c] is not None and by[c] <= threshold]
 
 
+def clean_features(
+    df: DataFrame, columns: list[str], rpm_max: float | None = None, strategy: str = "drop", drop_constant: bool = True, outliers_by: str | None = None, threshold: float = 3.0, outlier_columns: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The table after speeds, non-finite values, constant columns and outliers are dealt with, in this order, and the rows and features left after each step."""
+    from .conditions import filter_operating
+
+    steps, names = [("input", df, len(columns))], list(columns)
+    if rpm_max is not None:
+        df = filter_operating(df, rpm_max=rpm_max)
+        steps.append(("rpm", df, len(names)))
+    df = handle_nonfinite(df, names, strategy)
+    steps.append(("nonfinite", df, len(names)))
+    if drop_constant:
+        gone = constant_features(df, names)
+        df, names = df.drop(*gone), [c for c in names if c not in gone]
+        steps.append(("constant", df, len(names)))
+    if outliers_by:
+        tested = [c for c in outlier_columns or names if c in names]
+        df = outliers(df, tested, outliers_by, threshold).filter(~F.col("is_outlier")).drop("is_outlier")
+        steps.append(("outliers", df, len(names)))
+    counts = [(step, part.count(), n) for step, part, n in steps]
+    return df, df.sparkSession.createDataFrame(counts, "step string, n_rows long, n_features int")
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests), F.lit(False))
 
@@ -38,8 +66,8 @@ def any_of(tests: list[Column]) -> Column:
 def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 3.0) -> DataFrame:
     """df with is_outlier: some column is beyond threshold interquartile ranges from its quartiles, or sample deviations from its mean."""
     if method == "iqr":
-        by = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns)).first()
-        room = {c: threshold * (by[c][1] - by[c][0]) for c in columns if by[c]}
+        by = quantiles(df, columns, [0.25, 0.75])
+        room = {c: threshold * (by[c][1] - by[c][0]) for c in columns if by[c][0] is not None}
         tests = [(F.col(c) < by[c][0] - room[c]) | (F.col(c) > by[c][1] + room[c]) for c in room]
     elif method == "zscore":
         by = df.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
@@ -60,20 +88,24 @@ def pearson_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return by.unpivot([], columns, "feature", "r")
 
 
-def average_ranks(long: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """long with the average rank of value within by: ranks come from counts of distinct values, so a frequent value is one row in the sort."""
-    counts = long.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(*by, value, (F.sum("_c").over(upto) - (F.col("_c") - 1) / 2).alias(out))
-    return long.join(ranks, [*by, value])
+def ranked_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """A row (feature, _rx, _rt) for each value of each column: its average rank and that of the row's target."""
+    keyed = df.select(*columns, F.col(target).cast("double").alias("_t"), F.lit("target").alias("_of"))
+    rows = average_ranks(keyed, ["_of"], "_t", "_rt", columns[0])
+    return average_ranks(melted(rows, columns, ["_rt"]), ["feature"], "value", "_rx", "_rt")
 
 
 def spearman_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """feature and rho: the correlation of average ranks."""
-    keyed = df.select(*columns, F.col(target).cast("double").alias("_t"))
-    ranked = average_ranks(keyed.select(*columns, "_t", F.lit(0).alias("_one")), ["_one"], "_t", "_rt")
-    long = average_ranks(melted(ranked, columns, ["_rt"]), ["feature"], "value", "_rx")
-    return long.groupBy("feature").agg(F.corr("_rx", "_rt").alias("rho"))
+    return ranked_with(df, columns, target).groupBy("feature").agg(F.corr("_rx", "_rt").alias("rho"))
+
+
+def spearman_matrix(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """a, b and rho of every ordered pair of columns; rows are known by key (unique)."""
+    row = F.xxhash64(*key).alias("_row")
+    ranks = average_ranks(melted(df.select(row, *columns), columns, ["_row"]), ["feature"], "value", "r", "_row")
+    wide = ranks.groupBy("_row").pivot("feature", columns).agg(F.first("r"))
+    return corr_matrix(wide, columns).withColumnRenamed("r", "rho")
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,19 +137,24 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "feature string, vif double")
 
 
+def redundancy(pairs: DataFrame, factors: DataFrame, corr: float = 0.9, factor: float = 10.0) -> DataFrame:
+    """feature, vif, high_vif, partners (others as correlated as corr) and redundant (both) for each feature, from pairs (a, b, rho) and factors (feature, vif)."""
+    close = pairs.filter((F.col("a") != F.col("b")) & (F.abs("rho") >= corr)).groupBy(F.col("a").alias("feature")).agg(F.count("*").alias("partners"))
+    both = factors.join(close, "feature", "left").select("feature", "vif", (F.col("vif") >= factor).alias("high_vif"), F.coalesce("partners", F.lit(0)).cast("long").alias("partners"))
+    return both.withColumn("redundant", F.col("high_vif") & (F.col("partners") > 0))
+
+
 def reduce_redundant(pairs: dict[tuple[str, str], float], factors: dict[str, float], worth: dict[str, float], columns: list[str], corr: float = 0.9, factor: float = 10.0) -> list[str]:
-    """Columns left after visiting them from the least worth on: a surviving partner that is as correlated and as inflated as the limits goes if it is worth no more, else the visited column goes. Works on the p-sized tables."""
-    left = list(columns)
-    for f in sorted(columns, key=lambda c: worth[c]):
-        if f not in left:
-            continue
-        for p in [c for c in left if c != f and abs(pairs[f, c]) >= corr and factors[c] >= factor]:
-            if worth[f] >= worth[p]:
-                left.remove(p)
-            else:
-                left.remove(f)
-                break
-    return left
+    """The columns left of groups of close ones, from tables of p x p numbers; worths are taken as distinct (of equal ones the earlier column's is the greater).
+
+    A column goes if it is close to an inflated one of more worth. It also goes if it is inflated itself and close to
+    one of more worth that stays, or that would go only by a column later than this one.
+    """
+    order = {c: k for k, c in enumerate(columns)}
+    close = {c: [d for d in columns if d != c and abs(pairs[c, d]) >= corr] for c in columns}
+    better = {c: [d for d in close[c] if (worth[d], -order[d]) > (worth[c], -order[c])] for c in columns}
+    first = {c: min((order[d] for d in better[c] if factors[d] >= factor), default=len(columns)) for c in columns}
+    return [c for c in columns if first[c] == len(columns) and not (factors[c] >= factor and any(order[c] < first[d] for d in better[c]))]
 
 
 def binned_trend(df: DataFrame, x: str, y: str, bins: int = 12) -> DataFrame:
@@ -129,6 +166,15 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int = 12) -> DataFrame:
     return rows.groupBy("bin", "middle").agg(F.avg("_y").alias("mean"), F.count("*").alias("n"))
 
 
+def mutual_information_matrix(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """a, b and mi of every ordered pair of columns, as binned_mutual_information has it; a column with itself gives its binned entropy."""
+    half = None
+    for k, c in enumerate(columns):  # one pass a column, over all that follow it
+        part = binned_mutual_information(df.select(*columns, F.col(c).alias("_other")), columns[k:], "_other", bins).select(F.lit(c).alias("a"), F.col("feature").alias("b"), "mi")
+        half = part if half is None else half.unionByName(part)
+    return half.unionByName(half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "mi"))
+
+
 def binned_mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information of each feature and the target over equal-width bins."""
     names = [*columns, target]

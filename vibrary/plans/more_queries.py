@@ -19,9 +19,10 @@ from ..operators import models as M
 from ..operators import signals as S
 from ..operators import spectra as X
 from ..operators import tables as T
+from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
-from .queries import CHAIN, COLUMNS, HOLDOUT, PEARSON, PREDICTIONS, REGIME, SCORES, cleaned, conditions, predictions, residuals, scores
+from .queries import APART, CHAIN, COLUMNS, FUSED, HOLDOUT, PEARSON, PREDICTIONS, RANKS, SCORES, array_features, cleaned, conditions, predictions, residuals, scores
 from .registry import query, rounded
 
 INPUTS = ["quantity", "discount", "tax", "price"]
@@ -45,10 +46,57 @@ def upsert_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, old.filter("sensor = 'UL'").withColumn("rms", F.col("rms") + 1), "sensor")
 
 
+PAIR = "SELECT sensor, count(*) AS n, count(conditions.sweep) AS n_known, round(avg(rms), 6) AS mean_rms, round(avg(kappa), 6) AS mean_kappa FROM r LEFT JOIN conditions USING (sweep) GROUP BY sensor"
+
+
+def pair_read(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A written pair of features and metadata, read and joined."""
+    features, meta = store.feature_pair(spark, folder)
+    both = features.join(meta.select("sweep", F.col("sweep").alias("known"), "kappa"), "sweep", "left")
+    return rounded(both.groupBy("sensor").agg(F.count("*").alias("n"), F.count("known").alias("n_known"), F.avg("rms").alias("mean_rms"), F.avg("kappa").alias("mean_kappa")))
+
+
+@query(f"WITH {FUSED} {PAIR}", "arrays meta conditions")
+def scan_feature_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and metadata written as a pair and read as one."""
+    folder = store.scratch(spark, f"pair-{uuid.uuid4().hex}")
+    store.write_tables({"features": array_features(spark, sf_dir), "metadata": conditions(spark, sf_dir)}, folder)
+    return pair_read(spark, sf_dir, folder)
+
+
+@query(f"WITH {FUSED} {PAIR}", "arrays meta conditions")
+def sink_eda_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata with repeated sweeps, kept once each."""
+    folder, c = store.scratch(spark, f"eda-{uuid.uuid4().hex}"), conditions(spark, sf_dir)
+    store.write_eda_cache(array_features(spark, sf_dir), c.union(c), folder)
+    return pair_read(spark, sf_dir, folder)
+
+
+@query(f"WITH {SCORES} SELECT fold, model, round(rmse, 6) AS rmse FROM scores")
+def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as CSV and as JSON, a half of each read again."""
+    folder, table = store.scratch(spark, f"tables-{uuid.uuid4().hex}"), rounded(scores(spark, sf_dir))
+    for kind in ("csv", "json"):
+        store.write_tables({"scores": table}, folder, kind)
+    types = "fold long, model string, rmse double"
+    columns = ["fold", "model", "rmse"]
+    from_csv = spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)).option("header", True).csv(f"{folder}/scores.csv").filter("model = 'A'")
+    return from_csv.select(columns).union(spark.read.schema(types).json(f"{folder}/scores.json").filter("model = 'B'").select(columns))
+
+
+@query(f"WITH {FUSED} SELECT sensor, count(*) AS n FROM r GROUP BY sensor", "arrays")
+def scan_first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several places that holds a table."""
+    folder = store.scratch(spark, f"first-{uuid.uuid4().hex}")
+    store.write_tables({"features": array_features(spark, sf_dir)}, folder)
+    found = store.first_available(spark, [f"{folder}/nothing.parquet", f"{folder}/features.parquet", f"{sf_dir}/events.parquet"])
+    return found.groupBy("sensor").agg(F.count("*").alias("n"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT user_id) AS n_users FROM events")
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files whose names match a pattern, read together."""
-    return store.discover(spark, sf_dir, ["event*"]).agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users"))
+    return store.discover(spark, sf_dir, ["event*", "*vents"]).agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users"))
 
 
 @query("SELECT sweep, any_value(voltage[1]) AS first_v, CAST(any_value(len(voltage)) AS INTEGER) AS n FROM arrays WHERE sensor = 'AE' AND sweep IN (1, 5, 9) GROUP BY sweep", "arrays")
@@ -64,10 +112,10 @@ def waveform_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH o AS (SELECT sweep, kappa, row_number() OVER (ORDER BY kappa, sweep) - 1 AS r, count(*) OVER () AS n FROM conditions WHERE kappa IS NOT NULL) SELECT sweep, round(kappa, 6) AS kappa FROM o WHERE r IN (0, CAST(floor((n - 1) / 4) AS INT), CAST(floor((n - 1) / 2) AS INT), CAST(floor(3 * (n - 1) / 4) AS INT), n - 1)", "meta conditions")
 def signal_select_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five sweeps evenly spaced in the order of kappa; ranks are numbered within buckets of kappa."""
+    """Five sweeps evenly spaced in the order of kappa; ranks are numbered range by range of kappa."""
     c = conditions(spark, sf_dir).filter("kappa IS NOT NULL").select("sweep", "kappa")
     n = c.count()
-    ranked = M.bucketed_rank(c, F.concat(F.lpad(F.hex((F.col("kappa") * 1e12).cast("long")), 16, "0"), F.lpad(F.hex("sweep"), 16, "0")), "r")
+    ranked = numbered(c, [], "kappa", ["sweep"], "r")
     return rounded(ranked.filter(F.col("r").isin([k * (n - 1) // 4 for k in range(5)])).select("sweep", "kappa"))
 
 
@@ -110,9 +158,38 @@ def join_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "feature", "full_outer")
 
 
-@query(f"WITH {WEIGHTS} SELECT model, round(sum(abs(importance)), 6) AS total, round(avg(abs(importance)), 6) AS mean_abs FROM w GROUP BY model")
+#: Least squares of the target on quantity and tax, and each row's attribution.
+TWO = """m AS (SELECT avg(quantity) AS mq, avg(tax) AS mt, var_pop(quantity) AS vq, var_pop(tax) AS vt, covar_pop(quantity, tax) AS c, covar_pop(quantity, target) AS cq, covar_pop(tax, target) AS ct FROM features),
+w AS (SELECT mq, mt, (vt * cq - c * ct) / (vq * vt - c * c) AS wq, (vq * ct - c * cq) / (vq * vt - c * c) AS wt FROM m),
+shap AS (SELECT sensor, 'quantity' AS feature, wq * (quantity - mq) AS shap FROM features, w UNION ALL SELECT sensor, 'tax', wt * (tax - mt) FROM features, w)"""
+
+
+def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensor, feature and shap of each row and feature of a linear fit."""
+    f, names = D.feature_table(spark, sf_dir), ["quantity", "tax"]
+    w, _ = M.ridge(sum(M.gram(f, names, "target", []).values()), 0.0)
+    long = M.shap_linear(f, names, w).select("sensor", *(F.col(f"shap_{c}").alias(c) for c in names))
+    return long.unpivot(["sensor"], names, "feature", "shap")
+
+
+@query(f"WITH {TWO}, i AS (SELECT sensor, feature, avg(abs(shap)) AS mean_abs FROM shap GROUP BY sensor, feature) SELECT sensor, round(sum(mean_abs), 6) AS contribution FROM i GROUP BY sensor", "features")
 def sensor_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(weights(spark, sf_dir).groupBy("model").agg(F.sum(F.abs("importance")).alias("total"), F.avg(F.abs("importance")).alias("mean_abs")))
+    """Sum over features of the mean size of their attribution, by sensor."""
+    by = attributions(spark, sf_dir).groupBy("sensor", "feature").agg(F.avg(F.abs("shap")).alias("mean_abs"))
+    return rounded(by.groupBy("sensor").agg(F.sum("mean_abs").alias("contribution")))
+
+
+@query(f"WITH {TWO} SELECT feature, round(avg(abs(shap)), 6) AS mean_abs FROM shap GROUP BY feature", "features")
+def mean_abs_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(attributions(spark, sf_dir).groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs")))
+
+
+@query(f"WITH {TWO} SELECT feature, round(c, 6) AS coefficient, round(abs(c), 6) AS size, CAST(row_number() OVER (ORDER BY abs(c) DESC, feature) AS INTEGER) AS place FROM (SELECT 'quantity' AS feature, wq AS c FROM w UNION ALL SELECT 'tax', wt FROM w)", "features")
+def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed coefficients of a fit, by size."""
+    names = ["quantity", "tax"]
+    w, _ = M.ridge(sum(M.gram(D.feature_table(spark, sf_dir), names, "target", []).values()), 0.0)
+    return rounded(M.feature_weights(spark, names, w))
 
 
 @query(f"WITH {WEIGHTS} SELECT a.model AS model_a, b.model AS model_b, count(*) AS n FROM w a JOIN w b ON a.feature = b.feature AND a.model < b.model GROUP BY 1, 2")
@@ -128,14 +205,14 @@ def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def infogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of the squared envelope's spectrum for a grid of centres and widths, against that of noise."""
-    a = X.to_arrays(cleaned(spark, sf_dir), D.FS)
-    return rounded(X.infogram(a, [100.0, 200.0, 300.0], [50.0, 100.0]))
+    return rounded(X.infogram(X.to_arrays(cleaned(spark, sf_dir), D.FS), *X.usual_grid(D.FS)))
 
 
 @query()
 def wavelet_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and kurtosis of each signal's response to damped oscillations."""
-    return rounded(X.wavelet_map(D.array_sweeps(spark, sf_dir), [50.0, 100.0, 200.0], [20.0, 60.0]))
+    f0s, dampings = X.usual_grid(D.FS)
+    return rounded(X.wavelet_map(D.array_sweeps(spark, sf_dir), f0s, dampings))
 
 
 @query(
@@ -152,34 +229,66 @@ def map_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- relevance
 
 
-@query()
+CLEAN = """r AS (SELECT *, 50.0::DOUBLE + sweep % 5000 AS rpm, CASE WHEN sweep % 50 = 0 THEN NULL ELSE quantity END AS q FROM features), a AS (SELECT * FROM r WHERE rpm < 4000), b AS (SELECT * FROM a WHERE q IS NOT NULL),
+k AS (SELECT avg(price) AS m, stddev_samp(price) AS s, avg(q) AS mq, stddev_samp(q) AS sq, avg(tax) AS mt, stddev_samp(tax) AS st FROM b),
+o AS (SELECT b.* FROM b, k WHERE NOT (abs(price - m) / s > 1.6 OR abs(q - mq) / sq > 1.6 OR abs(tax - mt) / st > 1.6))"""
+
+
+def cleaned_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = D.feature_table(spark, sf_dir).withColumn("rpm", 50.0 + F.col("sweep") % 5000).withColumn("quantity", F.when(F.col("sweep") % 50 == 0, float("nan")).otherwise(F.col("quantity")))
+    return T.clean_features(f, ["quantity", "tax", "flat", "price"], rpm_max=4000, outliers_by="zscore", threshold=1.6)
+
+
+@query(
+    f"WITH {CLEAN} SELECT 'input' AS step, count(*) AS n_rows, 4 AS n_features FROM r UNION ALL SELECT 'rpm', count(*), 4 FROM a UNION ALL SELECT 'nonfinite', count(*), 4 FROM b UNION ALL SELECT 'constant', count(*), 3 FROM b UNION ALL SELECT 'outliers', count(*), 3 FROM o",
+    "features",
+)
 def clean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and features left after each cleaning step."""
-    f, names = D.feature_table(spark, sf_dir), [*COLUMNS, "flat"]
-    steps = [("input", f.count(), len(names))]
-    f = T.handle_nonfinite(f, names)
-    steps.append(("nan", f.count(), len(names)))
-    names = [c for c in names if c not in T.constant_features(f, names)]
-    steps.append(("constant", steps[-1][1], len(names)))
-    steps.append(("outliers", T.outliers(f, names).filter("NOT is_outlier").count(), len(names)))
-    return spark.createDataFrame(steps, "step string, n_rows long, n_features int")
+    return cleaned_table(spark, sf_dir)[1]
 
 
-@query("WITH c AS (SELECT corr(quantity, collinear) AS r FROM features) SELECT 'quantity' AS feature, 1::BIGINT AS partners FROM c WHERE abs(r) >= 0.9 UNION ALL SELECT 'collinear', 1 FROM c WHERE abs(r) >= 0.9", "features")
+@query(f"WITH {CLEAN} SELECT sensor, count(*) AS n, round(sum(q), 4) AS quantity, round(sum(price), 2) AS price FROM o GROUP BY sensor", "features")
+def cleaned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned table itself."""
+    f = cleaned_table(spark, sf_dir)[0]
+    assert "flat" not in f.columns
+    return f.groupBy("sensor").agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 4).alias("quantity"), F.round(F.sum("price"), 2).alias("price"))
+
+
+NAMES = ["quantity", "tax", "collinear", "price"]
+RHOS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(r_{a}, r_{b}) AS rho FROM ranks" for a in NAMES for b in NAMES)
+
+
+@query(f"WITH {RANKS} SELECT a, b, round(rho, 6) AS rho FROM ({RHOS})", "features")
+def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row"]))
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table with a number for each row, the same whenever it is read."""
+    return D.feature_table(spark, sf_dir).withColumn("row", F.xxhash64("file", "sweep", "sensor", *NAMES, "target", F.col("_metadata.row_index")))
+
+
+@query(f"WITH {RANKS}, p AS (SELECT a AS feature, count(*) FILTER (a <> b AND abs(rho) >= 0.9) AS partners FROM ({RHOS}) GROUP BY a) SELECT feature, feature <> 'price' AS high_vif, partners, feature <> 'price' AND partners > 0 AS redundant FROM p", "features")
 def flag_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that are both inflated and highly correlated with others."""
-    f, names = D.feature_table(spark, sf_dir), ["quantity", "tax", "collinear", "price"]
-    partners = T.corr_matrix(f, names).filter("a <> b AND abs(r) >= 0.9").groupBy(F.col("a").alias("feature")).agg(F.count("*").alias("partners"))
-    return partners.join(T.vif(f, names).filter("vif >= 10"), "feature").select("feature", "partners")
+    """Which features are inflated (three depend on each other exactly, the price on none), how many others each is close to, and which are both."""
+    return T.redundancy(T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row"]), T.vif(D.feature_table(spark, sf_dir), NAMES)).drop("vif")
 
 
-@query()
+@query(
+    f"""WITH {RANKS}, p AS ({RHOS}), w AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, abs(corr(r_{c}, r_target)) AS worth FROM ranks" for c in NAMES)}),
+k AS (SELECT p.a, p.b FROM p JOIN w x ON x.feature = p.a JOIN w y ON y.feature = p.b WHERE p.a <> p.b AND abs(rho) >= 0.9 AND p.b <> 'price' AND (y.worth > x.worth OR y.worth = x.worth AND p.b = 'quantity'))
+SELECT feature FROM w WHERE feature NOT IN (SELECT a FROM k)""",
+    "features",
+)
 def reduce_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, names = D.feature_table(spark, sf_dir), ["quantity", "tax", "collinear", "price"]
-    pairs = {(r.a, r.b): r.r for r in T.corr_matrix(f, names).collect()}
-    factors = {r.feature: r.vif for r in T.vif(f, names).collect()}
-    worth = {r.feature: abs(r.r) for r in T.pearson_target(f, names, "target").collect()}
-    return spark.createDataFrame([(c,) for c in T.reduce_redundant(pairs, factors, worth, names)], "feature string")
+    """What is left of close features: relevance and closeness are by rank."""
+    f = D.feature_table(spark, sf_dir)
+    pairs = {(r.a, r.b): r.rho for r in T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row"]).collect()}
+    factors = {r.feature: r.vif for r in T.vif(f, NAMES).collect()}
+    worth = {r.feature: abs(r.rho) for r in T.spearman_target(f, NAMES, "target").collect()}
+    return spark.createDataFrame([(c,) for c in T.reduce_redundant(pairs, factors, worth, NAMES)], "feature string")
 
 
 @query(f"SELECT feature, round(r, 6) AS r FROM (SELECT feature, r, row_number() OVER (ORDER BY abs(r) DESC, feature) AS k FROM ({PEARSON})) WHERE k <= 2", "features")
@@ -195,7 +304,8 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = PCA(k=2, inputCol="z", outputCol="pc").fit(z)
     signs = np.sign(model.pc.toArray()[0])
     pc = vector_to_array("pc")
-    return rounded(model.transform(z).select("file", "sweep", (pc[0] * float(signs[0] or 1)).alias("pc1"), (pc[1] * float(signs[1] or 1)).alias("pc2")))
+    share = [F.lit(float(x)).alias(f"explained{k + 1}") for k, x in enumerate(model.explainedVariance)]
+    return rounded(model.transform(z).select("file", "sweep", (pc[0] * float(signs[0] or 1)).alias("pc1"), (pc[1] * float(signs[1] or 1)).alias("pc2"), *share))
 
 
 # --- models
@@ -221,22 +331,30 @@ def bayesian_ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.out_of_fold(final, INPUTS, "fold", fits, std="std").select("file", "sweep", "fold", "target", "yhat", "std", "final_yhat", "final_std"))
 
 
+#: The sets of inputs that models are compared on.
+SETS = {"load": ["quantity", "price"], "rates": ["discount", "tax"], "combined": INPUTS}
+
+
 @query()
 def nested_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outer-fold errors, for each repeat, of elastic nets (one Gram pass for all) and of ridge on products (two passes a repeat); penalties are chosen within the other folds' rows."""
+    """Outer-fold errors, for each repeat and set of inputs, of elastic nets (one Gram pass for all) and of ridge on products (two passes a repeat and set); penalties are chosen within the other folds' rows."""
     folds = M.kfold(D.feature_table(spark, sf_dir), ["file", "sweep"], 5, repeats=5)
     f = D.feature_table(spark, sf_dir).join(folds, ["file", "sweep"]).withColumn("inner", F.pmod(F.xxhash64("file", "sweep", "repeat"), F.lit(5)).cast("int"))
+    f = f.persist()
     out = []
     grams = M.gram(f, INPUTS, "target", ["repeat", "fold", "inner"])
-    for r in range(5):
-        own = {k[1:]: g for k, g in grams.items() if k[0] == r}
-        for held, fit in M.elastic_net_nested(own).items():
-            if held is not None:
-                g = sum(m for k, m in own.items() if k[0] == held)
-                out.append(("elastic_net", r, held, float(np.sqrt(M.squared_error(g, fit["w"], fit["b"]) / g[0, 0])), fit["alpha"], fit["l1_ratio"]))
-        _, _, fits = M.poly_ridge_nested(f.filter(F.col("repeat") == r), INPUTS, "target", "fold")
-        out += [("poly_ridge", r, held, fit["rmse"], fit["alpha"], None) for held, fit in fits.items() if held is not None]
-    return rounded(spark.createDataFrame(out, "model string, repeat int, fold int, rmse double, alpha double, l1_ratio double"))
+    for name, columns in SETS.items():
+        at = [0, *(1 + INPUTS.index(c) for c in columns), len(INPUTS) + 1]
+        for r in range(5):
+            own = {k[1:]: g[np.ix_(at, at)] for k, g in grams.items() if k[0] == r}
+            for held, fit in M.elastic_net_nested(own).items():
+                if held is not None:
+                    g = sum(m for k, m in own.items() if k[0] == held)
+                    out.append(("elastic_net", name, r, held, float(np.sqrt(M.squared_error(g, fit["w"], fit["b"]) / g[0, 0])), fit["alpha"], fit["l1_ratio"]))
+            _, _, fits = M.poly_ridge_nested(f.filter(F.col("repeat") == r), columns, "target", "fold")
+            out += [("poly_ridge", name, r, held, fit["rmse"], fit["alpha"], None) for held, fit in fits.items() if held is not None]
+    f.unpersist()
+    return rounded(spark.createDataFrame(out, "model string, feature_set string, repeat int, fold int, rmse double, alpha double, l1_ratio double"))
 
 
 @query()
@@ -291,10 +409,36 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.permutation_importance(f, INPUTS, "target", lambda df: df.withColumn("yhat", M.linear(INPUTS, w, b)), ["file", "sweep"]))
 
 
-@query(f"WITH {SCORES} SELECT arg_min(model, m) AS model, round(min(m), 6) AS mean_rmse FROM (SELECT model, avg(rmse) AS m FROM scores GROUP BY model)")
+def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold errors of both models on the parts of three suppliers' groups, which stand for feature sets."""
+    p = D.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey"), F.col("l_suppkey"), (0.01 * F.col("l_quantity") - 2 * F.col("l_discount") + 5 * F.col("l_tax") * F.col("l_tax") + 0.3 * (F.col("l_suppkey") % 7)).alias("y"), "l_partkey"
+    )
+    p = p.withColumns({"A": F.col("y") + 0.1 * F.sin("l_partkey"), "B": F.col("y") + 0.15 * F.cos("l_partkey"), "fold": F.col("l_orderkey") % 25, "feature_set": F.concat(F.lit("set"), F.col("l_suppkey") % 3)})
+    both = p.select("fold", "feature_set", "y", F.explode(F.create_map(F.lit("A"), F.col("A"), F.lit("B"), F.col("B"))).alias("kind", "yhat"))
+    both = both.withColumn("model", F.concat_ws("_", "kind", "feature_set"))
+    return M.regression_metrics(both, "y", "yhat", ["fold", "feature_set", "model"]).select("fold", "feature_set", "model", "rmse")
+
+
+SET_SCORES = """t AS (SELECT l_orderkey % 25 AS fold, 'set' || (l_suppkey % 3) AS feature_set, l_partkey, 0.01::DOUBLE * l_quantity - 2 * l_discount + 5 * l_tax * l_tax + 0.3::DOUBLE * (l_suppkey % 7) AS y FROM lineitem),
+ss AS (SELECT fold, feature_set, 'A_' || feature_set AS model, sqrt(avg(power(y - (y + 0.1::DOUBLE * sin(l_partkey)), 2))) AS rmse FROM t GROUP BY 1, 2 UNION ALL SELECT fold, feature_set, 'B_' || feature_set, sqrt(avg(power(y - (y + 0.15::DOUBLE * cos(l_partkey)), 2))) FROM t GROUP BY 1, 2),
+best AS (SELECT feature_set, arg_min(model, m) AS model, min(m) AS mean_rmse FROM (SELECT feature_set, model, avg(rmse) AS m FROM ss GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"WITH {SET_SCORES} SELECT feature_set, model, round(mean_rmse, 6) AS mean_rmse FROM best")
 def best_per_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = scores(spark, sf_dir).groupBy("model").agg(F.avg("rmse").alias("m"))
-    return rounded(by.agg(F.min_by("model", "m").alias("model"), F.min("m").alias("mean_rmse")))
+    return rounded(C.best_per_set(set_scores(spark, sf_dir)))
+
+
+@query(f"WITH {SET_SCORES} SELECT DISTINCT x.feature_set, x.model AS model_a, y.model AS model_b FROM ss x JOIN ss y ON x.feature_set = y.feature_set AND x.model < y.model")
+def pairs_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pairs_within(set_scores(spark, sf_dir))
+
+
+@query(f"WITH {SET_SCORES} SELECT x.feature_set AS set_a, x.model AS model_a, y.feature_set AS set_b, y.model AS model_b FROM best x JOIN best y ON x.feature_set < y.feature_set")
+def pairs_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best model of each set against that of each other set."""
+    return C.pairs_cross(set_scores(spark, sf_dir))
 
 
 @query()
@@ -304,24 +448,37 @@ def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = C.ttest_corrected(C.paired(scores(spark, sf_dir), ["fold"], "rmse"), 5).select(*keys, F.col("t").alias("cv_t_stat"), F.col("p").alias("cv_p_value"))
     r = residuals(spark, sf_dir)
     dm = C.diebold_mariano(r).select(*keys, F.col("dm").alias("dm_stat"), F.col("p").alias("dm_p"))
-    w = C.wilcoxon(r).select(*keys, F.col("w").alias("wilcoxon_stat"))
-    return rounded(C.holm(t.join(dm, keys).join(w, keys), "cv_p_value"), 5)
+    w = C.wilcoxon(r).select(*keys, F.col("w").alias("wilcoxon_stat"), F.col("p").alias("wilcoxon_p"))
+    ci = C.bootstrap_rmse(r.select(F.concat_ws(":", "file", "sweep").alias("key"), "a", "b"), 200).select("delta_rmse", F.col("ci_lo").alias("ci_95_lo"), F.col("ci_hi").alias("ci_95_hi"))
+    return rounded(C.holm(t.join(dm, keys).join(w, keys), "cv_p_value").crossJoin(ci), 5)
 
 
-SUMMARY = "s AS (SELECT model, avg(rmse) AS cv_rmse, stddev_samp(rmse) AS cv_std FROM scores GROUP BY model), h AS (SELECT 'A' AS model, sqrt(avg(power(y - a, 2))) AS r FROM p WHERE l_orderkey % 5 = 0 UNION ALL SELECT 'B', sqrt(avg(power(y - b, 2))) FROM p WHERE l_orderkey % 5 = 0)"
+METRICS = "round(1 - sum(power(y - {x}, 2)) / (count(*) * var_pop(y)), 6) AS {p}r2, round(avg(abs(y - {x})), 6) AS {p}mae, round(sqrt(avg(power(y - {x}, 2))), 6) AS {p}rmse"
+SUMMARY = "s AS (SELECT model, avg(rmse) AS cv_rmse, stddev_samp(rmse) AS cv_std FROM scores GROUP BY model), h AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, {METRICS.format(x=m.lower(), p='holdout_')} FROM p WHERE l_orderkey % 5 = 0" for m in "AB") + ")"
 
 
-@query(f"WITH {SCORES}, {SUMMARY} SELECT model, round(cv_rmse, 6) AS cv_rmse, round(cv_std, 6) AS cv_std, round(r, 6) AS holdout_rmse FROM s JOIN h USING (model)")
+@query(f"WITH {SCORES}, {SUMMARY} SELECT model, round(cv_rmse, 6) AS cv_rmse, round(cv_std, 6) AS cv_std, holdout_r2, holdout_mae, holdout_rmse FROM s JOIN h USING (model)")
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated and holdout errors of each model."""
     cv = scores(spark, sf_dir).groupBy("model").agg(F.avg("rmse").alias("cv_rmse"), F.stddev_samp("rmse").alias("cv_std"))
     p = predictions(spark, sf_dir).filter("file % 5 = 0")
     both = p.select("y", F.explode(F.create_map(F.lit("A"), F.col("a"), F.lit("B"), F.col("b"))).alias("model", "yhat"))
-    held = M.regression_metrics(both, "y", "yhat", ["model"]).select("model", F.col("rmse").alias("holdout_rmse"))
+    held = M.regression_metrics(both, "y", "yhat", ["model"]).select("model", *(F.col(c).alias(f"holdout_{c}") for c in ("r2", "mae", "rmse")))
     return rounded(cv.join(held, "model"))
 
 
-@query(f"WITH {SCORES} SELECT model, arg_min(fold, rmse) AS best_fold, round(min(rmse), 6) AS rmse FROM scores GROUP BY model")
+@query()
+def fit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each linear family, the metrics of held-out folds, how many coefficients it has and how many are not zero, and the final fit's penalties."""
+    f = folded(spark, sf_dir).withColumn("inner", (F.floor(F.col("file") / 5) % 5).cast("int"))
+    nets = M.elastic_net_nested(M.gram(f, INPUTS, "target", ["fold", "inner"]))
+    wide, names, ridges = M.poly_ridge_nested(f, INPUTS, "target", "fold")
+    out = [M.fit_summary(f, INPUTS, "target", "fold", nets, "elastic_net", ["alpha", "l1_ratio"]), M.fit_summary(wide, names, "target", "fold", ridges, "poly_ridge", ["alpha"])]
+    return rounded(out[0].unionByName(out[1], allowMissingColumns=True))
+
+
+@query()
 def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was chosen where each model did best."""
-    return rounded(scores(spark, sf_dir).groupBy("model").agg(F.min_by("fold", "rmse").alias("best_fold"), F.min("rmse").alias("rmse")))
+    """The penalties of each model's best outer fold."""
+    s = nested_cv_scores(spark, sf_dir)
+    return s.groupBy("model", "feature_set").agg(F.min_by(F.struct("alpha", "l1_ratio"), "rmse").alias("best"), F.min("rmse").alias("rmse")).select("model", "feature_set", "best.alpha", "best.l1_ratio", "rmse")

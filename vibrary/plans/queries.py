@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,15 +110,25 @@ def kappa_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins
 
 
-@query(
-    "WITH r AS (SELECT sweep, sensor, sqrt(list_sum(list_transform(voltage, lambda x: x * x)) / len(voltage)) AS rms FROM arrays) SELECT a.sweep, round(a.rms, 6) AS ae_rms, round(u.rms, 6) AS ul_rms FROM r a JOIN r u ON a.sweep = u.sweep AND a.sensor = 'AE' AND u.sensor = 'UL'",
-    "arrays",
-)
-def join_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+FUSED = "r AS (SELECT sweep, sensor, sqrt(list_sum(list_transform(voltage, lambda x: x * x)) / len(voltage)) AS rms, (list_max(voltage) - list_min(voltage)) / 2 AS peak FROM arrays)"
+
+
+def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     square = F.aggregate("voltage", F.lit(0.0), lambda a, x: a + x * x)
-    r = D.array_sweeps(spark, sf_dir).select("sweep", "sensor", F.sqrt(square / F.size("voltage")).alias("rms"))
-    both = r.groupBy("sweep").agg(F.max(F.when(F.col("sensor") == "AE", F.col("rms"))).alias("ae_rms"), F.max(F.when(F.col("sensor") == "UL", F.col("rms"))).alias("ul_rms"))
-    return rounded(both.dropna())
+    return D.array_sweeps(spark, sf_dir).select("sweep", "sensor", F.sqrt(square / F.size("voltage")).alias("rms"), ((F.array_max("voltage") - F.array_min("voltage")) / 2).alias("peak"))
+
+
+@query(f'WITH {FUSED} SELECT sweep, round(a.rms, 6) AS "AE__rms", round(a.peak, 6) AS "AE__peak", round(u.rms, 6) AS "UL__rms", round(u.peak, 6) AS "UL__peak", round(kappa, 6) AS kappa FROM (FROM r WHERE sensor = \'AE\') a JOIN (FROM r WHERE sensor = \'UL\') u USING (sweep) JOIN conditions USING (sweep)', "arrays meta conditions")
+def join_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of both sensors in one row a sweep, with the first's target."""
+    r = array_features(spark, sf_dir).join(conditions(spark, sf_dir).select("sweep", "kappa"), "sweep")
+    return rounded(O.fused(r, ["sweep"], ("AE", "UL"), ["rms", "peak"], "kappa"))
+
+
+@query("SELECT count(DISTINCT sweep) FILTER (sensor = 'AE' AND sweep % 3 > 0) AS \"n_AE\", count(DISTINCT sweep) FILTER (sensor = 'UL') AS \"n_UL\", count(DISTINCT sweep) FILTER (sensor = 'AE' AND sweep % 3 > 0) AS n_both FROM arrays", "arrays")
+def join_fusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps before and after fusion, where one sensor lacks a third of them."""
+    return O.fused_counts(array_features(spark, sf_dir).filter("sensor = 'UL' OR sweep % 3 > 0"), ["sweep"], ("AE", "UL"))
 
 
 @query(f"SELECT {REGIME} AS regime, count(*) AS n, round(avg(rms), 6) AS mean_rms, round(stddev_samp(rms), 6) AS std_rms FROM timed JOIN conditions USING (sweep) GROUP BY 1", f"{CHAIN} timed meta conditions")
@@ -294,9 +307,24 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.corr_matrix(D.feature_table(spark, sf_dir), COLUMNS))
 
 
-@query("SELECT 'quantity' AS feature, round(1 / (1 - power(corr(quantity, price), 2)), 6) AS vif FROM features UNION ALL SELECT 'price', round(1 / (1 - power(corr(quantity, price), 2)), 6) FROM features", "features")
+APART = ["quantity", "discount", "tax", "price"]
+
+
+def determinant_sql(rows: list[str], columns: list[str]) -> str:
+    """Of the matrix of correlations r_{row}_{column}, by its first row."""
+    if not rows:
+        return "1"
+    terms = [f"{'-' if k % 2 else '+'} r_{rows[0]}_{c} * ({determinant_sql(rows[1:], columns[:k] + columns[k + 1:])})" for k, c in enumerate(columns)]
+    return " ".join(terms)
+
+
+@query(
+    f"WITH c AS (SELECT {', '.join(f'corr({a}, {b}) AS r_{a}_{b}' for a in APART for b in APART)} FROM features), d AS (SELECT *, {determinant_sql(APART, APART)} AS d FROM c) "
+    + " UNION ALL ".join(f"SELECT '{x}' AS feature, round(({determinant_sql([c for c in APART if c != x], [c for c in APART if c != x])}) / d, 6) AS vif FROM d" for x in APART),
+    "features",
+)
 def vif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.vif(D.feature_table(spark, sf_dir), ["quantity", "price"]))
+    return rounded(T.vif(D.feature_table(spark, sf_dir), APART))
 
 
 @query("WITH s AS (SELECT min(price) AS lo, max(price) AS hi FROM features) SELECT CAST(greatest(ceil(round((price - lo) / ((hi - lo) / 12), 9)), 1) AS INTEGER) AS bin, count(*) AS n, round(avg(target), 6) AS mean FROM features, s GROUP BY 1", "features")
@@ -304,15 +332,25 @@ def binned_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.binned_trend(D.feature_table(spark, sf_dir), "price", "target")).select("bin", "n", "mean")
 
 
-@query(
-    """WITH s AS (SELECT min(quantity) AS lq, max(quantity) AS hq, min(target) AS lt, max(target) AS ht FROM features),
-c AS (SELECT least(floor((quantity - lq) / (hq - lq) * 10), 9) AS b, least(floor((target - lt) / (ht - lt) * 10), 9) AS t FROM features, s), j AS (SELECT b, t, count(*) AS n FROM c GROUP BY b, t),
-p AS (SELECT n, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY t) AS nt, sum(n) OVER () AS total FROM j)
-SELECT 'quantity' AS feature, round(sum(n / total * ln(n * total / (nb * nt))), 6) AS mi FROM p""",
-    "features",
+CELLS = "s AS (SELECT {spans} FROM features), c AS (SELECT {cells} FROM features, s)".format(
+    spans=", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in (*COLUMNS, "target")), cells=", ".join(f"least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 10), 9) AS {c}" for c in (*COLUMNS, "target"))
 )
+
+
+def mutual_sql(a: str, b: str) -> str:
+    """Of the binned columns of CELLS."""
+    counts = f"SELECT count(*) AS n, any_value(nb) AS nb, any_value(nt) AS nt, any_value(total) AS total FROM (SELECT {a} AS b, {b} AS t, count(*) OVER (PARTITION BY {a}) AS nb, count(*) OVER (PARTITION BY {b}) AS nt, count(*) OVER () AS total FROM c) GROUP BY b, t"
+    return f"(SELECT round(sum(n / total * ln(n * total / (nb * nt))), 6) FROM ({counts}))"
+
+
+@query(f"WITH {CELLS} " + " UNION ALL ".join(f"SELECT '{x}' AS feature, {mutual_sql(x, 'target')} AS mi" for x in COLUMNS), "features")
 def mutual_info_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.binned_mutual_information(D.feature_table(spark, sf_dir), ["quantity"], "target"))
+    return rounded(T.binned_mutual_information(D.feature_table(spark, sf_dir), COLUMNS, "target"))
+
+
+@query(f"WITH {CELLS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {mutual_sql(a, b)} AS mi" for a in APART for b in APART), "features")
+def mi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.mutual_information_matrix(D.feature_table(spark, sf_dir), APART))
 
 
 # --- models and their comparison
@@ -405,13 +443,14 @@ def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.diebold_mariano(residuals(spark, sf_dir)).drop("p"), 5)
 
 
-@query("WITH d AS (SELECT round(abs(0.1 * sin(l_partkey)) - abs(0.15 * cos(l_partkey)), 9) AS d FROM lineitem), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) SELECT 'A' AS model_a, 'B' AS model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r")
+@query(
+    f"WITH {PREDICTIONS}, d AS (SELECT abs(round(y - a, 9)) - abs(round(y - b, 9)) AS d FROM p), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) "
+    "SELECT 'A' AS model_a, 'B' AS model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r"
+)
 def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.feature_table(spark, sf_dir)
-    # the difference of the two sizes stands for the pair, so that both engines see the same ties
-    d = F.round(F.abs(0.1 * F.sin("sweep")) - F.abs(0.15 * F.cos("sweep")), 9)
-    pairs = f.select(F.lit("A").alias("model_a"), F.lit("B").alias("model_b"), F.greatest(d, F.lit(0.0)).alias("a"), F.greatest(-d, F.lit(0.0)).alias("b"))
-    return C.wilcoxon(pairs)
+    """On the residuals of two models, rounded so that both engines see the same ties."""
+    r = residuals(spark, sf_dir)
+    return C.wilcoxon(r.select("model_a", "model_b", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))).drop("p")
 
 
 @query("WITH t AS (SELECT l_suppkey % 20 AS test, avg(l_discount) AS p FROM lineitem GROUP BY 1), o AS (SELECT test, p, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS m FROM t) SELECT test, round(p, 6) AS p, round(0.05 / (m - i + 1), 6) AS holm_threshold, min(CASE WHEN p <= 0.05 / (m - i + 1) THEN 1 ELSE 0 END) OVER (ORDER BY p, test) = 1 AS reject FROM o")
@@ -420,10 +459,26 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.holm(t))
 
 
-@query()
+RESAMPLES = 200
+POISSON = ", ".join(repr(x) for x in accumulate(math.exp(-1) / math.factorial(n) for n in range(8)))
+
+
+@query(
+    f"""WITH e AS (SELECT l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber AS key, t - (t + 0.1::DOUBLE * sin(l_partkey)) AS a, t - (t + 0.15::DOUBLE * cos(l_partkey)) AS b
+  FROM (SELECT *, 0.01::DOUBLE * l_quantity - 2 * l_discount + 5 * l_tax * l_tax + 0.3::DOUBLE * (l_suppkey % 7) AS t FROM lineitem)),
+m AS (SELECT a * a AS aa, b * b AS bb, four, md5('42:' || four || ':' || key) AS h FROM e, (SELECT unnest(range(0, {RESAMPLES // 4})) AS four)),
+u AS (SELECT four, j, aa, bb, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM m, (SELECT unnest([0, 1, 2, 3]) AS j)),
+w AS (SELECT four, j, aa, bb, len(list_filter([{POISSON}], lambda s: u >= s)) AS w FROM u),
+d AS (SELECT sqrt(sum(w * aa) / sum(w)) - sqrt(sum(w * bb) / sum(w)) AS d FROM w GROUP BY four, j)
+SELECT (SELECT round(sqrt(avg(a * a)) - sqrt(avg(b * b)), 6) FROM e) AS delta_rmse, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM d"""
+)
 def bootstrap_rmse_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = residuals(spark, sf_dir).groupBy((F.col("file")).alias("key")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
-    return rounded(C.bootstrap_rmse(by, 50))
+    """Of the errors of two models, an error a row; rows with one key in all columns are drawn together."""
+    x = D.read(spark, sf_dir, "lineitem")
+    t = 0.01 * F.col("l_quantity") - 2 * F.col("l_discount") + 5 * F.col("l_tax") * F.col("l_tax") + 0.3 * (F.col("l_suppkey") % 7)
+    key = F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("key")
+    e = x.select(key, (t - (t + 0.1 * F.sin("l_partkey"))).alias("a"), (t - (t + 0.15 * F.cos("l_partkey"))).alias("b"))
+    return rounded(C.bootstrap_rmse(e, RESAMPLES))
 
 
 @query(

@@ -22,8 +22,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("user_id") % 10 == 3, F.least("value", F.lit(60.0)))
         .otherwise(F.col("value"))
     )
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return e.select(F.col("user_id").alias("sweep"), F.lit("AE").alias("sensor"), i.cast("long").alias("i"), v.alias("v"))
+    e = place_within(e.select("user_id", "event_id", "value"), "user_id", "event_id", "i")
+    return e.select(F.col("user_id").alias("sweep"), F.lit("AE").alias("sensor"), F.col("i").cast("long").alias("i"), v.alias("v"))
+
+
+#: Events of a stretch, about.
+STRETCH = 1_000_000
+
+
+def place_within(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """df with the 0-based place of each row among those of its key, by a unique whole number order. Stretches of that number are counted for each key, so a frequent key is many small windows."""
+    cut = df.withColumn("_s", F.floor(F.col(order) / STRETCH))
+    counts = cut.groupBy(key, "_s").agg(F.count("*").alias("_n"))
+    first = counts.select(key, "_s", (F.sum("_n").over(Window.partitionBy(key).orderBy("_s")) - F.col("_n")).alias("_first"))
+    cut = cut.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(order)) - 1)
+    return cut.join(first, [key, "_s"]).withColumn(out, F.col("_first") + F.col("_r")).drop("_s", "_r", "_first")
 
 
 def sweep_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

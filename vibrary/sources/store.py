@@ -4,46 +4,72 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A place all executors see: below spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """A place all executors see: below spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}"
 
 
 def discover(spark: SparkSession, folder: str, patterns: list[str]) -> DataFrame:
-    """The Parquet files of a folder whose stem matches one of the patterns, each with its name in column file; an error if there are none."""
-    found = None
-    for p in patterns:
-        part = spark.read.parquet(f"{folder}/{p}.parquet").withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", ""))
-        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    if found is None:
+    """The Parquet files of a folder whose stem matches one of the patterns, each once and with its name in column file; an error if there are none."""
+    if not patterns:
         raise FileNotFoundError(f"no pattern given for {folder}")
-    return found
+    try:  # one pattern of alternatives, so that a file that several match is read once
+        found = spark.read.option("mergeSchema", True).parquet(f"{folder}/{{{','.join(patterns)}}}.parquet")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no file in {folder} matches {', '.join(patterns)}") from e
+    return found.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", ""))
 
 
 def first_available(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """The first of the paths that can be read."""
-    jvm = spark.sparkContext._jvm
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        try:
             return spark.read.parquet(p)
+        except AnalysisException:
+            continue
     return None
 
 
+def feature_pair(spark: SparkSession, folder: str, names: tuple[str, str] = ("features", "metadata")) -> tuple[DataFrame, DataFrame]:
+    """The feature and the metadata table of a folder; an error that names what is missing."""
+    found = [first_available(spark, [f"{folder}/{n}.parquet"]) for n in names]
+    missing = [n for n, df in zip(names, found, strict=True) if df is None]
+    if missing:
+        raise FileNotFoundError(f"no {' and '.join(missing)} in {folder}")
+    return found[0], found[1]
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
+    """Each table as folder/name.kind (parquet, csv with a header, or json)."""
+    for name, df in tables.items():
+        writer = df.write.mode("overwrite").option("header", True)
+        writer.format(kind).save(f"{folder}/{name}.{kind}")
+
+
+def write_eda_cache(features: DataFrame, conditions: DataFrame, folder: str) -> None:
+    """Features, and one row of conditions for each distinct sweep, as the pair that feature_pair reads."""
+    key = [c for c in ("file", "sweep") if c in conditions.columns]
+    write_tables({"features": features, "metadata": conditions.dropDuplicates(key)}, folder)
+
+
 def write_by_sensor(df: DataFrame, path: str) -> None:
     """One folder a sensor, so that a sensor can be read or replaced alone."""
     df.write.partitionBy("sensor").mode("overwrite").parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old without the key values that new has, and new."""
-    gone = new.select(key).distinct()
-    return old.join(gone, key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """old without the key values that new has, and new. The values (sensors) are few and known before the rows are read, so rows are filtered where they are."""
+    gone = [r[0] for r in new.select(key).distinct().collect()]
+    kept = old.filter(~F.coalesce(F.col(key).isin(gone), F.lit(False))) if gone else old
+    return kept.unionByName(new, allowMissingColumns=True)
