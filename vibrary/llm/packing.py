@@ -17,6 +17,7 @@ import json
 import math
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ PART_ROWS, FAN = 50_000, 8
 #: A sequence with at most so many tokens free is nearly full.
 SLACK = 4
 #: Words of which a task remembers the tokens.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Where n sequences of a node's child go that are filled to fill, from the lo-th on: each to a place at offset off of a
 #: sequence of its own, numbered from seq on if that is emitted, else the to_lo-th and following of those filled to to_fill.
@@ -44,7 +45,7 @@ ODD_BLANKS = re.compile(r"\s \s")
 
 
 class Tokens(dict):
-    """Words (with the space before them) to token ids as bytes, of the byte-level BPE whose ranks lie in path.
+    """Words to the token ids (as bytes) of a space and the word, of the byte-level BPE whose ranks lie in path.
 
     A space followed by a visible character always starts a new piece of the BPE's splitting pattern, so a
     text without a blank on both sides of a space is the sum of its words; other texts are encoded whole.
@@ -57,14 +58,14 @@ class Tokens(dict):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = {s: np.array([i], np.dtype("<u4")).tobytes() for s, i in (special or {}).items()}
+        self.special = {s: array("I", [i]).tobytes() for s, i in (special or {}).items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if special else None
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), np.dtype("<u4")).tobytes()
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
+        ids = self.whole(" " + word)
         if len(self) >= REMEMBERED:
             self.clear()
         if len(word) < 100:
@@ -72,7 +73,7 @@ class Tokens(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if not self.marks or not self.marks.search(text):
+        if not any(map(text.__contains__, self.special)):
             return self.ordinary(text)
         between = map(self.ordinary, self.marks.split(text))
         return next(between) + b"".join(self.special[m] + x for m, x in zip(self.marks.findall(text), between, strict=True))
@@ -81,7 +82,7 @@ class Tokens(dict):
         if "  " in text or ODD_BLANKS.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[" " + w] for w in rest])
+        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
 
 @lru_cache(1)
