@@ -15,6 +15,7 @@ import pytest
 
 import corpus_pipeline
 from vibrary.llm import decontaminate, elias_fano, html, jaccard, language, lines, packing, pii, quality, registry, scoring, sharding
+from vibrary.operators import skew
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -445,7 +446,7 @@ def test_jaccard_join_is_exact(spark, docs, texts, odd) -> None:  # noqa: ANN001
 
 
 def test_hot_keys_meet_copies(spark, monkeypatch) -> None:  # noqa: ANN001
-    monkeypatch.setattr(jaccard, "HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
     rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k")
     known = rows.filter("k % 2 = 0").groupBy("k").count().withColumnRenamed("count", "w").withColumn("said", jaccard.F.col("k") + 1)
     for how, n in (("inner", 334 + 333), ("left", 1000)):
@@ -470,6 +471,14 @@ def test_language(spark, odd) -> None:  # noqa: ANN001
     model = language.train(odd, language.remainder(odd["doc_id"], 4) != 2)
     out = language.identify(odd, model).collect()
     assert len(out) == len(ODD) and {r.lang_pred for r in out if r.doc_id in (1, 2, 3, 8)} == {"und"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.train(docs, language.remainder(docs["doc_id"], 4) != 2)
+    seen = model.idf < model.idf.max()  # n-grams of some document
+    assert seen.sum() > 500 and 0.4 < np.mean(model.weights[:-1][seen] == 0) < 0.95  # most weights of n-grams that are met are zero
+    language.PAIRS, was = 5000, language.PAIRS
+    few = language.train(docs, language.remainder(docs["doc_id"], 4) != 2)
+    language.PAIRS = was
+    assert few.langs and (few.idf < few.idf.max()).sum() < seen.sum()
     nobody = language.train(odd.limit(0), language.remainder(odd["doc_id"], 4) != 2)
     assert {r.lang_pred for r in language.identify(odd, nobody).collect()} == {"und"}
 
@@ -481,6 +490,11 @@ def test_shards(spark, texts, odd) -> None:  # noqa: ANN001
     for r in got:
         by[r.shard].append(r.slot)
     assert len(by) == 24 and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.sql(sharding.OP10_SQL)
+    at = [want.columns.index(c) for c in sharding.op10_feistel_sharding(spark, DATA).columns]
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
     for n in (1, 2, 3, 7, 50, 1000):
         assert sorted(r.p for r in sharding.permuted(spark.range(n), "id", "p", n).collect()) == list(range(n))
     assert sharding.shard(odd).count() == len(ODD) and sharding.shard(odd.limit(0)).count() == 0

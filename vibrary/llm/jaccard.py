@@ -16,7 +16,7 @@
    few comparisons a class, and no link between different groups is lost.
 
 Sets are kept as 64-bit hashes; classes by a 128-bit hash of the sorted set. Where many rows share a key (a large
-class, group or common token), the join on it is salted, see met.
+class, group or common token), the join on it is salted, see skew.met.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import met
 from .common import Hashes, settled, table, words_of
 
 SHINGLE, PERCENT = 4, 85
@@ -40,8 +41,6 @@ CHUNK, SHARD = 400_000, 2_000_000
 BLOCK, QUERIES = 250, 1000
 #: Comparisons with one head that are one task's, and blocks in one row of a token, about.
 FOLLOWERS, TOGETHER = 1000, 1000
-#: A key is hot if it has more than this share of a join's rows; there are fewer hot keys than its inverse, so a table of them is small.
-HOT, HOT_ROWS = 1 / 10_000, 1000
 #: Up to so many keys are broadcast to pick their documents; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 #: Minimum hashes compared in each round of step 2: one is enough for most copies, later rounds are for what is still apart.
@@ -75,19 +74,6 @@ def least_common(a: Column, b: Column, percent: int) -> Column:
     return (a > 0) & (100 * b >= percent * a)
 
 
-def met(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, by: str, how: str = "inner") -> DataFrame:
-    """rows joined to known on keys, where weight is how many of rows have a key of known (and is left out). Rows of hot keys are dealt by a hash of their column by, and meet a copy each."""
-    most, every = known.agg(F.max(weight), F.sum(weight)).first()
-    limit = max(HOT_ROWS, (every or 0) * HOT)
-    if (most or 0) <= limit:
-        return rows.join(known.drop(weight), keys, how)
-    hot = F.broadcast(known.filter(F.col(weight) > limit).select(*keys, F.ceil(F.col(weight) / limit).alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1))
-    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts)).drop("_salts")
-    copies = known.drop(weight).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
-    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, _h (hash of the text) and text as bytes: rows equal in the first two are equal in all."""
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("text"))

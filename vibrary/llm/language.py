@@ -9,15 +9,15 @@ and for prediction; the driver gets the sample's sparse counts only.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, table
 
-#: Labelled documents the classifier is fitted on, at most.
-SAMPLE = 3000
+#: Labelled documents the classifier is fitted on, at most, and their n-gram counts in all, at most: both bound what reaches the driver.
+SAMPLE, PAIRS = 3000, 8_000_000
 BITS, ORDERS = 15, (1, 2, 3)
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 1e-4, 1e-4, 3
+ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.05, 1e-4, 3
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -101,7 +101,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Classifier:
     model.weights = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     scores = [(model.logits(f, c), at[lang]) for f, c, lang in rest]
     loss = lambda t: -sum(np.log(max(softmax(s / t)[k], 1e-12)) for s, k in scores)
-    model.temperature = min(np.geomspace(0.05, 5, 40), key=loss) if scores else 1.0
+    model.temperature = min(np.geomspace(0.01, 5, 60), key=loss) if scores else 1.0
     return model
 
 
@@ -122,7 +122,9 @@ def train(docs: DataFrame, eligible: Column, size: int = SAMPLE) -> Classifier:
         pairs = [ngram_counts(t) for t in rows["text"]]
         return {"_key": rows["_key"], "lang": rows["lang"], "found": [f.tolist() for f, _ in pairs], "counts": [c.tolist() for _, c in pairs]}
 
-    sample = map_batches(chosen.select("_key", "text", "lang"), make, "_key long, lang string, found array<int>, counts array<int>").collect()
+    sample = map_batches(chosen.select("_key", "text", "lang"), make, "_key long, lang string, found array<int>, counts array<int>")
+    upto = F.sum(F.size("found")).over(Window.orderBy("_key"))  # over SAMPLE rows at most
+    sample = sample.withColumn("_upto", upto).filter(F.col("_upto") <= PAIRS).drop("_upto").collect()
     sample.sort(key=lambda r: r["_key"])
     return fit([(np.array(r["found"], np.int64), np.array(r["counts"], np.float64), r["lang"]) for r in sample])
 

@@ -241,8 +241,8 @@ def blurred(grid: DataFrame, sigma: float = 1.5) -> DataFrame:
         i, j = np.indices(z.shape)
         return pa.table({"y": ys[i.ravel()].astype(float), "x": xs[j.ravel()].astype(float), "z": z.ravel(), "gap": gap.ravel()})
 
-    every = grid.select(F.col("y").cast("double"), F.col("x").cast("double"), F.col("z").cast("double"))
-    return every.groupBy(F.lit(0)).applyInArrow(run, "y double, x double, z double, gap boolean")
+    every = grid.select(F.lit("map").alias("of"), F.col("y").cast("double"), F.col("x").cast("double"), F.col("z").cast("double"))
+    return every.groupBy("of").applyInArrow(run, "y double, x double, z double, gap boolean")
 
 
 def map_gradient(grid: DataFrame, sigma: float = 0.0) -> DataFrame:
