@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from vibrary.operators import compare, extract, models, signals, skew, spectra, tables
+from vibrary.operators import trees as G
 from vibrary.plans import extract_queries, more_queries, queries
 from vibrary.plans.registry import QUERIES
 from vibrary.sources import fixtures
@@ -250,11 +251,18 @@ def test_summary_of_fits(spark) -> None:  # noqa: ANN001
 
 
 def test_boosted_trees_and_nested_scores(spark, table) -> None:  # noqa: ANN001
-    trees = QUERIES["gbt_cv"](spark, DATA).collect()
-    assert sorted(r.fold for r in trees) == list(range(5)) and sum(r.n for r in trees) == len(table)
-    assert all(0 < r.rmse < table.target.std() and r.n_trees >= 1 for r in trees)
+    out, trees = G.gbt_cv(more_queries.folded(spark, DATA), INPUTS, "target", "fold", 5, **more_queries.SMALL_TREES)
+    rows = out.toPandas()
+    assert len(rows) == len(table) and len(trees) == 5 and min(trees) >= 1
+    got = {None if pd.isna(r.fold) else int(r.fold): r for r in QUERIES["gbt_cv"](spark, DATA).toPandas().itertuples()}
+    for held in (None, 0, 4):
+        own = rows if held is None else rows[rows.fold == held]
+        assert got[held].n == len(own) and got[held].rmse == pytest.approx(math.sqrt(((own.target - own.yhat) ** 2).mean()), abs=1e-5) and got[held].rmse < table.target.std()
+    assert got[None].n_trees == max(1, round(np.mean(trees)))
     tuned = QUERIES["gbt_tune"](spark, DATA).collect()
-    assert len({(r.max_depth, r.step_size) for r in tuned}) == len(tuned) > 3 and all(r.rmse > 0 for r in tuned)
+    assert len({(r.max_depth, r.step_size) for r in tuned}) == len(tuned) == 4 and [r.rmse for r in tuned if r.best] == [min(r.rmse for r in tuned)]
+    used = {r.feature: r for r in QUERIES["shap_tree"](spark, DATA).collect()}
+    assert sum(r.importance for r in used.values()) == pytest.approx(1, abs=1e-5) and max(used, key=lambda c: used[c].rise) == max(INPUTS, key=lambda c: abs(table[c].corr(table.target)))
 
 
 def test_nested_scores_by_rows(spark, table) -> None:  # noqa: ANN001

@@ -5,11 +5,8 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from ..operators import models as M
 from ..operators import signals as S
 from ..operators import spectra as X
 from ..operators import tables as T
+from ..operators import trees as G
 from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
@@ -357,28 +355,32 @@ def nested_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(out, "model string, feature_set string, repeat int, fold int, rmse double, alpha double, l1_ratio double"))
 
 
+#: Smaller than USUAL, so that a run takes seconds.
+SMALL_TREES = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.2}
+
+
 @query()
 def gbt_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees that stop early on the next fold, scored on each held-out fold."""
-    x = VectorAssembler(inputCols=INPUTS, outputCol="x").transform(folded(spark, sf_dir))
-    out = None
-    for held in range(5):
-        gbt = GBTRegressor(featuresCol="x", labelCol="target", validationIndicatorCol="stop", maxIter=10, maxDepth=3, stepSize=0.3, minInstancesPerNode=10, subsamplingRate=0.8, seed=42)
-        model = gbt.fit(x.withColumn("stop", F.col("fold") == (held + 1) % 5).filter(F.col("fold") != held))
-        part = M.regression_metrics(model.transform(x.filter(F.col("fold") == held)), "target", "prediction").select(F.lit(held).alias("fold"), "*", F.lit(model.getNumTrees).alias("n_trees"))
-        out = part if out is None else out.union(part)
-    return rounded(out)
+    """Boosted trees that stop early, scored on each held-out fold and on all of them."""
+    return rounded(G.gbt_scores(folded(spark, sf_dir), INPUTS, "target", "fold", 5, **SMALL_TREES))
 
 
 @query()
 def gbt_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and step size by a split of the training rows."""
-    x = VectorAssembler(inputCols=INPUTS, outputCol="x").transform(folded(spark, sf_dir)).filter("fold <> 0")
-    gbt = GBTRegressor(featuresCol="x", labelCol="target", maxIter=4, seed=42)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [2, 3]).addGrid(gbt.stepSize, [0.1, 0.3]).build()
-    fit = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="target"), trainRatio=0.8, seed=42, parallelism=2).fit(x)
-    rows = [(int(p[gbt.maxDepth]), float(p[gbt.stepSize]), float(m)) for p, m in zip(grid, fit.validationMetrics, strict=True)]
-    return rounded(spark.createDataFrame(rows, "max_depth int, step_size double, rmse double"))
+    """Depth and step size by inner folds of the training rows."""
+    f = folded(spark, sf_dir).filter("fold <> 0").withColumn("inner", (F.floor(F.col("file") / 5) % 3).cast("int"))
+    tuned = G.gbt_tune(f, INPUTS, "target", "inner", 3, {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=5)
+    return rounded(tuned.select(F.col("maxDepth").cast("int").alias("max_depth"), F.col("stepSize").alias("step_size"), "rmse", "best"))
+
+
+@query()
+def shap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What trees go by: how their error grows when a column is moved to other rows, and their own importances."""
+    f = folded(spark, sf_dir)
+    model = G.gbt_final(f, INPUTS, "target", [10], **SMALL_TREES)
+    predict = lambda df: model.transform(G.assembled(df, INPUTS)).withColumnRenamed("prediction", "yhat")
+    moved = M.permutation_importance(f, INPUTS, "target", predict, ["file", "sweep"])
+    return rounded(moved.join(G.importances(model, INPUTS, f).select("feature", F.col("size").alias("importance")), "feature"))
 
 
 @query(
