@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
+
 #: A key is hot if it has more than this share of a join's rows; there are fewer hot keys than its inverse, so a table of them is small.
 HOT, HOT_ROWS = 1 / 10_000, 1000
 #: Ranges that a column's values are cut into, and the accuracy of quantiles that only bracket the exact ones.
@@ -29,7 +33,8 @@ def in_ranges(df: DataFrame, by: list[str], value: str) -> DataFrame:
     cuts = F.percentile_approx(value, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(ACCURACY)).alias("_cuts")
     table = df.groupBy(*by).agg(cuts)
     both = df.join(F.broadcast(table), by) if by else df.crossJoin(F.broadcast(table))
-    return both.withColumn("_range", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
+    below = reduce(lambda a, k: a + (F.get("_cuts", F.lit(k)) < F.col(value)).cast("int"), range(RANGES - 1), F.lit(0))  # generated code, unlike a lambda
+    return both.withColumn("_range", below).drop("_cuts")
 
 
 def numbered(df: DataFrame, by: list[str], value: str, ties: list[str], out: str, amount: Column | None = None) -> DataFrame:
@@ -46,9 +51,9 @@ def numbered(df: DataFrame, by: list[str], value: str, ties: list[str], out: str
 
 def average_ranks(long: DataFrame, by: list[str], value: str, out: str, spread: str) -> DataFrame:
     """long with the average rank of value within by (of few values), from counts of distinct values, so a frequent one is a row in the sort; rows find theirs by a join in which those of a frequent value are dealt by a hash of column spread."""
-    counts = long.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = kept(long.groupBy(*by, value).agg(F.count("*").alias("_c")), "counts")
     ranks = numbered(counts, by, value, [], "_before", F.col("_c"))
-    ranks = ranks.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
+    ranks = kept(ranks.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / 2).alias(out)), "ranks")
     return met(long, ranks, [*by, value], "_c", spread)
 
 

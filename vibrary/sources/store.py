@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written below the shared folder and read again, for what is used more than once."""
+    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discover(spark: SparkSession, folder: str, patterns: list[str]) -> DataFrame:
     """The Parquet files of a folder whose stem matches one of the patterns, each once and with its name in column file; an error if there are none."""
     if not patterns:
