@@ -426,10 +426,14 @@ WITH RECURSIVE w AS (
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS shingles FROM w
-), t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
-k AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a)
-SELECT s.doc_id, any_value(len(shingles)) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id
+    ELSE list_sort(list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)])) END AS shingles FROM w
+), e AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN 'none ' || doc_id ELSE md5(array_to_string(shingles, '|')) END AS mark, shingles FROM s),
+c AS (SELECT mark, min(doc_id) AS first, any_value(n) AS n, any_value(shingles) AS shingles FROM e GROUP BY mark),
+t AS (SELECT first, n, hash(unnest(shingles)) AS shingle FROM c),
+k AS (SELECT a.first AS a, b.first AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.first < b.first AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT first AS a, first AS b FROM c UNION SELECT r.a, edges.b FROM r JOIN edges ON r.b = edges.a),
+lowest AS (SELECT a AS first, min(b) AS component_id FROM r GROUP BY a)
+SELECT e.doc_id, e.n AS n_shingles, component_id FROM e JOIN c USING (mark) JOIN lowest ON lowest.first = c.first
 """
