@@ -198,6 +198,8 @@ def test_wide_gram(spark) -> None:  # noqa: ANN001
     one = np.column_stack([np.ones(300), x])
     assert len(got) == 3 and all(np.allclose(g, one[np.arange(300) % 3 == k[0]].T @ one[np.arange(300) % 3 == k[0]]) for k, g in got.items())
     assert np.allclose(models.gram(df, [f"c{k}" for k in range(21)], "c21", [])[()], one.T @ one)
+    r = {(x.a, x.b): x.r for x in tables.corr_matrix(df, [f"c{k}" for k in range(22)]).collect()}
+    assert np.allclose([[r[f"c{i}", f"c{j}"] for j in range(22)] for i in range(22)], np.corrcoef(x.T))
 
 
 def test_redundant_features_by_visits() -> None:

@@ -392,9 +392,10 @@ def predict_interval(df: DataFrame, columns: list[str], fit: dict) -> DataFrame:
     return df.withColumn("yhat", linear(columns, fit["w"], fit["b"])).withColumn("std", F.sqrt(form))
 
 
-def permutation_importance(df: DataFrame, columns: list[str], target: str, predict, keys: list[str], buckets: int = 64) -> DataFrame:  # noqa: ANN001
-    """feature and rise of the RMSE when the feature comes from the next row in hash order, within buckets of the keys' hash."""
-    base = regression_metrics(predict(df), target, "yhat").first()["rmse"]
+def permutation_importance(df: DataFrame, columns: list[str], target: str, predict, keys: list[str], rows: int = 100_000) -> DataFrame:  # noqa: ANN001
+    """feature and rise of the RMSE when the feature comes from the next row in hash order, within buckets of the keys' hash of about so many rows."""
+    whole = regression_metrics(predict(df), target, "yhat").first()
+    base, buckets = whole["rmse"], max(64, whole["n"] // rows)
     order = Window.partitionBy(F.pmod(F.xxhash64(*keys), F.lit(buckets))).orderBy(F.xxhash64(*keys, F.lit(1)), *keys)
     out = None
     for c in columns:

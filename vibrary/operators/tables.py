@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import models as M
 from .signals import finite
 from .skew import average_ranks, quantiles
 
@@ -109,13 +111,24 @@ def spearman_matrix(df: DataFrame, columns: list[str], key: list[str]) -> DataFr
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b and r of every ordered pair of columns, from one aggregate."""
+    """a, b and r of every ordered pair of columns, from one aggregate; of many columns, from the Gram matrix of the standardised ones."""
+    if len(columns) > M.WIDE:
+        r = correlations(df, columns)
+        rows = [(a, b, float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     by = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)).unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
     half = by.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "r")
     return half.union(half.filter("a <> b").select("b", "a", "r"))
 
 
+def correlations(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """The p x p matrix, from rows without missing values; columns are centred first, so that sums of products keep their digits."""
+    z = M.standardize(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), columns, F.lit(True))
+    g = M.gram(z, columns[:-1], columns[-1], [])[()]
+    return g[1:, 1:] / g[0, 0]
+
+
 def relevance(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """rho, r, their mean size and the descending average rank of each feature."""
     both = spearman_target(df, columns, target).join(pearson_target(df, columns, target), "feature").withColumn("combined", (F.abs("rho") + F.abs("r")) / 2)
@@ -125,10 +138,8 @@ def relevance(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature and variance inflation: the diagonal of the inverse correlation matrix, infinite if that is singular. Only the p x p matrix reaches the driver."""
-    import numpy as np
-
-    r = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a in columns for b in columns)).first()
-    m = np.array([[1.0 if a == b else r[f"{a}|{b}"] for b in columns] for a in columns], float)
+    r = {(x.a, x.b): x.r for x in corr_matrix(df, columns).collect()}
+    m = np.array([[1.0 if a == b else r[a, b] for b in columns] for a in columns], float)
     out = []
     for i, c in enumerate(columns):
         rest = [k for k in range(len(columns)) if k != i]
