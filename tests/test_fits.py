@@ -100,6 +100,13 @@ def test_bayesian_ridge_by_rows(spark, table) -> None:  # noqa: ANN001
     assert np.allclose(np.sort(held.yhat), np.sort(want.yhat), atol=1e-4) and np.allclose(np.sort(held["std"]), np.sort(want["std"]), atol=1e-4)
 
 
+def test_intervals_of_mean_and_value(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "a double, b double")
+    fit = {"w": np.array([1.0, 2.0]), "b": 0.5, "mean": np.array([0.0, 1.0]), "cov": np.array([[0.25, 0.0], [0.0, 1.0]]), "noise": 4.0}
+    value, mean = (models.predict_interval(df, ["a", "b"], fit, p).orderBy("a").collect() for p in (True, False))
+    assert [r.yhat for r in value] == [2.5, 4.5] and [r.std for r in mean] == [0.0, 1.0] and [r.std for r in value] == pytest.approx([2.0, math.sqrt(5)])
+
+
 def test_pca_by_rows(spark, table) -> None:  # noqa: ANN001
     got = QUERIES["pca_project"](spark, DATA).toPandas()
     z = scaled(table, table, INPUTS)

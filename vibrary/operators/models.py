@@ -357,14 +357,6 @@ def shap_linear(df: DataFrame, columns: list[str], w: np.ndarray) -> DataFrame:
     return df.withColumns({f"shap_{c}": (F.col(c) - by[c]) * float(x) for c, x in zip(columns, w, strict=True)})
 
 
-def ridge_cv(df: DataFrame, columns: list[str], target: str, fold: str, alphas: list[float]) -> tuple[float, np.ndarray, float]:
-    """Penalty with the least squared error over the folds, and the fit on all rows; the data are read once."""
-    folds = gram(df, columns, target, [fold])
-    total = sum(folds.values())
-    best = min(alphas, key=lambda a: sum(squared_error(g, *ridge(total - g, a)) for g in folds.values()))
-    return float(best), *ridge(total, best)
-
-
 def bayesian_ridge(g: np.ndarray, rounds: int = 300) -> dict:
     """Ridge whose noise and weight precisions maximise the evidence, by fixed-point steps on the eigenvalues of the centred moments."""
     n, mean, y = g[0, 0], g[0, 1:-1] / g[0, 0], g[0, -1] / g[0, 0]
@@ -382,10 +374,10 @@ def bayesian_ridge(g: np.ndarray, rounds: int = 300) -> dict:
     return {"w": before, "b": y - float(mean @ before), "mean": mean, "cov": (vectors / (noise * values + weight)) @ vectors.T, "noise": 1 / noise}
 
 
-def predict_interval(df: DataFrame, columns: list[str], fit: dict) -> DataFrame:
-    """df with yhat and std, the deviation of a new value: noise plus the quadratic form of the weights' covariance."""
+def predict_interval(df: DataFrame, columns: list[str], fit: dict, predictive: bool = True) -> DataFrame:
+    """df with yhat and std: the deviation of a new value (noise plus the quadratic form of the weights' covariance), or of the mean alone (without the noise)."""
     d = [F.col(c) - float(m) for c, m in zip(columns, fit["mean"], strict=True)]
-    form = F.lit(float(fit["noise"]))
+    form = F.lit(float(fit["noise"]) if predictive else 0.0)
     for i, x in enumerate(d):
         for j, z in enumerate(d):
             form = form + x * z * float(fit["cov"][i, j])

@@ -20,7 +20,7 @@ from ..operators import trees as G
 from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
-from .queries import APART, CHAIN, COLUMNS, FUSED, HOLDOUT, PEARSON, PREDICTIONS, RANKS, SCORES, array_features, cleaned, conditions, predictions, residuals, scores
+from .queries import CHAIN, COLUMNS, FUSED, HOLDOUT, PEARSON, PREDICTIONS, RANKS, SCORES, array_features, cleaned, conditions, predictions, residuals, scores
 from .registry import query, rounded
 
 INPUTS = ["quantity", "discount", "tax", "price"]

@@ -428,6 +428,12 @@ def melt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores(spark, sf_dir).groupBy("fold").pivot("model", ["A", "B"]).agg(F.max("rmse")))
 
 
+@query(f"WITH {SCORES} SELECT fold, model, round(rmse, 6) AS rmse FROM scores")
+def unpivot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table of scores as one row a model and fold again."""
+    return melt_scores(spark, sf_dir).unpivot(["fold"], ["A", "B"], "model", "rmse").filter("rmse IS NOT NULL")
+
+
 @query(f"WITH {SCORES}, d AS (SELECT a.rmse - b.rmse AS d FROM scores a JOIN scores b USING (fold) WHERE a.model = 'A' AND b.model = 'B') SELECT 'A' AS model_a, 'B' AS model_b, count(*) AS n, round(avg(d) / sqrt((1.0 / count(*) + 0.25) * var_samp(d)), 5) AS t FROM d")
 def ttest_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.ttest_corrected(C.paired(scores(spark, sf_dir), ["fold"], "rmse"), 5).drop("p"), 5)
