@@ -56,6 +56,7 @@ class LineRuns:
     def __init__(self, min_docs: int, buckets: int = 8, fan_in: int = FAN_IN) -> None:
         self.min_docs, self.buckets, self.fan_in = min_docs, buckets, fan_in
         self.levels: dict[int, list[tuple[DataFrame, DataFrame]]] = defaultdict(list)
+        self.names: list[str] = []
 
     def runs(self) -> list[tuple[DataFrame, DataFrame]]:
         """Each run as a bucketed table and as plain files."""
@@ -85,11 +86,19 @@ class LineRuns:
         spark, name = run.sparkSession, f"line_run_{uuid.uuid4().hex}"
         path = f"{shared_folder(spark)}-run{level}"
         run.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        self.names.append(name)
         self.levels[level].append((spark.table(name), spark.read.schema("h long, h2 long, n long").parquet(path)))
         if len(self.levels[level]) == self.fan_in:
             self._put(level + 1, self._merged(self.levels.pop(level)))
 
 
+    def close(self, spark: SparkSession) -> None:
+        """Takes the runs out of the catalogue; their files stay in the shared folder."""
+        for name in self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.levels = [], defaultdict(list)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -114,6 +123,7 @@ def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
     shared = settled(runs.shared(), "shared")
+    runs.close(docs.sparkSession)
     kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     at, width = docs.columns.index("text"), len(docs.columns)
     known = None
