@@ -27,7 +27,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Hashes(dict):
     """64-bit hashes of words, kept for those met so far up to a number."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.REMEMBERED:

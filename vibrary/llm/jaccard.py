@@ -36,7 +36,7 @@ from .common import Hashes, settled, table, words_of
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles of the documents in a chunk, and those of a shard, about.
-CHUNK, SHARD = 400_000, 2_000_000
+CHUNK, SHARD = 300_000, 1_000_000
 #: Classes of a block, and classes compared with a block at once, about.
 BLOCK, QUERIES = 250, 1000
 #: Comparisons with one head that are one task's, and blocks in one row of a token, about.
@@ -125,6 +125,8 @@ def sharing(docs: DataFrame, shards: int, n: int = SHINGLE) -> DataFrame:
                     chunk, held, ids, hashes, sets = chunk + 1, 0, [], [], []
         if ids:
             yield rows()
+        _hashes.clear()  # workers live on, and so would what they hold
+        pa.default_memory_pool().release_unused()
 
     def count(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
@@ -174,6 +176,8 @@ def token_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 nodes = [int.from_bytes(m[:8], "little", signed=True) for m in marks]
                 stars = [[int((s * np.uint64(k)).min().astype(np.int64)) if len(s) else 0 for k in STARS] for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(stars, pa.list_(pa.int64()))], names=["mark", "node", "n", "tokens", "stars"])
+        _hashes.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, "mark binary, node long, n long, tokens binary, stars array<long>")
 

@@ -31,6 +31,8 @@ BATCHES, FAN_IN = 4, 4
 BUCKET_ROWS = 2_000_000
 #: Up to so many shared lines (two longs each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Texts that lines are dropped from at once.
+SLICE = 500
 KEY = ["h", "h2"]
 TRIMMED = BLANKS.encode()
 #: Spark's xxhash64 of 1, with which it starts the second hash.
@@ -137,18 +139,21 @@ def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
         rows = docs.join(found, docs["doc_id"].eqNullSafe(found[found.columns[0]]), "left").drop(found.columns[0])
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
-            texts, n_lines, n_dropped = [], [], []
-            for k, text in enumerate(batch.column(at).cast(pa.binary())):
-                lines = (text.as_py() or b"").split(b"\n")
-                drop = known.value if known else {(x["h"], x["h2"]) for x in batch.column(width)[k].as_py() or ()}
-                left = [x for x in lines if line_hash(x) not in drop] if drop else lines
-                texts.append(b"\n".join(left))
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(left))
-            columns = batch.columns[:width]
-            columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*kept.names])
+        for whole in given:
+            for start in range(0, whole.num_rows, SLICE):  # few texts are held twice at once
+                batch = whole.slice(start, SLICE)
+                texts, n_lines, n_dropped = [], [], []
+                for k, text in enumerate(batch.column(at).cast(pa.binary())):
+                    lines = (text.as_py() or b"").split(b"\n")
+                    drop = known.value if known else {(x["h"], x["h2"]) for x in batch.column(width)[k].as_py() or ()}
+                    left = [x for x in lines if line_hash(x) not in drop] if drop else lines
+                    texts.append(b"\n".join(left))
+                    n_lines.append(len(lines))
+                    n_dropped.append(len(lines) - len(left))
+                columns = batch.columns[:width]
+                columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*kept.names])
+        pa.default_memory_pool().release_unused()  # workers live on, and so would what they hold
 
     return rows.mapInArrow(run, kept)
 

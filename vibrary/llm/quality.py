@@ -169,8 +169,10 @@ def good_rows(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         return not failed and known.get(votes_of(measures), 0.0) >= threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(at)], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):  # few texts are held twice at once
+                batch = whole.slice(start, 1000)
+                yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
