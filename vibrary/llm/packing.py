@@ -35,7 +35,7 @@ PART_ROWS, FAN = 50_000, 8
 #: A sequence with at most so many tokens free is nearly full.
 SLACK = 4
 #: Words of which a task remembers the tokens.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Where n sequences of a node's child go that are filled to fill, from the lo-th on: each to a place at offset off of a
 #: sequence of its own, numbered from seq on if that is emitted, else the to_lo-th and following of those filled to to_fill.
@@ -122,6 +122,8 @@ def pieces(docs: DataFrame, parts: int, size: int = SIZE) -> DataFrame:
                     for values, x in zip(out, (doc_id.as_py(), piece, start, length, crc, -1 if full else (number * 7919 + count) % parts, (1 << 62) + (number << 38) + count if full else None), strict=True):
                         values.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[*"doc_id piece start length ids_crc32 part sequence_id".split()])
+        bpe.clear()  # workers live on, and so would what they hold
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", part long, sequence_id long")
 
