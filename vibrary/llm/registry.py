@@ -9,6 +9,7 @@ from .jaccard import OP8_SQL, op8_ngram_jaccard_join
 from .language import op9_language_id
 from .lines import OP4_SQL, op4_line_dedup
 from .packing import op2_best_fit_packing
+from .periods import op12_periodic_runs
 from .pii import op6_pii
 from .quality import op5_quality_rules
 from .scoring import op7_lm_scoring
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_best_fit_packing, op3_benchmark_decontamination, op4_line_dedup, op5_quality_rules, op6_pii, op7_lm_scoring, op8_ngram_jaccard_join,
-        op9_language_id, op10_feistel_sharding, op13_centroid_clustering,
+        op9_language_id, op10_feistel_sharding, op12_periodic_runs, op13_centroid_clustering,
     )
 }
 SQL = {
