@@ -24,7 +24,7 @@ ODD = [
     (1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "a b c"), (6, "x\n\nx\n  X "), (7, "😀 é  ü z"), (8, "1" * 3000), (9, "w " * 3000), (10, "same text in two rows, or in more rows than that"),
     (10, "same text in two rows, or in more rows than that"), (11, "same text in two rows, or in more rows than that"), (None, "no id here but a text of some words all the same"), (12, "a@b.cc +1 (988) 555-2485 10.0.0.1"),
 ]
-SCHEMA = "doc_id long, text string, lang string, n long, shard int, token string, h string, part long, start string"
+SCHEMA = "doc_id long, text string, lang string, n long, shard int, token string, h string, part long, start string, _n_lines long, _th string, _h string, _id long, _text string, _gone_h string, least int, n_lines int"
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def texts(docs) -> dict[int, str]:  # noqa: ANN001
 @pytest.fixture(scope="module")
 def odd(spark):  # noqa: ANN001, ANN201
     """Nulls, empty and long texts, repeated rows, and columns named like the operators' own."""
-    return spark.createDataFrame([(i, t, None if k % 3 else "en", k, k, "t", "h", k, "s") for k, (i, t) in enumerate(ODD)], SCHEMA)
+    return spark.createDataFrame([(i, t, None if k % 3 else "en", k, k, "t", "h", k, "s", 777, "th", "h", k, "text", "gone", k, k) for k, (i, t) in enumerate(ODD)], SCHEMA)
 
 
 def words(text: str) -> list[str]:
@@ -527,4 +527,4 @@ def test_pipeline(spark, docs, odd) -> None:  # noqa: ANN001
 
 
 def test_every_operator_is_registered() -> None:
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14)) and set(registry.SQL) <= set(registry.QUERIES)

@@ -21,6 +21,7 @@ class, group or common token), the join on it is salted, see skew.met.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -393,9 +394,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     kept = without(docs, gone)
     if twice.isEmpty():
         return kept
-    keys = docs.select("*", F.xxhash64("text").alias("_th"))
+    own_hash = f"h{uuid.uuid4().hex}"  # no column of docs
+    keys = docs.select("*", F.xxhash64("text").alias(own_hash))
     few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    once = keys.join(few, keys["doc_id"].eqNullSafe(few["doc_id"]) & (keys["_th"] == few["_h"]), "left_semi").dropDuplicates(["doc_id", "_th"])
+    once = keys.join(few, keys["doc_id"].eqNullSafe(few["doc_id"]) & (keys[own_hash] == few["_h"]), "left_semi").dropDuplicates(["doc_id", own_hash])
     return without(kept, twice).union(once.select(docs.columns))
 
 

@@ -87,13 +87,12 @@ class LineRuns:
     def _put(self, level: int, run: DataFrame) -> None:
         spark, name = run.sparkSession, f"line_run_{uuid.uuid4().hex}"
         path = f"{shared_folder(spark)}-run{level}"
-        run.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         self.names.append(name)
+        run.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         self.levels[level].append((spark.table(name), spark.read.schema("h long, h2 long, n long").parquet(path)))
         if len(self.levels[level]) == self.fan_in:
             self._put(level + 1, self._merged(self.levels.pop(level)))
 
-
     def close(self, spark: SparkSession) -> None:
         """Takes the runs out of the catalogue; their files stay in the shared folder."""
         for name in self.names:
@@ -111,22 +110,24 @@ def line_hash(line: bytes) -> tuple[int, int]:
     return signed(xxhash.xxh64_intdigest(key, 42)), signed(xxhash.xxh64_intdigest(key, SECOND))
 
 
-def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
-    """All columns of docs with shared lines taken out of text, and _n_lines and _n_dropped (which replace such columns of docs).
+def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """All columns of docs with shared lines taken out of text. counts names two more columns, of a text's lines and those taken out; they replace columns of docs with such names.
 
     A line is shared if its key (ends stripped of blanks, A-Z lowered, min_chars code points or more) is in texts
     of min_docs different doc_ids or more; rows of one id count once, and rows without id once together. A null
     or empty text is one empty line and stays, as empty text. An empty table gives an empty result. Lines keep
     their order.
     """
-    docs = docs.drop("_n_lines", "_n_dropped")
+    docs = docs.drop(*(counts or ()))
     lines = line_hashes(docs, min_chars, batches)
     runs = LineRuns(min_docs, max(8, lines.count() // BUCKET_ROWS))
-    for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b))
-    shared = settled(runs.shared(), "shared")
-    runs.close(docs.sparkSession)
-    kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+    try:
+        for b in range(batches):
+            runs.add(lines.filter(F.col("batch") == b))
+        shared = settled(runs.shared(), "shared")
+    finally:
+        runs.close(docs.sparkSession)
+    kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *(T.StructField(c, T.LongType()) for c in counts or ())])
     at, width = docs.columns.index("text"), len(docs.columns)
     known = None
     if shared.count() <= BROADCAST_ROWS:
@@ -152,15 +153,16 @@ def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
                     n_dropped.append(len(lines) - len(left))
                 columns = batch.columns[:width]
                 columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*kept.names])
+                both = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if counts else []
+                yield pa.RecordBatch.from_arrays([*columns, *both], names=[*kept.names])
         pa.default_memory_pool().release_unused()  # workers live on, and so would what they hold
 
     return rows.mapInArrow(run, kept)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = without_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    kept = without_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP4_SQL = """
