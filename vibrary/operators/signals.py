@@ -1,24 +1,16 @@
-"""Checks and repairs of sampled signals in long form (sweep, sensor, i, v), one shuffle by signal.
+"""Checks, repairs and statistics of sampled signals in long form (sweep, sensor, i, v), of any length: see chunks.
 
 NULL counts as NaN. Every function keeps all signals; what is wrong with one is a column, not an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = ("sweep", "sensor")
-MIN_LENGTH, RAIL, CLIPPED, FLAT, FLAT_RUN, SPIKE, NEAR = 64, 0.999, 0.01, 1e-10, 50, 6.0, 5
-
-
-def whole() -> WindowSpec:
-    """All samples of a signal."""
-    return Window.partitionBy(*KEY)
-
-
-def ordered() -> WindowSpec:
-    return whole().orderBy("i")
+from ..sources.store import kept
+from . import chunks as C
+from .chunks import CLIPPED, FLAT, FLAT_RUN, KEY, MIN_LENGTH, NEAR, RAIL, SPIKE
 
 
 def finite(v: Column) -> Column:
@@ -29,66 +21,42 @@ def finite(v: Column) -> Column:
 def validate(samples: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """n and rejection_reason (the first that holds, or NULL) of each signal."""
     v = F.col("v")
-    known = F.when(v.isNotNull(), v)
-    by = samples.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(known == 0).alias("zeros"), F.count_if(v.isNull() | F.isnan(v)).alias("nans"))
-    reason = (
-        F.when(F.col("n") < min_length, F.format_string(f"too short (%d < {min_length})", F.col("n")))
-        .when(F.col("zeros") == F.col("n"), "all-zero signal")
-        .when(F.col("nans") == F.col("n"), "all-NaN signal")
-    )
-    return by.select(*KEY, "n", reason.alias("rejection_reason"))
+    counts = samples.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(v == 0).alias("zeros"), F.count_if(v.isNull() | F.isnan(v)).alias("nans"))
+    return C.rejected(counts, min_length)
 
 
-def fill_nonfinite(samples: DataFrame) -> DataFrame:
+def fill_nonfinite(samples: DataFrame, size: int = C.CHUNK) -> DataFrame:
     """v with gaps filled: linear between neighbours, the nearest value at the ends, zero if nothing is known; replaced says where."""
-    back, on = ordered().rowsBetween(Window.unboundedPreceding, 0), ordered().rowsBetween(0, Window.unboundedFollowing)
-    df = samples.withColumn("_g", finite(F.col("v"))).withColumn("_gi", F.when(F.col("_g").isNotNull(), F.col("i")))
-    df = df.select("*", *(f(c, ignorenulls=True).over(w).alias(f"{c}{n}") for c in ("_g", "_gi") for f, w, n in ((F.last, back, "0"), (F.first, on, "1"))))
-    between = F.col("_g0") + (F.col("_g1") - F.col("_g0")) * (F.col("i") - F.col("_gi0")) / (F.col("_gi1") - F.col("_gi0"))
-    filled = F.when(F.col("_g").isNotNull(), F.col("_g")).when(F.col("_g0").isNotNull() & F.col("_g1").isNotNull(), between)
-    return df.select(*KEY, "i", F.coalesce(filled, "_g0", "_g1", F.lit(0.0)).alias("v"), F.col("_g").isNull().alias("replaced"))
+    chunks = kept(C.to_chunks(samples, size), "chunks")
+    return C.to_samples(C.filled_chunks(chunks, C.known(chunks)), "v", "replaced")
 
 
-def clipping(samples: DataFrame, threshold: float = CLIPPED, rail: float = RAIL) -> DataFrame:
+def clipping(samples: DataFrame, threshold: float = CLIPPED, rail: float = RAIL, size: int = C.CHUNK) -> DataFrame:
     """Share of each signal's samples at or beyond its outer percentiles, and whether that is too much."""
-    rails = samples.groupBy(*KEY).agg(F.percentile("v", F.array(F.lit(1 - rail), F.lit(rail))).alias("r"))
-    at = (F.col("v") <= F.col("r")[0]) | (F.col("v") >= F.col("r")[1])
-    by = samples.join(rails, list(KEY)).groupBy(*KEY).agg(F.avg(at.cast("double")).alias("clipping_fraction"))
-    return by.withColumn("is_clipped", F.col("clipping_fraction") >= threshold)
+    return C.clipping(C.to_chunks(samples, size), threshold, rail)
 
 
-def saturation(samples: DataFrame, tolerance: float = FLAT, run: int = FLAT_RUN) -> DataFrame:
+def saturation(samples: DataFrame, tolerance: float = FLAT, run: int = FLAT_RUN, size: int = C.CHUNK) -> DataFrame:
     """Longest run of steps smaller than tolerance in each signal, and whether it is too long."""
-    df = samples.select(*KEY, "i", (F.abs(F.col("v") - F.lag("v").over(ordered())) < tolerance).alias("flat"))
-    df = df.withColumn("island", F.count_if(~F.coalesce("flat", F.lit(False))).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy(*KEY, "island").agg(F.count_if("flat").alias("n"))
-    by = runs.groupBy(*KEY).agg(F.max("n").alias("saturation_longest_run"))
-    return by.withColumn("is_saturated", F.col("saturation_longest_run") >= run)
+    ends = C.each(C.to_chunks(samples, size), ["v"], lambda v: (len(v), *C.flat_ends(v, tolerance)), "n long, prefix long, suffix long, longest long, first double, last double")
+    return C.longest_flat(ends, tolerance, run)
 
 
-def despike(samples: DataFrame, z: float = SPIKE, near: int = NEAR) -> DataFrame:
+def despike(samples: DataFrame, z: float = SPIKE, near: int = NEAR, size: int = C.CHUNK) -> DataFrame:
     """Samples beyond z population standard deviations become the median of the sound samples up to near places away, or the mean if there are none."""
-    df = samples.select("*", F.avg("v").over(whole()).alias("_m"), F.stddev_pop("v").over(whole()).alias("_s"))
-    df = df.withColumn("spike", (F.col("_s") >= 1e-30) & (F.abs(F.col("v") - F.col("_m")) / F.col("_s") > z))
-    sound = F.sort_array(F.collect_list(F.when(~F.col("spike"), F.col("v"))).over(ordered().rowsBetween(-near, near)))
-    df = df.withColumn("_near", F.when(F.col("spike"), sound))
-    n = F.size("_near")
-    median = (F.get("_near", F.call_function("div", n - 1, F.lit(2)).cast("int")) + F.get("_near", F.call_function("div", n, F.lit(2)).cast("int"))) / 2
-    return df.withColumn("v", F.when(F.col("spike"), F.coalesce(median, "_m")).otherwise(F.col("v"))).drop("_m", "_s", "_near")
+    facts = C.each(C.to_chunks(samples, size), ["i", "v"], lambda i, v: (i, v, *C.moments(v), v[:near], v[-near:]), f"i array<long>, v array<double>, {C.MOMENTS}, head array<double>, tail array<double>")
+    return C.to_samples(C.without_spikes(kept(facts, "facts"), z, near), "v", "spike")
 
 
-def clean(samples: DataFrame, spikes: float | None = SPIKE) -> tuple[DataFrame, DataFrame]:
+def clean(samples: DataFrame, spikes: float | None = SPIKE, size: int = C.CHUNK) -> tuple[DataFrame, DataFrame]:
     """The cleaned samples of valid signals, and the quality table of all signals."""
-    checked = validate(samples)
-    valid = samples.join(checked.filter("rejection_reason IS NULL").select(*KEY), list(KEY), "left_semi")
-    filled = fill_nonfinite(valid)
-    out = despike(filled, spikes) if spikes else filled.withColumn("spike", F.lit(False))
-    counts = out.groupBy(*KEY).agg(F.count_if("replaced").alias("n_nan_inf_replaced"), F.count_if("spike").alias("n_outlier_samples_replaced"))
-    quality = checked.drop("n")
-    for part in (clipping(filled), saturation(filled), counts):
-        quality = quality.join(part, list(KEY), "left")
-    quality = quality.na.fill(0).na.fill(False).withColumn("is_valid", F.col("rejection_reason").isNull())
-    return out.select(*KEY, "i", "v"), quality
+    chunks, quality = C.clean(samples, spikes, size)
+    return C.to_samples(chunks, "v"), quality
+
+
+def time_features(samples: DataFrame, size: int = C.CHUNK) -> DataFrame:
+    """Twelve statistics of each signal; mobility and complexity are NULL for a constant signal."""
+    return C.time_features(C.to_chunks(samples, size))
 
 
 def quality_string(quality: DataFrame) -> DataFrame:
@@ -115,22 +83,3 @@ def quality_summary(quality: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("is_clipped"), F.col("clipping_fraction"))).alias("mean_clip_fraction"), F.count_if("is_saturated").alias("n_saturated"),
         F.count_if(spiked).alias("n_despiked"), F.sum("n_outlier_samples_replaced").alias("samples_despiked"),
     )
-
-
-def time_features(samples: DataFrame) -> DataFrame:
-    """Twelve statistics of each signal in one aggregate; mobility and complexity are NULL for a constant signal."""
-    d1 = F.col("v") - F.lag("v").over(ordered())
-    df = samples.select(*KEY, "i", "v", d1.alias("d1")).select("*", (F.col("d1") - F.lag("d1").over(ordered())).alias("d2"))
-    x = F.col("v")
-    a = df.groupBy(*KEY).agg(
-        F.count("*").alias("n"), ((F.max(x) - F.min(x)) / 2).alias("peak"), F.sqrt(F.avg(x * x)).alias("rms"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("variance"),
-        F.skewness(x).alias("_s"), F.kurtosis(x).alias("_k"), F.avg(F.abs(x)).alias("_a"), F.avg(F.sqrt(F.abs(x))).alias("_r"), F.var_pop("d1").alias("_v1"), F.var_pop("d2").alias("_v2"),
-    )
-    c = F.col
-    ratio = lambda top, by: F.when(by > 0, top / by).otherwise(0.0)
-    mobility = F.when(c("variance") > 0, F.sqrt(c("_v1") / c("variance")))
-    return a.select(
-        *KEY, "n", "peak", "rms", "std", "variance", F.when(c("std") < 1e-30, 0.0).otherwise(c("_s")).alias("skewness"), F.when(c("std") < 1e-30, 0.0).otherwise(c("_k") + 3).alias("kurtosis"),
-        ratio(c("peak"), c("rms")).alias("crest_factor"), ratio(c("rms"), c("_a")).alias("shape_factor"), ratio(c("peak"), c("_a")).alias("impulse_factor"),
-        ratio(c("peak"), c("_r") * c("_r")).alias("margin_factor"), mobility.alias("mobility"), F.when(c("_v1") > 0, F.sqrt(c("_v2") / c("_v1")) / mobility).alias("complexity"),
-    )

@@ -57,6 +57,34 @@ def average_ranks(long: DataFrame, by: list[str], value: str, out: str, spread:
     return met(long, ranks, [*by, value], "_c", spread)
 
 
+def keyed_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], accuracy: int = 1000) -> DataFrame:
+    """by and quantiles: the exact quantiles of value within each of any number of keys, linear between neighbours; keys without values and null keys have none.
+
+    Approximate quantiles bracket each exact one, with room for their error; of the values in a bracket, six in
+    accuracy of the key's rows, counts by value give those of the right ranks. A key of few rows is its own bracket. So a task holds
+    sketches and brackets, not keys.
+    """
+    room = 3 / accuracy
+    low, high = ([min(1.0, max(0.0, q + d)) for q in shares] for d in (-room, room))
+    sketch = lambda at: F.percentile_approx(value, F.array(*map(F.lit, at)), F.lit(accuracy))
+    bounds = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), sketch(low).alias("_low"), sketch(high).alias("_high"))
+    few = F.col("_n") <= 2 * accuracy
+    cells = F.array(*(F.struct(F.lit(j).alias("j"), F.when(few, F.col("_lo")).otherwise(F.col("_low")[j]).alias("lo"), F.when(few, F.col("_hi")).otherwise(F.col("_high")[j]).alias("hi"), (q * (F.col("_n") - 1)).alias("at")) for j, q in enumerate(shares)))
+    bounds = kept(bounds.select(*by, "_n", cells.alias("_cells")), "bounds")
+    known = bounds.withColumn("_w", F.col("_n"))
+    rows = met(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value)), known, by, "_w", value)
+    # a row is below a bracket, which is counted, or in it, or of no matter; both go by value, so equal ones are one row before they move
+    place = F.transform("_cells", lambda c: F.struct(c["j"].alias("j"), c["at"].alias("at"), F.when(F.col(value) < c["lo"], F.lit(None).cast("double")).otherwise(F.col(value)).alias("v"), (F.col(value) > c["hi"]).alias("out")))
+    each = rows.select(*by, F.explode(place).alias("c")).filter(~F.col("c.out")).groupBy(*by, "c.j", "c.at", "c.v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by, "j").orderBy(F.asc_nulls_first("v")))
+    ranked = each.select(*by, "j", "at", "v", "n", upto.alias("upto")).filter("v IS NOT NULL")
+    holds = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v")))
+    k = F.floor("at")
+    ends = ranked.groupBy(*by, "j").agg(holds(k).alias("v0"), holds(F.ceil("at")).alias("v1"), F.first(F.col("at") - k).alias("part"))
+    one = ends.select(*by, F.struct("j", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")).alias("q")).alias("q"))
+    return one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("q")), lambda x: x["q"]).alias("quantiles"))
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of each column, linear between neighbours; None without values.
 
@@ -65,13 +93,15 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[st
     """
     low = F.array(*(F.lit(max(0.0, q - 3 / ACCURACY)) for q in shares))
     high = F.array(*(F.lit(min(1.0, q + 3 / ACCURACY)) for q in shares))
-    around = df.agg(*(f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("lo", lambda c: F.percentile_approx(c, low, F.lit(ACCURACY))), ("hi", lambda c: F.percentile_approx(c, high, F.lit(ACCURACY)))))).first()
+    around = df.agg(*(f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("min", F.min), ("max", F.max), ("lo", lambda c: F.percentile_approx(c, low, F.lit(ACCURACY))), ("hi", lambda c: F.percentile_approx(c, high, F.lit(ACCURACY)))))).first()
     known = [i for i, _ in enumerate(columns) if around[f"n_{i}"]]
     cells, below = [], []
     for i in known:
         c = F.col(columns[i])
         for j, _ in enumerate(shares):
             lo, hi = around[f"lo_{i}"][j], around[f"hi_{i}"][j]
+            if around[f"n_{i}"] <= 2 * ACCURACY:  # a bracket of few rows could miss the second of two neighbours
+                lo, hi = around[f"min_{i}"], around[f"max_{i}"]
             cells.append(F.when((c >= lo) & (c <= hi), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), c.cast("double").alias("v"))))
             below.append(F.count_if(c < lo).alias(f"b_{i}_{j}"))
     out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}

@@ -10,17 +10,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import chunks as K
 from ..operators import compare as C
 from ..operators import conditions as O
 from ..operators import models as M
-from ..operators import signals as S
 from ..operators import spectra as X
 from ..operators import tables as T
 from ..operators import trees as G
 from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
-from .queries import CHAIN, COLUMNS, FUSED, HOLDOUT, PEARSON, PREDICTIONS, RANKS, SCORES, array_features, cleaned, conditions, predictions, residuals, scores
+from .queries import CHAIN, COLUMNS, FUSED, HOLDOUT, PEARSON, PREDICTIONS, RANKS, SCORES, array_features, cleaned, cleaned_chunks, conditions, predictions, residuals, scores
 from .registry import query, rounded
 
 INPUTS = ["quantity", "discount", "tax", "price"]
@@ -32,7 +32,7 @@ INPUTS = ["quantity", "discount", "tax", "price"]
 def sink_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features written by sensor and read again."""
     path = store.scratch(spark, f"features-{uuid.uuid4().hex}")
-    store.write_by_sensor(rounded(S.time_features(cleaned(spark, sf_dir)).select("sweep", "sensor", "n", "rms"), 5), path)
+    store.write_by_sensor(rounded(K.time_features(cleaned_chunks(spark, sf_dir)).select("sweep", "sensor", "n", "rms"), 5), path)
     return spark.read.parquet(path).select("sweep", "sensor", "n", "rms")
 
 

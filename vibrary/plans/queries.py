@@ -8,6 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunks as K
 from ..operators import compare as C
 from ..operators import conditions as O
 from ..operators import extract as E
@@ -21,8 +22,12 @@ from .registry import query, rounded
 CHAIN = "samples valid filled cleaned"
 
 
+def cleaned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.repaired(D.samples(spark, sf_dir))[0]
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.clean(D.samples(spark, sf_dir))[0]
+    return K.to_samples(cleaned_chunks(spark, sf_dir), "v")
 
 
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +138,7 @@ def join_fusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {REGIME} AS regime, count(*) AS n, round(avg(rms), 6) AS mean_rms, round(stddev_samp(rms), 6) AS std_rms FROM timed JOIN conditions USING (sweep) GROUP BY 1", f"{CHAIN} timed meta conditions")
 def features_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = S.time_features(cleaned(spark, sf_dir)).join(conditions(spark, sf_dir), "sweep")
+    timed = K.time_features(cleaned_chunks(spark, sf_dir)).join(conditions(spark, sf_dir), "sweep")
     return rounded(timed.groupBy(O.kappa_regime(F.col("kappa")).alias("regime")).agg(F.count("*").alias("n"), F.avg("rms").alias("mean_rms"), F.stddev_samp("rms").alias("std_rms")))
 
 
@@ -210,7 +215,7 @@ TIMED = "peak rms std variance skewness kurtosis crest_factor shape_factor impul
 
 @query(f"SELECT sweep, sensor, n, {', '.join(f'round({c}, 5) AS {c}' for c in TIMED)} FROM timed", f"{CHAIN} timed")
 def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.time_features(cleaned(spark, sf_dir)), 5)
+    return rounded(K.time_features(cleaned_chunks(spark, sf_dir)), 5)
 
 
 @query("SELECT sweep, sensor, CAST(k AS INTEGER) AS k, round(f, 4) AS f, round(mag, 4) AS mag FROM bins", f"{CHAIN} spectrum")
