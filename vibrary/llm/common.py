@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +58,22 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of this session have at most so many rows from here on, so that neither JVM nor Python holds many texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def let_go() -> None:
+    """Gives memory that nothing uses back to the system, at the end of a task: workers live on, and so would what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,5 +94,6 @@ def map_batches(df: DataFrame, make: Callable[[list[dict]], list[dict]], schema:
             for start in range(0, batch.num_rows, 2000):  # long texts: few rows are Python objects at once
                 out = make(batch.slice(start, 2000).to_pydict())
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        let_go()
 
     return df.mapInArrow(run, kind)

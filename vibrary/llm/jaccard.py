@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import met
-from .common import Hashes, settled, table, words_of
+from .common import Hashes, let_go, settled, table, words_of
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles of the documents in a chunk, and those of a shard, about.
@@ -126,8 +126,8 @@ def sharing(docs: DataFrame, shards: int, n: int = SHINGLE) -> DataFrame:
                     chunk, held, ids, hashes, sets = chunk + 1, 0, [], [], []
         if ids:
             yield rows()
-        _hashes.clear()  # workers live on, and so would what they hold
-        pa.default_memory_pool().release_unused()
+        _hashes.clear()
+        let_go()
 
     def count(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
@@ -178,7 +178,7 @@ def token_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 stars = [[int((s * np.uint64(k)).min().astype(np.int64)) if len(s) else 0 for k in STARS] for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(stars, pa.list_(pa.int64()))], names=["mark", "node", "n", "tokens", "stars"])
         _hashes.clear()
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     return docs.select("text").mapInArrow(run, "mark binary, node long, n long, tokens binary, stars array<long>")
 
@@ -418,6 +418,7 @@ def _unpacked(sets: DataFrame) -> DataFrame:
                 each = [np.frombuffer(t.as_py(), np.int64) for t in part.column(2)]
                 sizes = [len(x) for x in each]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array(np.concatenate(each))], names=["node", "n", "token"])
+        let_go()
 
     return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n long, token long")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, lower, settled, shared_folder, table
+from .common import BLANKS, let_go, lower, settled, shared_folder, table
 
 BATCHES, FAN_IN = 4, 4
 #: Line hashes of a bucket of a run, about.
@@ -155,7 +155,7 @@ def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
                 columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
                 both = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if counts else []
                 yield pa.RecordBatch.from_arrays([*columns, *both], names=[*kept.names])
-        pa.default_memory_pool().release_unused()  # workers live on, and so would what they hold
+        let_go()
 
     return rows.mapInArrow(run, kept)
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import let_go, settled, table
 
 SIZE, END = 1024, 2
 PART_ROWS, FAN = 50_000, 8
@@ -122,8 +122,8 @@ def pieces(docs: DataFrame, parts: int, size: int = SIZE) -> DataFrame:
                     for values, x in zip(out, (doc_id.as_py(), piece, start, length, crc, -1 if full else (number * 7919 + count) % parts, (1 << 62) + (number << 38) + count if full else None), strict=True):
                         values.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[*"doc_id piece start length ids_crc32 part sequence_id".split()])
-        bpe.clear()  # workers live on, and so would what they hold
-        pa.default_memory_pool().release_unused()
+        bpe.clear()
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", part long, sequence_id long")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let_go, table
 from .grammar import Grammar
 
 SHORTEST, TIMES = 6, 4
@@ -206,7 +206,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
                     ids, texts, size = [], [], 0
         if ids:
             yield described(ids, texts)
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, SCHEMA)
 

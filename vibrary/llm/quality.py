@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, map_batches, settled, table
+from .common import WORD, let_go, map_batches, settled, table
 
 WINDOW = 8
 #: What is known of the rules before any text is seen: they are written so that they accuse about this share of good
@@ -173,6 +173,7 @@ def good_rows(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             for start in range(0, whole.num_rows, 1000):  # few texts are held twice at once
                 batch = whole.slice(start, 1000)
                 yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(at)], pa.bool_()))
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)
 
