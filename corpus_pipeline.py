@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibrary.llm.common import settled, table
+from vibrary.llm.common import in_small_batches, settled, table
 from vibrary.llm.decontaminate import contaminated
 from vibrary.llm.jaccard import one_of_each, without
 from vibrary.llm.lines import without_shared_lines
@@ -21,11 +21,13 @@ from vibrary.llm.quality import good_rows
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or are probably bad by the rules' votes."""
+    in_small_batches(spark)
     return good_rows(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that ten documents or more share; n_chars follows the text."""
+    in_small_batches(spark)
     kept = without_shared_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -34,16 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near copies: by the general rule, shingles of five words and a similarity of 0.8."""
+    in_small_batches(spark)
     return one_of_each(docs, percent=80, n=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
+    in_small_batches(spark)
     return without(docs, settled(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct(), "leaks"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
+    in_small_batches(spark)
     return pack(docs)
 
 
