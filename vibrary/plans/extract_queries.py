@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunks as K
 from ..operators import conditions as O
 from ..operators import extract as E
+from ..operators import fourier as W
 from ..operators import signals as S
 from ..operators import spectra as X
 from ..sources import fixtures as D
-from .queries import CHAIN, REGIME, cleaned, conditions
+from .queries import CHAIN, REGIME, cleaned, cleaned_chunks, conditions
 from .registry import query, rounded
 
 BANDS: list[E.Band] = [(0.0, 100.0, "low"), (100.0, 300.0, "mid"), (300.0, 600.0, "high"), (600.0, 900.0, "above"), (450.0, 440.0, "rest")]
@@ -194,6 +196,18 @@ def bands_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("sensor").agg(F.count("*").alias("n_signals"), F.countDistinct("label").alias("n_bands"))
 
 
+@query(f"WITH {transform_sql('cleaned', 'dft')},\n{gains_sql('dft', 'banded', [(None, 100, 300, 'b')])},\n{limited_sql('banded', 'part')} SELECT sweep, sensor, i, round(v, 6) AS v FROM part", CHAIN)
+def sample_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of signals of any length limited to a band, from block transforms."""
+    return rounded(K.to_samples(W.bandpass(cleaned_chunks(spark, sf_dir), D.FS, 100.0, 300.0), "v"))
+
+
+@query(f"WITH {transform_sql('cleaned', 'dft')},\n{envelope_sql('cleaned', 'dft', 'env')} SELECT sweep, sensor, i, round(v, 6) AS v FROM env", CHAIN)
+def sample_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the envelopes of signals of any length, from block transforms."""
+    return rounded(K.to_samples(W.envelope(cleaned_chunks(spark, sf_dir)), "v"))
+
+
 # --- densities and envelopes
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as K
 from ..operators import compare as C
 from ..operators import conditions as O
-from ..operators import extract as E
+from ..operators import fourier as W
 from ..operators import models as M
 from ..operators import signals as S
 from ..operators import spectra as X
@@ -220,7 +220,7 @@ def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sweep, sensor, CAST(k AS INTEGER) AS k, round(f, 4) AS f, round(mag, 4) AS mag FROM bins", f"{CHAIN} spectrum")
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.spectrum(X.to_arrays(cleaned(spark, sf_dir), D.FS)), 4)
+    return rounded(W.spectrum(cleaned_chunks(spark, sf_dir), D.FS), 4)
 
 
 @query(
@@ -234,7 +234,7 @@ SELECT sweep, sensor, round(top, 3) AS dominant_frequency, round(mean, 3) AS spe
     f"{CHAIN} spectrum",
 )
 def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.frequency_features(X.to_arrays(cleaned(spark, sf_dir), D.FS)), 3)
+    return rounded(W.frequency_features(cleaned_chunks(spark, sf_dir), D.FS), 3)
 
 
 # --- feature tables
