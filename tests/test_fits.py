@@ -187,7 +187,7 @@ def test_quantiles_and_ranks(spark) -> None:  # noqa: ANN001
     for c, v in (("x", x), ("y", y)):
         assert np.allclose(got[c], np.quantile(v, [0.0, 0.25, 0.5, 0.999, 1.0]))
     long = tables.melted(df, ["x", "y"], ["k"])
-    ranks = skew.average_ranks(long, ["feature"], "value", "r", "k").toPandas()
+    ranks = skew.average_ranks(long, ["feature"], "value", "r").toPandas()
     for c, v in (("x", x), ("y", y)):
         own = ranks[ranks.feature == c].sort_values("k").r.to_numpy()
         assert np.allclose(own, pd.Series(v).rank().to_numpy())

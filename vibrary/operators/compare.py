@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .skew import average_ranks
 
+#: Up to so many differences the signed-rank test is exact.
+EXACT = 50
+#: The step from resample to resample, and the shifts and factors that mix 32 bits.
+STEP, MIXES = 0x9E3779B1, ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
+#: 16-bit numbers from each of these on mean one more copy: a Poisson variable of mean 1.
+COPIES = [math.ceil(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(n + 1))) for n in range(8)]
+WEIGHTS = np.searchsorted(COPIES, np.arange(65536), "right").astype(float)
+
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction."""
@@ -84,23 +97,43 @@ def diebold_mariano(pairs: DataFrame, loss: str = "squared", alternative: str =
     return with_p(s.select("model_a", "model_b", "n", stat.alias("dm")), "dm", alternative)
 
 
+@lru_cache(EXACT + 1)
+def signed_rank_counts(n: int) -> tuple[int, ...]:
+    """How many of the 2 ** n ways to give the ranks 1 to n their signs have each sum of positive ranks."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        longer = counts + [0] * rank
+        for k, c in enumerate(counts):
+            longer[k + rank] += c
+        counts = longer
+    return tuple(counts)
+
+
+def signed_rank_p(w: float, n: int) -> float:
+    """Two-sided probability of a smaller signed-rank sum of at most w of n untied differences."""
+    return min(1.0, 2 * sum(signed_rank_counts(n)[: int(w) + 1]) / 2**n)
+
+
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """w, the smaller sum of signed ranks of the differences in absolute errors, and p of its two-sided normal approximation, corrected for ties; equal errors are left out, and a pair without others has w 0 and p 1."""
+    """w, the smaller sum of signed ranks of the differences in absolute errors, and two-sided p: exact for up to EXACT differences without ties, else by the normal approximation, corrected for ties; equal errors are left out, and a pair without others has w 0 and p 1."""
     key = ["model_a", "model_b"]
     d = pairs.select(*key, (F.abs("a") - F.abs("b")).alias("d")).withColumn("size", F.abs("d"))
-    r = average_ranks(d.filter("d <> 0"), key, "size", "r", "d")
+    r = average_ranks(d.filter("d <> 0"), key, "size", "r")
     s = r.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
     c = d.filter("d <> 0").groupBy(*key, "size").agg(F.count("*").cast("double").alias("c")).groupBy(*key).agg(F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.when(sd > 0, (F.least("up", "down") - n * (n + 1) / 4) / sd).otherwise(0.0)
-    found = s.join(c, key).select(*key, "n", F.least("up", "down").alias("w"), z.alias("z"))
-    every = d.select(*key).distinct().join(found, key, "left").na.fill({"n": 0, "w": 0.0, "z": 0.0})
-    schema = T.StructType([*[f for f in every.schema.fields if f.name != "z"], T.StructField("p", T.DoubleType())])
+    found = s.join(c, key).select(*key, "n", F.least("up", "down").alias("w"), z.alias("z"), (F.col("ties") > 0).alias("tied"))
+    every = d.select(*key).distinct().join(found, key, "left").na.fill({"n": 0, "w": 0.0, "z": 0.0, "tied": False})
+    schema = T.StructType([*[f for f in every.schema.fields if f.name not in ("z", "tied")], T.StructField("p", T.DoubleType())])
+
+    def chance(n: int, w: float, z: float, tied: bool) -> float:
+        return signed_rank_p(w, n) if n <= EXACT and not tied else math.erfc(abs(z) / math.sqrt(2))
 
     def run(batches):  # noqa: ANN001, ANN202
         for df in batches:
-            df["p"] = [math.erfc(abs(x) / math.sqrt(2)) for x in df["z"]]
+            df["p"] = [chance(*x) for x in zip(df["n"], df["w"], df["z"], df["tied"], strict=True)]
             yield df[[f.name for f in schema]]
 
     return every.mapInPandas(run, schema)
@@ -138,28 +171,57 @@ def holm(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     return done.unionByName(rest)
 
 
-def bootstrap_rmse(errors: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Observed difference of RMSE of residuals a and b (key, a, b; a row a prediction) and its 2.5 and 97.5 percentiles over resamples.
+def draws(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
+    """How often each row (a 32-bit hash) enters the resamples 2 first to 2 (first + count) - 1: a counter is mixed with the hash, and each half of the bits looked up."""
+    with np.errstate(over="ignore"):
+        x = hashes[:, None] + np.arange(first, first + count, dtype=np.uint32)[None] * np.uint32(STEP)
+        for shift, factor in MIXES:
+            x ^= x >> np.uint32(shift)
+            x *= np.uint32(factor)
+        x ^= x >> np.uint32(16)
+    return WEIGHTS[x.view(np.uint16)]  # low half first
+
+
+def bootstrap_rmse(errors: DataFrame, resamples: int = 10_000, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Observed difference of RMSE of residuals a and b (key, a, b; a row a prediction) and its 2.5 and 97.5 percentiles over resamples, for each by (of few values).
 
     Each row enters a resample as often as a Poisson variable of mean 1 says: rows need no positions and resamples no
-    shuffle of rows; sums are combined where rows are. One md5 of seed, a number and the key gives four resamples their draws.
+    shuffle of rows. A row's draws come from a hash of seed and key and the resample's number, in arrays; a task multiplies them with the
+    squares of its rows and sends three sums for each resample.
     """
-    digits = lambda j: F.conv(F.substring("_md5", 8 * j + 1, 8), 16, 10).cast("double") / 4294967296.0
-    total, steps = 0.0, []
-    for n in range(8):
-        total += math.exp(-1) / math.factorial(n)
-        steps.append(total)
-    draw = lambda u: sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    fours = errors.select("a", "b", "key", F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1))).alias("four"))
-    fours = fours.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("four"), F.col("key").cast("string"))))
+    by = by or []
+    number = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"))), F.lit(8)), 16, 10).cast("long")
     square = lambda c: F.col(c) * F.col(c)
-    drawn = fours.select("four", square("a").alias("aa"), square("b").alias("bb"), *(draw(digits(j)).alias(f"w{j}") for j in range(4)))
-    by = drawn.groupBy("four").agg(*(F.sum(F.col(f"w{j}") * x).alias(f"{n}{j}") for j in range(4) for n, x in (("a", F.col("aa")), ("b", F.col("bb")), ("n", F.lit(1)))))
-    each = by.select("four", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), (F.sqrt(F.col(f"a{j}") / F.col(f"n{j}")) - F.sqrt(F.col(f"b{j}") / F.col(f"n{j}"))).alias("d")) for j in range(4)))).alias("x"))
-    each = each.filter(F.col("four") * 4 + F.col("x.j") < resamples).select("x.d")
-    ci = each.agg(F.percentile("d", 0.025).alias("ci_lo"), F.percentile("d", 0.975).alias("ci_hi"))
-    seen = errors.agg((F.sqrt(F.avg(square("a"))) - F.sqrt(F.avg(square("b")))).alias("delta_rmse"))
-    return seen.join(ci)
+    rows = errors.select(*by, number.alias("hash"), square("a").alias("aa"), square("b").alias("bb"))
+    head = "".join(f"`{c}` {errors.schema[c].dataType.simpleString()}, " for c in by)
+    pairs = (resamples + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * batch.num_rows
+            for key in dict.fromkeys(keys):
+                mine = table.filter(pa.array([k == key for k in keys])) if by else table
+                h, aa, bb = (mine.column(c).to_numpy() for c in ("hash", "aa", "bb"))
+                values = np.stack([aa, bb, np.ones(len(aa))])
+                total = sums.setdefault(key, np.zeros((3, 2 * pairs)))
+                for start in range(0, len(h), 1024):
+                    part, v = h[start : start + 1024].astype(np.uint32), values[:, start : start + 1024]
+                    for first in range(0, pairs, 256):
+                        count = min(256, pairs - first)
+                        total[:, 2 * first : 2 * (first + count)] += v @ draws(part, first, count)
+        for key, total in sums.items():
+            columns = [pa.array([v] * resamples) for v in key] + [pa.array(np.arange(resamples)), *(pa.array(x[:resamples]) for x in total)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    kind = errors.sparkSession.createDataFrame([], f"{head}j long, aa double, bb double, n double").schema
+    arrow = to_arrow_schema(kind)
+    each = rows.mapInArrow(run, kind).groupBy(*by, "j").agg(*(F.sum(c).alias(c) for c in ("aa", "bb", "n")))
+    d = F.sqrt(F.col("aa") / F.col("n")) - F.sqrt(F.col("bb") / F.col("n"))
+    ci = each.groupBy(*by).agg(F.percentile(d, 0.025).alias("ci_lo"), F.percentile(d, 0.975).alias("ci_hi"))
+    seen = errors.groupBy(*by).agg((F.sqrt(F.avg(square("a"))) - F.sqrt(F.avg(square("b")))).alias("delta_rmse"))
+    return seen.join(ci, by) if by else seen.join(ci)
 
 
 def perf_summary(scores: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def rpm_band(rpm: Column, width: float = 1000.0) -> Column:
 def bands_fixed(df: DataFrame, f_min: float, f_max: float, width: float) -> DataFrame:
     """Each row of df once for each band of fixed width; the last band may go beyond f_max."""
     n = max(0, math.ceil((f_max + width - f_min) / width) - 1)
-    bands = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band")
+    bands = F.explode(F.array(*map(F.lit, range(n))).cast("array<int>")).alias("band")
     return df.select("*", bands).select("*", (f_min + F.col("band") * width).alias("lo"), (f_min + (F.col("band") + 1) * width).alias("hi"))
 
 

@@ -11,8 +11,10 @@ from ..sources.store import kept
 
 #: A key is hot if it has more than this share of a join's rows; there are fewer hot keys than its inverse, so a table of them is small.
 HOT, HOT_ROWS = 1 / 10_000, 1000
-#: Ranges that a column's values are cut into, and the accuracy of quantiles that only bracket the exact ones.
-RANGES, ACCURACY = 64, 10_000
+#: Rows of a range that a column's values are cut into, about; ranges at most; the accuracy of quantiles that only bracket the exact ones.
+RANGE_ROWS, RANGES, ACCURACY = 200_000, 4096, 10_000
+#: Cuts that are compared with a value in one step.
+BLOCK = 64
 
 
 def met(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, by: str, how: str = "inner") -> DataFrame:
@@ -28,13 +30,38 @@ def met(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, by: str
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def in_ranges(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """df with _range: the number of the range that value lies in, of RANGES with about as many rows of each by. The cuts are a row a by (of few)."""
-    cuts = F.percentile_approx(value, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(ACCURACY)).alias("_cuts")
-    table = df.groupBy(*by).agg(cuts)
-    both = df.join(F.broadcast(table), by) if by else df.crossJoin(F.broadcast(table))
-    below = reduce(lambda a, k: a + (F.get("_cuts", F.lit(k)) < F.col(value)).cast("int"), range(RANGES - 1), F.lit(0))  # generated code, unlike a lambda
-    return both.withColumn("_range", below).drop("_cuts")
+def cuts_of(df: DataFrame, by: list[str], value: str) -> list:
+    """by and cuts: where each by's values (of few) are cut into ranges of about RANGE_ROWS rows, RANGES at most; by that are one range have none."""
+    counts = df.groupBy(*by).agg(F.count(value).alias("n")).collect()
+    ranges = min(RANGES, max((-(-r["n"] // RANGE_ROWS) for r in counts), default=1))
+    if ranges <= 1:
+        return [(*r[: len(by)], []) for r in counts]
+    at = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    found = df.groupBy(*by).agg(F.percentile_approx(value, at, F.lit(max(ACCURACY, 10 * ranges))).alias("cuts")).collect()
+    return [(*r[: len(by)], r["cuts"] or []) for r in found]
+
+
+def with_table(df: DataFrame, by: list[str], rows: list[tuple], fields: str) -> DataFrame:
+    """df with the fields of a table of one row a by, nulls alike; the by are few."""
+    names = [f"_by{k}" for k, _ in enumerate(by)]
+    head = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, by, strict=True))
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, f"{head}, {fields}" if by else fields))
+    same = reduce(lambda a, b: a & b, (df[c].eqNullSafe(table[n]) for c, n in zip(by, names, strict=True)), F.lit(True))
+    return df.join(table, same).drop(*names)
+
+
+def in_ranges(df: DataFrame, by: list[str], value: str, cuts: list | None = None) -> DataFrame:
+    """df with _range: the number of the range that value lies in, by the cuts of its by. Cuts are looked up in two steps of BLOCK comparisons, which is generated code."""
+    cuts = cuts_of(df, by, value) if cuts is None else cuts
+    most = max((len(r[-1]) for r in cuts), default=0)
+    if not most:
+        return df.withColumn("_range", F.lit(0))
+    kind = df.schema[value].dataType.simpleString()
+    df = with_table(df, by, cuts, f"_cuts array<{kind}>")
+    less = lambda k: F.coalesce((F.get("_cuts", k) < F.col(value)).cast("int"), F.lit(0))
+    df = df.withColumn("_block", reduce(lambda a, k: a + less(F.lit(k)), range(BLOCK - 1, most, BLOCK), F.lit(0)))
+    own = reduce(lambda a, k: a + less(F.col("_block") * BLOCK + k), range(min(BLOCK, most)), F.lit(0))
+    return df.withColumn("_range", F.col("_block") * BLOCK + own).drop("_cuts", "_block")
 
 
 def numbered(df: DataFrame, by: list[str], value: str, ties: list[str], out: str, amount: Column | None = None) -> DataFrame:
@@ -49,12 +76,43 @@ def numbered(df: DataFrame, by: list[str], value: str, ties: list[str], out: str
     return cut.withColumn(out, F.col("_first") + F.col("_upto") - F.col("_amount")).drop("_range", "_amount", "_upto", "_first")
 
 
-def average_ranks(long: DataFrame, by: list[str], value: str, out: str, spread: str) -> DataFrame:
-    """long with the average rank of value within by (of few values), from counts of distinct values, so a frequent one is a row in the sort; rows find theirs by a join in which those of a frequent value are dealt by a hash of column spread."""
-    counts = kept(long.groupBy(*by, value).agg(F.count("*").alias("_c")), "counts")
-    ranks = numbered(counts, by, value, [], "_before", F.col("_c"))
-    ranks = kept(ranks.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / 2).alias(out)), "ranks")
-    return met(long, ranks, [*by, value], "_c", spread)
+def average_ranks(long: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """long with the average rank of value within by (of few values); rows without a value are left out.
+
+    Rows are sorted within ranges of values after one shuffle, and the counts of the ranges before are added. A value that fills
+    whole ranges is a cut more than once: its rank comes from counts alone, and its rows stay where they are. long is
+    read three times, so what is dear to make is better written first.
+    """
+    long = long.filter(F.col(value).isNotNull())
+    cuts = cuts_of(long, by, value)
+    hot = {(*r[:-1], v) for r in cuts for v, w in zip(r[-1], r[-1][1:]) if v == w}
+    cut = in_ranges(long, by, value, cuts)
+    kind = long.schema[value].dataType.simpleString()
+    often = [(*key, sorted(h[-1] for h in hot if h[:-1] == key)) for key in {h[:-1] for h in hot}]
+    if hot:
+        mine = [(*r[:-1], next((o[-1] for o in often if o[:-1] == r[:-1]), [])) for r in cuts]
+        cut = with_table(cut, by, mine, f"_often array<{kind}>").withColumn("_hot", F.when(F.array_contains("_often", F.col(value)), F.col(value))).drop("_often")
+    else:
+        cut = cut.withColumn("_hot", F.lit(None).cast(kind))
+    counts = cut.groupBy(*by, "_range", "_hot").agg(F.count("*").alias("n")).collect()  # a range's own rows, then those of the value that ends it
+    before: dict[tuple, int] = {}
+    cold, warm = [], []
+    for r in sorted(counts, key=lambda r: (r["_range"], r["_hot"] is not None)):
+        key = tuple(r[: len(by)])
+        first = before.get(key, 0)
+        before[key] = first + r["n"]
+        if r["_hot"] is None:
+            cold.append((*key, r["_range"], first))
+        else:
+            warm.append((*key, r["_hot"], first + (r["n"] + 1) / 2))
+    w = Window.partitionBy(*by, "_range").orderBy(value)
+    peers = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    rows = with_table(cut.filter("_hot IS NULL"), [*by, "_range"], cold, "_first long")
+    rows = rows.withColumn(out, F.col("_first") + F.rank().over(w) + (peers - 1) / 2.0).drop("_first", "_range", "_hot")
+    if not hot:
+        return rows
+    same = with_table(cut.filter("_hot IS NOT NULL"), [*by, "_hot"], warm, f"{out} double")
+    return rows.unionByName(same.drop("_range", "_hot"))
 
 
 def keyed_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], accuracy: int = 1000) -> DataFrame:

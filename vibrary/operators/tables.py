@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
 from . import models as M
 from .signals import finite
 from .skew import average_ranks, quantiles
@@ -92,9 +93,8 @@ def pearson_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def ranked_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """A row (feature, _rx, _rt) for each value of each column: its average rank and that of the row's target."""
-    keyed = df.select(*columns, F.col(target).cast("double").alias("_t"), F.lit("target").alias("_of"))
-    rows = average_ranks(keyed, ["_of"], "_t", "_rt", columns[0])
-    return average_ranks(melted(rows, columns, ["_rt"]), ["feature"], "value", "_rx", "_rt")
+    rows = kept(average_ranks(df.select(*columns, F.col(target).cast("double").alias("_t")), [], "_t", "_rt").drop("_t"), "target_ranks")
+    return average_ranks(melted(rows, columns, ["_rt"]), ["feature"], "value", "_rx")
 
 
 def spearman_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -104,8 +104,8 @@ def spearman_target(df: DataFrame, columns: list[str], target: str) -> DataFrame
 
 def spearman_matrix(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
     """a, b and rho of every ordered pair of columns; rows are known by key (unique)."""
-    row = F.xxhash64(*key).alias("_row")
-    ranks = average_ranks(melted(df.select(row, *columns), columns, ["_row"]), ["feature"], "value", "r", "_row")
+    row = F.struct(*key).alias("_row")
+    ranks = average_ranks(melted(df.select(row, *columns), columns, ["_row"]), ["feature"], "value", "r")
     wide = ranks.groupBy("_row").pivot("feature", columns).agg(F.first("r"))
     return corr_matrix(wide, columns).withColumnRenamed("r", "rho")
 

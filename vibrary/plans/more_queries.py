@@ -260,18 +260,18 @@ RHOS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(r_{a}, r_{b}) AS
 
 @query(f"WITH {RANKS} SELECT a, b, round(rho, 6) AS rho FROM ({RHOS})", "features")
 def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row"]))
+    return rounded(T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row_file", "row"]))
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table with a number for each row, the same whenever it is read."""
-    return D.feature_table(spark, sf_dir).withColumn("row", F.xxhash64("file", "sweep", "sensor", *NAMES, "target", F.col("_metadata.row_index")))
+    return D.feature_table(spark, sf_dir).select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row"))
 
 
 @query(f"WITH {RANKS}, p AS (SELECT a AS feature, count(*) FILTER (a <> b AND abs(rho) >= 0.9) AS partners FROM ({RHOS}) GROUP BY a) SELECT feature, feature <> 'price' AS high_vif, partners, feature <> 'price' AND partners > 0 AS redundant FROM p", "features")
 def flag_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which features are inflated (three depend on each other exactly, the price on none), how many others each is close to, and which are both."""
-    return T.redundancy(T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row"]), T.vif(D.feature_table(spark, sf_dir), NAMES)).drop("vif")
+    return T.redundancy(T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row_file", "row"]), T.vif(D.feature_table(spark, sf_dir), NAMES)).drop("vif")
 
 
 @query(
@@ -283,7 +283,7 @@ SELECT feature FROM w WHERE feature NOT IN (SELECT a FROM k)""",
 def reduce_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of close features: relevance and closeness are by rank."""
     f = D.feature_table(spark, sf_dir)
-    pairs = {(r.a, r.b): r.rho for r in T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row"]).collect()}
+    pairs = {(r.a, r.b): r.rho for r in T.spearman_matrix(marked(spark, sf_dir), NAMES, ["row_file", "row"]).collect()}
     factors = {r.feature: r.vif for r in T.vif(f, NAMES).collect()}
     worth = {r.feature: abs(r.rho) for r in T.spearman_target(f, NAMES, "target").collect()}
     return spark.createDataFrame([(c,) for c in T.reduce_redundant(pairs, factors, worth, NAMES)], "feature string")
@@ -451,8 +451,9 @@ def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = residuals(spark, sf_dir)
     dm = C.diebold_mariano(r).select(*keys, F.col("dm").alias("dm_stat"), F.col("p").alias("dm_p"))
     w = C.wilcoxon(r).select(*keys, F.col("w").alias("wilcoxon_stat"), F.col("p").alias("wilcoxon_p"))
-    ci = C.bootstrap_rmse(r.select(F.concat_ws(":", "file", "sweep").alias("key"), "a", "b"), 200).select("delta_rmse", F.col("ci_lo").alias("ci_95_lo"), F.col("ci_hi").alias("ci_95_hi"))
-    return rounded(C.holm(t.join(dm, keys).join(w, keys), "cv_p_value").crossJoin(ci), 5)
+    errors = r.select(*keys, F.concat_ws(":", "file", "sweep").alias("key"), "a", "b")
+    ci = C.bootstrap_rmse(errors, by=keys).select(*keys, "delta_rmse", F.col("ci_lo").alias("ci_95_lo"), F.col("ci_hi").alias("ci_95_hi"))
+    return rounded(C.holm(t.join(dm, keys).join(w, keys), "cv_p_value").join(ci, keys), 5)
 
 
 METRICS = "round(1 - sum(power(y - {x}, 2)) / (count(*) * var_pop(y)), 6) AS {p}r2, round(avg(abs(y - {x})), 6) AS {p}mae, round(sqrt(avg(power(y - {x}, 2))), 6) AS {p}rmse"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -470,17 +467,25 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.holm(t))
 
 
-RESAMPLES = 200
-POISSON = ", ".join(repr(x) for x in accumulate(math.exp(-1) / math.factorial(n) for n in range(8)))
+RESAMPLES = 10_000
+
+
+def copies(x: str) -> str:
+    """SQL for how many copies a 16-bit number means."""
+    return "CASE " + " ".join(f"WHEN {x} < {most} THEN {n}" for n, most in enumerate(C.COPIES)) + f" ELSE {len(C.COPIES)} END"
 
 
 @query(
     f"""WITH e AS (SELECT l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber AS key, t - (t + 0.1::DOUBLE * sin(l_partkey)) AS a, t - (t + 0.15::DOUBLE * cos(l_partkey)) AS b
   FROM (SELECT *, 0.01::DOUBLE * l_quantity - 2 * l_discount + 5 * l_tax * l_tax + 0.3::DOUBLE * (l_suppkey % 7) AS t FROM lineitem)),
-m AS (SELECT a * a AS aa, b * b AS bb, four, md5('42:' || four || ':' || key) AS h FROM e, (SELECT unnest(range(0, {RESAMPLES // 4})) AS four)),
-u AS (SELECT four, j, aa, bb, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM m, (SELECT unnest([0, 1, 2, 3]) AS j)),
-w AS (SELECT four, j, aa, bb, len(list_filter([{POISSON}], lambda s: u >= s)) AS w FROM u),
-d AS (SELECT sqrt(sum(w * aa) / sum(w)) - sqrt(sum(w * bb) / sum(w)) AS d FROM w GROUP BY four, j)
+h AS (SELECT a * a AS aa, b * b AS bb, ('0x' || substr(md5('42:' || key), 1, 8))::UBIGINT AS h FROM e),
+m0 AS (SELECT aa, bb, q, (h + q * {C.STEP}::UBIGINT) % 4294967296 AS x FROM h, (SELECT unnest(range(0, {RESAMPLES // 2}))::UBIGINT AS q)),
+m1 AS (SELECT aa, bb, q, (xor(x, x >> {C.MIXES[0][0]}) * {C.MIXES[0][1]}::UBIGINT) % 4294967296 AS x FROM m0),
+m2 AS (SELECT aa, bb, q, (xor(x, x >> {C.MIXES[1][0]}) * {C.MIXES[1][1]}::UBIGINT) % 4294967296 AS x FROM m1),
+m3 AS (SELECT aa, bb, q, xor(x, x >> 16) AS x FROM m2),
+w AS (SELECT aa, bb, q, {copies('x % 65536')} AS w0, {copies('x >> 16')} AS w1 FROM m3),
+s AS (SELECT q, sum(w0 * aa) AS a0, sum(w0 * bb) AS b0, sum(w0) AS n0, sum(w1 * aa) AS a1, sum(w1 * bb) AS b1, sum(w1) AS n1 FROM w GROUP BY q),
+d AS (SELECT sqrt(a0 / n0) - sqrt(b0 / n0) AS d FROM s UNION ALL SELECT sqrt(a1 / n1) - sqrt(b1 / n1) FROM s)
 SELECT (SELECT round(sqrt(avg(a * a)) - sqrt(avg(b * b)), 6) FROM e) AS delta_rmse, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM d"""
 )
 def bootstrap_rmse_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
