@@ -38,7 +38,18 @@ def sink_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sensor, sweep, round(sqrt(list_sum(list_transform(voltage, lambda x: x * x)) / len(voltage)), 6) + CASE WHEN sensor = 'UL' THEN 1 ELSE 0 END AS rms FROM arrays", "arrays")
 def upsert_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one sensor replaced by recomputed ones, the others kept."""
+    """A written table in which the rows of one sensor are replaced by recomputed ones; the other's files stay as they are."""
+    a = D.array_sweeps(spark, sf_dir)
+    old = a.select("sensor", "sweep", F.round(F.sqrt(F.aggregate("voltage", F.lit(0.0), lambda s, x: s + x * x) / F.size("voltage")), 6).alias("rms"))
+    path = store.scratch(spark, f"upsert-{uuid.uuid4().hex}")
+    store.upsert_in_place(old, path, sort=["sweep"])
+    store.upsert_in_place(old.filter("sensor = 'UL'").withColumn("rms", F.col("rms") + 1), path, sort=["sweep"])
+    return store.read_in_place(spark, path).select("sensor", "sweep", "rms")
+
+
+@query("SELECT sensor, sweep, round(sqrt(list_sum(list_transform(voltage, lambda x: x * x)) / len(voltage)), 6) + CASE WHEN sensor = 'UL' THEN 1 ELSE 0 END AS rms FROM arrays", "arrays")
+def keep_other_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union form, for tables that are not files: rows of other sensors, and the recomputed ones."""
     a = D.array_sweeps(spark, sf_dir)
     old = a.select("sensor", "sweep", F.round(F.sqrt(F.aggregate("voltage", F.lit(0.0), lambda s, x: s + x * x) / F.size("voltage")), 6).alias("rms"))
     return store.upsert(old, old.filter("sensor = 'UL'").withColumn("rms", F.col("rms") + 1), "sensor")

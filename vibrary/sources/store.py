@@ -81,3 +81,78 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     gone = [r[0] for r in new.select(key).distinct().collect()]
     kept = old.filter(~F.coalesce(F.col(key).isin(gone), F.lit(False))) if gone else old
     return kept.unionByName(new, allowMissingColumns=True)
+
+
+# --- replacing a sensor's rows in place
+
+COMMIT = "_commit"
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path and what makes paths of it."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def stage(new: DataFrame, path: str, key: str = "sensor", sort: list[str] | None = None) -> str:
+    """new written below path, where no reader of path looks, a folder for each key value, sorted within files; the name of the folder."""
+    name = f"_staged-{uuid.uuid4().hex}"
+    rows = new.sortWithinPartitions(key, *(sort or []))
+    rows.write.partitionBy(key).parquet(f"{path}/{name}")
+    return name
+
+
+def commit(spark: SparkSession, path: str, staged: str) -> None:
+    """From here on the staged rows are the table's: a file, put there in one step, names their folder."""
+    fs, make = _files(spark, path)
+    written = make(f"{path}/{COMMIT}-{uuid.uuid4().hex}")
+    out = fs.create(written, False)
+    out.write(bytearray(staged.encode()))
+    out.close()
+    if not fs.rename(written, make(f"{path}/{COMMIT}")):
+        fs.delete(written, False)
+        raise FileExistsError(f"another change of {path} is not done yet")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Carries out a committed change of the table at path to its end, from wherever it was stopped; a change that was not committed leaves nothing.
+
+    Every step can be done again: a partition goes only while its staged one is there to take its place.
+    """
+    fs, make = _files(spark, path)
+    named = make(f"{path}/{COMMIT}")
+    if fs.exists(named):
+        stream = fs.open(named)
+        staged = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        home = make(f"{path}/{staged}")
+        for part in fs.listStatus(home) if fs.exists(home) else []:
+            name = part.getPath().getName()
+            if part.isDirectory() and "=" in name:
+                target = make(f"{path}/{name}")
+                fs.delete(target, True)
+                if not fs.rename(part.getPath(), target):
+                    raise OSError(f"{name} could not be put in its place")
+        fs.delete(home, True)
+        fs.delete(named, False)
+    for left in fs.listStatus(make(path)) if fs.exists(make(path)) else []:
+        if left.getPath().getName().startswith("_staged-"):
+            fs.delete(left.getPath(), True)
+
+
+def upsert_in_place(new: DataFrame, path: str, key: str = "sensor", sort: list[str] | None = None) -> None:
+    """The table at path with the partitions of new's key values replaced by new's rows; those of other values are not read or written.
+
+    The new rows are staged, committed and put in place. Whoever is stopped on the way leaves the old table or, after
+    the commit, one that recover (which every change and read_in_place begins with) completes. One writer at a time.
+    """
+    spark = new.sparkSession
+    recover(spark, path)
+    commit(spark, path, stage(new, path, key, sort))
+    recover(spark, path)
+
+
+def read_in_place(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_in_place keeps at path; columns that only some partitions have are null in the others."""
+    recover(spark, path)
+    return spark.read.option("mergeSchema", True).parquet(path)
