@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from vibrary.operators import compare, extract, models, signals, skew, spectra, tables
+from vibrary.operators import chunks, compare, extract, models, signals, skew, spectra, tables, wavelets
 from vibrary.operators import trees as G
 from vibrary.plans import extract_queries, more_queries, queries
 from vibrary.plans.registry import QUERIES
@@ -134,7 +134,7 @@ def test_maps_by_cell(spark) -> None:  # noqa: ANN001
         ses = np.abs(np.fft.rfft(np.abs(spectra.analytic(band)) ** 2))[1:]
         p = ses / ses.sum()
         assert info == pytest.approx(math.log(len(p)) - 1 + 0.5772156649015329 + sum(v * math.log(v) for v in p if v > 0))
-    rows = {(r.frequency, r.damping): (r.rms, r.kurtosis) for r in spectra.wavelet_map(df, [50.0, 200.0], [20.0]).filter("sweep = 1").collect()}
+    rows = {(r.frequency, r.damping): (r.rms, r.kurtosis) for r in wavelets.wavelet_map(chunks.from_arrays(df), 1000.0, [50.0, 200.0], [20.0]).filter("sweep = 1").collect()}
     for (f0, a), (rms, kurtosis) in rows.items():
         t = np.arange(100) / 1000
         kernel = np.exp(-a * t + 2j * np.pi * f0 * t)

@@ -11,8 +11,8 @@ from vibrary.plans import extract_queries, more_queries  # noqa: F401
 from vibrary.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-#: Without SQL; test_fits.py compares them with plain versions.
-ELSEWHERE = set("elastic_net_cv poly_ridge_cv bayesian_ridge_cv nested_cv_scores gbt_cv gbt_tune fit_summary best_params permutation_importance shap_tree pca_project infogram wavelet_map pair_tests".split())
+#: Without SQL; test_fits.py, test_neighbours.py and test_wavelets.py compare them with plain versions.
+ELSEWHERE = set("elastic_net_cv poly_ridge_cv bayesian_ridge_cv nested_cv_scores gbt_cv gbt_tune fit_summary best_params permutation_importance shap_tree pca_project infogram wavelet_map mutual_info_neighbours mi_matrix_neighbours pair_tests".split())
 
 
 def plain(value: object) -> object:

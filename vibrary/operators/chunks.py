@@ -46,6 +46,14 @@ def to_chunks(samples: DataFrame, size: int = CHUNK) -> DataFrame:
     return by.select(*AT, F.col("x.i").alias("i"), F.col("x.v").alias("v"))
 
 
+def from_arrays(signals: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Chunks of signals that are arrays (sweep, sensor, voltage), where they are; a null sample is NaN."""
+    v = F.transform(F.col("voltage").cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan"))))
+    cut = F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(size)), lambda k: F.struct(k.alias("k"), F.slice(v, k + 1, size).alias("v")))
+    rows = signals.filter(F.size("voltage") > 0).select(*KEY, F.explode(cut).alias("x"))
+    return rows.select(*KEY, F.floor(F.col("x.k") / size).alias("chunk"), F.sequence(F.col("x.k").cast("long"), F.col("x.k") + F.size("x.v") - 1).alias("i"), "x.v")
+
+
 def to_samples(chunks: DataFrame, *columns: str) -> DataFrame:
     """Chunks as rows (sweep, sensor, i and the columns)."""
     each = chunks.select(*KEY, F.explode(F.arrays_zip("i", *columns)).alias("x"))
@@ -181,9 +189,9 @@ def merged_moments(name: str = "") -> list[Column]:
     ]
 
 
-def with_common(rows: DataFrame, names: tuple[str, ...] = ("",)) -> DataFrame:
+def with_common(rows: DataFrame, names: tuple[str, ...] = ("",), by: tuple[str, ...] = KEY) -> DataFrame:
     """rows with the mean over all chunks of their signal as {name}common."""
-    all_of = Window.partitionBy(*KEY)
+    all_of = Window.partitionBy(*by)
     return rows.select("*", *((F.sum(F.col(f"{c}n") * F.col(f"{c}mean")).over(all_of) / F.sum(f"{c}n").over(all_of)).alias(f"{c}common") for c in names))
 
 

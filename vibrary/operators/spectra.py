@@ -196,28 +196,6 @@ def infogram(df: DataFrame, centres: list[float], widths: list[float]) -> DataFr
     return rows.select(*KEY, F.get(middles, F.floor(F.col("i") / len(widths)).cast("int")).alias("centre"), F.get(spans, F.col("i") % len(widths)).alias("width"), F.when(~F.isnan("info"), F.col("info")).alias("info"))
 
 
-def wavelet_map(df: DataFrame, f0s: list[float], dampings: list[float], decays: float = 5.0) -> DataFrame:
-    """For each signal and damped oscillation (frequency, damping) of unit energy: rms and kurtosis of the size of its correlation with the signal."""
-    cells = [(f, a) for f in f0s for a in dampings]
-
-    def make(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-        rms, kurt = [], []
-        for f, a in cells:
-            t = np.arange(max(2, min(len(x), int(decays / a * fs)))) / fs
-            w = np.exp(-a * t) * np.exp(2j * np.pi * f * t)
-            w /= np.sqrt((np.abs(w) ** 2).sum())
-            y = np.abs(np.correlate(x, w, "same")) if len(x) else x
-            d = y - y.mean() if len(y) else y
-            v = float((d * d).mean()) if len(y) else 0.0
-            rms.append(float(np.sqrt((y * y).mean())) if len(y) else 0.0)
-            kurt.append(float((d**4).mean() / v**2) if v > TINY else 0.0)
-        return {"rms": np.array(rms), "kurtosis": np.array(kurt)}
-
-    made = each_signal(df, make, "rms array, kurtosis array")
-    grid = F.array(*(F.struct(F.lit(f).alias("frequency"), F.lit(a).alias("damping")) for f, a in cells))
-    return made.select(*KEY, F.explode(F.arrays_zip(grid.alias("cell"), "rms", "kurtosis")).alias("z")).select(*KEY, "z.cell.frequency", "z.cell.damping", "z.rms", "z.kurtosis")
-
-
 def blurred(grid: DataFrame, sigma: float = 1.5) -> DataFrame:
     """A map (y, x, z) with its gaps as the mean of the rest and blurred by a Gaussian along both axes, mirrored at the edges; gap says where.
 

@@ -14,9 +14,11 @@ from ..operators import chunks as K
 from ..operators import compare as C
 from ..operators import conditions as O
 from ..operators import models as M
+from ..operators import neighbours as N
 from ..operators import spectra as X
 from ..operators import tables as T
 from ..operators import trees as G
+from ..operators import wavelets as V
 from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
@@ -208,6 +210,22 @@ def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "feature").filter("model_a < model_b").groupBy("model_a", "model_b").agg(F.count("*").alias("n"))
 
 
+# --- neighbours
+
+
+@query()
+def mutual_info_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of each feature and the target by the distances to the fifth neighbour, over all rows."""
+    return rounded(N.mutual_information(marked(spark, sf_dir), [(c, "target") for c in NAMES], ["row_file", "row"]))
+
+
+@query()
+def mi_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every two features."""
+    pairs = [(a, b) for k, a in enumerate(NAMES) for b in NAMES[k + 1 :]]
+    return rounded(N.mutual_information(marked(spark, sf_dir), pairs, ["row_file", "row"]))
+
+
 # --- maps
 
 
@@ -221,7 +239,7 @@ def infogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wavelet_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and kurtosis of each signal's response to damped oscillations."""
     f0s, dampings = X.usual_grid(D.FS)
-    return rounded(X.wavelet_map(D.array_sweeps(spark, sf_dir), f0s, dampings))
+    return rounded(V.wavelet_map(K.from_arrays(D.array_sweeps(spark, sf_dir)), D.FS, f0s, dampings))
 
 
 @query(
