@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table
 
+#: Attributes end at a "<" outside quotes, as where a tag was not closed; such a tag ends at the next ">". So no place is read again from many others.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|template|svg|math|iframe|noscript|head|title|select|textarea|button|object)\b[^>]*>"
-    r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
+    r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>"
+    r"|<(?P<closes>/)?(?P<broken>[a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
 #: Elements without text of their own, up to their end tag. Those that are not closed lose their tag only, but for these:
@@ -52,6 +54,7 @@ def blocks(html: str | None) -> list[tuple[str, float, int, int]]:
     """Text, link density, furniture around (0/1), article around (0/1) of each block that has text, in page order."""
     found: list[tuple[str, float, int, int]] = []
     around: list[tuple[str, int, int]] = []  # kind of holder; furniture and article so far
+    open_kinds: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -84,16 +87,17 @@ def blocks(html: str | None) -> list[tuple[str, float, int, int]]:
         return len(html) if kind in TO_THE_END else None
 
     html = html or ""
-    at = 0
+    at, last = 0, html.rfind(">") + 1  # behind it nothing is a tag but an open comment
     in_head = False
     open_ended: set[str] = set()
-    while m := TOKEN.search(html, at):
+    while at < last and (m := TOKEN.search(html, at, last)):
         before = html[at : m.start()]
         in_head = in_head and not before.strip()
         if not in_head:
             text(before)
-        at = m.end()
-        raw, name = (m["raw"] or "").lower(), (m["name"] or "").lower()
+        at = len(html) if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
+        raw, name = (m["raw"] or "").lower(), (m["name"] or m["broken"] or "").lower()
+        close = m["close"] or m["closes"]
         if raw == "head":
             end_block()
             in_head = True
@@ -109,7 +113,7 @@ def blocks(html: str | None) -> list[tuple[str, float, int, int]]:
             continue
         if name in INLINE:
             if name == "a":
-                in_link = not m["close"]
+                in_link = not close
                 if linked and in_link:
                     linked.append(" ")
             continue
@@ -117,18 +121,21 @@ def blocks(html: str | None) -> list[tuple[str, float, int, int]]:
         in_link = False
         if name not in HOLDERS:
             continue
-        if m["close"]:
-            for k in range(len(around) - 1, -1, -1):
-                if around[k][0] == name:
-                    del around[k:]
+        if close:
+            while open_kinds[name]:
+                ended = around.pop()[0]
+                open_kinds[ended] -= 1
+                if ended == name:
                     break
         else:
             _, furniture, article = around[-1] if around else ("", 0, 0)
             names = " ".join(x.strip("\"'") for x in NAMED.findall(m["attrs"] or "")) if name != "body" else ""
             named_article = bool(ARTICLE.search(names)) or name in ARTICLE_KINDS
             holds = name in FURNITURE_KINDS and not (name == "header" and article) or bool(FURNITURE.search(names)) and name not in ARTICLE_KINDS
+            open_kinds[name] += 1
             around.append((name, int(furniture or holds), int(article or named_article and not holds)))
-    text(html[at:])
+    rest = html[at:].partition("<!--")[0] if at >= last else html[at:last] + html[last:].partition("<!--")[0]
+    text(rest)
     end_block()
     return found
 
