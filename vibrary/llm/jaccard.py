@@ -7,8 +7,8 @@
 2. Groups: what is left is partitioned into groups of similar documents: each class is compared with the
    most central class that has the same minimum hash, and linked to it if the pair reaches the threshold exactly;
    later rounds do so with more minimum hashes and any class as head where groups differ.
-3. Matrix: classes with the same first minimum hash form blocks of bounded size, and the union of a block's
-   token sets is stored. A class meets the blocks that hold a token of its own prefix (its rarest tokens, one
+3. Matrix: the classes of a larger group, and those of small groups with the same first minimum hash, form blocks of
+   bounded size, and the union of a block's token sets is stored. A class meets the blocks that hold a token of its own prefix (its rarest tokens, one
    more than a link may miss), a member of a larger group and a member of a size that fits. Its overlap with
    the block's union bounds its overlap with every member; only the members of blocks whose bound reaches the
    threshold are read, and compared exactly.
@@ -40,6 +40,8 @@ SHINGLE, PERCENT = 4, 85
 CHUNK, SHARD = 300_000, 1_000_000
 #: Classes of a block, and classes compared with a block at once, about.
 BLOCK, QUERIES = 250, 1000
+#: Classes of a group from which on it has blocks of its own.
+GATHERED = 16
 #: Comparisons with one head that are one task's, and blocks in one row of a token, about.
 FOLLOWERS, TOGETHER = 1000, 1000
 #: Up to so many keys are broadcast to pick their documents; more are joined by shuffle.
@@ -286,8 +288,8 @@ def component_names(docs: DataFrame, classes: DataFrame, shards: int, percent: i
     ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("node")))
     prefix = ranked.filter(F.col("alone") + F.col("rank") <= allowed).select("node", "token", "n")
     sizes = settled(groups.groupBy("group").agg(F.count("*").alias("members")).withColumn("w", F.col("members")), "sizes")
-    placed = met(groups, sizes, ["group"], "w", "node").join(blocks(stars), "node").select("node", "block", F.struct("members", "group").alias("at"))
-    placed = settled(placed, "placed")
+    placed = blocks(stars, settled(met(groups, sizes, ["group"], "w", "node"), "members"))
+    placed = settled(placed.select("node", "block", F.struct("members", "group").alias("at")), "placed")
     asks = settled(meetings(prefix.join(placed, "node"), percent), "asks")
     links = settled(links.union(opened(asks, placed, sets, percent)), "links")
     groups = settled(components(sets, links).join(sets.select("node", "mark"), "node").join(classes.select("mark", "least"), "mark"), "groups")
@@ -314,11 +316,14 @@ def meetings(prefix: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks")).select("q", F.explode("blocks").alias("block"))
 
 
-def blocks(stars: DataFrame) -> DataFrame:
-    """node and block: classes with the same first minimum hash, in blocks of about BLOCK."""
+def blocks(stars: DataFrame, members: DataFrame) -> DataFrame:
+    """node, group, members and block: the classes of a larger group in as few blocks of about BLOCK as hold them, those of smaller groups with the classes that have the same first minimum hash."""
     star = stars.select("node", F.col("stars")[0].alias("star"))
-    parts = settled(star.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("w")), "parts")
-    return met(star, parts, ["star"], "w", "node").select("node", F.xxhash64("star", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+    together = F.col("members") >= GATHERED
+    keyed = settled(members.join(star, "node").select("node", "group", "members", together.alias("_large"), F.when(together, F.col("group")).otherwise(F.col("star")).alias("_of")), "keyed")
+    parts = settled(keyed.groupBy("_large", "_of").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("w")), "parts")
+    placed = met(keyed, parts, ["_large", "_of"], "w", "node")
+    return placed.select("node", "group", "members", F.xxhash64("_large", "_of", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
 
 
 def unions(placed: DataFrame, sets: DataFrame) -> DataFrame:
