@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vibrary.operators import chunks, compare, extract, models, signals, skew, spectra, tables, wavelets
 from vibrary.operators import trees as G
@@ -269,7 +270,9 @@ def test_boosted_trees_and_nested_scores(spark, table) -> None:  # noqa: ANN001
         assert got[held].n == len(own) and got[held].rmse == pytest.approx(math.sqrt(((own.target - own.yhat) ** 2).mean()), abs=1e-5) and got[held].rmse < table.target.std()
     assert got[None].n_trees == max(1, round(np.mean(trees)))
     tuned = QUERIES["gbt_tune"](spark, DATA).collect()
-    assert len({(r.max_depth, r.step_size) for r in tuned}) == len(tuned) == 4 and [r.rmse for r in tuned if r.best] == [min(r.rmse for r in tuned)]
+    assert len({(r.max_depth, r.step_size, r.least_rows) for r in tuned}) == len(tuned) == 27
+    assert sorted([r.round for r in tuned]) == [0] * 18 + [1] * 6 + [2] * 2 + [3] and {(r.round, r.n_trees) for r in tuned} == {(0, 1), (1, 3), (2, 9), (3, 27)}
+    assert [r.round for r in tuned if r.best] == [3]
     used = {r.feature: r for r in QUERIES["shap_tree"](spark, DATA).collect()}
     assert sum(r.importance for r in used.values()) == pytest.approx(1, abs=1e-5) and max(used, key=lambda c: used[c].rise) == max(INPUTS, key=lambda c: abs(table[c].corr(table.target)))
 
@@ -294,3 +297,16 @@ def test_permuted_columns(spark, table) -> None:  # noqa: ANN001
     worth = {c: abs(table[c].corr(table.target)) for c in INPUTS}
     assert max(rise, key=rise.get) == max(worth, key=worth.get) and abs(rise["price"]) < 0.02
     assert extract_queries and queries
+
+
+def test_search_does_not_hang_on_threads(spark) -> None:  # noqa: ANN001
+    f = more_queries.folded(spark, DATA).withColumn("inner", (F.col("file") % 2).cast("int")).limit(1500).cache()
+    settings = G.drawn_settings({"maxDepth": (1, 3), "stepSize": (0.02, 0.5)}, 6)
+    assert all(1 <= s["maxDepth"] <= 3 and 0.02 <= s["stepSize"] <= 0.5 for s in settings)
+    found = [sorted(map(tuple, G.gbt_search(f, more_queries.INPUTS, "target", "inner", 2, settings, keep=2, threads=n).collect())) for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == 6 and sum(r[-1] for r in found[0]) == 1
+    # a setting's error is that of a fit by itself
+    model = G.learner("target", **settings[0], maxIter=1)
+    plain = [model.fit(G.assembled(f.filter(F.col("inner") != k), more_queries.INPUTS)).transform(G.assembled(f.filter(F.col("inner") == k), more_queries.INPUTS)).select(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))).first()[0] for k in (0, 1)]
+    first = G.gbt_search(f, more_queries.INPUTS, "target", "inner", 2, settings[:1], keep=2).first()
+    assert first.rmse == pytest.approx(sum(plain) / 2) and first.best

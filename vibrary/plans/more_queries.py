@@ -386,6 +386,7 @@ def nested_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Smaller than USUAL, so that a run takes seconds.
 SMALL_TREES = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.2}
+SETTINGS = {"maxDepth": [2, 4, 6], "stepSize": [0.05, 0.1, 0.3], "minInstancesPerNode": [1, 10, 50]}
 
 
 @query()
@@ -396,10 +397,10 @@ def gbt_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and step size by inner folds of the training rows."""
+    """Depth, step size and rows a leaf: all 27 settings by inner folds of the training rows, with 1, 3, 9 and 27 trees for ever fewer of them."""
     f = folded(spark, sf_dir).filter("fold <> 0").withColumn("inner", (F.floor(F.col("file") / 5) % 3).cast("int"))
-    tuned = G.gbt_tune(f, INPUTS, "target", "inner", 3, {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=5)
-    return rounded(tuned.select(F.col("maxDepth").cast("int").alias("max_depth"), F.col("stepSize").alias("step_size"), "rmse", "best"))
+    tuned = G.gbt_search(f, INPUTS, "target", "inner", 3, G.every_setting(SETTINGS))
+    return rounded(tuned.select(F.col("maxDepth").cast("int").alias("max_depth"), F.col("stepSize").alias("step_size"), F.col("minInstancesPerNode").cast("int").alias("least_rows"), F.col("round").cast("int").alias("round"), F.col("n_trees").cast("int").alias("n_trees"), "rmse", "best"))
 
 
 @query()
