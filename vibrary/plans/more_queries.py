@@ -22,6 +22,7 @@ from ..operators import wavelets as V
 from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
+from ..sources import sweeps as R
 from .queries import CHAIN, COLUMNS, FUSED, HOLDOUT, PEARSON, PREDICTIONS, RANKS, SCORES, array_features, cleaned, cleaned_chunks, conditions, predictions, residuals, scores
 from .registry import query, rounded
 
@@ -57,6 +58,16 @@ def keep_other_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, old.filter("sensor = 'UL'").withColumn("rms", F.col("rms") + 1), "sensor")
 
 
+@query("SELECT sensor, sweep, 1000.0::DOUBLE AS fs, CAST(len(voltage) AS BIGINT) AS n, 'sweep ' || sweep AS label, round(sqrt(list_sum(list_transform(voltage, lambda x: x * x)) / len(voltage)), 6) AS rms FROM arrays WHERE sensor = 'UL' AND sweep BETWEEN 10 AND 90", "arrays")
+def sweep_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals written as sweep files, and some of them read by sensor and sweep; only their files are opened."""
+    path = store.scratch(spark, f"sweeps-{uuid.uuid4().hex}")
+    R.write_sweeps(D.array_sweeps(spark, sf_dir).withColumn("label", F.concat(F.lit("sweep "), "sweep")), path)
+    some = R.read_sweeps(spark, path).filter((F.col("sensor") == "UL") & F.col("sweep").between(10, 90))
+    rms = F.sqrt(F.aggregate("voltage", F.lit(0.0), lambda s, x: s + x * x) / F.size("voltage"))
+    return rounded(some.select("sensor", "sweep", "fs", F.size("voltage").cast("long").alias("n"), F.col("attributes")["label"].alias("label"), rms.alias("rms")))
+
+
 PAIR = "SELECT sensor, count(*) AS n, count(conditions.sweep) AS n_known, round(avg(rms), 6) AS mean_rms, round(avg(kappa), 6) AS mean_kappa FROM r LEFT JOIN conditions USING (sweep) GROUP BY sensor"
 
 
