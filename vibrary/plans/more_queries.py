@@ -19,6 +19,7 @@ from ..operators import spectra as X
 from ..operators import tables as T
 from ..operators import trees as G
 from ..operators import wavelets as V
+from ..operators import wide as L
 from ..operators.skew import numbered
 from ..sources import fixtures as D
 from ..sources import store
@@ -221,6 +222,35 @@ def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "feature").filter("model_a < model_b").groupBy("model_a", "model_b").agg(F.count("*").alias("n"))
 
 
+# --- very many columns
+
+CLOSE = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM features" for a in NAMES for b in NAMES if a != b)
+
+
+@query(f"SELECT a, b, round(r, 6) AS r FROM ({CLOSE}) WHERE abs(r) >= 0.5", "features")
+def close_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are close to each other, as edges from block products."""
+    vectors = D.feature_table(spark, sf_dir).select(F.array(*(F.col(c).cast("double") for c in NAMES)).alias("x"))
+    return rounded(L.close_pairs(vectors, NAMES, 0.5))
+
+
+@query(
+    f"""WITH v(feature, place, inflation) AS (VALUES ('quantity', 0, 99.0), ('tax', 1, 99.0), ('collinear', 2, 99.0), ('price', 3, 1.0)), e AS (SELECT * FROM ({CLOSE}) WHERE abs(r) >= 0.5),
+w AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, round(abs(corr({c}, target)), 9) AS worth FROM features" for c in NAMES)}), c AS (SELECT * FROM v JOIN w USING (feature)),
+b AS (SELECT e.a, x.place AS a_place, x.inflation >= 10 AS a_high, e.b, y.place AS b_place, y.inflation >= 10 AS b_high FROM e JOIN c x ON x.feature = e.a JOIN c y ON y.feature = e.b WHERE y.worth > x.worth OR y.worth = x.worth AND y.place < x.place),
+f AS (SELECT a, min(b_place) AS first FROM b WHERE b_high GROUP BY a)
+SELECT feature, worth FROM c WHERE feature NOT IN (SELECT a FROM f) AND feature NOT IN (SELECT b.a FROM b LEFT JOIN f ON f.a = b.b WHERE a_high AND (f.first IS NULL OR b.a_place < f.first))""",
+    "features",
+)
+def columns_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of close columns by joins over their edges; worth is by correlation with the target, three columns depend on each other exactly."""
+    f = D.feature_table(spark, sf_dir)
+    edges = L.close_pairs(f.select(F.array(*(F.col(c).cast("double") for c in NAMES)).alias("x")), NAMES, 0.5)
+    worth = T.pearson_target(f, NAMES, "target").select("feature", F.round(F.abs("r"), 9).alias("worth"))
+    facts = spark.createDataFrame([(c, k, 1.0 if c == "price" else 99.0) for k, c in enumerate(NAMES)], "feature string, place int, inflation double")
+    return L.without_close(edges, facts.join(worth, "feature")).select("feature", "worth")
+
+
 # --- neighbours
 
 
