@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see; where that is unset, a local session, as in tests, gets a temporary one, and on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
