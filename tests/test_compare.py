@@ -88,3 +88,28 @@ def test_resamples(spark) -> None:  # noqa: ANN001
 def test_no_band_above_the_highest_frequency(spark) -> None:  # noqa: ANN001
     df = spark.range(2)
     assert conditions.bands_fixed(df, 500.0, 400.0, 100.0).count() == 0 and conditions.bands_fixed(df, 0.0, 200.0, 100.0).count() == 4
+
+
+@pytest.mark.parametrize("df", [1, 2, 5, 24, 300])
+def test_student_by_integration(df) -> None:  # noqa: ANN001
+    x = np.linspace(0, 1, 200_001)
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    for t in (0.1, 1.0, 2.5, 6.0):
+        y = density * (1 + (x * t) ** 2 / df) ** (-(df + 1) / 2)
+        inside = t * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) / 600_000
+        assert compare.t_two_sided(t, df) == pytest.approx(1 - 2 * inside, abs=1e-9)
+
+
+def test_probabilities_of_pairs(spark) -> None:  # noqa: ANN001
+    """Of both tests, against t_two_sided of statistics from plain formulas."""
+    r = np.random.default_rng(3)
+    a, b = r.normal(0.2, 1, 25), r.normal(0, 1, 25)
+    df = spark.createDataFrame([("a", "b", float(x), float(y)) for x, y in zip(a, b, strict=True)], "model_a string, model_b string, a double, b double")
+    d, e = a - b, a * a - b * b
+    got = compare.ttest_corrected(df, 5).first()
+    t = d.mean() / math.sqrt((1 / 25 + 1 / 4) * d.var(ddof=1))
+    assert (got.t, got.p) == pytest.approx((t, compare.t_two_sided(t, 24)))
+    got = compare.diebold_mariano(df, alternative="less").first()
+    t = e.mean() / math.sqrt(e.var(ddof=1) / 25) * math.sqrt(24 / 25)
+    both = compare.t_two_sided(t, 24)
+    assert (got.dm, got.p) == pytest.approx((t, both / 2 if t < 0 else 1 - both / 2))
