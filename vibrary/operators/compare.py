@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .skew import average_ranks
+from ..sources.store import kept
+from .skew import numbered
 
 #: Up to so many differences the signed-rank test is exact.
 EXACT = 50
@@ -118,14 +119,19 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     """w, the smaller sum of signed ranks of the differences in absolute errors, and two-sided p: exact for up to EXACT differences without ties, else by the normal approximation, corrected for ties; equal errors are left out, and a pair without others has w 0 and p 1."""
     key = ["model_a", "model_b"]
     d = pairs.select(*key, (F.abs("a") - F.abs("b")).alias("d")).withColumn("size", F.abs("d"))
-    r = average_ranks(d.filter("d <> 0"), key, "size", "r")
-    s = r.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
-    c = d.filter("d <> 0").groupBy(*key, "size").agg(F.count("*").cast("double").alias("c")).groupBy(*key).agg(F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
-    n = F.col("n")
+    # equal sizes are one row before anything is sorted
+    sizes = kept(d.filter("d IS NOT NULL").groupBy(*key, "size").agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down")), "sizes")
+    c = (F.col("up") + F.col("down")).alias("c")
+    ranked = numbered(sizes.filter("size <> 0").select("*", c), key, "size", [], "before", F.col("c"))
+    twice = 2 * F.col("before") + F.col("c") + 1  # the average rank, twice: a whole number
+    many = F.col("c").cast("double")
+    sums = [(F.sum(F.col(x) * twice) / 2).alias(x) for x in ("up", "down")]
+    s = ranked.groupBy(*key).agg(F.sum("c").alias("n"), *sums, F.sum(many**3 - many).alias("ties"))
+    n = F.col("n").cast("double")  # its third power is more than a long holds from 1.7 million on
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.when(sd > 0, (F.least("up", "down") - n * (n + 1) / 4) / sd).otherwise(0.0)
-    found = s.join(c, key).select(*key, "n", F.least("up", "down").alias("w"), z.alias("z"), (F.col("ties") > 0).alias("tied"))
-    every = d.select(*key).distinct().join(found, key, "left").na.fill({"n": 0, "w": 0.0, "z": 0.0, "tied": False})
+    found = s.select(*key, "n", F.least("up", "down").alias("w"), z.alias("z"), (F.col("ties") > 0).alias("tied"))
+    every = sizes.select(*key).distinct().join(found, key, "left").na.fill({"n": 0, "w": 0.0, "z": 0.0, "tied": False})
     schema = T.StructType([*[f for f in every.schema.fields if f.name not in ("z", "tied")], T.StructField("p", T.DoubleType())])
 
     def chance(n: int, w: float, z: float, tied: bool) -> float:
