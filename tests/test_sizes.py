@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from vibrary.operators import compare
+from vibrary.plans import extract_queries, more_queries  # noqa: F401
+from vibrary.plans.registry import ORACLES, QUERIES
 
+from test_oracles import rows
 
 
 
@@ -20,3 +26,14 @@ def test_wilcoxon_of_two_million(spark) -> None:  # noqa: ANN001
     z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     assert (got.n, got.w) == (n, w)
     assert math.isclose(got.p, math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["assemble_metadata"])
+def test_rails_between_equal_values(spark, tmp_path, name) -> None:  # noqa: ANN001
+    """The two lowest of 73 samples are 0.12, and so is the lower rail; another signal has 17 of 64 at its rail."""
+    draw = random.Random(1)
+    events = [(k, 60, 0.12 if k < 2 else 1 + draw.random() * 200) for k in range(73)] + [(200 + k, 63, 70.0 if k < 17 else 1 + k / 2) for k in range(64)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())

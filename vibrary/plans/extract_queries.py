@@ -294,7 +294,7 @@ def envelope_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT q.sweep, q.sensor, round(CASE WHEN isnan(c.rpm) THEN NULL ELSE c.rpm END, 6) AS rpm, c.viscosity_40c_cst, 38.0::DOUBLE AS pitch_mm, q.is_clipped AS sig_clipped, round(q.clipping_fraction, 6) AS sig_clipping_frac, q.n_nan_inf_replaced AS sig_nan_inf_replaced
 FROM quality q JOIN conditions c USING (sweep)""",
-    f"{CHAIN} quality meta conditions",
+    f"{CHAIN} exact_quality meta conditions",
 )
 def assemble_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of the sweep, its file's lubricant and bearing, and the signal's quality, joined by key."""
