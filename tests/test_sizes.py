@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vibrary.operators import compare
+from vibrary.operators import compare, signals
 from vibrary.plans import extract_queries, more_queries  # noqa: F401
 from vibrary.plans.registry import ORACLES, QUERIES
 
@@ -28,7 +28,16 @@ def test_wilcoxon_of_two_million(spark) -> None:  # noqa: ANN001
     assert math.isclose(got.p, math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["assemble_metadata"])
+def test_percent_of_clipping_is_rounded_from_the_exact_value(spark) -> None:  # noqa: ANN001
+    """17 of 64 is 26.5625 %: halfway, so to the even digit; 26.5635 lies below its last digit."""
+    shares = [17 / 64, 0.265635, 1.0]
+    fields = "sweep long, sensor string, rejection_reason string, clipping_fraction double, is_clipped boolean, saturation_longest_run long, is_saturated boolean, n_nan_inf_replaced long, n_outlier_samples_replaced long, is_valid boolean"
+    df = spark.createDataFrame([(k, "AE", None, s, True, 0, False, 0, 0, True) for k, s in enumerate(shares)], fields)
+    got = {r.sweep: r.summary for r in signals.quality_string(df).collect()}
+    assert got == {k: f"OK [clipped {s * 100:.3f}%]" for k, s in enumerate(shares)}
+
+
+@pytest.mark.parametrize("name", ["sig_quality_string", "assemble_metadata"])
 def test_rails_between_equal_values(spark, tmp_path, name) -> None:  # noqa: ANN001
     """The two lowest of 73 samples are 0.12, and so is the lower rail; another signal has 17 of 64 at its rail."""
     draw = random.Random(1)

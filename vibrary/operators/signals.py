@@ -65,7 +65,7 @@ def quality_string(quality: DataFrame) -> DataFrame:
     notes = F.concat_ws(
         ", ",
         F.when(c("n_nan_inf_replaced") > 0, F.format_string("nan/inf fixed=%d", "n_nan_inf_replaced")),
-        F.when(c("is_clipped"), F.format_string("clipped %.3f%%", c("clipping_fraction") * 100)),
+        F.when(c("is_clipped"), F.concat(F.lit("clipped "), F.call_function("format_number", c("clipping_fraction") * 100, F.lit("0.000")), F.lit("%"))),
         F.when(c("is_saturated"), F.format_string("saturated run=%d", "saturation_longest_run")),
         F.when(c("n_outlier_samples_replaced") > 0, F.format_string("spikes fixed=%d", "n_outlier_samples_replaced")),
     )
