@@ -37,7 +37,7 @@ def test_percent_of_clipping_is_rounded_from_the_exact_value(spark) -> None:  #
     assert got == {k: f"OK [clipped {s * 100:.3f}%]" for k, s in enumerate(shares)}
 
 
-@pytest.mark.parametrize("name", ["sig_quality_string", "assemble_metadata"])
+@pytest.mark.parametrize("name", ["sig_quality_string", "sig_reject", "assemble_metadata"])
 def test_rails_between_equal_values(spark, tmp_path, name) -> None:  # noqa: ANN001
     """The two lowest of 73 samples are 0.12, and so is the lower rail; another signal has 17 of 64 at its rail."""
     draw = random.Random(1)
