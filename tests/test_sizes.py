@@ -6,10 +6,11 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vibrary.operators import compare, signals
+from vibrary.operators import compare, signals, skew, tables
 from vibrary.plans import extract_queries, more_queries  # noqa: F401
 from vibrary.plans.registry import ORACLES, QUERIES
 
@@ -58,3 +59,28 @@ def test_equal_means_are_ties(spark, tmp_path) -> None:  # noqa: ANN001
     got = QUERIES["holm"](spark, str(tmp_path)).toPandas()
     assert got.sort_values("holm_threshold").test.tolist() == list(range(20))
     assert rows(got) == rows(con.sql(ORACLES["holm"]).df())
+
+
+@pytest.mark.parametrize("few", [10, 60, 10_000])
+def test_ranks_with_and_without_a_join(spark, monkeypatch, few) -> None:  # noqa: ANN001
+    """Columns of few and of many values, some null, and one that half of the rows share."""
+    monkeypatch.setattr(skew, "FEW", few)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    r = np.random.default_rng(3)
+    data = [(int(r.integers(0, 5)), None if k % 7 == 0 else float(r.integers(0, 40)), 1.5 if k % 2 else float(r.normal()), k) for k in range(600)]
+    df = spark.createDataFrame(data, "x int, y double, z double, k long")
+    got = skew.with_ranks(df, ["x", "y", "z"]).toPandas()
+    assert sorted(got.k) == list(range(600))
+    for c in "xyz":
+        assert np.allclose(got[f"_r_{c}"], got[c].rank(), equal_nan=True)
+    want = got[["x", "y", "z"]].corr(method="spearman")
+    for a in tables.spearman_matrix(df, ["x", "y", "z"], ["k"]).collect():
+        if "y" not in (a.a, a.b):
+            assert math.isclose(a.rho, want.loc[a.a, a.b], abs_tol=1e-12)
+
+
+def test_ranks_move_no_rows(spark) -> None:  # noqa: ANN001
+    """Where columns have few values, their ranks go to the rows: no exchange above the counts."""
+    df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    plan = skew.with_ranks(df, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

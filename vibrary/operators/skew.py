@@ -13,6 +13,8 @@ from ..sources.store import kept
 HOT, HOT_ROWS = 1 / 10_000, 1000
 #: Rows of a range that a column's values are cut into, about; ranges at most; the accuracy of quantiles that only bracket the exact ones.
 RANGE_ROWS, RANGES, ACCURACY = 200_000, 4096, 10_000
+#: Different values, of all columns together, whose ranks go to every task.
+FEW = 2_000_000
 #: Cuts that are compared with a value in one step.
 BLOCK = 64
 
@@ -115,6 +117,31 @@ def average_ranks(long: DataFrame, by: list[str], value: str, out: str) -> DataF
     return rows.unionByName(same.drop("_range", "_hot"))
 
 
+def with_ranks(df: DataFrame, columns: list[str], prefix: str = "_r_") -> DataFrame:
+    """df with the average rank of each column's value among that column's values (of no value: null) as prefix and the column's name.
+
+    Values are counted and the counts' sums taken in the order of the values, so equal values are one row before anything is
+    sorted. A column of up to FEW different values gets its ranks where its rows are; one of more by a join on its values, in which those
+    that many rows share are salted.
+    """
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "_feature", "_value").filter("_value IS NOT NULL")
+    counts = kept(long.groupBy("_feature", "_value").agg(F.count("*").alias("_c")), "counts")
+    before = numbered(counts, ["_feature"], "_value", [], "_before", F.col("_c"))
+    ranks = kept(before.select("_feature", "_value", "_c", (F.col("_before") + (F.col("_c") + 1) / 2).alias("_rank")), "ranks")
+    different = {r["_feature"]: r["n"] for r in ranks.groupBy("_feature").agg(F.count("*").alias("n")).collect()}
+    room, few = FEW, set()
+    for c in sorted(columns, key=lambda c: different.get(c, 0)):
+        room -= different.get(c, 0)
+        few |= {c} if room >= 0 else set()
+    row = [F.xxhash64(*(c for c, _ in df.dtypes)).alias("_deal")] if len(few) < len(set(columns)) else []
+    out = df.select("*", *row)
+    for c in columns:
+        mine = ranks.filter(F.col("_feature") == c).select(F.col("_value").alias("_v"), "_c", F.col("_rank").alias(prefix + c))
+        out = out.withColumn("_v", F.col(c).cast("double"))
+        out = (out.join(F.broadcast(mine.drop("_c")), "_v", "left") if c in few else met(out, mine, ["_v"], "_c", "_deal", "left")).drop("_v")
+    return out.drop("_deal")
+
+
 def keyed_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], accuracy: int = 1000) -> DataFrame:
     """by and quantiles: the exact quantiles of value within each of any number of keys, linear between neighbours; keys without values and null keys have none.
 

@@ -8,10 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import kept
 from . import models as M
 from .signals import finite
-from .skew import average_ranks, quantiles
+from .skew import average_ranks, quantiles, with_ranks
 
 STRATEGIES = ("drop", "median", "mean", "zero")
 
@@ -91,19 +90,18 @@ def pearson_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return by.unpivot([], columns, "feature", "r")
 
 
-def ranked_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """A row (feature, _rx, _rt) for each value of each column: its average rank and that of the row's target."""
-    rows = kept(average_ranks(df.select(*columns, F.col(target).cast("double").alias("_t")), [], "_t", "_rt").drop("_t"), "target_ranks")
-    return average_ranks(melted(rows, columns, ["_rt"]), ["feature"], "value", "_rx")
-
-
 def spearman_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """feature and rho: the correlation of average ranks."""
-    return ranked_with(df, columns, target).groupBy("feature").agg(F.corr("_rx", "_rt").alias("rho"))
+    """feature and rho: the correlation of average ranks, over the rows whose target is known."""
+    known = df.select(*(F.col(c).cast("double").alias(c) for c in columns), F.col(target).cast("double").alias("_t")).filter("_t IS NOT NULL")
+    ranks = with_ranks(known, [*columns, "_t"], "_r_")
+    return ranks.agg(*(F.corr(f"_r_{c}", "_r__t").alias(c) for c in columns)).unpivot([], columns, "feature", "rho")
 
 
 def spearman_matrix(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """a, b and rho of every ordered pair of columns; rows are known by key (unique)."""
+    """a, b and rho of every ordered pair of columns; of very many columns, rows are known by key (unique)."""
+    if len(columns) <= M.WIDE:
+        ranks = with_ranks(df.select(*(F.col(c).cast("double").alias(c) for c in columns)), columns, "_r_")
+        return corr_matrix(ranks.select(*(F.col(f"_r_{c}").alias(c) for c in columns)), columns).withColumnRenamed("r", "rho")
     row = F.struct(*key).alias("_row")
     ranks = average_ranks(melted(df.select(row, *columns), columns, ["_row"]), ["feature"], "value", "r")
     wide = ranks.groupBy("_row").pivot("feature", columns).agg(F.first("r"))
