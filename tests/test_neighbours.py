@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vibrary.operators import neighbours
+from vibrary.operators import neighbours, skew
 
 
 def plain_digamma(n: np.ndarray) -> np.ndarray:
@@ -69,3 +70,30 @@ def test_unknown_values_and_few_rows(spark) -> None:  # noqa: ANN001
 def test_digamma(spark) -> None:  # noqa: ANN001
     got = [r[0] for r in spark.range(1, 60).select(neighbours.digamma(F.col("id").cast("double"))).collect()]
     assert np.allclose(got, plain_digamma(np.arange(1, 60)), atol=1e-12)
+
+
+@pytest.mark.parametrize("gaps", [2, 1000])
+def test_counts_over_ranges(table, monkeypatch, gaps) -> None:  # noqa: ANN001
+    """Ends that lie in other ranges, in gaps that all tasks know or not, and cells of few rows without a bound on their number."""
+    monkeypatch.setattr(neighbours, "GAPS", gaps)
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    monkeypatch.setattr(skew, "RANGE_ROWS", 150)
+    pairs = [("x", "few"), ("few", "third"), ("line", "noise")]
+    got = {(r.a, r.b): r.mi for r in neighbours.mutual_information(table, pairs, ["id"], 5).collect()}
+    planes = neighbours.planes(table, pairs, ["id"]).toPandas()
+    for i, pair in enumerate(pairs):
+        own = planes[planes.pair == i]
+        assert got[pair] == pytest.approx(plain_information(own.x.to_numpy(), own.y.to_numpy(), 5), abs=1e-9), pair
+
+
+def test_neighbours_take_work_in_step_with_rows() -> None:
+    """Forty thousand rows of a cell, tied or not, in seconds: each is compared with few others."""
+    r = np.random.default_rng(5)
+    for xy in (r.normal(size=(40_000, 2)), np.round(r.normal(size=(40_000, 2))) + 1e-10 * r.normal(size=(40_000, 2))):
+        start = time.process_time()
+        near = neighbours.nearest(xy, xy, 5, True)
+        assert time.process_time() - start < 6
+        some = r.integers(0, len(xy), 50)
+        for k in some:
+            d = np.abs(xy - xy[k]).max(axis=1)
+            assert np.array_equal(np.sort(d)[1:6], near[k])

@@ -5,9 +5,10 @@ rows as near on each axis give the estimate psi(n) + psi(k) - mean psi(a + 1) -
 deviation, and noise far below their digits, drawn from each row's key, parts equal values.
 
 The plane is cut into cells of a bounded number of rows, always across the longer side of a cell, at medians of a
-sample; where the cuts lie changes the work, not the result. A cell's own rows bound each row's distance. A row whose
-square of that size leaves its cell asks the other cells the square touches for their nearest rows. Counts on an axis are
-sums over ranges of sorted values.
+sample; where the cuts lie changes the work, not the result. In a cell, rows lie in a tree of small leaves and are compared
+with those of the leaves that their square touches. A row whose square leaves its cell asks the other cells the square touches for
+their nearest rows. Counts on an axis come from ranges of sorted values and the counts before them; an end in another range
+is mostly beyond its values or in one of its widest gaps, which all tasks know, and asks that range else.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ..sources.store import kept
 from .signals import finite
-from .skew import numbered
+from .skew import cuts_of, in_ranges
 
 K, NOISE, EDGE = 5, 1e-10, 1e-15
-#: Rows of a cell, about; cells of a pair of columns at most; rows of the sample for each cell; questions to a cell that are one task's.
-CELL, CELLS, SAMPLED, ASKED = 800, 4096, 32, 20_000
+#: Rows of a cell, about; cells of a pair of columns at most; rows of the sample for each cell; questions to a cell or a range that are one task's.
+CELL, CELLS, SAMPLED, ASKED = 20_000, 1 << 16, 32, 100_000
+#: Rows of a leaf at most, but for a few; asking rows that go through a tree at once; gaps of a range that all tasks know.
+LEAF, AT_ONCE, GAPS = 24, 4096, 64
 
 
 class Cells(NamedTuple):
@@ -72,17 +75,106 @@ def leaf_of(cells: Cells, xy: np.ndarray) -> np.ndarray:
     return node - len(cells.axis)
 
 
-def nearest(asking: np.ndarray, rows: np.ndarray, k: int, itself: bool) -> np.ndarray:
-    """The k smallest distances of each asking row to rows, ascending, infinite where there are fewer; with itself, rows are the asking ones and none counts itself."""
-    out = np.full((len(asking), k), np.inf)
-    for start in range(0, len(asking), 256):
-        d = np.abs(asking[start : start + 256, None, :] - rows[None]).max(axis=2)
-        if itself:
-            d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
-        m = min(k, d.shape[1])
-        if m:
-            out[start : start + 256, :m] = np.sort(np.partition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else d, axis=1)
-    return out
+def touched(cells: Cells, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the square (rows of lo and hi) and leaf for each leaf a square touches, by square."""
+    square, node = np.arange(len(lo)), np.zeros(len(lo), np.int64)
+    while len(node) and len(cells.axis) and node[0] < len(cells.axis):
+        axis, value = cells.axis[node], cells.value[node]
+        left, right = lo[square, axis] <= value, hi[square, axis] >= value
+        square, node = np.concatenate((square[left], square[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
+    order = np.argsort(square, kind="stable")
+    return square[order], node[order] - len(cells.axis)
+
+
+class Tree(NamedTuple):
+    """Rows in leaves of one size (filled up with infinite ones), their places, and the bounds of the nodes of each level."""
+
+    leaves: np.ndarray
+    place: np.ndarray
+    low: list[np.ndarray]
+    high: list[np.ndarray]
+
+
+def tree_of(xy: np.ndarray) -> Tree:
+    """A balanced tree, cut across the longer side of each node at its median."""
+    depth = max(0, math.ceil(math.log2(max(1, len(xy)) / LEAF)))
+    size = max(1, -(-len(xy) // 2**depth))
+    rows = np.full((1, size * 2**depth, 2), np.inf)
+    rows[0, : len(xy)] = xy
+    place = np.arange(rows.shape[1])[None]
+    for level in range(depth):
+        half = rows.shape[1] // 2
+        known = np.isfinite(rows)
+        side = np.where(known, rows, -np.inf).max(axis=1) - rows.min(axis=1)  # of nodes without rows: minus infinity
+        axis = np.argmax(side, axis=1)
+        by = np.take_along_axis(rows, axis[:, None, None], axis=2)[..., 0]
+        order = np.argpartition(by, half, axis=1)
+        rows = np.take_along_axis(rows, order[..., None], axis=1).reshape(2 ** (level + 1), half, 2)
+        place = np.take_along_axis(place, order, axis=1).reshape(2 ** (level + 1), half)
+    low, high = [rows.min(axis=1)], [np.where(np.isfinite(rows), rows, -np.inf).max(axis=1)]
+    for _ in range(depth):
+        low.insert(0, low[0].reshape(-1, 2, 2).min(axis=1))
+        high.insert(0, high[0].reshape(-1, 2, 2).max(axis=1))
+    return Tree(rows, place, low, high)
+
+
+def least(d: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest of each row, ascending, infinite where there are fewer."""
+    if d.shape[1] > k:
+        d = np.partition(d, k - 1, axis=1)[:, :k]
+    elif d.shape[1] < k:
+        d = np.concatenate((d, np.full((len(d), k - d.shape[1]), np.inf)), axis=1)
+    return np.sort(d, axis=1)
+
+
+def within(tree: Tree, asking: np.ndarray, r: np.ndarray, near: np.ndarray, own: np.ndarray | None = None) -> None:
+    """Puts into near (k a row) the distances of the asking rows to rows of leaves that their squares of size r touch, but for their own leaves."""
+    k, last = near.shape[1], len(tree.low) - 1
+    for start in range(0, len(asking), AT_ONCE):
+        at, size = asking[start : start + AT_ONCE], r[start : start + AT_ONCE, None]
+        lo, hi = at - size, at + size
+        row, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+        for level in range(last + 1):
+            if level:
+                row, node = np.repeat(row, 2), (2 * node[:, None] + np.arange(2)).ravel()
+            meets = ((lo[row] <= tree.high[level][node]) & (hi[row] >= tree.low[level][node])).all(axis=1)
+            row, node = row[meets], node[meets]
+        if own is not None:
+            other = node != own[start + row]
+            row, node = row[other], node[other]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)  # rows are ascending
+        order = np.argsort(turn, kind="stable")
+        ends = np.searchsorted(turn[order], np.arange(turn.max(initial=-1) + 2))
+        for a, b in zip(ends, ends[1:]):  # each row once a turn
+            for c in range(a, b, AT_ONCE):
+                mine = order[c : min(b, c + AT_ONCE)]
+                d = np.abs(at[row[mine], None] - tree.leaves[node[mine]])
+                who = start + row[mine]
+                near[who] = least(np.concatenate((near[who], np.maximum(d[..., 0], d[..., 1])), axis=1), k)
+
+
+def nearest(asking: np.ndarray, rows: np.ndarray, k: int, itself: bool, r: np.ndarray | None = None) -> np.ndarray:
+    """The k smallest distances of each asking row to rows, ascending, infinite where there are fewer; with itself, rows are the asking ones and none counts itself. With r, only those of at most r are sure to be found."""
+    near = np.full((len(asking), k), np.inf)
+    if not len(asking) or not len(rows):
+        return near
+    tree, own = tree_of(rows), None
+    if itself:
+        own, size = np.empty(len(rows), np.int64), tree.leaves.shape[1]
+        for start in range(0, len(tree.leaves), 256):
+            part, place = tree.leaves[start : start + 256], tree.place[start : start + 256].ravel()
+            with np.errstate(invalid="ignore"):
+                d = np.abs(part[:, :, None] - part[:, None]).max(axis=3) if size == 1 else np.maximum(*(np.abs(part[:, :, None, x] - part[:, None, :, x]) for x in (0, 1)))
+            d[:, np.arange(size), np.arange(size)] = np.inf
+            real = place < len(rows)
+            near[place[real]] = least(d.reshape(-1, size)[real], k)
+            own[place[real]] = np.repeat(np.arange(start, start + len(part)), size)[real]
+    within(tree, asking, near[:, -1].copy() if r is None else r, near, own)
+    return near
+
+
+def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
 
 
 def normal(*parts: Column) -> Column:
@@ -115,15 +207,16 @@ def planes(df: DataFrame, pairs: list[tuple[str, str]], key: list[str], noise: f
 
 
 def cells_of(rows: DataFrame) -> dict[int, Cells]:
-    """The cells of each pair (of few), from those of its rows whose hashes are smallest: SAMPLED for each cell."""
+    """The cells of each pair (of few), from those of its rows whose hashes are small: about SAMPLED for each cell."""
     counts = {r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.count("*").alias("n")).collect()}
-    out = {}
+    cells = {pair: min(CELLS, -(-n // CELL)) for pair, n in counts.items()}
+    share = F.lit(0.0)
     for pair, n in counts.items():
-        cells = min(CELLS, -(-n // CELL))
-        mine = rows.filter(F.col("pair") == pair).select("x", "y", F.xxhash64("id").alias("h"))
-        some = mine.orderBy("h").limit(SAMPLED * cells).collect() if cells > 1 else []
-        out[pair] = cut(np.array([(r["x"], r["y"]) for r in some]).reshape(-1, 2), cells)
-    return out
+        if cells[pair] > 1:
+            share = F.when(F.col("pair") == pair, min(1.0, SAMPLED * cells[pair] / n)).otherwise(share)
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share * float(1 << 40)).select("pair", "x", "y").collect() if max(cells.values(), default=0) > 1 else []
+    sample = np.array([tuple(r) for r in some]).reshape(-1, 3)
+    return {pair: cut(sample[sample[:, 0] == pair, 1:], n) for pair, n in cells.items()}
 
 
 def distances(rows: DataFrame, k: int = K) -> DataFrame:
@@ -149,56 +242,119 @@ def distances(rows: DataFrame, k: int = K) -> DataFrame:
         cells = shared.value[pair]
         xy = np.stack([part.column(c).to_numpy() for c in ("x", "y")], axis=1)
         near = nearest(xy, xy, k, True)
-        r = near[:, -1:]
-        leaves = []
-        for start in range(0, len(xy), 256):
-            lo, hi = xy[start : start + 256] - r[start : start + 256], xy[start : start + 256] + r[start : start + 256]
-            touch = ((lo[:, None] <= cells.high[None]) & (hi[:, None] >= cells.low[None])).all(axis=2)
-            touch[:, leaf] = False
-            leaves += [np.flatnonzero(t).tolist() for t in touch]
-        return part.append_column("near", pa.array(near.tolist(), pa.list_(pa.float64()))).append_column("others", pa.array(leaves, pa.list_(pa.int64())))
+        lo, hi = xy - near[:, -1:], xy + near[:, -1:]
+        out = np.flatnonzero(((lo <= cells.low[leaf]) | (hi >= cells.high[leaf])).any(axis=1))
+        square, to = touched(cells, lo[out], hi[out])
+        square, to = out[square[to != leaf]], to[to != leaf]
+        others = lists(to, np.bincount(square, minlength=len(xy)))
+        return part.append_column("near", lists(near.ravel(), np.full(len(xy), k))).append_column("others", others)
 
     placed = kept(rows.mapInArrow(place, f"{head}, leaf long"), "cells")
     first = kept(placed.groupBy("pair", "leaf").applyInArrow(own, f"{head}, leaf long, near array<double>, others array<long>"), "near")
-    asks = first.filter(F.size("others") > 0).select("pair", "id", "x", "y", F.explode("others").alias("to"))
+    bound = F.element_at("near", k).alias("r")
+    asks = first.filter(F.size("others") > 0).select("pair", "id", "x", "y", bound, F.explode("others").alias("to"))
     chunks = kept(asks.groupBy("pair", F.col("to").alias("leaf")).agg(F.ceil(F.count("*") / ASKED).alias("chunks")), "asked")
     asks = asks.join(F.broadcast(chunks.withColumnRenamed("leaf", "to")), ["pair", "to"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).drop("chunks")
     copies = placed.join(F.broadcast(chunks), ["pair", "leaf"]).select(F.col("pair").alias("p"), "x", "y", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
 
     def answer(asking: pa.Table, there: pa.Table) -> pa.Table:
         a, b = (np.stack([t.column(c).to_numpy() for c in ("x", "y")], axis=1) for t in (asking, there))
-        return asking.select(["pair", "id"]).append_column("near", pa.array(nearest(a, b, k, False).tolist(), pa.list_(pa.float64())))
+        near = nearest(a, b, k, False, asking.column("r").to_numpy())
+        return asking.select(["pair", "id"]).append_column("near", lists(near.ravel(), np.full(len(a), k)))
 
     answers = asks.groupBy("pair", "to", "chunk").cogroup(copies.groupBy("p", "leaf", "c")).applyInArrow(answer, f"pair int, id {kind}, near array<double>")
     more = answers.groupBy("pair", "id").agg(F.flatten(F.collect_list("near")).alias("more"))
-    both = first.join(more, ["pair", "id"], "left")
+    done = first.filter(F.size("others") == 0).select("pair", "id", "x", "y", bound)
+    both = first.filter(F.size("others") > 0).join(more, ["pair", "id"], "left")
     every = F.sort_array(F.concat("near", F.coalesce("more", F.array().cast("array<double>"))))
-    return both.select("pair", "id", "x", "y", F.element_at(every, k).alias("r"))
+    return done.unionByName(both.select("pair", "id", "x", "y", F.element_at(every, k).alias("r")))
 
 
 def as_near(rows: DataFrame) -> DataFrame:
-    """pair, id, a and b: how many other rows are nearer than r on each axis, for rows (pair, id, x, y, r)."""
-    axes = []
-    for name in ("x", "y"):
-        v = F.col(name)
-        # those before the left edge are taken from those before the right one; a row on an edge does not count, so edges are drawn in by what sums of doubles may lose
-        r = F.col("r") - EDGE * (F.abs(v) + F.col("r"))
-        ends = F.array(F.struct(v.alias("at"), F.lit(1).alias("kind")), F.struct((v - r).alias("at"), F.lit(2).alias("kind")), F.struct((v + r).alias("at"), F.lit(0).alias("kind")))
-        axes.append(rows.select(F.concat_ws("", "pair", F.lit(name)).alias("axis"), "pair", "id", F.lit(name).alias("name"), F.explode(ends).alias("e")).select("axis", "pair", "id", "name", "e.at", "e.kind"))
-    ends = kept(axes[0].unionByName(axes[1]), "ends")
-    counted = numbered(ends, ["axis"], "at", ["kind"], "upto", (F.col("kind") == 1).cast("int"))
-    of = lambda name, kind: F.max(F.when((F.col("name") == name) & (F.col("kind") == kind), F.col("upto")))
-    by = counted.filter("kind <> 1").groupBy("pair", "id").agg(*((of(n, 0) - of(n, 2) - 1).alias(c) for n, c in (("x", "a"), ("y", "b"))))
-    return by
+    """pair, axis and near: how many other rows are nearer than r on each axis (a row an axis), for rows (pair, id, x, y, r); id is a long, unique within a pair."""
+    spark = rows.sparkSession
+    axis = lambda k, c: F.struct((F.col("pair") * 2 + k).alias("axis"), F.col(c).alias("v"))
+    long = rows.select("pair", "id", "r", F.explode(F.array(axis(0, "x"), axis(1, "y"))).alias("z")).select("pair", "id", "r", "z.axis", "z.v")
+    cuts = cuts_of(long, ["axis"], "v")
+    ranged = kept(in_ranges(long, ["axis"], "v", cuts), "ranges")
+
+    def facts(part: pa.Table) -> pa.Table:
+        """A range's rows, ends, and widest gaps: the values beside a gap and how many lie below."""
+        v = np.sort(part.column("v").to_numpy())
+        wide = np.diff(v)
+        at = np.sort(np.argpartition(-wide, GAPS - 1)[:GAPS]) if len(wide) > GAPS else np.arange(len(wide))
+        one = [part.column("axis")[0].as_py()], [part.column("_range")[0].as_py()], [len(v)], [float(v[0])], [float(v[-1])], [v[at].tolist()], [v[at + 1].tolist()], [(at + 1).tolist()]
+        return pa.table([pa.array(x, t) for x, t in zip(one, types, strict=True)], names=names)
+
+    d, n = pa.float64(), pa.int64()
+    names, types = ["axis", "range", "n", "low", "high", "before", "after", "below"], [pa.int32(), pa.int32(), n, d, d, pa.list_(d), pa.list_(d), pa.list_(n)]
+    known: dict[int, dict] = {r[0]: {"cuts": np.array(r[1]), "first": np.zeros(len(r[1]) + 2, np.int64), "ranges": {}} for r in cuts}
+    for f in ranged.groupBy("axis", "_range").applyInArrow(facts, "axis int, range int, n long, low double, high double, before array<double>, after array<double>, below array<long>").collect():
+        known[f["axis"]]["first"][f["range"] + 1] = f["n"]
+        known[f["axis"]]["ranges"][f["range"]] = (f["low"], f["high"], np.array(f["before"]), np.array(f["after"]), np.array(f["below"], np.int64))
+    for a in known.values():
+        a["first"] = np.cumsum(a["first"])
+    shared = spark.sparkContext.broadcast(known)
+
+    def before(a: dict, j: int, v: np.ndarray, right: bool) -> np.ndarray:
+        """How many values of the axis lie before each of v, all in range j, from what every task knows; -1 where that does not say."""
+        if j not in a["ranges"]:
+            return np.full(len(v), a["first"][j])
+        low, high, lo, hi, below = a["ranges"][j]
+        out = np.full(len(v), -1, np.int64)
+        if len(lo):
+            g = np.clip(np.searchsorted(hi, v, "left" if right else "right"), 0, len(lo) - 1)  # the first gap that ends at or beyond v
+            inside = (v > lo[g]) & (v < hi[g]) | (v == (hi if right else lo)[g])
+            out[inside] = a["first"][j] + below[g[inside]]
+        out[(v <= low) if right else (v < low)] = a["first"][j]
+        out[(v > high) if right else (v >= high)] = a["first"][j + 1]
+        return out
+
+    def count(part: pa.Table) -> pa.Table:
+        """How many values lie before the ends of each row: those in this range by its values, others as far as they are known; a row on an end does not count, so ends are drawn in by what sums of doubles may lose."""
+        a, j = shared.value[part.column("axis")[0].as_py()], part.column("_range")[0].as_py()
+        v, r = part.column("v").to_numpy(), part.column("r").to_numpy()
+        values, r = np.sort(v), r - EDGE * (np.abs(v) + r)
+        for name, end, right in (("left", v - r, False), ("right", v + r, True)):
+            to, found = np.searchsorted(a["cuts"], end), np.full(len(v), -1, np.int64)
+            for t in np.unique(to):
+                mine = to == t
+                found[mine] = a["first"][j] + np.searchsorted(values, end[mine], "left" if right else "right") if t == j else before(a, int(t), end[mine], right)
+            part = part.append_column(name, pa.array(found)).append_column(f"{name}_end", pa.array(end)).append_column(f"{name}_to", pa.array(to.astype(np.int32)))
+        return part.drop_columns(["v", "r", "_range"])
+
+    ends = "left long, left_end double, left_to int, right long, right_end double, right_to int"
+    counted = kept(ranged.groupBy("axis", "_range").applyInArrow(count, f"pair int, id long, axis int, {ends}"), "counted")
+    unknown = (F.col("left") < 0) | (F.col("right") < 0)
+    open_ = F.array_compact(F.array(*(F.when(F.col(n) < 0, F.struct(F.lit(k).alias("side"), F.col(f"{n}_end").alias("end"), F.col(f"{n}_to").alias("to"))) for k, n in enumerate(("left", "right")))))
+    asks = counted.filter(unknown).select("axis", "id", F.explode(open_).alias("e")).select("axis", "id", "e.side", "e.end", "e.to")
+    chunks = kept(asks.groupBy("axis", "to").agg(F.ceil(F.count("*") / ASKED).alias("chunks")), "asked")
+    asks = asks.join(F.broadcast(chunks), ["axis", "to"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).drop("chunks")
+    copies = ranged.join(F.broadcast(chunks.withColumnRenamed("to", "_range")), ["axis", "_range"]).select(F.col("axis").alias("ax"), "_range", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
+
+    def answer(asking: pa.Table, there: pa.Table) -> pa.Table:
+        if not len(asking):
+            return pa.table({"axis": pa.array([], pa.int32()), "id": pa.array([], n), "side": pa.array([], pa.int32()), "n": pa.array([], n)})
+        first = shared.value[asking.column("axis")[0].as_py()]["first"][asking.column("to")[0].as_py()]
+        v, end = np.sort(there.column("v").to_numpy()), asking.column("end").to_numpy()
+        found = np.where(asking.column("side").to_numpy() == 1, np.searchsorted(v, end, "left"), np.searchsorted(v, end, "right"))
+        return asking.select(["axis", "id", "side"]).append_column("n", pa.array((first + found).astype(np.int64)))
+
+    answers = asks.groupBy("axis", "to", "chunk").cogroup(copies.groupBy("ax", "_range", "c")).applyInArrow(answer, "axis int, id long, side int, n long")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("n")))
+    by = answers.groupBy("axis", "id").agg(of(0).alias("l"), of(1).alias("r"))
+    rest = counted.filter(unknown).select("pair", "axis", "id", "left", "right").join(by, ["axis", "id"])
+    near = F.coalesce("r", "right") - F.coalesce("l", "left") - 1
+    return counted.filter(~unknown).select("pair", "axis", (F.col("right") - F.col("left") - 1).alias("near")).unionByName(rest.select("pair", "axis", near.alias("near")))
 
 
 def mutual_information(df: DataFrame, pairs: list[tuple[str, str]], key: list[str], k: int = K, noise: float = NOISE) -> DataFrame:
     """a, b and mi (not below zero) of each pair of columns, from the rows where both are known; null with k rows or fewer."""
-    rows = kept(planes(df, pairs, key, noise), "planes")
+    rows = kept(planes(df, pairs, key, noise).withColumn("id", F.monotonically_increasing_id()), "planes")  # a number a row from here on, as written
     near = kept(distances(rows, k), "distances")
     counts = as_near(near.filter(F.col("r") < float("inf")))
-    psi = digamma(F.col("a").cast("double") + 1) + digamma(F.col("b").cast("double") + 1)
-    by = counts.groupBy("pair").agg(F.count("*").alias("n"), F.avg(psi).alias("psi"))
+    psi = F.sum(digamma(F.col("near").cast("double") + 1))
+    by = counts.groupBy("pair").agg((F.count("*") / 2).cast("long").alias("n"), (psi / (F.count("*") / 2)).alias("psi"))
     mi = F.greatest(F.lit(0.0), digamma(F.col("n").cast("double")) + digamma(F.lit(float(k))) - F.col("psi"))
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
     return names.join(F.broadcast(by), "pair", "left").select("a", "b", F.when(F.col("n") > k, mi).alias("mi"))
