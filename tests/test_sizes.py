@@ -84,3 +84,17 @@ def test_ranks_move_no_rows(spark) -> None:  # noqa: ANN001
     df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
     plan = skew.with_ranks(df, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_nested_folds_hold_each_row_once(spark, monkeypatch) -> None:  # noqa: ANN001
+    """No pass of nested_cv_scores reads a row once for each repeat."""
+    from vibrary.operators import models
+
+    counts = []
+    monkeypatch.setattr(models, "gram", lambda df, *a: counts.append(df.cache().count()) or {(0, 0): np.eye(6)})
+    monkeypatch.setattr(models, "elastic_net_nested", lambda own: {})
+    monkeypatch.setattr(models, "poly_ridge_nested", lambda df, *a: counts.append(df.count()) or (None, None, {}))
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a: spark.range(0))
+    QUERIES["nested_cv_scores"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert counts == [n] * 20
