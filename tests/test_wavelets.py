@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vibrary.operators import chunks, wavelets
 
 FS, F0S, DAMPINGS = 1000.0, [40.0, 210.0], [400.0, 60.0, 20.0]  # kernels of 12, 83 and 250 samples
@@ -44,3 +46,9 @@ def test_arrays_as_chunks(spark, signals) -> None:  # noqa: ANN001
         got[r.sweep][r.i] = r.v
     assert {k: list(x) for k, x in signals.items()} == {k: [v for _, v in sorted(x.items())] for k, x in got.items()}
     assert wavelets.wavelet_map(chunks.from_arrays(df.limit(0)), FS, F0S, DAMPINGS).collect() == []
+
+
+def test_few_bytes_are_work_for_all_cores(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(k, "AE", FS, [float(x) for x in np.random.default_rng(k).normal(size=40)]) for k in range(60)], "sweep long, sensor string, fs double, voltage array<double>").coalesce(1)
+    for made in (wavelets.wavelet_map(chunks.from_arrays(df), FS, F0S, DAMPINGS),):
+        assert made.select(F.spark_partition_id()).distinct().count() > 4

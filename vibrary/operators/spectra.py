@@ -26,6 +26,11 @@ def to_arrays(samples: DataFrame, fs: float) -> DataFrame:
     return samples.groupBy(*KEY).agg(F.transform(ordered, lambda s: s["v"]).alias("voltage")).select(*KEY, F.lit(fs).alias("fs"), "voltage")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all cores by a hash of by. Tasks are made by bytes, so where much is computed of few bytes they would be few and long."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def each_signal(df: DataFrame, make: Callable[[np.ndarray, float], dict[str, np.ndarray]], fields: str) -> DataFrame:
     """Key columns, fs and what make returns for each row's signal, as array columns."""
     kinds = dict(x.split(" ") for x in fields.split(", "))

@@ -2,12 +2,13 @@
 
 A chunk takes as many samples of its neighbours as a kernel is long (half on either side), and its correlation with a kernel is a product of
 transforms: of the chunks once for all kernels, of a kernel once for all chunks that are worked on together. So a chunk costs
-n log n a kernel, not n times the kernel's length. What leaves a chunk is five moments a kernel, merged over the signal.
+n log n a kernel, not n times the kernel's length. Chunks and kernels of one length are worked on together, as arrays. What leaves a chunk is
+five moments a kernel, merged over the signal, or the result if the chunk is the signal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .chunks import AT, CHUNK, KEY, MOMENTS, each, in_order, merged_moments, moments, with_common
-from .spectra import TINY
+from .chunks import AT, CHUNK, KEY, each, in_order, merged_moments, with_common
+from .spectra import TINY, spread
 
-#: Numbers of the chunks that are worked on together, at most (or one chunk).
-TOGETHER = 1 << 20
+#: Numbers of the chunks that are worked on together, at most (or one chunk), and of their transforms times kernels (or one).
+TOGETHER, BANK = 1 << 20, 1 << 17
 
 
 def kernel(f0: float, damping: float, fs: float, size: int) -> np.ndarray:
@@ -45,8 +46,8 @@ def with_neighbours(chunks: DataFrame, left: int, right: int, size: int) -> Data
     return chunks.join(facts.withColumn("before", last), list(AT))
 
 
-def responses(v: list[np.ndarray], before: list[np.ndarray], after: list[np.ndarray], n: list[int], fs: float, cells: list[tuple[float, float]], decays: float) -> Iterator[tuple[int, int, np.ndarray]]:
-    """row, cell and the size of the correlation at each sample of every chunk."""
+def response_moments(v: list[np.ndarray], before: list[np.ndarray], after: list[np.ndarray], n: list[int], fs: float, cells: list[tuple[float, float]], decays: float) -> np.ndarray:
+    """Mean square, mean and sums of the second to fourth powers of what differs from it, of the sizes of the correlation at every chunk's samples: an array of these by chunk and cell."""
     longest = max(min(max(n), kernel_size(a, fs, decays)) for _, a in cells)
     left, right = longest // 2, longest - 1 - longest // 2
     m = 1 << int(max(map(len, v)) + longest - 2).bit_length()
@@ -55,15 +56,34 @@ def responses(v: list[np.ndarray], before: list[np.ndarray], after: list[np.ndar
         a, c = a[max(0, len(a) - left) :], c[:right]
         x[k, left - len(a) : left + len(b) + len(c)] = np.concatenate((a, b, c))
     spectra = np.fft.fft(x)
-    for j, (f0, damping) in enumerate(cells):
-        sizes = np.minimum(kernel_size(damping, fs, decays), np.maximum(n, 2))
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            bank = np.conj(np.fft.fft(kernel(f0, damping, fs, size), m))
-            y = np.abs(np.fft.ifft(spectra[rows] * bank))
-            first = left - size // 2  # a kernel's middle stands at the sample
-            for r, row in zip(rows, y, strict=True):
-                yield int(r), j, row[first : first + len(v[r])]
+    counts, lengths = np.array([len(y) for y in v]), np.maximum(n, 2)
+    out = np.empty((5, len(v), len(cells)))
+    order = sorted(range(len(cells)), key=lambda j: kernel_size(cells[j][1], fs, decays))  # kernels of one length together
+    width = max(1, BANK // m)
+    for start in range(0, len(cells), width):
+        some = order[start : start + width]
+        sizes = [kernel_size(cells[j][1], fs, decays) for j in some]
+        kinds = np.stack((np.minimum(lengths, max(sizes)), counts), 1)  # kernels and samples of rows of a kind are alike
+        for limit, count in np.unique(kinds, axis=0):
+            bank = np.zeros((len(some), m), complex)
+            for k, (j, size) in enumerate(zip(some, sizes, strict=True)):
+                size = min(size, int(limit))
+                bank[k, :size] = kernel(*cells[j], fs, size)
+                bank[k] = np.roll(bank[k], -(size // 2))  # a kernel's middle stands at the sample
+            bank = np.conj(np.fft.fft(bank))
+            rows = np.flatnonzero((kinds == (limit, count)).all(1))
+            step = max(1, BANK // (m * len(some)))
+            for at in range(0, len(rows), step):
+                r = rows[at : at + step]
+                z = np.fft.ifft(spectra[r, None] * bank)[..., left : left + count]
+                squares = z.real**2 + z.imag**2
+                y = np.sqrt(squares)
+                mean = y.mean(-1)
+                d = y - mean[..., None]
+                d2 = d * d
+                for to, value in zip(out, (squares.sum(-1), mean, d2.sum(-1), (d2 * d).sum(-1), (d2 * d2).sum(-1)), strict=True):
+                    to[np.ix_(r, some)] = value
+    return out
 
 
 def wavelet_map(chunks: DataFrame, fs: float, f0s: list[float], dampings: list[float], decays: float = 5.0, size: int = CHUNK) -> DataFrame:
@@ -75,24 +95,38 @@ def wavelet_map(chunks: DataFrame, fs: float, f0s: list[float], dampings: list[f
     longest = max(kernel_size(a, fs, decays) for _, a in cells)
     rows = with_neighbours(chunks.select(*AT, "i", "v"), longest // 2, longest - 1 - longest // 2, size).select(*AT, "v", "before", "after", "n")
     head = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in AT)
-    schema = f"{head}, cell int, squares double, {MOMENTS}"
-    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("v").value_lengths().to_numpy() + 2 * longest
-            together = max(1, TOGETHER // int(sizes.max(initial=1)))
-            for start in range(0, batch.num_rows, together):
-                part = batch.slice(start, together)
-                v, before, after = ([x.values.to_numpy(zero_copy_only=False) for x in part.column(c)] for c in ("v", "before", "after"))
-                found = [(r, j, float((y * y).sum()), *moments(y)) for r, j, y in responses(v, before, after, part.column("n").to_pylist(), fs, cells, decays)]
-                at = pa.array([x[0] for x in found], pa.int64())
-                columns = [part.column(c).take(at) for c in AT] + [pa.array(c) for c in list(zip(*found))[1:]]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    each_cell = rows.mapInArrow(run, schema)
+
+    def made(some: DataFrame, names: list[str], figures: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+        """The key of each chunk, its samples (n) and arrays with a figure a cell, made of the chunks' moments and numbers of samples."""
+        schema = f"{head}, n long, {', '.join(f'{c} array<double>' for c in names)}"
+        arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column("v").value_lengths().to_numpy() + 2 * longest
+                together = max(1, TOGETHER // int(sizes.max(initial=1)))
+                for start in range(0, batch.num_rows, together):
+                    part = batch.slice(start, together)
+                    v, before, after = ([x.values.to_numpy(zero_copy_only=False) for x in part.column(c)] for c in ("v", "before", "after"))
+                    found = figures(response_moments(v, before, after, part.column("n").to_pylist(), fs, cells, decays), np.array([[len(x)] for x in v]))
+                    ends = pa.array(np.arange(len(v) + 1) * len(cells), pa.int32())
+                    arrays = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in found]
+                    columns = [*(part.column(c) for c in AT), pa.array([len(x) for x in v], pa.int64()), *arrays]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        return spread(some, *AT).mapInArrow(run, schema)
+
+    def whole(x: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        variance = x[2] / n
+        return [np.sqrt(x[0] / n), np.where(variance > TINY, x[4] / n / np.where(variance > TINY, variance, 1.0) ** 2, 0.0)]
+
+    alone = F.col("n") == F.size("v")  # chunks that are whole signals have their figures at once; others are merged
+    single = made(rows.filter(alone), ["rms", "kurtosis"], whole).select(*KEY, F.posexplode(F.arrays_zip("rms", "kurtosis")).alias("cell", "x")).select(*KEY, "cell", "x.rms", "x.kurtosis")
+    names = ["squares", "mean", "m2", "m3", "m4"]
+    each_cell = made(rows.filter(~alone), names, lambda x, n: list(x)).select(*KEY, "n", F.posexplode(F.arrays_zip(*names)).alias("cell", "x")).select(*KEY, "n", "cell", "x.*")
     by = with_common(each_cell, by=(*KEY, "cell")).groupBy(*KEY, "cell").agg(F.sum("squares").alias("squares"), *merged_moments())
-    table = rows.sparkSession.createDataFrame([(j, f, a) for j, (f, a) in enumerate(cells)], "cell int, frequency double, damping double")
     variance = F.col("m2") / F.col("n")
     kurtosis = F.when(variance > TINY, F.col("m4") / F.col("n") / variance**2).otherwise(0.0)
-    return by.join(F.broadcast(table), "cell").select(*KEY, "frequency", "damping", F.sqrt(F.col("squares") / F.col("n")).alias("rms"), kurtosis.alias("kurtosis"))
+    merged = by.select(*KEY, "cell", F.sqrt(F.col("squares") / F.col("n")).alias("rms"), kurtosis.alias("kurtosis"))
+    frequency, damping = (F.get(F.array(*(F.lit(float(x)) for x in xs)), at) for xs, at in ((f0s, F.floor(F.col("cell") / len(dampings)).cast("int")), (dampings, F.col("cell") % len(dampings))))
+    return single.union(merged).select(*KEY, frequency.alias("frequency"), damping.alias("damping"), "rms", "kurtosis")
