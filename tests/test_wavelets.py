@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from vibrary.operators import chunks, wavelets
+from vibrary.operators import chunks, spectra, wavelets
 
 FS, F0S, DAMPINGS = 1000.0, [40.0, 210.0], [400.0, 60.0, 20.0]  # kernels of 12, 83 and 250 samples
 LENGTHS = {1: 300, 2: 97, 3: 64, 4: 5, 5: 2}
@@ -50,5 +50,11 @@ def test_arrays_as_chunks(spark, signals) -> None:  # noqa: ANN001
 
 def test_few_bytes_are_work_for_all_cores(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame([(k, "AE", FS, [float(x) for x in np.random.default_rng(k).normal(size=40)]) for k in range(60)], "sweep long, sensor string, fs double, voltage array<double>").coalesce(1)
-    for made in (wavelets.wavelet_map(chunks.from_arrays(df), FS, F0S, DAMPINGS),):
+    for made in (wavelets.wavelet_map(chunks.from_arrays(df), FS, F0S, DAMPINGS), spectra.infogram(df, [100.0, 250.0], [50.0, 120.0])):
         assert made.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_gains_of_several_bands() -> None:
+    f = np.fft.rfftfreq(90, 1 / FS)
+    bands = [(1.0, 20.0), (100.0, 130.0), (240.0, 499.99), (499.96, 499.99)]
+    assert np.allclose(spectra.band_gains(f, FS, bands), [spectra.band_gain(f, FS, *b) for b in bands], rtol=1e-12, atol=0)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .signals import KEY
 
 NPERSEG, ORDER, TINY = 4096, 5, 1e-30
+#: Samples by cells of a map up to which gains are kept for the next signal of that length.
+KEPT = 1 << 17
 #: By how much the entropy of exponentially distributed shares falls short of the largest: 1 less the Euler constant.
 NOISE_LOSS = 1 - 0.5772156649015329
 
@@ -40,7 +43,8 @@ def each_signal(df: DataFrame, make: Callable[[np.ndarray, float], dict[str, np.
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 made = [make(np.array(v.as_py() or [], float), fs.as_py()) for v, fs in zip(part.column(3), part.column(2), strict=True)]
-                columns = [pa.array([m[k].tolist() for m in made], pa.list_(pa.float64())) for k in kinds]
+                ends = {k: np.cumsum([0, *(len(m[k]) for m in made)]) for k in kinds}
+                columns = [pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.array(np.concatenate([np.asarray(m[k], float) for m in made]))) for k in kinds]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=[*KEY, "fs", *kinds])
 
     head = df.select(*KEY, F.col("fs").cast("double").alias("fs"), "voltage")
@@ -73,6 +77,21 @@ def band_gain(f: np.ndarray, fs: float, lo: float, hi: float, order: int = ORDER
         return np.where(w > 0, 1 / (1 + warped ** (2 * order)), 0.0)
 
 
+def band_gains(f: np.ndarray, fs: float, bands: list[tuple[float, float]]) -> np.ndarray:
+    """The same of several bands that have both limits within the spectrum, a row a band."""
+    lo, hi = np.array(bands).T / (fs / 2)
+    hi = np.minimum(hi, 0.9999)
+    w = np.tan(np.pi * np.minimum(f / fs, 0.4999999))
+    below, top = (np.tan(np.pi * x / 2)[:, None] for x in (lo, hi))
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        warped = (w * w - below * top) / (w * (top - below))
+        square = warped * warped
+        gains = np.where(w > 0, 1 / (1 + square**2 * square**2 * square), 0.0)
+    for k in np.flatnonzero((lo <= 0) | (lo >= hi)):
+        gains[k] = band_gain(f, fs, *bands[k])
+    return gains
+
+
 def bandpass(df: DataFrame, lo: float, hi: float, order: int = ORDER) -> DataFrame:
     """voltage limited to a band: the spectrum times the gain, transformed back."""
 
@@ -172,29 +191,37 @@ def usual_grid(fs: float, centres: int = CENTRES, widths: int = WIDTHS) -> tuple
     return np.linspace(fs / 40, fs / 2 * 0.95, centres).tolist(), np.linspace(fs / 50, fs / 4, widths).tolist()
 
 
+@lru_cache(maxsize=64)
+def map_bands(cells: tuple[tuple[float, float], ...], n: int, fs: float) -> tuple[list[int], list[tuple[float, float]], np.ndarray | None]:
+    """Which cells (centre, width) lie within the spectrum of n samples, their bands and, if these are few numbers, their gains."""
+    inside = [i for i, (c, w) in enumerate(cells) if c - w / 2 >= 1 and c + w / 2 < fs / 2] if n >= 4 else []
+    bands = [(cells[i][0] - cells[i][1] / 2, cells[i][0] + cells[i][1] / 2) for i in inside]
+    return inside, bands, band_gains(np.fft.rfftfreq(n, 1 / fs), fs, bands) if inside and n * len(cells) <= KEPT else None
+
+
 def infogram(df: DataFrame, centres: list[float], widths: list[float]) -> DataFrame:
-    """For each signal and cell (centre, width) that lies within the spectrum: entropy of noise less that of the squared envelope's spectrum. Map-only, all cells of a signal at once."""
-    cells = [(c, w) for c in centres for w in widths]
+    """For each signal and cell (centre, width) that lies within the spectrum: entropy of noise less that of the squared envelope's spectrum. Signals are dealt over all cores, and all cells of one are made at once."""
+    cells = tuple((c, w) for c in centres for w in widths)
 
     def make(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
         n, out = len(x), np.full(len(cells), np.nan)
-        inside = [i for i, (c, w) in enumerate(cells) if c - w / 2 >= 1 and c + w / 2 < fs / 2] if n >= 4 else []
+        inside, bands, kept = map_bands(cells, n, fs)
         if not inside:
             return {"info": out}
-        f = np.fft.rfftfreq(n, 1 / fs)
-        bins = np.fft.rfft(x)
+        one_sided = np.fft.rfft(x)
+        one_sided[1 : (n + 1) // 2] *= 2  # the spectrum of the analytic signal, which has no negative frequencies
         for start in range(0, len(inside), 64):  # so many cells at once are in memory
             some = inside[start : start + 64]
-            gains = np.array([band_gain(f, fs, cells[i][0] - cells[i][1] / 2, cells[i][0] + cells[i][1] / 2) for i in some])
-            bands = np.fft.irfft(bins * gains, n)
-            ses = np.abs(np.fft.rfft(np.abs(analytic(bands)) ** 2))[:, 1:]
+            gains = band_gains(np.fft.rfftfreq(n, 1 / fs), fs, bands[start : start + 64]) if kept is None else kept[start : start + 64]
+            z = np.fft.ifft(one_sided * gains, n)
+            ses = np.abs(np.fft.rfft(z.real**2 + z.imag**2))[:, 1:]
             total = ses.sum(1, keepdims=True)
             p = np.where(total > TINY, ses / np.maximum(total, TINY), ses)
             loss = (p * np.log(np.where(p > 0, p, 1.0))).sum(1)
             out[some] = np.where((p > 0).any(1), math.log(ses.shape[1]) - NOISE_LOSS + loss, np.nan)
         return {"info": out}
 
-    made = each_signal(df, make, "info array")
+    made = each_signal(spread(df, *KEY), make, "info array")
     grid = F.expr(f"transform(sequence(0, {len(cells) - 1}), i -> i)")
     middles, spans = (F.array(*(F.lit(float(v)) for v in vs)) for vs in (centres, widths))
     rows = made.select(*KEY, F.explode(F.arrays_zip(grid.alias("i"), "info")).alias("z")).select(*KEY, "z.i", "z.info")
