@@ -310,3 +310,23 @@ def test_search_does_not_hang_on_threads(spark) -> None:  # noqa: ANN001
     plain = [model.fit(G.assembled(f.filter(F.col("inner") != k), more_queries.INPUTS)).transform(G.assembled(f.filter(F.col("inner") == k), more_queries.INPUTS)).select(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))).first()[0] for k in (0, 1)]
     first = G.gbt_search(f, more_queries.INPUTS, "target", "inner", 2, settings[:1], keep=2).first()
     assert first.rmse == pytest.approx(sum(plain) / 2) and first.best
+
+
+def test_fits_on_cells_are_those_on_rows(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Of columns with few values, and without draws, cells give the same trees, stops and errors as rows."""
+    r = np.random.default_rng(20)
+    a, b, fold = r.integers(0, 6, 3000), r.integers(0, 8, 3000), r.integers(0, 3, 3000)
+    y = np.where(a > 3, 2.0, 0.0) + np.where((b > 2) & (a > 1), 1.0, 0.0) + 0.1 * b + r.normal(size=3000) * 0.3
+    df = spark.createDataFrame([(float(i), float(j), float(v), int(k)) for i, j, v, k in zip(a, b, y, fold, strict=True)], "a double, b double, y double, fold int").persist()
+    exact = {"subsamplingRate": 1.0, "featureSubsetStrategy": "all", "maxDepth": 3, "minInstancesPerNode": 200, "stepSize": 0.4}
+    found = []
+    for rows in (10**9, 0):
+        monkeypatch.setattr(G, "ROWS", rows)
+        scores = G.gbt_scores(df, ["a", "b"], "y", "fold", 3, **exact, maxIter=8).orderBy("fold").collect()
+        tuned = G.gbt_search(df, ["a", "b"], "y", "fold", 3, G.every_setting({"maxDepth": [1, 3], "stepSize": [0.1, 0.5]}), keep=2, **{k: v for k, v in exact.items() if k not in ("maxDepth", "stepSize")}).collect()
+        found.append([v for x in (*scores, *tuned) for v in x])
+        model, cuts = G.gbt_final(df, ["a", "b"], "y", [5], **exact)
+        found[-1] += [p.prediction for p in model.transform(G.assembled(df, ["a", "b"], cuts)).orderBy("a", "b", "y").select("prediction").collect()]
+        assert (cuts is None) == bool(rows) and max(x.n_trees for x in scores) > 1
+    assert [v is None for v in found[0]] == [v is None for v in found[1]]
+    assert [v for v in found[0] if v is not None] == pytest.approx([v for v in found[1] if v is not None], rel=1e-9)
