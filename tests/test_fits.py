@@ -330,3 +330,9 @@ def test_fits_on_cells_are_those_on_rows(spark, monkeypatch) -> None:  # noqa: A
         assert (cuts is None) == bool(rows) and max(x.n_trees for x in scores) > 1
     assert [v is None for v in found[0]] == [v is None for v in found[1]]
     assert [v for v in found[0] if v is not None] == pytest.approx([v for v in found[1] if v is not None], rel=1e-9)
+
+
+def test_metrics_of_groups_and_all_in_one_pass(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(0, 1.0, 1.5), (0, 2.0, 2.0), (1, 5.0, 4.0)], "fold int, y double, yhat double")
+    both = {r.fold: tuple(r)[1:] for r in models.regression_metrics(df, "y", "yhat", ["fold"], total=True).collect()}
+    assert both == {r.fold: tuple(r)[1:] for r in models.regression_metrics(df, "y", "yhat", ["fold"]).collect()} | {None: tuple(models.regression_metrics(df, "y", "yhat").first())}
