@@ -336,3 +336,15 @@ def test_metrics_of_groups_and_all_in_one_pass(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame([(0, 1.0, 1.5), (0, 2.0, 2.0), (1, 5.0, 4.0)], "fold int, y double, yhat double")
     both = {r.fold: tuple(r)[1:] for r in models.regression_metrics(df, "y", "yhat", ["fold"], total=True).collect()}
     assert both == {r.fold: tuple(r)[1:] for r in models.regression_metrics(df, "y", "yhat", ["fold"]).collect()} | {None: tuple(models.regression_metrics(df, "y", "yhat").first())}
+
+
+def test_columns_are_moved_in_one_pass(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(k, float(k % 7), float(k % 5), 2.0 * (k % 7)) for k in range(300)], "k long, a double, b double, y double")
+    calls = []
+
+    def predict(d):  # noqa: ANN001, ANN202
+        calls.append(1)
+        return d.withColumn("yhat", 2 * F.col("a"))
+
+    rise = {r.feature: r.rise for r in models.permutation_importance(df, ["a", "b"], "y", predict, ["k"]).collect()}
+    assert len(calls) == 1 and rise["a"] > 1 and rise["b"] == 0
