@@ -348,3 +348,22 @@ def test_columns_are_moved_in_one_pass(spark) -> None:  # noqa: ANN001
 
     rise = {r.feature: r.rise for r in models.permutation_importance(df, ["a", "b"], "y", predict, ["k"]).collect()}
     assert len(calls) == 1 and rise["a"] > 1 and rise["b"] == 0
+
+
+def test_rows_look_up_predictions_of_their_cells_in_one_scan(spark, monkeypatch, tmp_path) -> None:  # noqa: ANN001
+    monkeypatch.setattr(G, "ROWS", 0)
+    r = np.random.default_rng(19)
+    a, b, fold = r.normal(size=2000), r.integers(0, 4, 2000), r.integers(0, 4, 2000)
+    y = 2 * a + 0.5 * b + r.normal(size=2000) * 0.2
+    spark.createDataFrame([(i, float(p), float(q), float(v), int(k)) for i, (p, q, v, k) in enumerate(zip(a, b, y, fold, strict=True))], "i int, a double, b double, y double, fold int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").withColumn("fold", F.when(F.col("fold") < 3, F.col("fold")))  # and some of no fold, which nothing predicts
+    found = []
+    for numbers in (10**9, 0):
+        monkeypatch.setattr(G, "LOOKED_UP", numbers)
+        out, trees = G.gbt_cv(df, ["a", "b"], "y", "fold", 3, maxIter=6, maxDepth=3, stepSize=0.4)
+        leaves = out._jdf.queryExecution().withCachedData().collectLeaves()
+        scans = sum(leaves.apply(k).getClass().getSimpleName() == "LogicalRelation" for k in range(leaves.size()))
+        found.append((out.columns, trees, sorted(map(tuple, out.collect())), scans))
+    assert found[0][:3] == found[1][:3] and found[0][0] == [*df.columns, "yhat"] and max(found[0][1]) > 1
+    assert len(found[0][2]) == int((fold < 3).sum()) and len({row[-1] for row in found[0][2]}) > 10
+    assert [x[3] for x in found] == [1, 3]
