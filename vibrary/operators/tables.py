@@ -32,9 +32,10 @@ def handle_nonfinite(df: DataFrame, columns: list[str], strategy: str = "drop")
 
 
 def constant_features(df: DataFrame, columns: list[str], threshold: float = 0.0) -> list[str]:
-    """Columns whose sample variance is known and not above threshold."""
-    by = df.agg(*(F.var_samp(finite(F.col(c))).alias(c) for c in columns)).first()
-    return [c for c in columns if by[c] is not None and by[c] <= threshold]
+    """Columns whose sample variance is known and not above threshold; that of equal values is zero, whatever merged sums of parts leave of it."""
+    by = df.agg(*(f(finite(F.col(c))).alias(f"{n}_{c}") for c in columns for n, f in (("v", F.var_samp), ("lo", F.min), ("hi", F.max)))).first()
+    var = {c: 0.0 if by[f"v_{c}"] is not None and by[f"lo_{c}"] == by[f"hi_{c}"] else by[f"v_{c}"] for c in columns}
+    return [c for c in columns if var[c] is not None and var[c] <= threshold]
 
 
 def clean_features(
@@ -72,8 +73,8 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold:
         room = {c: threshold * (by[c][1] - by[c][0]) for c in columns if by[c][0] is not None}
         tests = [(F.col(c) < by[c][0] - room[c]) | (F.col(c) > by[c][1] + room[c]) for c in room]
     elif method == "zscore":
-        by = df.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
-        tests = [F.abs(F.col(c) - by[f"m_{c}"]) / by[f"s_{c}"] > threshold for c in columns if by[f"s_{c}"]]
+        by = df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max)))).first()
+        tests = [F.abs(F.col(c) - by[f"m_{c}"]) / by[f"s_{c}"] > threshold for c in columns if by[f"s_{c}"] and by[f"lo_{c}"] != by[f"hi_{c}"]]
     else:
         raise ValueError(f"unknown method {method!r}: iqr or zscore")
     return df.withColumn("is_outlier", any_of(tests))
