@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import time
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vibrary.operators import neighbours, skew
+from vibrary.sources import store
 
 
 def plain_digamma(n: np.ndarray) -> np.ndarray:
@@ -97,3 +99,32 @@ def test_neighbours_take_work_in_step_with_rows() -> None:
         for k in some:
             d = np.abs(xy - xy[k]).max(axis=1)
             assert np.array_equal(np.sort(d)[1:6], near[k])
+
+
+def test_nothing_is_left_on_disk(spark, table) -> None:  # noqa: ANN001
+    """What a pair writes is gone before the result is read, so disk does not grow with the number of pairs; settings are as before."""
+    before = spark.conf.get(store.SHUFFLES_GO)
+    base = store.scratch(spark, "").removeprefix("file:")
+    there = set(os.listdir(base)) if os.path.isdir(base) else set()
+    assert len(neighbours.mutual_information(table, [("x", "line"), ("x", "few")], ["id"]).collect()) == 2
+    assert set(os.listdir(base)) == there and spark.conf.get(store.SHUFFLES_GO) == before
+
+
+def test_cells_are_cut_between_equal_values() -> None:
+    """Ten values of one column, parted by noise only: no cut goes through one of them, though cells of halves would."""
+    r = np.random.default_rng(8)
+    sample = np.stack([r.integers(0, 10, 4000) + 1e-10 * r.normal(size=4000), r.uniform(size=4000)], axis=1)
+    cells = neighbours.cut(sample, 4)
+    at = cells.value[cells.axis == 0]
+    assert len(at) and np.abs(at - np.round(at)).min() > 1e-3
+    sizes = np.bincount(neighbours.leaf_of(cells, sample), minlength=4)
+    assert sizes.sum() == 4000 and sizes.max() < 1.5 * 1000
+
+
+def test_known_gaps_and_open_ends() -> None:
+    """Counts before ends that lie between runs are known, those of ends within a run are not."""
+    axis = neighbours.Axis(np.array([5.0]), np.array([0, 3]), np.array([1.0, 8.0]), np.array([4.0, 9.0]), np.array([0, 3, 7]))
+    end = np.array([0.5, 1.0, 2.0, 4.0, 6.0, 8.0, 8.5, 9.0, 10.0])
+    assert neighbours.before(axis, end, True).tolist() == [0, 0, -1, -1, 3, 3, -1, -1, 7]  # how many are less
+    assert neighbours.before(axis, end, False).tolist() == [0, -1, -1, 3, 3, -1, -1, 7, 7]  # how many are not greater
+    assert np.allclose(neighbours.psi(np.arange(1, 60)), plain_digamma(np.arange(1, 60)), atol=1e-13)
