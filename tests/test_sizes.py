@@ -115,3 +115,23 @@ def test_equal_values_have_no_variance(spark, tmp_path) -> None:  # noqa: ANN001
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     for name in ("clean_features", "cleaned_features"):
         assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
+
+
+def test_folds_travel_with_their_rows(spark) -> None:  # noqa: ANN001
+    """The folds of every repeat are kfold's, equal keys have one, null keys none; nothing that was written is left, and no row is joined to its folds."""
+    import os
+
+    from vibrary.operators import models
+    from vibrary.sources import store
+
+    df = spark.range(0, 500, 1, 3).select((F.col("id") % 97).alias("a"), F.when(F.col("id") % 50 != 49, F.col("id") % 11).alias("b"), F.col("id").alias("x"))
+    want = df.join(models.kfold(df.dropna(), ["a", "b"], 5, repeats=3), ["a", "b"]).select("x", "repeat", "fold").toPandas()
+    base = store.scratch(spark, "").removeprefix("file:")
+    there = set(os.listdir(base)) if os.path.isdir(base) else set()
+    with store.passing(spark, "folds") as keep:
+        f = models.with_folds(df, ["a", "b"], keep, 5, 3)
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        got = f.select("x", *(models.fold_of(r).alias(str(r)) for r in range(3))).toPandas().melt("x", var_name="repeat", value_name="fold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert set(os.listdir(base)) == there
+    assert {(int(r.x), int(r.repeat), int(r.fold)) for r in got.itertuples()} == {(r.x, r.repeat, r.fold) for r in want.itertuples()} and len(got) == 490 * 3
